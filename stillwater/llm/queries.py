@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stillwater.llm import bpe, common, mixing, warc
+from stillwater.llm import bpe, common, minhash, mixing, warc
 
 
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,6 +21,10 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_records(members, payload=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(common.table(spark, sf_dir, "documents"), width=2)
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     return mixing.plan(docs).select("doc_id", "size", "source_size", "target", "taken", "source", "n_copies", "positions")
@@ -29,6 +33,7 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_bpe": op1_bpe,
     "op6_warc": op6_warc,
+    "op7_minhash": op7_minhash,
     "op9_mixing": op9_mixing,
 }
 
