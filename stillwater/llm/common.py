@@ -102,12 +102,13 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def words(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and ends of the words in the bytes, and for each text the number of its first word (n + 1 numbers)."""
+def words(data: np.ndarray, at: np.ndarray, separator: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of the words in the bytes, and for each text the number of its first word (n + 1 numbers).
+    separator: for each byte, whether it lies between words."""
     n = len(data)
     if not n:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(at), np.int64)
-    gap = _SEPARATOR[data]
+    gap = (_SEPARATOR if separator is None else separator)[data]
     before = np.empty(n, bool)
     before[0], before[1:] = True, gap[:-1]
     before[at[:-1][at[:-1] < n]] = True
@@ -118,15 +119,18 @@ def words(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
     return starts, ends, np.searchsorted(starts, at)
 
 
-def word_hashes(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each word, A-Z taken as a-z: a polynomial over byte values drawn at random, then mixed."""
+def word_hashes(data: np.ndarray, starts: np.ndarray, separator: np.ndarray | None = None, most: int | None = None) -> np.ndarray:
+    """A 64-bit hash of each word, A-Z taken as a-z: a polynomial over byte values drawn at random, then mixed.
+    most: take so many first bytes of each word."""
     if not len(starts):
         return np.zeros(0, np.uint64)
-    value = np.where(_SEPARATOR[data], np.uint64(0), _BYTE[_LOWER[data]])
+    value = np.where((_SEPARATOR if separator is None else separator)[data], np.uint64(0), _BYTE[_LOWER[data]])
     place = np.zeros(len(data), np.int64)
     place[starts] = starts
     place = np.arange(len(data)) - np.maximum.accumulate(place)
     place[: starts[0]] = 0
+    if most is not None:
+        value[place >= most] = 0
     # A separator run adds nothing, whatever its place; only places inside words need powers.
     longest = int(place.max()) + 1
     powers = np.empty(longest, np.uint64)

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from stillwater.llm import bpe, common, minhash, mixing, warc
+from stillwater.llm import bpe, common, minhash, mixing, toxicity, warc
 
 
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -14,6 +15,11 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN).drop("text")
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = toxicity.score_documents(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "labels"))
+    return scored.select("doc_id", "held_out", "score", "predicted", F.size("passages").cast("long").alias("n_passages"))
+
+
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     records = warc.plan_records(common.table(spark, sf_dir, "pages"))
     archives = common.stash(warc.write_archives(records), "warc-whole", codec="uncompressed")
@@ -32,6 +38,7 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_bpe": op1_bpe,
+    "op5_toxicity": op5_toxicity,
     "op6_warc": op6_warc,
     "op7_minhash": op7_minhash,
     "op9_mixing": op9_mixing,
