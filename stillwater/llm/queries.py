@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stillwater.llm import bpe, common, minhash, mixing, toxicity, warc
+from stillwater.llm import bpe, common, media, minhash, mixing, toxicity, warc
 
 
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,6 +15,18 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN).drop("text")
 
 
+def op4_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    examined = media.examine(media.store(docs))
+    n_bytes = F.octet_length(F.encode(F.coalesce("text", F.lit("")), "UTF-8")).cast("long")
+    pages = docs.select("doc_id", n_bytes.alias("n_bytes"), media.as_page(F.col("text"), F.col("source")).alias("html"))
+    items = media.sequences(pages, keep=("doc_id", "n_bytes"))
+    items = items.withColumn("n_texts", F.size(F.filter("items", lambda x: x["kind"] == "text")).cast("long"))
+    refs = media.references(items, ("doc_id", "n_bytes", "n_texts"))
+    found = media.resolve(refs, examined)
+    return found.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "position", "caption", "n_texts")
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = toxicity.score_documents(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "labels"))
     return scored.select("doc_id", "held_out", "score", "predicted", F.size("passages").cast("long").alias("n_passages"))
@@ -38,6 +50,7 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_bpe": op1_bpe,
+    "op4_media": op4_media,
     "op5_toxicity": op5_toxicity,
     "op6_warc": op6_warc,
     "op7_minhash": op7_minhash,
