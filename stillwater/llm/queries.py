@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stillwater.llm import bpe, common, media, minhash, mixing, toxicity, warc
+from stillwater.llm import bpe, chat, common, media, minhash, mixing, toxicity, warc
 
 
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,6 +15,13 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN).drop("text")
 
 
+def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    chats = chat.conversations(common.table(spark, sf_dir, "conversations"))
+    made = chat.format_preferences(chat.pairs_by_opening(chats).union(chat.pairs_by_answer(chats)))
+    spans = lambda c: F.array_join(F.transform(c, lambda x: F.concat_ws(":", x["start"].cast("string"), x["end"].cast("string"))), ",")
+    return made.select("kind", "chosen_id", "rejected_id", "n_common", "prompt", "chosen_text", spans("chosen_spans").alias("chosen_mask"), "rejected_text", spans("rejected_spans").alias("rejected_mask"))
+
+
 def op4_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     examined = media.examine(media.store(docs))
@@ -50,6 +57,7 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_bpe": op1_bpe,
+    "op3_chat": op3_chat,
     "op4_media": op4_media,
     "op5_toxicity": op5_toxicity,
     "op6_warc": op6_warc,
@@ -57,4 +65,47 @@ QUERIES = {
     "op9_mixing": op9_mixing,
 }
 
-ORACLES: dict[str, str] = {}
+_CHAT_SQL = """
+WITH turn_rows AS (
+  SELECT conv_id, turn, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, 'unknown'), coalesce(text, '')) AS i
+  FROM conversations WHERE conv_id IS NOT NULL),
+opening AS (SELECT conv_id, role, text, min(conv_id) OVER (PARTITION BY role, text) AS least FROM turn_rows WHERE i = 1),
+answers AS (
+  SELECT conv_id, max(i) AS last_i, min(i) AS first_i FROM turn_rows WHERE role = 'assistant'
+  GROUP BY conv_id HAVING count(*) > 1),
+pairs AS (
+  SELECT 'opening' AS kind, least AS chosen_id, conv_id AS rejected_id FROM opening WHERE least <> conv_id
+  UNION ALL SELECT 'answer', conv_id, conv_id FROM answers),
+sides AS (
+  SELECT p.*, 'c' AS side, t.i, t.role, t.text FROM pairs p JOIN turn_rows t ON t.conv_id = p.chosen_id
+    LEFT JOIN answers a ON a.conv_id = p.chosen_id WHERE p.kind = 'opening' OR t.i <= a.last_i
+  UNION ALL
+  SELECT p.*, 'r', t.i, t.role, t.text FROM pairs p JOIN turn_rows t ON t.conv_id = p.rejected_id WHERE p.kind = 'opening'
+  UNION ALL
+  SELECT p.*, 'r', t.i, t.role, CASE WHEN t.i = a.last_i THEN f.text ELSE t.text END
+  FROM pairs p JOIN answers a ON a.conv_id = p.chosen_id JOIN turn_rows t ON t.conv_id = p.chosen_id AND t.i <= a.last_i
+    JOIN turn_rows f ON f.conv_id = p.chosen_id AND f.i = a.first_i WHERE p.kind = 'answer'),
+first_difference AS (
+  SELECT kind, chosen_id, rejected_id, coalesce(min(CASE WHEN NOT same THEN i END), max(i) + 1) - 1 AS n_common FROM (
+    SELECT kind, chosen_id, rejected_id, i,
+      count(*) = 2 AND min(role) = max(role) AND min(text) = max(text) AS same
+    FROM sides GROUP BY kind, chosen_id, rejected_id, i)
+  GROUP BY kind, chosen_id, rejected_id),
+rendered AS (
+  SELECT s.*, d.n_common, '<|' || regexp_replace(s.role, '[^A-Za-z0-9_-]', '_', 'g') || '|>' || chr(10) AS head,
+    replace(s.text, '<|', '<||') || '<|end|>' || chr(10) AS body
+  FROM sides s JOIN first_difference d USING (kind, chosen_id, rejected_id)),
+placed AS (
+  SELECT *, sum(CASE WHEN i > n_common THEN length(head) + length(body) ELSE 0 END)
+    OVER (PARTITION BY kind, chosen_id, rejected_id, side ORDER BY i) AS ends FROM rendered)
+SELECT kind, chosen_id, rejected_id, CAST(any_value(n_common) AS BIGINT) AS n_common,
+  coalesce(string_agg(head || body, '' ORDER BY i) FILTER (side = 'c' AND i <= n_common), '') AS prompt,
+  coalesce(string_agg(head || body, '' ORDER BY i) FILTER (side = 'c' AND i > n_common), '') AS chosen_text,
+  coalesce(string_agg((ends - length(body))::BIGINT || ':' || ends::BIGINT, ',' ORDER BY i) FILTER (side = 'c' AND i > n_common AND role = 'assistant'), '') AS chosen_mask,
+  coalesce(string_agg(head || body, '' ORDER BY i) FILTER (side = 'r' AND i > n_common), '') AS rejected_text,
+  coalesce(string_agg((ends - length(body))::BIGINT || ':' || ends::BIGINT, ',' ORDER BY i) FILTER (side = 'r' AND i > n_common AND role = 'assistant'), '') AS rejected_mask
+FROM placed GROUP BY kind, chosen_id, rejected_id
+"""
+
+ORACLES: dict[str, str] = {"op3_chat": _CHAT_SQL}
