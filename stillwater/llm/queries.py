@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stillwater.llm import bpe, chat, common, media, minhash, mixing, toxicity, warc
+from stillwater.llm import bpe, chat, common, lm, media, minhash, mixing, toxicity, warc
 
 
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,6 +50,10 @@ def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(common.table(spark, sf_dir, "documents"), width=2)
 
 
+def op8_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score_documents(common.table(spark, sf_dir, "documents"))
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     return mixing.plan(docs).select("doc_id", "size", "source_size", "target", "taken", "source", "n_copies", "positions")
@@ -62,6 +66,7 @@ QUERIES = {
     "op5_toxicity": op5_toxicity,
     "op6_warc": op6_warc,
     "op7_minhash": op7_minhash,
+    "op8_lm": op8_lm,
     "op9_mixing": op9_mixing,
 }
 
