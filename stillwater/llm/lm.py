@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from stillwater.llm import common
 
 CLASSES, DIMENSIONS, HEAD = 1024, 16, 65_536
-NOISE, BATCH, RATE = 64, 4096, 0.3
+NOISE, BATCH, RATE = 64, 4096, 0.1
 #: A word's stand-in for the end of a text; no word is empty, so no word has it.
 END = np.uint64(0)
 
@@ -138,8 +138,11 @@ class LogBilinear:
         p = (counts + 0.5) / (counts.sum() + 0.5 * n)
         return cls(draw.normal(0, 0.3, (n, dimensions)).astype(np.float32), draw.normal(0, 0.05, (n, dimensions)).astype(np.float32), np.ones(dimensions, np.float32), np.ones(dimensions, np.float32) / 2, np.log(p).astype(np.float32))
 
+    def parameters(self) -> tuple[np.ndarray, ...]:
+        return self.context, self.target, self.near, self.far, self.bias
+
     def copy(self) -> LogBilinear:
-        return LogBilinear(*(x.copy() for x in (self.context, self.target, self.near, self.far, self.bias)))
+        return LogBilinear(*(x.copy() for x in self.parameters()))
 
     def log_probabilities(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """S1 + b, S2 (a row for each context class, a column for each target), and the log normalisers of context pairs."""
@@ -149,8 +152,9 @@ class LogBilinear:
         z = np.log(np.maximum(np.exp(one - top1) @ np.exp(two - top2).T, 1e-37)) + top1 + top2.T
         return one, two, z
 
-    def train(self, target: np.ndarray, one: np.ndarray, two: np.ndarray, noise: np.ndarray, log_noise: np.ndarray, rate: float) -> None:
-        """A step of noise-contrastive estimation on a minibatch: each observed class against the shared noise classes."""
+    def train(self, target: np.ndarray, one: np.ndarray, two: np.ndarray, noise: np.ndarray, log_noise: np.ndarray, squares: list[np.ndarray]) -> None:
+        """A step of noise-contrastive estimation on a minibatch: each observed class against the shared
+        noise classes. squares: the sums of squared gradients so far, a sum for each parameter."""
         a, b = self.context[one], self.context[two]
         q = a * self.near + b * self.far
         r, rn = self.target[target], self.target[noise]
@@ -160,21 +164,16 @@ class LogBilinear:
         gr = 1 / (1 + np.exp(np.clip(real, -30, 30)))  # 1 - sigmoid
         gf = -1 / (1 + np.exp(np.clip(-fake, -30, 30)))
         gq = gr[:, None] * r + gf @ rn
-        step = np.float32(rate / len(target))
         n = len(self.bias)
         d_target = _scatter(target, gr[:, None] * q, n)
         np.add.at(d_target, noise, gf.T @ q)
         d_bias = np.bincount(target, gr, n)
         np.add.at(d_bias, noise, gf.sum(0))
         d_context = _scatter(one, gq * self.near, n) + _scatter(two, gq * self.far, n)
-        # Frequent classes get many gradients in a step: their sum is bounded, as an average over so many would be.
-        seen = np.bincount(one, minlength=n) + np.bincount(two, minlength=n)
-        often = np.bincount(target, minlength=n) + np.bincount(noise, minlength=n) * (len(target) / k)
-        self.near += step * np.einsum("ij,ij->j", gq, a)
-        self.far += step * np.einsum("ij,ij->j", gq, b)
-        self.context += rate * d_context / np.sqrt(len(target) * (1 + seen))[:, None]
-        self.target += rate * d_target / np.sqrt(len(target) * (1 + often))[:, None]
-        self.bias += rate * d_bias / np.sqrt(len(target) * (1 + often))
+        gradients = d_context, d_target, np.einsum("ij,ij->j", gq, a), np.einsum("ij,ij->j", gq, b), d_bias
+        for x, g, s in zip(self.parameters(), gradients, squares, strict=True):  # Adagrad
+            s += g * g
+            x += RATE * g / np.sqrt(s + 1e-6)
 
 
 def _scatter(rows: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
@@ -220,6 +219,7 @@ def train(texts: DataFrame, vocab: Vocabulary, dimensions: int = DIMENSIONS) ->
         p /= p.sum()
         log_noise, total = np.log(p).astype(np.float32), np.cumsum(p)
         draw = np.random.default_rng(5)
+        squares = [np.zeros_like(x) for x in model.parameters()]
         for part in common.slices(batches, "text", 2_000_000):
             hashes, offsets = text_tokens(part.column("text"))
             classes, _ = to_classes(vocab, hashes)
@@ -228,7 +228,7 @@ def train(texts: DataFrame, vocab: Vocabulary, dimensions: int = DIMENSIONS) ->
             for at in range(0, len(order), BATCH):
                 some = order[at : at + BATCH]
                 noise = np.minimum(np.searchsorted(total, draw.random(NOISE)), len(p) - 1)
-                model.train(classes[some], one[some], two[some], noise, log_noise, RATE / (1 + done / 4_000_000) ** 0.5)
+                model.train(classes[some], one[some], two[some], noise, log_noise, squares)
                 done += len(some)
         if done:
             rows = np.concatenate([model.context, model.target, model.bias[:, None]], 1)
