@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stillwater.llm import bpe, chat, common, lm, media, minhash, mixing, toxicity, warc
+from stillwater.llm import ann, bpe, chat, common, lm, media, minhash, mixing, toxicity, warc
 
 
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,6 +59,10 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.plan(docs).select("doc_id", "size", "source_size", "target", "taken", "source", "n_copies", "positions")
 
 
+def op10_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(common.table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 QUERIES = {
     "op1_bpe": op1_bpe,
     "op3_chat": op3_chat,
@@ -68,6 +72,7 @@ QUERIES = {
     "op7_minhash": op7_minhash,
     "op8_lm": op8_lm,
     "op9_mixing": op9_mixing,
+    "op10_ann": op10_ann,
 }
 
 _CHAT_SQL = """
