@@ -31,9 +31,9 @@ from pyspark.sql import functions as F
 
 from stillwater.llm import common
 
-COORDINATES, MATCHES = 32, 14
+COORDINATES, MATCHES = 64, 35
 #: A list with at most so many members outside its main component is finished by holding these against all.
-FEW = 16
+FEW = 256
 #: Rounds of leaders before a list is split.
 LEADER_ROUNDS = 3
 
@@ -219,8 +219,8 @@ def near_duplicates(documents: DataFrame, width: int = 5, percent: int = 80, coo
     """documents (doc_id, text, ...) -> doc_id, n_shingles, component_id, kept: a row for each row.
 
     width: words in a shingle; percent: the least Jaccard similarity of a link, times 100; coordinates, matches:
-    the signature's length and the agreements that make a candidate (at 32 and 14 a pair at 80 % is missed once
-    in 800,000 times); few: see FEW."""
+    the signature's length and the agreements that make a candidate (at 64 and 35 a pair at 80 % is missed once
+    in 800,000 times, one at 82 % once in 8 million); few: see FEW."""
     documents = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     signed = common.stash(signatures(documents, width, coordinates), "minhash-signed")
     classes = signed.where("doc_id is not null and set_key is not null").groupBy("set_key").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), F.first("signature").alias("signature"))
