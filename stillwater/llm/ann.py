@@ -130,7 +130,9 @@ def _link_back(points: np.ndarray, place: np.ndarray, links: np.ndarray, new: np
     old = links[place[hosts]]
     for at in range(0, len(hosts), 512):
         h = hosts[at : at + 512]
-        candidates = np.concatenate([old[at : at + 512], more[at : at + 512]], 1)
+        mine, theirs_ = old[at : at + 512], more[at : at + 512]
+        both = (theirs_[:, :, None] == mine[:, None, :]).any(2)  # points of one batch may have taken each other
+        candidates = np.concatenate([mine, np.where(both, -1, theirs_)], 1)
         sims = np.einsum("nd,ncd->nc", points[h], points[candidates])
         sims[candidates < 0] = -np.inf
         order = np.argsort(-sims, 1, kind="stable")
