@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stillwater.llm import ann, bpe, chat, common, lm, media, minhash, mixing, toxicity, warc
+from stillwater.llm import ann, bpe, chat, common, lm, media, minhash, mixing, pii, toxicity, warc
 
 
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,6 +15,11 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN).drop("text")
 
 
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find(common.table(spark, sf_dir, "documents").select("doc_id", "text"), want=("n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_added"))
+    return found.drop("text")
+
+
 def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     chats = chat.conversations(common.table(spark, sf_dir, "conversations"))
     made = chat.format_preferences(chat.pairs_by_opening(chats).union(chat.pairs_by_answer(chats)))
@@ -65,6 +70,7 @@ def op10_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_bpe": op1_bpe,
+    "op2_pii": op2_pii,
     "op3_chat": op3_chat,
     "op4_media": op4_media,
     "op5_toxicity": op5_toxicity,
