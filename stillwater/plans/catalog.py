@@ -1,4 +1,451 @@
 """The named queries over the test tables, and the SQL that recomputes each by another way."""
 
-QUERIES: dict = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from stillwater.functions import bits, boolean
+from stillwater.operators import graph, matrix, rates, solve, states, transitions
+from stillwater.plans import oracles as o
+from stillwater.plans import workloads as w
+from stillwater.plans.solver import Solver
+from stillwater.sources.models import clause_table
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
+STEPS = 600
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    """Registers a query under its function's name, with its SQL."""
+
+    def register(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return register
+
+
+def rounded(c: str | Column, to: int = 6) -> Column:
+    return F.round(F.col(c) if isinstance(c, str) else c, to) + F.lit(0.0)
+
+
+def _r(expression: str, to: int = 6) -> str:
+    return f"round({expression}, {to}) + 0.0"
+
+
+# --------------------------------------------------------------------------- rules, states, rates
+
+_RULES = ", ".join(f"count(*) FILTER (WHERE {o.rule_sql(w.ROWS, i)}) AS on_{n.lower()}" for i, n in enumerate(w.ROWS.nodes))
+_OFF = ", ".join(f"count(*) FILTER (WHERE NOT {o.rule_sql(w.ROWS, i)}) AS off_{n.lower()}" for i, n in enumerate(w.ROWS.nodes))
+
+
+def _per_state(df: DataFrame, prefix: str, value: Callable[[int, Column], Column]) -> DataFrame:
+    aggs = [F.count_if(value(i, F.col("state"))).alias(f"{prefix}_{n.lower()}") for i, n in enumerate(w.ROWS.nodes)]
+    return df.groupBy("state").agg(*aggs)
+
+
+@query(f"SELECT state FROM {o.space(8)}")
+def state_space(spark, sf_dir):
+    return states.space(spark, 8)
+
+
+@query(f"SELECT state FROM {o.space(8)} WHERE state & {(1 << 1) | (1 << 4)} = {1 << 4}")
+def subcube(spark, sf_dir):
+    return states.subcube(spark, 8, {1: 0, 4: 1})
+
+
+@query(f"SELECT state, count(*) AS n FROM {o.ROW_STATES} GROUP BY state")
+def row_state_hist(spark, sf_dir):
+    return w.row_states(spark, sf_dir).groupBy("state").agg(F.count("*").alias("n"))
+
+
+@query(f"SELECT state, {_RULES} FROM {o.ROW_STATES} GROUP BY state")
+def rule_eval(spark, sf_dir):
+    """Rules as columns over a state for each lineitem row."""
+    return _per_state(w.row_states(spark, sf_dir), "on", lambda i, s: transitions.rule_value(w.ROWS, i, s))
+
+
+@query(f"SELECT state, {_RULES} FROM {o.ROW_STATES} GROUP BY state")
+def dnf_clauses_eval(spark, sf_dir):
+    """The same by clause masks."""
+    masks = [w.ROWS.clause_masks(n) for n in w.ROWS.nodes]
+    return _per_state(w.row_states(spark, sf_dir), "on", lambda i, s: transitions.clause_value(masks[i], s))
+
+
+@query(f"SELECT state, {_OFF} FROM {o.ROW_STATES} GROUP BY state")
+def rule_negation(spark, sf_dir):
+    """Negated rules by the clause masks of their negations."""
+    masks = [w.ROWS.clause_masks(n, negated=True) for n in w.ROWS.nodes]
+    return _per_state(w.row_states(spark, sf_dir), "off", lambda i, s: transitions.clause_value(masks[i], s))
+
+
+@query(" UNION ALL ".join(f"SELECT '{n}' AS node, state FROM {o.space(5)} WHERE {o.rule_sql(w.ROWS, i)}" for i, n in enumerate(w.ROWS.nodes)))
+def clause_table_eval(spark, sf_dir):
+    """Clauses as a relation: the states in which any clause of a node holds."""
+    clauses = clause_table(spark, w.ROWS)
+    nodes = spark.createDataFrame(list(enumerate(w.ROWS.nodes)), "node_idx int, node string")
+    held = states.space(spark, 5).join(F.broadcast(clauses), bits.matches(F.col("state"), F.col("p_mask"), F.col("n_mask")))
+    return held.select("node_idx", "state").distinct().join(F.broadcast(nodes), "node_idx").select("node", "state")
+
+
+@query(f"SELECT state, CAST(0.125 AS DOUBLE) AS p FROM {o.space(3)}")
+def initial_uniform(spark, sf_dir):
+    return states.uniform(spark, w.TOY)
+
+
+@query(f"SELECT state, CAST(0.25 AS DOUBLE) AS p FROM {o.space(3)} WHERE state & 1 = 0")
+def initial_fixed(spark, sf_dir):
+    return states.fixed(spark, w.TOY, {"A": 0})
+
+
+@query(f"SELECT state, {_r('CASE WHEN state & 5 = 4 THEN 0.7 / 8 ELSE 0.3 / 24 END', 9)} AS p FROM {o.space(5)}")
+def initial_fixed_prob(spark, sf_dir):
+    return states.fixed(spark, w.ROWS, {"R": 0, "D": 1}, 0.7).select("state", rounded("p", 9).alias("p"))
+
+
+@query(f"SELECT state, {_r('count(*) / sum(count(*)) OVER ()', 9)} AS p FROM {o.ROW_STATES} GROUP BY state")
+def initial_empirical(spark, sf_dir):
+    return states.empirical(w.row_states(spark, sf_dir)).select("state", rounded("p", 9).alias("p"))
+
+
+@query("SELECT * FROM (VALUES (0, 'A', 1.0::DOUBLE, 1.0::DOUBLE), (1, 'C', 1.0::DOUBLE, 2.0::DOUBLE), (2, 'D', 0.5::DOUBLE, 1.0::DOUBLE)) AS t(var, node, up_rate, down_rate)")
+def rates_override(spark, sf_dir):
+    up, down = rates.parse_overrides("d_C=2,u_D=0.5")
+    return rates.rate_table(spark, w.TOY, rates.uniform(w.TOY, up, down))
+
+
+@query("SELECT * FROM (VALUES ('other values', TRUE), ('another zero', FALSE)) AS t(change, reusable)")
+def zero_pattern_compatible(spark, sf_dir):
+    first, second, third = (rates.uniform(w.TOY, down=d) for d in ({"C": 2.0}, {"C": 3.0}, {"C": 0.0}))
+    return spark.createDataFrame([("other values", rates.compatible(first, second)), ("another zero", rates.compatible(first, third))], "change string, reusable boolean")
+
+
+# --------------------------------------------------------------------------- transitions
+
+_ALL = " UNION ALL ".join(f"SELECT '{n}' AS model, src, dst, var, up FROM {o.model_edges(m)}" for n, m in (("toy", w.TOY), ("ring", w.RING), ("pair", w.PAIR), ("latch", w.LATCH), ("rows", w.ROWS)))
+
+
+@query(_ALL)
+def transitions_all(spark, sf_dir):
+    parts = [w.model_edges(spark, m).select(F.lit(n).alias("model"), "src", "dst", "var", "up") for n, m in (("toy", w.TOY), ("ring", w.RING), ("pair", w.PAIR), ("latch", w.LATCH), ("rows", w.ROWS))]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+@query(f"SELECT src, dst, var, up, rate FROM {o.model_edges(w.TOY, rates=((1.0, 1.0), (1.0, 0.0), (2.0, 1.0)))}")
+def transitions_zero_rate(spark, sf_dir):
+    return transitions.successors(states.space(spark, 3), w.TOY, rates.uniform(w.TOY, up={"D": 2.0}, down={"C": 0.0}))
+
+
+@query(f"SELECT src, dst, CAST(round(log2(xor(src, dst))) AS INTEGER) AS var, dst > src AS up FROM {o.model_edges(w.ROWS)}")
+def edge_var_direction(spark, sf_dir):
+    """Which node an edge flips, and where to, from its ends alone."""
+    e = w.model_edges(spark, w.ROWS).select("src", "dst")
+    return e.select("src", "dst", bits.changed(F.col("src"), F.col("dst")).alias("var"), bits.goes_up(F.col("src"), F.col("dst")).alias("up"))
+
+
+@query(f"SELECT DISTINCT src, dst, var, up FROM {o.model_edges(w.ROWS, '(SELECT DISTINCT state FROM ' + o.ROW_STATES + ')')}")
+def row_transitions(spark, sf_dir):
+    """Transitions of the row states alone."""
+    return transitions.successors(w.row_states(spark, sf_dir).distinct(), w.ROWS).select("src", "dst", "var", "up")
+
+
+@query(f"SELECT src, dst, rate FROM {o.EVENTS}")
+def event_transitions(spark, sf_dir):
+    return w.event_chain(spark, sf_dir)
+
+
+@query(f"SELECT src, dst, rate FROM {o.MASKS}")
+def mask_transitions(spark, sf_dir):
+    return w.mask_chain(spark, sf_dir)
+
+
+@query(f"SELECT src, dst, rate FROM {o.NATIONS}")
+def nation_transitions(spark, sf_dir):
+    return w.nation_graph(spark, sf_dir)
+
+
+@query(f"SELECT src, count(*) AS degree FROM {o.NATIONS} GROUP BY src")
+def out_degree(spark, sf_dir):
+    return transitions.out_degree(w.nation_graph(spark, sf_dir))
+
+
+@query(f"""WITH e AS (SELECT * FROM {o.NATIONS}), v AS (SELECT src AS state FROM e UNION SELECT dst FROM e),
+d AS (SELECT state, count(src) AS n FROM v LEFT JOIN e ON src = state GROUP BY state)
+SELECT state, CAST(sum(n) OVER (ORDER BY state) - n AS BIGINT) AS "begin", CAST(sum(n) OVER (ORDER BY state) AS BIGINT) AS "end" FROM d""")
+def csc_offsets(spark, sf_dir):
+    e = w.nation_graph(spark, sf_dir)
+    return transitions.column_offsets(e, graph.vertices_of(e))
+
+
+@query(f"WITH e AS (SELECT * FROM {o.EVENTS}) SELECT dst AS \"row\", src AS col, rate AS value FROM e WHERE src <> dst UNION ALL SELECT src, src, -sum(rate) FROM e WHERE src <> dst GROUP BY src")
+def kinetic_matrix(spark, sf_dir):
+    return transitions.kinetic_matrix(w.event_chain(spark, sf_dir).where("src <> dst"))
+
+
+@query(f"SELECT DISTINCT src AS col, CAST(0 AS DOUBLE) AS total FROM {o.EVENTS}")
+def kinetic_column_sums(spark, sf_dir):
+    k = transitions.kinetic_matrix(w.event_chain(spark, sf_dir).where("src <> dst"))
+    return k.groupBy("col").agg(rounded(F.sum("value")).alias("total"))
+
+
+@query(f"""WITH m AS (SELECT dst AS r, src AS c, rate AS value FROM {o.NATIONS}), v AS (SELECT r AS s FROM m UNION SELECT c FROM m),
+g AS (SELECT s, s % 2 AS grp, row_number() OVER (PARTITION BY s % 2 ORDER BY s) - 1 AS i FROM v)
+SELECT CAST(a.grp AS BIGINT) AS grp, CAST(a.i AS BIGINT) AS "row", CAST(b.i AS BIGINT) AS col, value FROM m JOIN g a ON r = a.s JOIN g b ON c = b.s WHERE a.grp = b.grp""")
+def submatrix(spark, sf_dir):
+    """The blocks of even and of odd nations."""
+    e = w.nation_graph(spark, sf_dir)
+    m = e.select(F.col("dst").alias("row"), F.col("src").alias("col"), F.col("rate").alias("value"))
+    return transitions.submatrix(m, graph.vertices_of(e).withColumn("grp", F.col("state") % 2))
+
+
+# --------------------------------------------------------------------------- graphs
+
+
+def _nations(spark, sf_dir):
+    from stillwater.operators.storage import keep
+
+    e = keep(w.nation_graph(spark, sf_dir))
+    return e, graph.vertices_of(e)
+
+
+_G = o.with_graph(o.NATIONS)
+
+
+@query(f"{_G} SELECT b AS state FROM reach WHERE a = 0")
+def reach_forward(spark, sf_dir):
+    e, v = _nations(spark, sf_dir)
+    return graph.forward(e, v.where("state = 0"))
+
+
+@query(f"{_G} SELECT a AS state FROM reach WHERE b = 1")
+def reach_backward(spark, sf_dir):
+    e, v = _nations(spark, sf_dir)
+    return graph.backward(e, v.where("state = 1"))
+
+
+@query(f"""WITH RECURSIVE e AS (SELECT * FROM {o.NATIONS}), u AS (SELECT src AS a, dst AS b FROM e UNION SELECT dst, src FROM e),
+r(a, b) AS (SELECT a, a FROM u UNION SELECT r.a, u.b FROM r JOIN u ON r.b = u.a)
+SELECT a AS state, min(b) AS wcc FROM r GROUP BY a""")
+def wcc(spark, sf_dir):
+    return graph.weak_components(*_nations(spark, sf_dir))
+
+
+@query(f"{_G} SELECT state, scc FROM scc")
+def scc(spark, sf_dir):
+    return graph.strong_components(*_nations(spark, sf_dir))
+
+
+@query(f"{o.with_graph(o.model_edges(w.ROWS), o.space(5))} SELECT state, scc FROM scc")
+def scc_model(spark, sf_dir):
+    return graph.strong_components(w.model_edges(spark, w.ROWS), states.space(spark, 5))
+
+
+@query(f"""{_G}, s AS (SELECT scc, count(*) AS size FROM scc GROUP BY scc)
+SELECT scc, size, CAST(row_number() OVER (ORDER BY scc) - 1 AS BIGINT) AS number, CAST(sum(size) OVER (ORDER BY scc) - size AS BIGINT) AS "begin" FROM s""")
+def scc_sizes(spark, sf_dir):
+    return graph.component_sizes(graph.strong_components(*_nations(spark, sf_dir)))
+
+
+@query(f"{_G}, s AS (SELECT scc, count(*) AS size FROM scc GROUP BY scc) SELECT size, count(*) AS components FROM s GROUP BY size ORDER BY size DESC LIMIT 9")
+def scc_histogram(spark, sf_dir):
+    return graph.size_histogram(graph.strong_components(*_nations(spark, sf_dir)))
+
+
+@query()
+def trim_rounds(spark, sf_dir):
+    return graph.trim_rounds(*_nations(spark, sf_dir))
+
+
+@query(f"WITH e AS (SELECT * FROM {o.EVENTS}) SELECT x.src AS a, x.dst AS b FROM e x JOIN e y ON x.src = y.dst AND x.dst = y.src WHERE x.src < x.dst")
+def two_cycles(spark, sf_dir):
+    return graph.two_cycles(w.event_chain(spark, sf_dir))
+
+
+@query(f"{_G} SELECT src, dst FROM cond")
+def condensation(spark, sf_dir):
+    e, v = _nations(spark, sf_dir)
+    return graph.condense(e, graph.strong_components(e, v))
+
+
+@query(f"{_G} SELECT scc, level FROM lev")
+def topo_levels(spark, sf_dir):
+    e, v = _nations(spark, sf_dir)
+    c = graph.strong_components(e, v)
+    return graph.levels(graph.condense(e, c), c)
+
+
+@query(f"{o.with_graph(o.MASKS)} SELECT scc, level FROM lev")
+def topo_levels_dag(spark, sf_dir):
+    e = w.mask_chain(spark, sf_dir)
+    return graph.levels(e, graph.vertices_of(e).select(F.col("state").alias("scc")))
+
+
+@query(f"{_G} SELECT scc FROM term")
+def terminals(spark, sf_dir):
+    e, v = _nations(spark, sf_dir)
+    return graph.terminals(e, graph.strong_components(e, v))
+
+
+@query(f"{_G} SELECT state, CAST(row_number() OVER (ORDER BY CASE WHEN level = 1 THEN 0 ELSE 1 END, -level, scc.scc, state) - 1 AS BIGINT) AS ord FROM scc JOIN lev ON scc.scc = lev.scc")
+def vertex_order(spark, sf_dir):
+    e, v = _nations(spark, sf_dir)
+    c = graph.strong_components(e, v)
+    return graph.vertex_order(c, graph.levels(graph.condense(e, c), c))
+
+
+# --------------------------------------------------------------------------- matrices
+
+
+def _event_matrix(spark, sf_dir):
+    return w.event_chain(spark, sf_dir).select(F.col("dst").alias("row"), F.col("src").alias("col"), F.col("rate").alias("value"))
+
+
+_M = f"WITH m AS (SELECT dst AS r, src AS c, rate AS x FROM {o.EVENTS})"
+
+
+@query(f'{_M} SELECT a.r AS "row", b.c AS col, sum(a.x * b.x) AS value FROM m a JOIN m b ON a.c = b.r GROUP BY a.r, b.c')
+def matmul(spark, sf_dir):
+    m = _event_matrix(spark, sf_dir)
+    return matrix.matmul(m, m)
+
+
+@query(f"{_M} SELECT r AS idx, sum(x * (c + 1)) AS value FROM m GROUP BY r")
+def matvec(spark, sf_dir):
+    x = spark.range(5).select(F.col("id").alias("idx"), (F.col("id") + 1.0).alias("value"))
+    return matrix.matvec(_event_matrix(spark, sf_dir), x)
+
+
+@query(f'{_M} SELECT c AS "row", r AS col, x AS value FROM m')
+def transpose(spark, sf_dir):
+    return matrix.transpose(_event_matrix(spark, sf_dir))
+
+
+@query(f'{_M} SELECT r - CASE WHEN r > 2 THEN 1 ELSE 0 END AS "row", c - CASE WHEN c > 2 THEN 1 ELSE 0 END AS col, x AS value FROM m WHERE r <> 2 AND c <> 2')
+def minor(spark, sf_dir):
+    return matrix.minor(_event_matrix(spark, sf_dir), 2)
+
+
+@query(f'{_M} SELECT r AS "row", c AS col, x AS value FROM m UNION ALL SELECT c, r + 5, x FROM m')
+def hstack(spark, sf_dir):
+    m = _event_matrix(spark, sf_dir)
+    return matrix.hstack(m, matrix.transpose(m), 5)
+
+
+@query(f"""{_M}, k AS (SELECT a // 2 AS grp, max(x) FILTER (WHERE r % 2 = 0 AND c % 2 = 0) AS p, max(x) FILTER (WHERE r % 2 = 0 AND c % 2 = 1) AS q,
+  max(x) FILTER (WHERE r % 2 = 1 AND c % 2 = 0) AS s, max(x) FILTER (WHERE r % 2 = 1 AND c % 2 = 1) AS t FROM (SELECT *, r AS a FROM m) WHERE r // 2 = c // 2 AND r < 4 GROUP BY a // 2)
+SELECT CAST(grp AS BIGINT) AS grp, CAST(2 AS BIGINT) AS n, {_r('coalesce(p, 0) * coalesce(t, 0) - coalesce(q, 0) * coalesce(s, 0)', 3)} AS det FROM k""")
+def determinant_2x2(spark, sf_dir):
+    m = _event_matrix(spark, sf_dir).where("floor(row / 2) = floor(col / 2) and row < 4")
+    blocks = m.select(F.floor(F.col("row") / 2).cast("long").alias("grp"), (F.col("row") % 2).alias("row"), (F.col("col") % 2).alias("col"), "value")
+    return matrix.determinants(blocks).select("grp", "n", rounded("det", 3).alias("det"))
+
+
+# --------------------------------------------------------------------------- long run
+
+
+@query(f"{o.with_graph(o.EVENTS)}{o.iterated('(SELECT scc AS g, scc AS state, 1.0 AS p FROM term)', STEPS)} SELECT g AS scc, state, {_r('p')} AS p FROM y WHERE i = {STEPS}")
+def stationary(spark, sf_dir):
+    s = solve.Structure.of(w.event_chain(spark, sf_dir))
+    return solve.stationary(s).select("scc", "state", rounded("p").alias("p"))
+
+
+@query(f"{o.with_graph(o.model_edges(w.RING), o.space(3))}{o.iterated('(SELECT scc AS g, scc AS state, 1.0 AS p FROM term)', STEPS)} SELECT g AS scc, state, {_r('p')} AS p FROM y WHERE i = {STEPS}")
+def stationary_model(spark, sf_dir):
+    s = solve.Structure.of(w.model_edges(spark, w.RING), states.space(spark, 3))
+    return solve.stationary(s).select("scc", "state", rounded("p").alias("p"))
+
+
+def _absorption_sql(edges: str, vertices: str | None = None, steps: int = STEPS) -> str:
+    start = "(SELECT state AS g, state, 1.0 AS p FROM v)"
+    return f"{o.with_graph(edges, vertices)}{o.iterated(start, steps)} SELECT scc.scc, y.g AS state, {_r('sum(p)')} AS p FROM y JOIN scc ON y.state = scc.state JOIN term ON scc.scc = term.scc WHERE i = {steps} GROUP BY scc.scc, y.g"
+
+
+@query(_absorption_sql(o.MASKS))
+def absorption_dag(spark, sf_dir):
+    return solve.absorption(solve.Structure.of(w.mask_chain(spark, sf_dir))).select("scc", "state", rounded("p").alias("p"))
+
+
+@query(_absorption_sql(o.model_edges(w.TOY), o.space(3)))
+def absorption_model(spark, sf_dir):
+    return solve.absorption(solve.Structure.of(w.model_edges(spark, w.TOY), states.space(spark, 3))).select("scc", "state", rounded("p").alias("p"))
+
+
+@query(_absorption_sql(o.NATIONS))
+def absorption_scc(spark, sf_dir):
+    return solve.absorption(solve.Structure.of(w.nation_graph(spark, sf_dir))).select("scc", "state", rounded("p").alias("p"))
+
+
+def _final_sql(edges: str, start: str, vertices: str | None = None, select: str = "", steps: int = STEPS, more: str = "") -> str:
+    y = o.iterated(f"(SELECT 0 AS g, state, p FROM {start})", steps)
+    return f"{o.with_graph(edges, vertices)}{y} SELECT {select or 'y.state'}, {_r('sum(p)')} AS p FROM y JOIN scc ON y.state = scc.state JOIN term ON scc.scc = term.scc WHERE i = {steps} {more} GROUP BY y.state"
+
+
+_ROW_SHARES = f"(SELECT state, count(*) / sum(count(*)) OVER () AS p FROM {o.ROW_STATES} GROUP BY state)"
+_ROWS_SPACE = o.space(5)
+
+
+def _row_solver(spark, sf_dir) -> Solver:
+    return Solver(spark, w.ROWS, initial=states.empirical(w.row_states(spark, sf_dir)))
+
+
+@query(_final_sql(o.model_edges(w.ROWS), _ROW_SHARES, _ROWS_SPACE))
+def flagship(spark, sf_dir):
+    """Where a five-node model takes the states of all line items in the long run."""
+    return _row_solver(spark, sf_dir).final.select("state", rounded("p").alias("p"))
+
+
+_NAMES = "array_to_string(list_filter([" + ", ".join(f"CASE WHEN (y.state >> {i}) & 1 = 1 THEN '{n}' END" for i, n in enumerate(w.ROWS.nodes)) + "], lambda x: x IS NOT NULL), ' --- ')"
+
+
+@query(_final_sql(o.model_edges(w.ROWS), _ROW_SHARES, _ROWS_SPACE, f"y.state, CASE WHEN y.state = 0 THEN '<nil>' ELSE {_NAMES} END AS nodes"))
+def final_decoded(spark, sf_dir):
+    return _row_solver(spark, sf_dir).named().select("state", "nodes", rounded("p").alias("p"))
+
+
+@query(_final_sql(o.NATIONS, o.SHARES, o.SHARES))
+def final_distribution(spark, sf_dir):
+    """Customers' nations followed to the nations that supply them, and on."""
+    start = w.nation_shares(spark, sf_dir)
+    s = solve.Structure.of(w.nation_graph(spark, sf_dir), start.select("state"))
+    return solve.final_distribution(solve.terminal_mass(s, start), solve.stationary(s)).select("state", rounded("p").alias("p"))
+
+
+def _first_masks(spark, sf_dir) -> DataFrame:
+    from pyspark.sql import Window
+
+    code = F.array_position(F.array(*map(F.lit, w.EVENT_TYPES)), F.col("event_type")) - 1
+    e = w.table(spark, sf_dir, "events").withColumn("r", F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id"))).where("r = 1")
+    return states.empirical(e.select(F.pow(F.lit(2), code).cast("long").alias("state")))
+
+
+_FIRST = f"(SELECT CAST(1 << ({o._CODE}) AS BIGINT) AS state, count(*) / sum(count(*)) OVER () AS p FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS r FROM events) WHERE r = 1 GROUP BY 1)"
+
+
+@query(_final_sql(o.MASKS, _FIRST, _FIRST))
+def requery_new_initial(spark, sf_dir):
+    """Absorption is solved once; another initial distribution takes two joins."""
+    start = _first_masks(spark, sf_dir)
+    s = solve.Structure.of(w.mask_chain(spark, sf_dir), start.select("state"))
+    mass = solve.mass_by_absorption(solve.absorption(s), start)
+    return solve.final_distribution(mass, solve.stationary(s)).select("state", rounded("p").alias("p"))
+
+
+@query(_final_sql(o.model_edges(w.ROWS, rates=tuple((2.0 if i == 1 else 1.0, 0.5 if i == 4 else 1.0) for i in range(5))), _ROW_SHARES, _ROWS_SPACE))
+def requery_new_rates(spark, sf_dir):
+    """The graph is stored by a first run with other rates, and reused."""
+    from stillwater.operators.storage import folder
+
+    where, start = folder(spark), states.empirical(w.row_states(spark, sf_dir))
+    Solver(spark, w.ROWS, initial=start, store_at=where).structure  # noqa: B018
+    again = Solver(spark, w.ROWS, rates.uniform(w.ROWS, up={"F": 2.0}, down={"Q": 0.5}), start, store_at=where)
+    return again.final.select("state", rounded("p").alias("p"))
