@@ -6,12 +6,13 @@ smallest id stands for it. A class posts itself under (coordinate, value) pairs.
 least `matches` of the coordinates are candidates, so of the pairs that a class shares with any other (counted
 over all classes) all but the last `matches - 1`, rarest first, are posted: two such prefixes meet.
 
-Posting lists are never expanded into all pairs. Each list's members are held against one leader; agreements of
-the signatures are counted (the skipped tails with them), pairs above the threshold are confirmed on the full
-sets, and confirmed links are joined into components. A list within one component is done. Where few members lie
-outside a list's main component, these are held against all members; where many do, further leaders are tried,
-and then the list is split by the members' next pairs, whose threshold is lower by one, and the parts go round
-again. No list, partner or candidate is left out.
+Posting lists are never expanded into all pairs. Each member is first held against one leader of its lists;
+agreements of the signatures are counted (the skipped tails with them), pairs above the threshold are confirmed
+on the full sets, and confirmed links are joined into components. A list within one component is done. In the
+others, members outside the list's main component are held against leaders of it and of their own. What is still
+outside then is held against all members: pair by pair in lists with few outside, and else, for all lists of a main
+component together, in blocks, of whose full sets a task takes the intersections as a matrix product and names
+one link for each component that a document meets. No list, partner or candidate is left out.
 
 Defined cases: a null or wordless text has the empty set and links with nothing; a text with fewer words than a
 shingle has its whole word sequence as the one shingle; equal sets always link; a null id links with nothing,
@@ -32,10 +33,10 @@ from pyspark.sql import functions as F
 from stillwater.llm import common
 
 COORDINATES, MATCHES = 64, 35
-#: A list with at most so many members outside its main component is finished by holding these against all.
-FEW = 256
-#: Rounds of leaders before a list is split.
-LEADER_ROUNDS = 3
+#: Lists with at most so many members outside their main component are finished pair by pair, others in blocks.
+FEW = 16
+#: Documents on each side of a block.
+BLOCK = 256
 
 _DRAW = np.random.default_rng(7)
 _A = _DRAW.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -148,16 +149,18 @@ class _Join:
         agree = F.size(F.filter(F.zip_with("sa", "sb", lambda x, y: x == y), lambda x: x))
         near = common.stash(pairs.join(two, "b").join(one, "a").where(agree >= self.matches).select("a", "b", "na", "nb"), "minhash-near")
         ids = near.select(F.col("a").alias("id")).union(near.select("b")).distinct()
-        wanted = c.select("id", "doc_id", "set_key").join(ids, "id", "left_semi")
-        texts = self.documents.join(wanted.select("doc_id"), "doc_id", "left_semi")
-        sets = full_sets(texts, self.width).join(wanted, ["doc_id", "set_key"]).select("id", "members")
-        sets = common.stash(sets, "minhash-sets", codec="lz4")  # repeated rows give equal sets; their links fall together
+        sets = common.stash(self.sets(ids), "minhash-sets", codec="lz4")
         both = near.join(sets.select(F.col("id").alias("b"), F.col("members").alias("mb")), "b").join(sets.select(F.col("id").alias("a"), F.col("members").alias("ma")), "a")
         both = both.withColumn("shared", F.size(F.array_intersect("ma", "mb")).cast("long"))
         return common.stash(both.where(F.col("shared") * 100 >= (F.col("na") + F.col("nb") - F.col("shared")) * self.percent).select("a", "b"), "minhash-links")
 
-    def add(self, pairs: DataFrame) -> None:
-        new = self.confirm(pairs)
+    def sets(self, ids: DataFrame) -> DataFrame:
+        """id, members: the full sets of classes, made from their documents' texts once more. Repeated rows give equal sets."""
+        wanted = self.classes.select("id", "doc_id", "set_key").join(ids, "id", "left_semi")
+        texts = self.documents.join(wanted.select("doc_id"), "doc_id", "left_semi")
+        return full_sets(texts, self.width).join(wanted, ["doc_id", "set_key"]).select("id", "members")
+
+    def add(self, new: DataFrame) -> None:
         self.labels = connected(new if self.links is None else self.links.union(new))
         # Links within a component are told by its tree as well, and there are far fewer of those.
         self.links = self.labels.where("id <> component").select(F.col("id").alias("a"), F.col("component").alias("b"))
@@ -174,12 +177,23 @@ class _Join:
         lists = tally.groupBy("key").agg(F.max_by("label", F.struct("c", "label")).alias("main"), (F.sum("c") - F.max("c")).alias("outside")).where("outside > 0")
         return common.stash(members.join(lists, "key"), "minhash-open")
 
-    def against_leader(self, postings: DataFrame, turn: int) -> DataFrame:
-        """Candidate pairs of each list's leader and its members; the first leader is the least id, later ones are drawn by list."""
-        order = F.col("id") if turn == 0 else F.xxhash64("key", "id", F.lit(turn))
-        leaders = postings.groupBy("key").agg(F.min(F.struct(order.alias("o"), "id", "n", "label")).alias("l"))
-        met = postings.join(leaders, "key").where((F.col("label") != F.col("l.label")) & self.comparable(F.col("n"), F.col("l.n")))
-        return met.select(F.least("id", "l.id").alias("a"), F.greatest("id", "l.id").alias("b")).distinct()
+    def against_first(self, postings: DataFrame) -> DataFrame:
+        """Candidate pairs of each member and the least leader of its lists; a list's leader is its least id."""
+        leaders = postings.groupBy("key").agg(F.min(F.struct("id", "n")).alias("l"))
+        met = postings.join(leaders, "key").where((F.col("id") != F.col("l.id")) & self.comparable(F.col("n"), F.col("l.n")))
+        return met.groupBy("id").agg(F.min("l.id").alias("a")).select("a", F.col("id").alias("b"))
+
+    def against_leaders(self, open_: DataFrame) -> DataFrame:
+        """Candidate pairs of members outside their list's main component: with a leader of each main component, and with
+        a leader of those outside. Leaders are drawn anew by each list."""
+        drawn = F.struct(F.xxhash64("key", "id").alias("o"), "id", "n", "label")
+        inside = F.col("label") == F.col("main")
+        leaders = open_.groupBy("key").agg(F.min(F.when(inside, drawn)).alias("l"), F.min(F.when(~inside, drawn)).alias("m"))
+        out = open_.where(~inside).join(leaders, "key")
+        one = out.where(self.comparable(F.col("n"), F.col("l.n"))).groupBy("id", "main").agg(F.min("l.id").alias("a"))
+        two = out.where((F.col("label") != F.col("m.label")) & self.comparable(F.col("n"), F.col("m.n"))).groupBy("id").agg(F.min("m.id").alias("a"))
+        both = one.select("id", "a").union(two.select("id", "a"))
+        return both.select(F.least("id", "a").alias("a"), F.greatest("id", "a").alias("b")).distinct()
 
     def outside_against_all(self, members: DataFrame) -> DataFrame:
         """Candidate pairs of the members outside each list's main component and all its members of other components."""
@@ -187,34 +201,73 @@ class _Join:
         met = members.join(out, "key").where((F.col("label") != F.col("ol")) & self.comparable(F.col("n"), F.col("on")))
         return met.select(F.least("id", "o").alias("a"), F.greatest("id", "o").alias("b")).distinct()
 
+    def in_blocks(self, members: DataFrame) -> DataFrame:
+        """Links (a, b) of the members outside each main component with all members of its lists. A block has about BLOCK
+        documents of either side, however many there are in all."""
+        parties = common.stash(members.select("main", "id", "label", (F.col("label") != F.col("main")).alias("out")).distinct(), "minhash-parties")
+        counts = parties.groupBy("main").agg(F.ceil(F.count_if("out") / BLOCK).alias("x"), F.ceil(F.count("*") / BLOCK).alias("y"))
+        sets = common.stash(self.sets(parties.select("id").distinct()), "minhash-block-sets", codec="lz4")
+        full = parties.join(counts, "main").join(sets, "id")
+        place = lambda n: F.pmod(F.xxhash64("id"), F.col(n))
+        every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+        left = full.where("out").select(F.lit(True).alias("outside"), "main", "id", "label", "members", place("x").alias("bx"), every("y").alias("by"))
+        right = full.select(F.lit(False).alias("outside"), "main", "id", "label", "members", every("x").alias("bx"), place("y").alias("by"))
+        percent = self.percent
+        links = left.unionByName(right).groupBy("main", "bx", "by").applyInArrow(lambda t: _block_links(t, percent), "a bigint, b bigint")
+        return common.stash(links.distinct(), "minhash-links")
+
     def run(self) -> DataFrame | None:
         """(id, component) of all classes that have a link."""
         elements = common.stash(self.elements(), "minhash-elements")
-        postings = self.prefixes(elements, ["id"], self.matches).select(F.col("element").alias("key"), "id", "n", F.array("element").alias("path"))
-        postings = common.stash(postings, "minhash-postings")
-        depth = 1  # elements that the members of a list share
-        while not postings.isEmpty():
-            open_ = self.labelled(postings)
-            for turn in range(LEADER_ROUNDS):
-                self.add(self.against_leader(open_, turn))
-                open_ = self.open_lists(postings)
-                if open_.where(F.col("outside") > self.few).isEmpty():
-                    break
-            last = depth >= self.matches  # members of such lists agree often enough, whatever follows
-            now = open_ if last else open_.where(F.col("outside") <= self.few)
-            if not now.isEmpty():
-                self.add(self.outside_against_all(now))
-            open_ = open_.where(F.col("outside") > self.few)
-            if last or open_.isEmpty():
-                break
-            split = open_.select("key", "id", "path").join(elements.select("id", "n", "element"), "id").where(~F.array_contains("path", F.col("element")))
-            shared = split.groupBy("key", "element").agg(F.count("*").alias("times")).where("times > 1")
-            deeper = self.prefixes(split.join(shared, ["key", "element"]), ["key", "id", "path"], self.matches - depth)
-            postings = common.stash(deeper.select(F.xxhash64("key", "element").alias("key"), "id", "n", F.array_append("path", F.col("element")).alias("path")), "minhash-postings")
-            depth += 1
+        postings = common.stash(self.prefixes(elements, ["id"], self.matches).select(F.col("element").alias("key"), "id", "n"), "minhash-postings")
+        self.add(self.confirm(self.against_first(postings)))
+        open_ = self.open_lists(postings)
+        if open_.isEmpty():
+            return self.labels
+        self.add(self.confirm(self.against_leaders(open_)))
+        open_ = self.open_lists(open_.select("key", "id", "n"))
+        few = open_.where(F.col("outside") <= self.few)
+        links = self.confirm(self.outside_against_all(few))
+        many = open_.where(F.col("outside") > self.few)
+        self.add(links if many.isEmpty() else links.union(self.in_blocks(many)))
         return self.labels
 
 
+def _block_links(block: pa.Table, percent: int) -> pa.Table:
+    """The links of a block's outside documents with its other ones, one for each component that a document meets."""
+    block = block.combine_chunks()
+    outside = np.asarray(block.column("outside").to_numpy(), bool)
+    ids, labels = block.column("id").to_numpy(), block.column("label").to_numpy()
+    lists = block.column("members").combine_chunks()
+    at = lists.offsets.to_numpy()
+    value = lists.values.to_numpy()[at[0] : at[-1]]
+    owner = np.repeat(np.arange(len(ids)), np.diff(at))
+    sizes = np.diff(at)
+    left, right = np.flatnonzero(outside), np.flatnonzero(~outside)
+    row = np.empty(len(ids), np.int64)
+    row[left], row[right] = np.arange(len(left)), np.arange(len(right))
+    _, code = np.unique(value, return_inverse=True)
+    here = np.zeros((2, int(code.max(initial=-1)) + 1), bool)
+    here[0, code[outside[owner]]] = True
+    here[1, code[~outside[owner]]] = True
+    number = np.cumsum(here.all(0)) - 1  # only what either side has counts
+    keep = here.all(0)[code]
+    code, owner = number[code[keep]], owner[keep]
+    shared = np.zeros((len(left), len(right)), np.float32)
+    for first in range(0, int(code.max(initial=-1)) + 1, 4096):
+        some = (code >= first) & (code < first + 4096)
+        a, b = np.zeros((len(left), 4096), np.float32), np.zeros((len(right), 4096), np.float32)
+        o, c = owner[some], code[some] - first
+        a[row[o[outside[o]]], c[outside[o]]] = 1
+        b[row[o[~outside[o]]], c[~outside[o]]] = 1
+        shared += a @ b.T
+    linked = (100 * shared >= percent * (sizes[left][:, None] + sizes[right][None, :] - shared)) & (labels[left][:, None] != labels[right][None, :])
+    x, y = np.nonzero(linked)
+    _, one = np.unique(np.stack([x, labels[right][y]], 1), axis=0, return_index=True) if len(x) else (None, np.zeros(0, np.int64))
+    a, b = ids[left][x[one]], ids[right][y[one]]
+    return pa.table({"a": pa.array(np.minimum(a, b)), "b": pa.array(np.maximum(a, b))})
+
+
 def near_duplicates(documents: DataFrame, width: int = 5, percent: int = 80, coordinates: int = COORDINATES, matches: int = MATCHES, few: int = FEW) -> DataFrame:
     """documents (doc_id, text, ...) -> doc_id, n_shingles, component_id, kept: a row for each row.
 
