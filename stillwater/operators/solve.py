@@ -131,7 +131,7 @@ def _absorb_blocks(mine: DataFrame, inflow: DataFrame, total: DataFrame) -> Data
     """(total - rates inside) x = b for all right sides of each component at once."""
     inside = mine.join(mine.select(F.col("src").alias("dst"), F.col("own").alias("o2")).distinct(), "dst").where("own = o2").select("own", "size", "src", "dst", "rate")
     diagonal = mine.select("own", "size", "src").distinct().join(total, "src").select("own", "size", "src", F.col("src").alias("dst"), (-F.col("total")).alias("rate"))
-    system = inside.unionByName(diagonal)
+    system, inflow = inside.unionByName(diagonal), keep(inflow)
 
     def block(key, left, right):
         import pandas as pd
@@ -199,7 +199,7 @@ def _visit_blocks(edges: DataFrame, blocks: DataFrame, arrived: DataFrame, total
     own = blocks.select("state", "scc", "size")
     inside = edges.join(own.withColumnRenamed("state", "src"), "src").join(own.select(F.col("state").alias("dst"), F.col("scc").alias("s2")), "dst").where("scc = s2").select("scc", "size", "src", "dst", "rate")
     diagonal = own.join(total, F.col("state") == F.col("src")).select("scc", "size", "src", F.col("src").alias("dst"), (-F.col("total")).alias("rate"))
-    system = inside.unionByName(diagonal)
+    system, arrived = inside.unionByName(diagonal), keep(arrived)
 
     def block(key, left, right):
         import pandas as pd
