@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from functools import cached_property
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from stillwater.functions import boolean
@@ -72,14 +72,8 @@ def read_corpus(spark: SparkSession, pattern: str) -> DataFrame:
     lines = files.select("model_id", F.posexplode(F.split("value", r"\r?\n")).alias("line", "text"))
     lines = lines.where((F.trim("text") != "") & ~((F.col("line") == 0) & F.col("text").startswith("targets")))
     parts = F.split("text", ",", 2)
-    header = F.min("line").over(_by_model())
-    return lines.select("model_id", (F.col("line") - header).cast("int").alias("idx"), F.trim(parts[0]).alias("node"), F.regexp_replace(parts[1], r"^\s+|\s+$", "").alias("factor"))
-
-
-def _by_model():
-    from pyspark.sql import Window
-
-    return Window.partitionBy("model_id")
+    order = Window.partitionBy("model_id").orderBy("line")
+    return lines.select("model_id", (F.row_number().over(order) - 1).cast("int").alias("idx"), F.trim(parts[0]).alias("node"), F.regexp_replace(parts[1], r"^\s+|\s+$", "").alias("factor"))
 
 
 def model_of(rows: DataFrame, model_id: str) -> BooleanModel:
