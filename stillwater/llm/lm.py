@@ -9,8 +9,8 @@ one for w2, the normalisers of all pairs of contexts are one matrix product, exp
 token gets its normalised log-probability from look-ups in small tables. A rare word has the probability of its
 class times its smoothed share among the rare words, unseen ones included as one.
 
-Beside it stands a unigram base: log10((c + 0.5) / (N + 0.5 (V + 1))) for each token. Counts of the `head` most
-frequent words are broadcast; those of all other words meet the texts' words in a join on the word, whose keys
+Beside it stands a unigram base: log10((c + 0.5) / (N + 0.5 (V + 1))) for each token. Counts of at most `head`
+words, the most frequent, are broadcast; those of all other words meet the texts' words in a join on the word, whose keys
 are rare by construction.
 
 Defined cases: a null text is the empty text, of one token, the end; null ids belong to the fold of the empty
@@ -115,7 +115,7 @@ def count_words(texts: DataFrame, most_held: int = 300_000) -> DataFrame:
 
 def vocabulary(counts: DataFrame, classes: int = CLASSES, head: int = HEAD) -> Vocabulary:
     tokens, words = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    top = counts.orderBy(F.desc("c"), "word").limit(head).toPandas()
+    top = common.strongest(counts, "c", head).toPandas().sort_values(["c", "word"], ascending=[False, True])
     return Vocabulary(top["word"].to_numpy(np.int64).view(np.uint64), top["c"].to_numpy(np.int64), int(tokens), int(words), min(classes, len(top)))
 
 

@@ -13,7 +13,7 @@ probability exp(-t) t^(r-1) / r! (r-1)!, t being the sum of their normalised sco
 probability is the text's evidence, and a logistic curve fitted on the labels turns it into a score.
 
 Bounds: the fit reads at most `most_labelled` labelled documents, drawn by a hash of the id, each distinct text
-once; the model keeps the `most_tokens` strongest tokens and as many beginnings. Counts behind it are made by
+once; the model keeps at most `most_tokens` tokens and as many beginnings, the strongest. Counts behind it are made by
 Spark; scoring covers every row.
 
 Defined cases: a null or empty text has no evidence and so the least score; labels may be null (left out), may
@@ -164,8 +164,8 @@ def fit(documents: DataFrame, labels: DataFrame, training, most_labelled: int =
     value = F.when(strong | drawn, F.least("odds", F.lit(LARGEST))).otherwise(F.lit(0.0)) - F.lit(DRIFT)
     # Tokens whose score is not that of their beginning: strong ones, and any under a strong beginning.
     words = common.stash(words.where(strong | drawn).select("token", value.alias("s"), (F.col("u") + STRENGTH - of_toxic).alias("u"), "z"), "toxic-words")
-    kept = words.orderBy(F.desc(F.abs("z")), "token").limit(most_tokens).toPandas()
-    begin = beginnings.where(strong).orderBy(F.desc("z"), "beginning").limit(most_tokens).toPandas()
+    kept = common.strongest(words.withColumn("z", F.col("z") + 1e-6), "z", most_tokens).toPandas()
+    begin = common.strongest(beginnings.where(strong), "z", most_tokens).toPandas()
     model = Model()
     model.keys, model.scores = _sorted(kept["token"], kept["s"])
     model.begin_keys, model.begin_scores = _sorted(begin["beginning"], np.minimum(begin["odds"], LARGEST) - DRIFT)
