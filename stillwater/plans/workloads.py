@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from stillwater.sources.models import BooleanModel, parse_model
 
+#: Small published example models, whose long-run distributions are known.
 TOY = parse_model("A, A\nC, !A & !D\nD, !A & !C")
 RING = parse_model("A, C\nB, !A\nC, B")
 PAIR = parse_model("A, B\nB, !A")

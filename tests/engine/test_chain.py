@@ -10,6 +10,7 @@ from stillwater.plans.solver import Solver
 from stillwater.sources import store
 from stillwater.sources.models import parse_model, read_corpus
 
+#: A published model, and below its known long-run distribution.
 KRAS = """targets, factors
 cc, cc
 KRAS, KRAS
