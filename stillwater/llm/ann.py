@@ -11,12 +11,15 @@ blocks; each (shard, block) pair is searched in one step, by a beam for all quer
 the best of all shards are merged by a top-k that each shard has reduced already. Scores are then taken from the
 original vectors in double precision.
 
-Equal vectors in a shard are one point of its graph; the point's rows are listed by id, and of these a search
-needs no more than it returns. Indexes hold every row.
+Indexes hold every distinct (id, vector) once, whatever the number of its rows. Equal vectors in a shard are one
+point of its graph; the point's ids are listed in order, and of these a search needs no more than it returns. A
+shard's best are chosen among ids, each by its best vector; where the points found have fewer than k ids, the beam
+is doubled until they have or all points are found.
 
 Defined cases: vectors that are null, empty, zero, or hold null or non-finite components take no part, nor do
 those whose length is not the most frequent one (the least, if several are); null ids take no part; rows that
-share an id are one candidate for each distinct vector and one query for each row; fewer candidates than k give
+share an id are one candidate for each distinct vector (0.0 and -0.0 are equal) and one query for each row; an id
+is a query's result once, by its best vector; fewer candidates than k give
 all; empty tables give empty tables; only vec_id and embedding are read.
 """
 
@@ -269,15 +272,22 @@ def search_shards(indexes: DataFrame, blocks: DataFrame, shards: int, k: int, be
             layers = row["layers"]
             members = [np.frombuffer(x["members"], np.int32) for x in layers]
             graph = Graph(extend(matrix[order[begin[:-1]]]), members, [np.frombuffer(x["links"], np.int32).reshape(len(m), -1) for x, m in zip(layers, members, strict=True)])
-            found = search(graph, np.concatenate([queries, np.zeros((len(queries), 1))], 1).astype(np.float32), max(beam, k + 1))
-            out = []
-            for q, near in enumerate(found):
-                # The k + 1 rows of least id of each point are enough: one may be the query's own.
-                rows = np.concatenate([order[begin[p] : min(begin[p + 1], begin[p] + k + 1)] for p in near[near >= 0].tolist()])
-                rows = rows[ids[rows] != qids[q]]
-                scores = matrix[rows] @ queries[q]
-                best = np.lexsort((ids[rows], -scores))[:k]
-                out.append((np.full(len(best), qids[q]), np.full(len(best), row["block"] * (1 << 20) + q), ids[rows][best], scores[best]))
+            extended = np.concatenate([queries, np.zeros((len(queries), 1))], 1).astype(np.float32)
+            out, waiting, width = [], np.arange(len(queries)), max(beam, k + 1)
+            while len(waiting):
+                again = []
+                for q, near in zip(waiting.tolist(), search(graph, extended[waiting], width), strict=True):
+                    # The k + 1 least ids of each point are enough: one may be the query's own.
+                    rows = np.concatenate([order[begin[p] : min(begin[p + 1], begin[p] + k + 1)] for p in near[near >= 0].tolist()])
+                    rows = rows[ids[rows] != qids[q]]
+                    scores = matrix[rows] @ queries[q]
+                    best = np.lexsort((ids[rows], -scores))
+                    best = best[np.sort(np.unique(ids[rows][best], return_index=True)[1])][:k]  # an id by its best vector
+                    if len(best) < k and width < len(graph.points):
+                        again.append(q)
+                        continue
+                    out.append((np.full(len(best), qids[q]), np.full(len(best), row["block"] * (1 << 20) + q), ids[rows][best], scores[best]))
+                waiting, width = np.array(again, np.int64), 2 * width
             if out:
                 columns = [np.concatenate(c) for c in zip(*out, strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["query_id", "query_row", "vec_id", "score"])
@@ -293,8 +303,9 @@ def nearest(vectors: DataFrame, is_query, k: int = 20, shard_rows: int = SHARD_R
     """query_id, rank, vec_id, score: the k candidates of largest inner product found for each row with is_query (a
     Column), the row's own id left out, ties to the smaller vec_id."""
     taking = common.stash(usable(vectors), "ann-vectors")
-    shards = max(1, -(-taking.count() // shard_rows))
-    indexes = build_indexes(taking, shards, links, build_beam)
+    candidates = common.stash(taking.distinct(), "ann-candidates")
+    shards = max(1, -(-candidates.count() // shard_rows))
+    indexes = build_indexes(candidates, shards, links, build_beam)
     found = search_shards(indexes, query_blocks(taking.where(is_query)), shards, k, search_beam)
     distinct = found.groupBy("query_id", "query_row", "vec_id").agg(F.max("score").alias("score"))
     order = Window.partitionBy("query_row").orderBy(F.desc("score"), "vec_id")

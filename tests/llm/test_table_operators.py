@@ -4,7 +4,7 @@ import hashlib
 import random
 import re
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -208,6 +208,36 @@ def test_nearest(spark):
     assert ann.nearest(df.limit(0), F.col("vec_id") % 20 == 0).count() == 0
 
 
+def test_neighbours_of_repeated_rows(spark):
+    draw = np.random.default_rng(8)
+    near = draw.normal(size=6)
+    near /= np.linalg.norm(near)
+    data = [(i, near.tolist()) for i in range(100, 130)] + [(i, draw.normal(size=6).tolist()) for i in range(40)]
+    data += [(7, (near * (3 + i / 300)).tolist()) for i in range(200)]  # an id with more vectors than a beam has places
+
+    def brute(k):
+        out = {}
+        for q in {i for i, _ in data if i % 20 == 0}:
+            best = {}
+            v = next(np.array(x) for i, x in data if i == q)
+            for i, x in data:
+                if i != q:
+                    best[i] = max(best.get(i, -np.inf), round(float(np.array(x) @ v), 9))
+            out[q] = sorted(best, key=lambda i: (-best[i], i))[:k]
+        return out
+
+    want = brute(20)
+    tables = {"once": data, "doubled": data * 2, "25 copies of one": data + [data[1]] * 24, "25 copies of a query": data + [data[0]] * 24}
+    for name, table in tables.items():
+        df = spark.createDataFrame(table, "vec_id long, embedding array<double>")
+        got = {}
+        for r in ann.nearest(df, F.col("vec_id") % 20 == 0, k=20).orderBy("query_id", "rank").collect():
+            got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], round(r["score"], 9)))
+        times = Counter(i for i, _ in table)
+        assert {q: sorted({i for _, i, _ in x}) for q, x in got.items()} == {q: sorted(x) for q, x in want.items()}, name
+        assert all(len(x) == 20 * times[q] for q, x in got.items()), name
+
+
 # --------------------------------------------------------------------------- pipeline
 
 
