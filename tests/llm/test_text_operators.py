@@ -11,8 +11,9 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from stillwater.llm import bpe, lm, pii, toxicity
+from stillwater.llm import bpe, common, lm, pii, toxicity
 
 P = pytest.importorskip("public_tokenizers")
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -169,6 +170,17 @@ def test_language_model(spark):
     assert lm.score_documents(rows(spark, texts).limit(0)).count() == 0
 
 
+def test_strongest_fills_every_place(spark):
+    flat = spark.range(20_000).select(F.col("id").alias("word"), F.lit(3).alias("c"))
+    for most in (5, 7_000, 20_000, 30_000):
+        got = [r["word"] for r in common.strongest(flat, "c", most).collect()]
+        assert len(got) == len(set(got)) == min(most, 20_000)
+    mixed = flat.withColumn("c", F.when(F.col("word") < 10, 1000 + F.col("word")).when(F.col("word") < 12_000, 3).otherwise(0))
+    got = [r["word"] for r in common.strongest(mixed, "c", 9_000).collect()]
+    assert len(set(got)) == 9_000 and set(range(10)) <= set(got) and max(got) < 12_000
+    assert sorted(r["word"] for r in common.strongest(mixed, "c", 3).collect()) == [7, 8, 9]
+
+
 def test_probabilities_are_normalised():
     model = lm.LogBilinear.start(np.arange(1.0, 40.0), 6)
     s1, s2, z = model.log_probabilities()
