@@ -1,21 +1,27 @@
 """Language-model scoring with a log-bilinear neural model, trained by noise-contrastive estimation.
 
-Spark counts every word of the training texts. The most frequent words are the model's classes; all rarer words
-are one class more, and the end of a text another. The model predicts a class from the two classes before it:
-q = c1 * R[w1] + c2 * R[w2] (c1, c2: weights for each dimension), and s(w) = q . R'[w] + b[w]. Each task trains
-a copy, from one common start, on all training texts that it reads, in numpy minibatches with a shared set of
-noise words; the copies are averaged by Spark, weighted by their tokens. Since s splits into a part for w1 and
-one for w2, the normalisers of all pairs of contexts are one matrix product, exp(S1 + b) exp(S2)^T, so every
-token gets its normalised log-probability from look-ups in small tables. A rare word has the probability of its
-class times its smoothed share among the rare words, unseen ones included as one.
-
-Beside it stands a unigram base: log10((c + 0.5) / (N + 0.5 (V + 1))) for each token. Counts of at most `head`
-words, the most frequent, are broadcast; those of all other words meet the texts' words in a join on the word, whose keys
-are rare by construction.
+Spark counts every word of the training texts. The model's classes are the most frequent words, the end of a text,
+and groups of all other words, to which a hash deals them; the number of groups grows with the square root of the
+counted vocabulary. The model predicts a class from the two classes before it: q = c1 * R[w1] + c2 * R[w2] (c1, c2:
+weights for each dimension), and s(w) = q . R'[w] + b[w]. Each task trains a copy, from one common start, on all
+training texts that it reads, in numpy minibatches with a shared set of noise words; the copies are averaged by Spark,
+weighted by their tokens. Since s splits into a part for w1 and one for w2, the normalisers of all pairs of contexts
+are one matrix product, exp(S1 + b) exp(S2)^T, so every token gets its class's normalised log-probability from look-ups
+in small tables.
+
+Inside a group every word has a vector and a bias of its own: two softmaxes of the same form over the context q, first
+over blocks of the group's words and then over the words of the block, so that a normaliser sums over about the root of
+the group's size. All tokens of a group meet in one task, which fits them to the training tokens by maximum likelihood
+with a ridge prior, from the smoothed unigram shares on, and scores every token. No word is left out, and no task or
+driver holds the words of more than one group. A word's probability is its class's times its own in the group; unseen
+words are one word more in each group. As contexts, words of a group share the group's vector.
+
+Beside it stands a unigram base: log10((c + 0.5) / (N + 0.5 (V + 1))) for each token. The counts of the most frequent
+words are broadcast; those of all others are taken in the groups.
 
 Defined cases: a null text is the empty text, of one token, the end; null ids belong to the fold of the empty
 text; repeated rows each give a row; without training texts every token has base probability 1 / 1 and the model
-knows only its two special classes; an empty table gives an empty table; only doc_id and text are read.
+knows only its special classes; an empty table gives an empty table; only doc_id and text are read.
 """
 
 from __future__ import annotations
@@ -45,6 +51,8 @@ class Vocabulary:
     tokens: int
     words: int
     classes: int
+    groups: int
+    group_counts: np.ndarray
 
     def __post_init__(self):
         self.order = np.argsort(self.head)
@@ -59,12 +67,14 @@ class Vocabulary:
 
     @property
     def rare(self) -> int:
-        """The class of all words beyond the model's."""
+        """The class of the first group of words beyond the model's most frequent ones."""
         return self.classes
 
+    def group(self, hashes: np.ndarray) -> np.ndarray:
+        return hashes.view(np.int64) % self.groups
+
     def class_counts(self) -> np.ndarray:
-        known = self.counts[: self.classes].astype(float)
-        return np.append(known, max(0.0, self.tokens - known.sum()))
+        return np.concatenate([self.counts[: self.classes], self.group_counts]).astype(float)
 
 
 def text_tokens(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -114,9 +124,16 @@ def count_words(texts: DataFrame, most_held: int = 300_000) -> DataFrame:
 
 
 def vocabulary(counts: DataFrame, classes: int = CLASSES, head: int = HEAD) -> Vocabulary:
+    """The min(classes, head) most frequent words, and groups for the others."""
     tokens, words = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    top = common.strongest(counts, "c", head).toPandas().sort_values(["c", "word"], ascending=[False, True])
-    return Vocabulary(top["word"].to_numpy(np.int64).view(np.uint64), top["c"].to_numpy(np.int64), int(tokens), int(words), min(classes, len(top)))
+    top = common.strongest(counts, "c", min(classes, head)).toPandas().sort_values(["c", "word"], ascending=[False, True])
+    groups = max(1, int(np.sqrt(words) / 2))
+    in_groups = np.zeros(groups, np.int64)
+    for g, c in counts.groupBy(F.pmod("word", F.lit(groups)).alias("g")).agg(F.sum("c")).collect():
+        in_groups[g] = c
+    known, c = top["word"].to_numpy(np.int64), top["c"].to_numpy(np.int64)
+    np.subtract.at(in_groups, known % groups, c)
+    return Vocabulary(known.view(np.uint64), c, int(tokens), int(words), len(top), groups, in_groups)
 
 
 # --------------------------------------------------------------------------- the model
@@ -197,12 +214,112 @@ def contexts(classes: np.ndarray, offsets: np.ndarray, end: int) -> tuple[np.nda
 def to_classes(vocab: Vocabulary, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The class of each token, and its place in the head or -1."""
     rank = vocab.rank(hashes)
-    return np.where((rank < 0) | (rank >= vocab.classes), vocab.rare, rank), rank
+    return np.where(rank < 0, vocab.rare + vocab.group(hashes), rank), rank
 
 
 def end_class(vocab: Vocabulary) -> int:
-    at = int(vocab.rank(np.array([END], np.uint64))[0])
-    return at if 0 <= at < vocab.classes else vocab.rare
+    return int(to_classes(vocab, np.array([END], np.uint64))[0][0])
+
+
+# --------------------------------------------------------------------------- inside a group
+
+PRIOR, ROUNDS = 8.0, 4
+
+
+def _fit(q: np.ndarray, target: np.ndarray, counts: np.ndarray, every: np.ndarray, chosen: np.ndarray) -> np.ndarray:
+    """A softmax over len(counts) symbols (counts: smoothed), fitted to the training pairs (q, target); the log-probability
+    of each chosen symbol in its context of `every`. Steps are Newton's with the curvature's bound by each symbol's count,
+    and a ridge prior of PRIOR tokens."""
+    bias, vectors = np.log(counts / counts.sum()), np.zeros((len(counts), q.shape[1]))
+
+    def logs(q):
+        x = q @ vectors.T + bias
+        x -= x.max(1, keepdims=True)
+        return x - np.log(np.exp(x).sum(1, keepdims=True))
+
+    if len(target) and len(counts) > 1:
+        size = float(np.einsum("ij,ij->", q, q) / len(q)) + 1e-9
+        seen = np.bincount(target, minlength=len(counts)).astype(float)
+        observed = np.zeros_like(vectors)
+        np.add.at(observed, target, q)
+        for _ in range(ROUNDS):
+            p = np.exp(logs(q))
+            vectors += (observed - p.T @ q - PRIOR * size * vectors) / ((PRIOR + seen) * size)[:, None]
+    return logs(every)[np.arange(len(chosen)), chosen]
+
+
+def group_logs(words: np.ndarray, training: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The tokens of a group -> the count of each one's word in training, and its natural log-probability in the group."""
+    known, counts = np.unique(words[training], return_counts=True)
+    at = np.minimum(np.searchsorted(known, words), max(0, len(known) - 1))
+    symbol = np.where(known[at] == words, at, len(known)) if len(known) else np.zeros(len(words), np.int64)
+    c = np.append(counts, 0)  # the last symbol stands for all unseen words
+    width = int(np.ceil(np.sqrt(len(c))))
+    block = symbol // width
+    if training.any():
+        q = q - q[training].mean(0)
+    weights = np.add.reduceat(c + 0.5, np.arange(0, len(c), width))
+    out = _fit(q[training], block[training], weights, q, block)
+    order = np.argsort(block, kind="stable")
+    begin = np.searchsorted(block[order], np.arange(len(weights) + 1))
+    for b in range(len(weights)):
+        here = order[begin[b] : begin[b + 1]]
+        if len(here):
+            learn = here[training[here]]
+            out[here] += _fit(q[learn], symbol[learn] - b * width, c[b * width : (b + 1) * width] + 0.5, q[here], symbol[here] - b * width)
+    return c[symbol], out
+
+
+_PACKED = np.dtype([("word", "<u8"), ("row", "<u4"), ("one", "<u2"), ("two", "<u2"), ("training", "u1")])
+_FOUND = np.dtype([("row", "<u4"), ("count", "<u4"), ("log", "<f4")])
+
+
+def score_groups(packed: DataFrame, model: LogBilinear) -> DataFrame:
+    """(slice, g, data: _PACKED) -> row, known, log_count, inner: sums over the tokens of each row that are in groups."""
+    shared = packed.sparkSession.sparkContext.broadcast(model)
+
+    def inside(batch: pa.Table) -> pa.Table:
+        model = shared.value
+        parts = [unpack(_PACKED, x) for x in batch.column("data").to_pylist()]
+        tokens = np.concatenate(parts)
+        q = model.context[tokens["one"]] * model.near + model.context[tokens["two"]] * model.far
+        # In an order that does not depend on how the slices came in.
+        order = np.lexsort((tokens["two"], tokens["one"], tokens["training"], tokens["word"]))
+        found = np.empty(len(tokens), _FOUND)
+        found["row"] = tokens["row"]
+        found["count"][order], found["log"][order] = group_logs(tokens["word"][order], tokens["training"][order] > 0, q[order].astype(np.float64))
+        at = np.cumsum([len(x) for x in parts])[:-1]
+        return pa.table({"slice": batch.column("slice"), "data": pa.array([pack(_FOUND, [x[n] for n in _FOUND.names]) for x in np.split(found, at)], pa.binary())})
+
+    def together(batch: pa.Table) -> pa.Table:
+        found = np.concatenate([unpack(_FOUND, x) for x in batch.column("data").to_pylist()])
+        # The sums do not depend on the order of the groups.
+        found = found[np.lexsort((found["log"], found["count"], found["row"]))]
+        rows, at = np.unique(found["row"], return_inverse=True)
+        logs = np.where(found["count"] > 0, np.log10(found["count"] + 0.5), np.log10(0.5))
+        sums = [np.bincount(at, x, len(rows)) for x in (found["count"] > 0, logs, found["log"].astype(np.float64) / np.log(10))]
+        start = batch.column("slice")[0].as_py()
+        return pa.table({"row": pa.array(rows.astype(np.int64) + start), "known": pa.array(sums[0].astype(np.int64)), "log_count": pa.array(sums[1]), "inner": pa.array(sums[2])})
+
+    grouped = packed.groupBy("g").applyInArrow(inside, "slice bigint, data binary")
+    return grouped.groupBy("slice").applyInArrow(together, "row bigint, known bigint, log_count double, inner double")
+
+
+def pack(dtype: np.dtype, arrays: list[np.ndarray]) -> bytes:
+    """Column by column, which compresses better than row by row."""
+    return b"".join(np.ascontiguousarray(x, dtype[n]).tobytes() for n, x in zip(dtype.names, arrays, strict=True))
+
+
+def unpack(dtype: np.dtype, data: bytes) -> np.ndarray:
+    n, at = len(data) // dtype.itemsize, 0
+    out = np.empty(n, dtype)
+    for name in dtype.names:
+        out[name] = np.frombuffer(data, dtype[name], n, at)
+        at += n * dtype[name].itemsize
+    return out
+
+
+# --------------------------------------------------------------------------- training and scoring
 
 
 def train(texts: DataFrame, vocab: Vocabulary, dimensions: int = DIMENSIONS) -> LogBilinear:
@@ -248,13 +365,13 @@ def train(texts: DataFrame, vocab: Vocabulary, dimensions: int = DIMENSIONS) ->
 _tables: dict = {}
 
 
-def score(documents: DataFrame, vocab: Vocabulary, counts: DataFrame, model: LogBilinear) -> DataFrame:
-    """(doc_id, text) -> doc_id, n_tokens, n_known, base_score, score."""
+def score(documents: DataFrame, vocab: Vocabulary, model: LogBilinear) -> DataFrame:
+    """(doc_id, text, training) -> doc_id, n_tokens, n_known, base_score, score."""
     spark = documents.sparkSession
     shared = spark.sparkContext.broadcast((vocab, model))
     key = id(shared)
-    struct = pa.struct([("word", pa.int64()), ("n", pa.int64())])
-    names = ["doc_id", "n_tokens", "n_known", "head_log", "rare_log", "n_rare", "model_log", "others"]
+    names = ["doc_id", "n_tokens", "n_head", "head_log", "model_log", "packed"]
+    struct = pa.struct([("g", pa.int64()), ("data", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab, model = shared.value
@@ -263,41 +380,35 @@ def score(documents: DataFrame, vocab: Vocabulary, counts: DataFrame, model: Log
             _tables[key] = model.log_probabilities()
         s1, s2, z = _tables[key]
         end = end_class(vocab)
-        logs = np.log10(np.append(vocab.counts, 0) + 0.5)  # the last is for words beyond the head, which are joined
+        logs = np.log10(np.append(vocab.counts, 0) + 0.5)  # the last is for words in groups
         logs[-1] = 0
-        for part in common.slices(batches, "text", 2_000_000):
+        for part in common.slices(batches, "text", 4_000_000):
             hashes, offsets = text_tokens(part.column("text"))
             classes, rank = to_classes(vocab, hashes)
             one, two = contexts(classes, offsets, end)
             begin, n = offsets[:-1], np.diff(offsets)
             lp = (s1[one, classes] + s2[two, classes] - z[one, two]).astype(np.float64)
-            seen = logs[rank]
-            rare = classes == vocab.rare
-            beyond = np.flatnonzero(rank < 0)
-            text = np.searchsorted(offsets, beyond, "right") - 1
-            order = np.lexsort((hashes[beyond], text))
-            text, word = text[order], hashes[beyond][order]
-            first = np.flatnonzero(np.append(True, (text[1:] != text[:-1]) | (word[1:] != word[:-1]))) if len(text) else np.zeros(0, np.int64)
-            times = np.diff(np.append(first, len(text)))
-            ends = np.searchsorted(text[first], np.arange(len(n) + 1))
-            others = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.StructArray.from_arrays([pa.array(word[first].view(np.int64)), pa.array(times.astype(np.int64))], fields=list(struct)))
-            sums = [np.add.reduceat(x, begin) for x in ((rank >= 0).astype(np.int64), seen, np.where(rare, seen, 0.0), rare.astype(np.int64), lp / np.log(10))]
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n), *(pa.array(x) for x in sums), others], names=names)
+            sums = [np.add.reduceat(x, begin) for x in ((rank >= 0).astype(np.int64), logs[rank], lp / np.log(10))]
+            learns = part.column("training").to_numpy(zero_copy_only=False)
+            rest = np.flatnonzero(rank < 0)
+            rest = rest[np.argsort(classes[rest], kind="stable")]
+            group = classes[rest] - vocab.rare
+            row = np.searchsorted(offsets, rest, "right") - 1
+            columns = [hashes[rest], row, one[rest], two[rest], learns[row]]
+            first = np.flatnonzero(np.append(True, group[1:] != group[:-1])) if len(group) else np.zeros(0, np.int64)
+            blobs = [{"g": int(group[a]), "data": pack(_PACKED, [x[a:b] for x in columns])} for a, b in zip(first, np.append(first[1:], len(group)), strict=True)]
+            packed = pa.array([blobs, *[None] * (len(n) - 1)], pa.list_(struct))  # with the slice's first row
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n), *(pa.array(x) for x in sums), packed], names=names)
 
     kind = documents.schema["doc_id"].dataType.simpleString()
-    made = common.map_batches(documents.select("doc_id", "text"), run, f"doc_id {kind}, n_tokens bigint, n_known bigint, head_log double, rare_log double, n_rare bigint, model_log double, others array<struct<word: bigint, n: bigint>>")
+    made = common.map_batches(documents.select("doc_id", "text", "training"), run, f"doc_id {kind}, n_tokens bigint, n_head bigint, head_log double, model_log double, packed array<struct<g: bigint, data: binary>>")
+    # Row numbers rise by one in a partition, so a slice's rows follow that of its first.
     made = common.stash(made.withColumn("row", F.monotonically_increasing_id()), "lm-scored")
-    others = made.select("row", F.explode("others").alias("o")).select("row", "o.word", "o.n")
-    found = others.join(counts, "word").groupBy("row").agg(F.sum("n").alias("known"), F.sum(F.col("n") * F.log10(F.col("c") + 0.5)).alias("log"))
-    both = made.drop("others").join(found, "row", "left").na.fill(0, ["known"]).na.fill(0.0, ["log"])
-    unseen = F.col("n_tokens") - F.col("n_known") - F.col("known")
-    beyond = F.col("log") + unseen * F.log10(F.lit(0.5))
+    packed = made.where("packed is not null").select(F.col("row").alias("slice"), F.explode("packed").alias("p")).select("slice", "p.g", "p.data")
+    both = made.drop("packed").join(score_groups(packed, model), "row", "left").na.fill(0, ["known"]).na.fill(0.0, ["log_count", "inner"])
     total = np.log10(vocab.tokens + 0.5 * (vocab.words + 1))
-    # Rare words share their class: counts of words beyond the classes, and one unseen word more.
-    rare_total = vocab.tokens - int(vocab.counts[: vocab.classes].sum()) + 0.5 * (vocab.words - vocab.classes + 1)
-    base = F.col("head_log") + beyond - F.col("n_tokens") * F.lit(float(total))
-    full = F.col("model_log") + F.col("rare_log") + beyond - F.col("n_rare") * F.lit(float(np.log10(rare_total)))
-    return both.select("doc_id", "n_tokens", (F.col("n_known") + F.col("known")).alias("n_known"), base.alias("base_score"), full.alias("score"))
+    base = F.col("head_log") + F.col("log_count") - F.col("n_tokens") * F.lit(float(total))
+    return both.select("doc_id", "n_tokens", (F.col("n_head") + F.col("known")).alias("n_known"), base.alias("base_score"), (F.col("model_log") + F.col("inner")).alias("score"))
 
 
 def score_documents(documents: DataFrame, of: int = 5, held: int = 1, classes: int = CLASSES, dimensions: int = DIMENSIONS, head: int = HEAD) -> DataFrame:
@@ -306,5 +417,6 @@ def score_documents(documents: DataFrame, of: int = 5, held: int = 1, classes: i
     counts = common.stash(count_words(training), "lm-counts")
     vocab = vocabulary(counts, classes, head)
     model = train(training, vocab, dimensions)
-    scored = score(documents, vocab, counts, model)
-    return scored.select("doc_id", (common.crc_bucket("doc_id", of) == held).alias("held_out"), "n_tokens", "n_known", F.lit(vocab.tokens).cast("long").alias("train_tokens"), "base_score", "score")
+    held_out = common.crc_bucket("doc_id", of) == held
+    scored = score(documents.select("doc_id", "text", (~held_out).alias("training")), vocab, model)
+    return scored.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", F.lit(vocab.tokens).cast("long").alias("train_tokens"), "base_score", "score")

@@ -170,6 +170,33 @@ def test_language_model(spark):
     assert lm.score_documents(rows(spark, texts).limit(0)).count() == 0
 
 
+def test_words_of_a_group_are_told_apart():
+    words = np.array([1, 2] * 200 + [3, 4] * 200, np.uint64)
+    q = np.concatenate([np.tile([1.0, 0.0], (400, 1)), np.tile([0.0, 1.0], (400, 1))])
+    counts, logs = lm.group_logs(words, np.ones(800, bool), q)
+    assert set(counts) == {200} and logs.mean() > np.log(0.4)
+
+
+def test_group_probabilities_are_normalised():
+    draw = np.random.default_rng(2)
+    words = draw.integers(1, 30, 400).astype(np.uint64)
+    q = draw.normal(size=(400, 3))
+    asked = np.arange(0, 30, dtype=np.uint64)  # 0 is unseen
+    training = np.append(np.ones(400, bool), np.zeros(30, bool))
+    _, logs = lm.group_logs(np.append(words, asked), training, np.concatenate([q, np.tile(q[:1], (30, 1))]))
+    assert abs(np.exp(logs[400:]).sum() - 1) < 1e-9
+
+
+def test_groups_grow_with_the_vocabulary(spark):
+    sizes = []
+    for n in (100, 10_000):
+        counts = spark.range(n).select(F.xxhash64("id").alias("word"), F.lit(2).cast("long").alias("c"))
+        vocab = lm.vocabulary(counts, 50)
+        sizes.append(len(vocab.class_counts()))
+        assert vocab.class_counts().sum() == 2 * n
+    assert sizes == [55, 100]
+
+
 def test_strongest_fills_every_place(spark):
     flat = spark.range(20_000).select(F.col("id").alias("word"), F.lit(3).alias("c"))
     for most in (5, 7_000, 20_000, 30_000):
