@@ -38,11 +38,19 @@ def plan_records(pages: DataFrame, least: int = REVISIT_BYTES) -> DataFrame:
     the join, which leaves payloads of all other pages alone."""
     payload = F.encode(F.coalesce(F.col("html"), F.lit("")), "UTF-8")
     df = pages.select("page_id", "url", payload.alias("payload")).withColumn("payload_bytes", F.octet_length("payload").cast("long")).withColumn("payload_digest", F.sha1("payload"))
-    df = df.withColumn("draw", F.xxhash64("page_id", F.coalesce("url", F.lit(""))))
-    twice = df.where(F.col("payload_bytes") >= least).groupBy("payload_digest").agg(F.max(F.struct(F.col("page_id"), F.col("draw"))).alias("kept"), F.count("*").alias("times")).where("times > 1")
-    df = df.join(twice.withColumnRenamed("payload_digest", "their"), (F.col("payload_digest") == F.col("their")) & (F.col("payload_bytes") >= least), "left")
-    revisit = F.col("kept").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("kept.page_id"))
-    return df.select("page_id", "url", "payload", "payload_bytes", "payload_digest", F.when(revisit, "revisit").otherwise("response").alias("record_type"), F.when(revisit, F.col("kept.page_id")).alias("refers_to"))
+    large = F.col("payload_bytes") >= least
+    rows = df.where(large).groupBy("payload_digest", "page_id", "url").agg(F.count("*").alias("copies"))
+    twice = rows.groupBy("payload_digest").agg(F.max(F.struct("page_id", "url", "copies")).alias("kept"), F.sum("copies").alias("times")).where("times > 1")
+    df = df.join(twice.withColumnRenamed("payload_digest", "their"), (F.col("payload_digest") == F.col("their")) & large, "left")
+    chosen = F.col("page_id").eqNullSafe(F.col("kept.page_id")) & F.col("url").eqNullSafe(F.col("kept.url"))
+    repeated = F.coalesce(F.col("kept").isNotNull() & chosen & (F.col("kept.copies") > 1), F.lit(False))
+    columns = ["page_id", "url", "payload", "payload_bytes", "payload_digest"]
+    kept_id = F.col("kept.page_id").alias("kept_id")
+    single = df.where(~repeated).select(*columns, (F.col("kept").isNotNull() & ~chosen).alias("revisit"), kept_id)
+    # Equal rows that hold the response are counted and told apart by number: the first is it.
+    equal = df.where(repeated).groupBy(*columns, kept_id).agg(F.count("*").alias("copies")).withColumn("i", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
+    both = single.union(equal.select(*columns, F.col("i") > 1, "kept_id"))
+    return both.select(*columns, F.when(F.col("revisit"), "revisit").otherwise("response").alias("record_type"), F.when(F.col("revisit"), F.col("kept_id")).alias("refers_to"))
 
 
 def _record(page_id, url, payload: bytes, digest: str, kind: str, refers_to) -> bytes:

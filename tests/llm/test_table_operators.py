@@ -155,6 +155,19 @@ def test_rows_of_one_id_are_one_node(spark):
 # --------------------------------------------------------------------------- mixing
 
 
+def test_one_response_for_repeated_pages(spark):
+    a, b = "a" * 1000, "b" * 2000
+    pages = [(3, "x", a), (3, "x", a), (3, "w", a), (3, None, a), (1, "x", a), (None, None, b), (None, None, b), (7, "x", "short"), (7, "x", "short"), (8, "x", "c" * 1500)]
+    df = spark.createDataFrame(pages, "page_id bigint, url string, html string")
+    got = warc.plan_records(df).collect()
+    assert sorted((str(r["page_id"]), str(r["url"])) for r in got) == sorted((str(i), str(u)) for i, u, _ in pages)
+    for text, kept, n in ((a, 3, 5), (b, None, 2)):
+        mine = [r for r in got if bytes(r["payload"]) == text.encode()]
+        assert len(mine) == n and [r["page_id"] for r in mine if r["record_type"] == "response"] == [kept]
+        assert {r["refers_to"] for r in mine if r["record_type"] == "revisit"} == {kept}
+    assert all(r["record_type"] == "response" for r in got if r["page_id"] in (7, 8))
+
+
 def test_mixing(spark):
     draw = random.Random(4)
     sizes = {"a": 300, "b": 40, "c": 200, None: 60}
