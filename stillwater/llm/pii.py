@@ -19,7 +19,8 @@ from __future__ import annotations
 import functools
 import hashlib
 import re
-from collections.abc import Iterator
+from array import array
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +31,7 @@ from stillwater.llm import common
 BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "secret")
 LONGEST = 24
+MOST_KNOWN = 20_000
 
 # --------------------------------------------------------------------------- base patterns
 
@@ -141,20 +143,22 @@ def span_features(text: str, start: int, end: int) -> list[str]:
     return out
 
 
+def segments_from(text: str, bounds: Sequence[int], i: int) -> Iterator[tuple[int, list[str]]]:
+    """(end token, features) of the segments that begin with token i: of at most LONGEST tokens and at least 7 characters,
+    that begin and end with a letter, a digit, "_", or at the front a sign like "+" or "("."""
+    begin = bounds[i]
+    if text[begin].isspace() or text[begin] in ").-/":
+        return
+    for j in range(i + 1, min(len(bounds), i + LONGEST + 1)):
+        last = text[bounds[j] - 1]
+        if (last.isalnum() or last == "_") and bounds[j] - begin >= 7:
+            yield j, span_features(text, begin, bounds[j])
+
+
 def candidates(text: str, start: int, end: int) -> tuple[list[int], list[tuple[int, int, list[str]]]]:
-    """A region's token bounds, and its segments (first token, end token, features): those of at most LONGEST tokens
-    and at least 7 characters that begin and end with a letter, a digit, "_", or at the front a sign like "+" or "("."""
+    """A region's token bounds, and all its segments (first token, end token, features) at once: for training."""
     bounds = [m.start() for m in _TOKEN.finditer(text, start, end)] + [end]
-    n = len(bounds) - 1
-    head = [not text[b].isspace() and text[b] not in ").-/" for b in bounds[:-1]]
-    tail = [text[b - 1].isalnum() or text[b - 1] == "_" for b in bounds[1:]]
-    out = []
-    for i in range(n):
-        if head[i]:
-            for j in range(i, min(n, i + LONGEST)):
-                if tail[j] and bounds[j + 1] - bounds[i] >= 7:
-                    out.append((i, j + 1, span_features(text, bounds[i], bounds[j + 1])))
-    return bounds, out
+    return bounds, [(i, j, names) for i in range(len(bounds) - 1) for j, names in segments_from(text, bounds, i)]
 
 
 class Field:
@@ -164,6 +168,7 @@ class Field:
         self.index: dict[str, int] = {}
         self.weights = np.zeros((len(KINDS), 0))
         self.outside = 0.0
+        self.known: dict[tuple[str, ...], tuple[float, int]] = {}  # results of best(), at most MOST_KNOWN
 
     def scores(self, segments: list[tuple[int, int, list[str]]]) -> np.ndarray:
         out = np.zeros((len(KINDS), len(segments)))
@@ -172,30 +177,38 @@ class Field:
             out[:, s] = self.weights[:, known].sum(1) if known else -8.0
         return out
 
+    def best(self, names: tuple[str, ...]) -> tuple[float, int]:
+        """The score of a segment with these features under its best kind, and that kind's number."""
+        if (found := self.known.get(names)) is None:
+            if len(self.known) >= MOST_KNOWN:
+                self.known.clear()
+            scores = self.scores([(0, 0, names)])[:, 0]
+            found = self.known[names] = float(scores.max()), int(scores.argmax())
+        return found
+
     def decode(self, text: str, start: int, end: int) -> list[tuple[str, int, int]]:
-        bounds, segments = candidates(text, start, end)
+        """The best segmentation of a region. A segment is scored when its first token is reached and then let go, so that
+        only three numbers for each token stay."""
+        bounds = array("q", (m.start() for m in _TOKEN.finditer(text, start, end)))
+        bounds.append(end)
         n = len(bounds) - 1
-        if not segments:
-            return []
-        scores = self.scores(segments)
-        kinds, best = scores.argmax(0), scores.max(0)
-        value, back = [0.0] * (n + 1), [-1] * (n + 1)
-        ending: dict[int, list[int]] = {}
-        for s, (_, j, _) in enumerate(segments):
-            ending.setdefault(j, []).append(s)
-        for j in range(1, n + 1):
-            value[j] = value[j - 1] + self.outside
-            for s in ending.get(j, ()):
-                if value[segments[s][0]] + best[s] > value[j]:
-                    value[j], back[j] = value[segments[s][0]] + best[s], s
+        value, back, kinds = array("d", [-np.inf]) * (n + 1), array("q", [-1]) * (n + 1), bytearray(n + 1)
+        value[0] = 0.0
+        for i in range(n):
+            here = value[i]
+            if here + self.outside >= value[i + 1]:
+                value[i + 1], back[i + 1] = here + self.outside, -1
+            for j, names in segments_from(text, bounds, i):
+                score, kind = self.best(tuple(names))
+                if here + score > value[j]:
+                    value[j], back[j], kinds[j] = here + score, i, kind
         out, j = [], n
         while j > 0:
-            if back[j] < 0:
-                j -= 1
+            if back[j] >= 0:
+                out.append((KINDS[kinds[j]], bounds[back[j]], bounds[j]))
+                j = back[j]
             else:
-                i, _, _ = segments[back[j]]
-                out.append((KINDS[kinds[back[j]]], bounds[i], bounds[j]))
-                j = i
+                j -= 1
         return out[::-1]
 
     def expectations(self, n: int, segments, scores: np.ndarray) -> tuple[np.ndarray, float]:

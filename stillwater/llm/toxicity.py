@@ -13,8 +13,8 @@ probability exp(-t) t^(r-1) / r! (r-1)!, t being the sum of their normalised sco
 probability is the text's evidence, and a logistic curve fitted on the labels turns it into a score.
 
 Bounds: the fit reads at most `most_labelled` labelled documents, drawn by a hash of the id, each distinct text
-once; the model keeps at most `most_tokens` tokens and as many beginnings, the strongest. Counts behind it are made by
-Spark; scoring covers every row.
+once. The model keeps every token and beginning whose odds count; their number is bounded by that sample, and no
+other bound drops any. Counts behind it are made by Spark; scoring covers every row.
 
 Defined cases: a null or empty text has no evidence and so the least score; labels may be null (left out), may
 repeat (toxic if any row says so) or lack documents; without labels of both kinds nothing is toxic: the score is
@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from stillwater.llm import common
 
-MOST_LABELLED, MOST_TOKENS = 200_000, 65_536
+MOST_LABELLED = 200_000
 DRIFT, LEAST_Z, LEAST_ODDS, BEGINNING, STRENGTH, SPREAD, LARGEST = 1.0, 5.0, 2.0, 4, 5.0, 100.0, 12.0
 SIGNIFICANT = math.log(20)  # evidence of a passage that one clean text in twenty has by chance
 
@@ -91,21 +91,33 @@ def _look_up(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray, default:
 
 
 def maximal_segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
-    """All maximal scoring segments (first, end, score) of a sequence, in linear time (Ruzzo and Tompa 1999)."""
+    """All maximal scoring segments (first, end, score) of a sequence, in linear time (Ruzzo and Tompa 1999). Each segment
+    on the stack knows the nearest one below it with a smaller sum before it. A search follows these links: what lies
+    between is never looked at again, so that all searches together take as many steps as there are segments."""
     total = np.append(0.0, np.cumsum(scores))
-    stack: list[list[float]] = []  # first, end, sum before, sum after
-    for i in np.flatnonzero(scores > 0).tolist():
-        new = [i, i + 1, total[i], total[i + 1]]
-        while True:
-            j = len(stack) - 1
-            while j >= 0 and stack[j][2] >= new[2]:
-                j -= 1
-            if j < 0 or stack[j][3] >= new[3]:
-                stack.append(new)
-                break
-            new[0], new[2] = stack[j][0], stack[j][2]
-            del stack[j:]
-    return [(int(a), int(b), float(after - before)) for a, b, before, after in stack]
+    at = np.flatnonzero(scores > 0)
+    first: list[int] = []
+    end: list[int] = []
+    before: list[float] = []
+    after: list[float] = []
+    below: list[int] = []  # -1: none
+    for i, low, high in zip(at.tolist(), total[at].tolist(), total[at + 1].tolist(), strict=True):
+        start, j = i, len(before) - 1
+        while j >= 0 and before[j] >= low:
+            j = below[j]
+        while j >= 0 and after[j] < high:  # taken in with all above it; the search goes on from its own link
+            start, low = first[j], before[j]
+            for stack in (first, end, before, after):
+                del stack[j:]
+            link = below[j]
+            del below[j:]
+            j = link
+        first.append(start)
+        end.append(i + 1)
+        before.append(low)
+        after.append(high)
+        below.append(j)
+    return [(a, b, y - x) for a, b, x, y in zip(first, end, before, after, strict=True)]
 
 
 def _count_tokens(labelled: DataFrame) -> DataFrame:
@@ -141,11 +153,11 @@ def labelled_sample(documents: DataFrame, labels: DataFrame, most: int, training
     share = min(1.0, most / max(1, known.count()))
     if share < 1:
         known = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(share * (1 << 20)))
-    texts = documents.select("doc_id", "text").where("text is not null").join(F.broadcast(known), "doc_id")
+    texts = documents.select("doc_id", "text").where("text is not null").join(known, "doc_id")
     return common.stash(texts.groupBy(F.md5("text").alias("key")).agg(F.first("text").alias("text"), F.max("toxic").alias("toxic")).drop("key"), "toxic-sample")
 
 
-def fit(documents: DataFrame, labels: DataFrame, training, most_labelled: int = MOST_LABELLED, most_tokens: int = MOST_TOKENS) -> Model:
+def fit(documents: DataFrame, labels: DataFrame, training, most_labelled: int = MOST_LABELLED) -> Model:
     """training: the condition on an id column (by name) under which its label may be learnt from."""
     sample = labelled_sample(documents, labels, most_labelled, training)
     counts = common.stash(_count_tokens(sample), "toxic-counts")
@@ -164,8 +176,9 @@ def fit(documents: DataFrame, labels: DataFrame, training, most_labelled: int =
     value = F.when(strong | drawn, F.least("odds", F.lit(LARGEST))).otherwise(F.lit(0.0)) - F.lit(DRIFT)
     # Tokens whose score is not that of their beginning: strong ones, and any under a strong beginning.
     words = common.stash(words.where(strong | drawn).select("token", value.alias("s"), (F.col("u") + STRENGTH - of_toxic).alias("u"), "z"), "toxic-words")
-    kept = common.strongest(words.withColumn("z", F.col("z") + 1e-6), "z", most_tokens).toPandas()
-    begin = common.strongest(beginnings.where(strong), "z", most_tokens).toPandas()
+    # Both hold only what the bounded sample makes significant.
+    kept = words.toPandas()
+    begin = beginnings.where(strong).select("beginning", "odds").toPandas()
     model = Model()
     model.keys, model.scores = _sorted(kept["token"], kept["s"])
     model.begin_keys, model.begin_scores = _sorted(begin["beginning"], np.minimum(begin["odds"], LARGEST) - DRIFT)

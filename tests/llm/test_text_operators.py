@@ -6,6 +6,8 @@ import itertools
 import math
 import random
 import re
+import time
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -99,31 +101,53 @@ def test_decoding_and_expectations_against_enumeration():
     assert abs(p[k, s] - sum(math.exp(v - total) for v, x in found if (k, s) in x)) < 1e-9
 
 
+def test_long_regions_take_little_memory():
+    text = "1 " * 30_000
+    field, ((start, end),) = pii.trained(), pii.regions(text)
+    field.decode(text, start, start + 100)
+    tracemalloc.start()
+    field.decode(text, start, end)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 60 * len(text)
+
+
 def test_personal_data_rows(spark):
     texts = [None, "", "a@b.co and (310) 555-4510", "7536784127813050 4845168114407329", "1 " * 4000]
     got = {r["doc_id"]: r for r in pii.find(rows(spark, texts)).collect()}
     assert got[0]["masked"] is None and got[1]["spans"] == ""
     assert got[2]["spans"] == "email:0:6,phone:11:25" and got[2]["n_phone"] == 0 and got[2]["masked"] == "[EMAIL] and [PHONE]"
     assert got[4]["n_card"] == 0
+    assert {(r["doc_id"], r["n_tokens"], r["score"]) for r in pii.find(rows(spark, texts[2:3] * 3, [None, 7, 7])).collect()} == {(None, "x", 1), (7, "x", 1)}
     assert pii.find(rows(spark, texts).limit(0)).count() == 0
 
 
-def best_segment(scores):
-    return max((sum(scores[i:j]) for i in range(len(scores)) for j in range(i + 1, len(scores) + 1)), default=0)
+def brute_segments(scores):
+    """The intervals of which every proper part scores less, and that lie in no other such interval."""
+    n = len(scores)
+    total = np.append(0.0, np.cumsum(scores))
+    every = [(i, j) for i in range(n) for j in range(i + 1, n + 1)]
+    dense = [(i, j) for i, j in every if total[j] - total[i] > 0 and all(total[b] - total[a] < total[j] - total[i] for a in range(i, j) for b in range(a + 1, j + 1) if (a, b) != (i, j))]
+    return [(i, j, total[j] - total[i]) for i, j in dense if not any(a <= i and j <= b and (a, b) != (i, j) for a, b in dense)]
 
 
 def test_segments_against_all_intervals():
     draw = np.random.default_rng(2)
-    for _ in range(300):
+    for _ in range(600):
         x = draw.integers(-3, 4, draw.integers(1, 14)).astype(float)
-        found = toxicity.maximal_segments(x)
-        assert max((s for *_, s in found), default=0) == max(0, best_segment(x.tolist()))
-        assert all(abs(x[a:b].sum() - s) < 1e-9 and s > 0 for a, b, s in found)
-        assert all(p[1] <= q[0] for p, q in itertools.pairwise(found))
-        left = x.copy()  # every positive score lies in a segment
-        for a, b, _ in found:
-            left[a:b] = -1
-        assert (left <= 0).all()
+        assert toxicity.maximal_segments(x) == brute_segments(x)
+    assert toxicity.maximal_segments(np.zeros(0)) == []
+
+
+@pytest.mark.parametrize("pattern", [[1.0, -2.0], [2.0, -1.0], [1.0, -1.0]])
+def test_segments_take_linear_time(pattern):
+    seconds = []
+    for n in (125_000, 1_000_000):
+        x = np.tile(pattern, n // 2)
+        begin = time.process_time()
+        toxicity.maximal_segments(x)
+        seconds.append(time.process_time() - begin)
+    assert seconds[1] < 30 * max(seconds[0], 0.05)  # eight times the tokens; a quadratic scan would take 64 times as long
 
 
 def test_toxicity_finds_passages_and_unseen_forms(spark):
@@ -138,18 +162,19 @@ def test_toxicity_finds_passages_and_unseen_forms(spark):
             words[7:7] = ["blorg" + draw.choice(["", "ix", "ox", "um"]), "zwurk"]
         texts.append(" ".join(words))
         toxic.append(int(bad))
-    docs = rows(spark, [*texts, "so blorgany zwurk " + " ".join(vocabulary[:30]), None, ""])
+    docs = rows(spark, [*texts, "so blorgany zwurk " + " ".join(vocabulary[:30]), None, "", " ".join(vocabulary * 500), texts[0], texts[0]], [*range(904), 904, 904])
     labels = spark.createDataFrame([(i, t) for i, t in enumerate(toxic)] + [(None, 1), (3, None), (5000, 1)], "doc_id bigint, toxic int")
     got = {r["doc_id"]: r for r in toxicity.score_documents(docs, labels).collect()}
     held = [i for i in range(900) if got[i]["held_out"]]
     assert all(got[i]["held_out"] == (zlib.crc32(str(i).encode()) % 5 == 0) for i in got)
     assert sum(got[i]["predicted"] == toxic[i] for i in held) >= 0.98 * len(held)
+    assert len(got) == 905 and got[903]["predicted"] == 0 and got[904]["score"] == got[0]["score"]
     assert got[900]["predicted"] == 1 and got[901]["predicted"] == got[902]["predicted"] == 0
     hit = next(i for i in held if toxic[i])
     a, b = got[hit]["passages"][0]["start"], got[hit]["passages"][0]["end"]
     assert "blorg" in texts[hit][a:b]
     none = toxicity.score_documents(docs, labels.limit(0)).collect()
-    assert {r["predicted"] for r in none} == {0} and len(none) == 903
+    assert {r["predicted"] for r in none} == {0} and len(none) == 906
     assert toxicity.score_documents(docs.limit(0), labels).count() == 0
 
 
