@@ -1,13 +1,13 @@
 """Approximate nearest neighbours: a hierarchical navigable small-world graph for each shard.
 
-Rows are dealt to shards of about `shard_rows` by a hash of their id. A task builds its shard's graph in numpy,
+Rows are dealt to shards of about `shard_rows` by a hash of id and vector. A task builds its shard's graph in numpy,
 inserting points in batches: the batch searches the graph of those before it layer by layer, each point keeps
 diverse neighbours among what was found and among its own batch, and links back. A layer is a flat array of
 neighbour lists of fixed width. Nearness is the largest inner product; graphs are built on vectors that are
 extended by one component to equal length, on which the order of distances is that of inner products.
 
 Indexes are rows of a table in shared storage: ids, vectors and flat neighbour arrays as bytes. Queries come in
-blocks; each (shard, block) pair is searched in one step, by a beam for all queries of the block at once, and
+blocks; a task loads one index and searches it for several blocks, by a beam for all queries of a block at once, and
 the best of all shards are merged by a top-k that each shard has reduced already. Scores are then taken from the
 original vectors in double precision.
 
@@ -16,11 +16,11 @@ point of its graph; the point's ids are listed in order, and of these a search n
 shard's best are chosen among ids, each by its best vector; where the points found have fewer than k ids, the beam
 is doubled until they have or all points are found.
 
-Defined cases: vectors that are null, empty, zero, or hold null or non-finite components take no part, nor do
-those whose length is not the most frequent one (the least, if several are); null ids take no part; rows that
-share an id are one candidate for each distinct vector (0.0 and -0.0 are equal) and one query for each row; an id
-is a query's result once, by its best vector; fewer candidates than k give
-all; empty tables give empty tables; only vec_id and embedding are read.
+Defined cases: vectors that are null, empty, zero, or hold null or non-finite components take no part; an inner product
+is between vectors of one length, so each length has shards of its own, which only queries of that length search; null
+ids take no part; rows that share an id are one query each, and one candidate together, by the best of its distinct
+vectors (0.0 and -0.0 are equal); fewer candidates than k give all; empty tables give empty tables; only vec_id and
+embedding are read.
 """
 
 from __future__ import annotations
@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from stillwater.llm import common
 
-SHARD_ROWS, LINKS, BUILD_BEAM, SEARCH_BEAM, QUERY_BLOCK = 8_192, 16, 96, 128, 512
+SHARD_ROWS, LINKS, BUILD_BEAM, SEARCH_BEAM, QUERY_BLOCK, BLOCKS_AT_ONCE = 8_192, 16, 96, 128, 512, 8
 
 
 # --------------------------------------------------------------------------- one graph
@@ -202,9 +202,22 @@ def usable(vectors: DataFrame) -> DataFrame:
     """vec_id, embedding (array<double>) of the rows that take part."""
     v = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding")).where("vec_id is not null and embedding is not null")
     finite = ~F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    v = v.where(finite & F.exists("embedding", lambda x: x != 0.0))
-    usual = v.groupBy(F.size("embedding").alias("d")).count().orderBy(F.desc("count"), "d").first()
-    return v.where(F.size("embedding") == F.lit(usual["d"] if usual else 0))
+    return v.where(finite & F.exists("embedding", lambda x: x != 0.0))
+
+
+@dataclass
+class Layout:
+    """For each length of vectors the number of its first shard and how many it has; their total."""
+
+    table: DataFrame  # d, first, shards
+    total: int
+
+    @classmethod
+    def of(cls, candidates: DataFrame, shard_rows: int) -> Layout:
+        """One row for each length that occurs: vectors of one length meet no others."""
+        counts = candidates.groupBy(F.size("embedding").alias("d")).agg(F.ceil(F.count("*") / shard_rows).alias("shards"))
+        table = common.stash(counts.select("d", "shards", (F.sum("shards").over(Window.orderBy("d")) - F.col("shards")).alias("first")), "ann-layout")
+        return cls(table, int(table.agg(F.coalesce(F.sum("shards"), F.lit(0))).first()[0]))
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -214,11 +227,11 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return flat.astype(np.float64).reshape(n, -1) if n else np.zeros((0, 0))
 
 
-_INDEX = "shard bigint, n bigint, ids binary, groups binary, vectors binary, layers array<struct<members: binary, links: binary>>"
+_INDEX = "shard int, n bigint, ids binary, groups binary, vectors binary, layers array<struct<members: binary, links: binary>>"
 
 
-def build_indexes(vectors: DataFrame, shards: int, links: int = LINKS, beam: int = BUILD_BEAM) -> DataFrame:
-    """usable() -> a row for each shard, in shared storage."""
+def build_indexes(vectors: DataFrame, layout: Layout, links: int = LINKS, beam: int = BUILD_BEAM) -> DataFrame:
+    """usable() -> a row for each shard, in shared storage. Each shard is a task of its own."""
 
     def one(batch: pa.Table) -> pa.Table:
         ids, matrix = batch.column("vec_id").to_numpy(), _matrix(batch.column("embedding").combine_chunks())
@@ -230,83 +243,96 @@ def build_indexes(vectors: DataFrame, shards: int, links: int = LINKS, beam: int
         kind = pa.list_(pa.struct([("members", pa.binary()), ("links", pa.binary())]))
         return pa.table({"shard": batch.column("shard").slice(0, 1), "n": pa.array([len(ids)], pa.int64()), "ids": pa.array([ids.tobytes()], pa.binary()), "groups": pa.array([group.astype(np.int32).tobytes()], pa.binary()), "vectors": pa.array([matrix.tobytes()], pa.binary()), "layers": pa.array([layers], kind)})
 
-    dealt = vectors.withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.lit(shards)))
-    return common.stash(dealt.groupBy("shard").applyInArrow(one, _INDEX), "ann-index", codec="uncompressed")
+    placed = vectors.join(layout.table, F.size("embedding") == F.col("d"))
+    # By id and vector, so that an id with very many vectors is spread as well.
+    dealt = placed.select("vec_id", "embedding", (F.col("first") + F.pmod(F.xxhash64("vec_id", "embedding"), F.col("shards"))).cast("int").alias("shard"))
+    return common.stash(dealt.repartitionById(max(1, layout.total), "shard").groupBy("shard").applyInArrow(one, _INDEX), "ann-index", codec="uncompressed")
 
 
 def query_blocks(queries: DataFrame, rows: int = QUERY_BLOCK) -> DataFrame:
-    """usable() -> block rows: ids and vectors of about `rows` queries as bytes."""
+    """usable() -> block, d, query_ids, queries: ids and vectors of about `rows` queries of length d as bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray]] = []
+        held: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
 
-        def block():
-            ids, matrix = (np.concatenate(x) for x in zip(*held, strict=True))
-            held.clear()
-            return pa.RecordBatch.from_arrays([pa.array([ids.tobytes()], pa.binary()), pa.array([matrix.tobytes()], pa.binary())], names=["query_ids", "queries"])
+        def block(d: int):
+            ids, matrix = (np.concatenate(x) for x in zip(*held.pop(d), strict=True))
+            return pa.RecordBatch.from_arrays([pa.array([d], pa.int32()), pa.array([ids.tobytes()], pa.binary()), pa.array([matrix.tobytes()], pa.binary())], names=["d", "query_ids", "queries"])
 
         for batch in batches:
-            for at in range(0, batch.num_rows, rows):
-                part = batch.slice(at, rows)
-                held.append((part.column("vec_id").to_numpy(), _matrix(part.column("embedding"))))
-                if sum(len(i) for i, _ in held) >= rows:
-                    yield block()
-        if held:
-            yield block()
-
-    return common.stash(common.map_batches(queries, run, "query_ids binary, queries binary"), "ann-queries", codec="uncompressed")
-
-
-def search_shards(indexes: DataFrame, blocks: DataFrame, shards: int, k: int, beam: int = SEARCH_BEAM) -> DataFrame:
-    """query_id, query_row (which of the rows with this id), vec_id, score: the k best of each shard."""
-    work = blocks.withColumn("block", F.monotonically_increasing_id()).withColumn("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for row in (r for b in batches for r in b.to_pylist()):
+            ids, lists = batch.column("vec_id").to_numpy(), batch.column("embedding")
+            lengths = lists.value_lengths().to_numpy()
+            for d in np.unique(lengths).tolist():
+                mine = np.flatnonzero(lengths == d)
+                for at in range(0, len(mine), rows):
+                    some = mine[at : at + rows]
+                    held.setdefault(d, []).append((ids[some], _matrix(lists.take(pa.array(some)))))
+                    if sum(len(i) for i, _ in held[d]) >= rows:
+                        yield block(d)
+        for d in list(held):
+            yield block(d)
+
+    made = common.map_batches(queries, run, "d int, query_ids binary, queries binary")
+    return common.stash(made.withColumn("block", F.monotonically_increasing_id()), "ann-queries", codec="uncompressed")
+
+
+def search_shards(indexes: DataFrame, blocks: DataFrame, layout: Layout, k: int, beam: int = SEARCH_BEAM, blocks_at_once: int = BLOCKS_AT_ONCE) -> DataFrame:
+    """query_id, block, q (which of the block's queries), vec_id, score: the k best of each shard. A task takes one shard and
+    about blocks_at_once blocks: it loads the index once for all of them."""
+    parts = max(1, -(-blocks.count() // blocks_at_once))
+    total = max(1, layout.total * parts)
+    work = blocks.join(layout.table, "d").withColumn("shard", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("shards") - 1)))
+    work = work.withColumn("slot", (F.col("shard") * parts + F.pmod(F.xxhash64("block"), F.lit(parts))).cast("int")).select("slot", "block", "query_ids", "queries")
+    loaded = indexes.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))).withColumn("slot", F.col("shard") * parts + F.col("part")).drop("shard", "part", "n")
+
+    def run(index: pa.Table, asked: pa.Table) -> pa.Table:
+        out: list[tuple[np.ndarray, ...]] = []
+        if index.num_rows and asked.num_rows:
+            row = index.to_pylist()[0]
             ids, groups = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["groups"], np.int32)
             matrix = np.frombuffer(row["vectors"], np.float64).reshape(len(ids), -1)
-            d = matrix.shape[1]
-            qids, queries = np.frombuffer(row["query_ids"], np.int64), np.frombuffer(row["queries"], np.float64).reshape(-1, d)
             order = np.argsort(groups, kind="stable")  # rows of a point, by id, as rows are by id
             begin = np.searchsorted(groups[order], np.arange(groups.max() + 2))
-            layers = row["layers"]
-            members = [np.frombuffer(x["members"], np.int32) for x in layers]
-            graph = Graph(extend(matrix[order[begin[:-1]]]), members, [np.frombuffer(x["links"], np.int32).reshape(len(m), -1) for x, m in zip(layers, members, strict=True)])
-            extended = np.concatenate([queries, np.zeros((len(queries), 1))], 1).astype(np.float32)
-            out, waiting, width = [], np.arange(len(queries)), max(beam, k + 1)
-            while len(waiting):
-                again = []
-                for q, near in zip(waiting.tolist(), search(graph, extended[waiting], width), strict=True):
-                    # The k + 1 least ids of each point are enough: one may be the query's own.
-                    rows = np.concatenate([order[begin[p] : min(begin[p + 1], begin[p] + k + 1)] for p in near[near >= 0].tolist()])
-                    rows = rows[ids[rows] != qids[q]]
-                    scores = matrix[rows] @ queries[q]
-                    best = np.lexsort((ids[rows], -scores))
-                    best = best[np.sort(np.unique(ids[rows][best], return_index=True)[1])][:k]  # an id by its best vector
-                    if len(best) < k and width < len(graph.points):
-                        again.append(q)
-                        continue
-                    out.append((np.full(len(best), qids[q]), np.full(len(best), row["block"] * (1 << 20) + q), ids[rows][best], scores[best]))
-                waiting, width = np.array(again, np.int64), 2 * width
-            if out:
-                columns = [np.concatenate(c) for c in zip(*out, strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["query_id", "query_row", "vec_id", "score"])
-
-    pairs = work.join(indexes, "shard").select("block", "query_ids", "queries", "ids", "groups", "vectors", "layers")
-    pairs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1")
-    found = common.stash(pairs.mapInArrow(run, "query_id bigint, query_row bigint, vec_id bigint, score double"), "ann-found")
-    pairs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "512")
-    return found
-
-
-def nearest(vectors: DataFrame, is_query, k: int = 20, shard_rows: int = SHARD_ROWS, links: int = LINKS, build_beam: int = BUILD_BEAM, search_beam: int = SEARCH_BEAM) -> DataFrame:
+            members = [np.frombuffer(x["members"], np.int32) for x in row["layers"]]
+            graph = Graph(extend(matrix[order[begin[:-1]]]), members, [np.frombuffer(x["links"], np.int32).reshape(len(m), -1) for x, m in zip(row["layers"], members, strict=True)])
+            for block, query_ids, data in zip(*(asked.column(c).to_pylist() for c in ("block", "query_ids", "queries")), strict=True):
+                queries = np.frombuffer(data, np.float64).reshape(-1, matrix.shape[1])
+                out += [(np.full(len(best), qid), np.full(len(best), block), np.full(len(best), q, np.int32), best, scores) for q, qid, best, scores in _best(graph, ids, order, begin, matrix, np.frombuffer(query_ids, np.int64), queries, k, beam)]
+        columns = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [np.zeros(0, t) for t in (np.int64, np.int64, np.int32, np.int64, np.float64)]
+        return pa.table(dict(zip(("query_id", "block", "q", "vec_id", "score"), map(pa.array, columns), strict=True)))
+
+    pairs = loaded.repartitionById(total, "slot").groupBy("slot").cogroup(work.repartitionById(total, "slot").groupBy("slot"))
+    return common.stash(pairs.applyInArrow(run, "query_id bigint, block bigint, q int, vec_id bigint, score double"), "ann-found")
+
+
+def _best(graph: Graph, ids: np.ndarray, order: np.ndarray, begin: np.ndarray, matrix: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int, beam: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(q, query id, ids, scores) of the k best ids in a shard for each query. order, begin: the rows of each point."""
+    extended = np.concatenate([queries, np.zeros((len(queries), 1))], 1).astype(np.float32)
+    waiting, width = np.arange(len(queries)), max(beam, k + 1)
+    while len(waiting):
+        again = []
+        for q, near in zip(waiting.tolist(), search(graph, extended[waiting], width), strict=True):
+            # The k + 1 least ids of each point are enough: one may be the query's own.
+            rows = np.concatenate([order[begin[p] : min(begin[p + 1], begin[p] + k + 1)] for p in near[near >= 0].tolist()])
+            rows = rows[ids[rows] != query_ids[q]]
+            scores = matrix[rows] @ queries[q]
+            best = np.lexsort((ids[rows], -scores))
+            best = best[np.sort(np.unique(ids[rows][best], return_index=True)[1])][:k]  # an id by its best vector
+            if len(best) < k and width < len(graph.points):
+                again.append(q)
+            else:
+                yield q, int(query_ids[q]), ids[rows][best], scores[best]
+        waiting, width = np.array(again, np.int64), 2 * width
+
+
+def nearest(vectors: DataFrame, is_query, k: int = 20, shard_rows: int = SHARD_ROWS, links: int = LINKS, build_beam: int = BUILD_BEAM, search_beam: int = SEARCH_BEAM, blocks_at_once: int = BLOCKS_AT_ONCE) -> DataFrame:
     """query_id, rank, vec_id, score: the k candidates of largest inner product found for each row with is_query (a
     Column), the row's own id left out, ties to the smaller vec_id."""
     taking = common.stash(usable(vectors), "ann-vectors")
     candidates = common.stash(taking.distinct(), "ann-candidates")
-    shards = max(1, -(-candidates.count() // shard_rows))
-    indexes = build_indexes(candidates, shards, links, build_beam)
-    found = search_shards(indexes, query_blocks(taking.where(is_query)), shards, k, search_beam)
-    distinct = found.groupBy("query_id", "query_row", "vec_id").agg(F.max("score").alias("score"))
-    order = Window.partitionBy("query_row").orderBy(F.desc("score"), "vec_id")
+    layout = Layout.of(candidates, shard_rows)
+    indexes = build_indexes(candidates, layout, links, build_beam)
+    found = search_shards(indexes, query_blocks(taking.where(is_query)), layout, k, search_beam, blocks_at_once)
+    distinct = found.groupBy("query_id", "block", "q", "vec_id").agg(F.max("score").alias("score"))
+    order = Window.partitionBy("block", "q").orderBy(F.desc("score"), "vec_id")
     return distinct.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

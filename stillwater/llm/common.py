@@ -40,8 +40,7 @@ def stash(df: DataFrame, label: str, codec: str = "zstd", by: str | None = None)
 
 
 def map_batches(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """mapInArrow with batches of few rows: texts may be long, and a batch is held in memory."""
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "512")
+    """mapInArrow. Spark cuts batches at spark.sql.execution.arrow.maxBytesPerBatch (64 MB) at the latest."""
     return df.mapInArrow(f, schema)
 
 

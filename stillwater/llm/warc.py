@@ -135,7 +135,6 @@ def normalise(archives: DataFrame) -> DataFrame:
                     offset += len(members[-1])
                 yield pa.RecordBatch.from_arrays([pa.array([name], pa.string()), pa.array([b"".join(members)], pa.binary()), pa.array(["\n".join(lines)])], names=["archive", "data", "sidecar"])
 
-    archives.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "512")
     return archives.select("archive", "data").mapInArrow(run, NORMALISED)
 
 
@@ -168,7 +167,6 @@ def read_records(archives: DataFrame, payload: bool = True) -> DataFrame:
                     columns = dict(zip(names, zip(*rows, strict=True), strict=True))
                     yield pa.RecordBatch.from_arrays([pa.array(columns[n], types.get(n, pa.string())) for n in kept], names=kept)
 
-    archives.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "512")
     return archives.mapInArrow(run, ", ".join(x for x in RECORDS.split(", ") if x.split()[0] in kept))
 
 

@@ -216,6 +216,12 @@ def test_nearest(spark):
         assert all(abs(x - s[i]) < 1e-9 for _, i, x in found)
         hits += len({i for _, i, _ in found} & set(order))
     assert hits >= 0.9 * 10 * len(got)
+    other = spark.createDataFrame([(i, [float(i % 7) + 1, 1.0], 0) for i in range(2020, 2060)], df.schema)
+    mixed = ann.nearest(df.where("vec_id < 300 or vec_id > 1999").union(other), F.col("vec_id") % 20 == 0, k=10, shard_rows=100).collect()
+    assert {r["query_id"] for r in mixed} == {*range(0, 300, 20), 2020, 2040}
+    for q in (2020, 2040):  # their candidates are the vectors of their length
+        want = sorted(((-((i % 7 + 1) * (q % 7 + 1) + 1), i) for i in range(2020, 2060) if i != q))[:10]
+        assert [(-s, i) for s, i in want] == sorted(((r["score"], r["vec_id"]) for r in mixed if r["query_id"] == q), key=lambda x: (-x[0], x[1]))
     few = ann.nearest(df.where("vec_id < 5"), F.col("vec_id") % 20 == 0).collect()
     assert sorted(r["vec_id"] for r in few) == [1, 2, 3, 4]
     assert ann.nearest(df.limit(0), F.col("vec_id") % 20 == 0).count() == 0
@@ -244,13 +250,23 @@ def test_neighbours_of_repeated_rows(spark):
     for name, table in tables.items():
         df = spark.createDataFrame(table, "vec_id long, embedding array<double>")
         got = {}
-        for r in ann.nearest(df, F.col("vec_id") % 20 == 0, k=20).orderBy("query_id", "rank").collect():
+        for r in ann.nearest(df.repartition(40), F.col("vec_id") % 20 == 0, k=20, blocks_at_once=1).orderBy("query_id", "rank").collect():
             got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], round(r["score"], 9)))
         times = Counter(i for i, _ in table)
         assert {q: sorted({i for _, i, _ in x}) for q, x in got.items()} == {q: sorted(x) for q, x in want.items()}, name
         assert all(len(x) == 20 * times[q] for q, x in got.items()), name
 
 
+def test_blocks_of_late_partitions(spark):
+    """Numbers of blocks in partitions beyond the thousandth need more than 42 bits."""
+    far = spark.range(3).select((F.col("id") + 1).alias("vec_id"), F.array(F.lit(1.0), F.col("id").cast("double")).alias("embedding"))
+    layout = ann.Layout.of(far, 10)
+    blocks = ann.query_blocks(far).withColumn("block", F.lit(5000 << 33))
+    got = ann.search_shards(ann.build_indexes(far, layout), blocks, layout, 2).collect()
+    assert {(r["query_id"], r["vec_id"], r["score"]) for r in got} == {(1, 2, 1.0), (1, 3, 1.0), (2, 1, 1.0), (2, 3, 3.0), (3, 1, 1.0), (3, 2, 3.0)}
+    assert {r["block"] for r in got} == {5000 << 33}
+
+
 # --------------------------------------------------------------------------- pipeline
 
 
