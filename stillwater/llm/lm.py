@@ -19,6 +19,9 @@ words are one word more in each group. As contexts, words of a group share the g
 Beside it stands a unigram base: log10((c + 0.5) / (N + 0.5 (V + 1))) for each token. The counts of the most frequent
 words are broadcast; those of all others are taken in the groups.
 
+The copies start alike and see what their tasks read, so the model, and with it `score`, depends a little on how the
+rows lie in files; counts and base do not, and neither depends on the order in which tasks end.
+
 Defined cases: a null text is the empty text, of one token, the end; null ids belong to the fold of the empty
 text; repeated rows each give a row; without training texts every token has base probability 1 / 1 and the model
 knows only its special classes; an empty table gives an empty table; only doc_id and text are read.
@@ -223,29 +226,48 @@ def end_class(vocab: Vocabulary) -> int:
 
 # --------------------------------------------------------------------------- inside a group
 
-PRIOR, ROUNDS = 8.0, 4
+PRIOR, ROUNDS, ROWS_AT_ONCE = 8.0, 4, 2048
+
 
+def _chunks(n: int, m: int) -> Iterator[slice]:
+    """Slices of n rows against m columns that stay within a core's cache."""
+    step = max(64, ROWS_AT_ONCE * 64 // max(64, m))
+    return (slice(at, at + step) for at in range(0, n, step))
 
-def _fit(q: np.ndarray, target: np.ndarray, counts: np.ndarray, every: np.ndarray, chosen: np.ndarray) -> np.ndarray:
-    """A softmax over len(counts) symbols (counts: smoothed), fitted to the training pairs (q, target); the log-probability
-    of each chosen symbol in its context of `every`. Steps are Newton's with the curvature's bound by each symbol's count,
-    and a ridge prior of PRIOR tokens."""
-    bias, vectors = np.log(counts / counts.sum()), np.zeros((len(counts), q.shape[1]))
 
-    def logs(q):
-        x = q @ vectors.T + bias
-        x -= x.max(1, keepdims=True)
-        return x - np.log(np.exp(x).sum(1, keepdims=True))
+def _logits(q: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """q (with a last column of ones) against vectors and biases; far beyond any fitted value they are cut."""
+    x = q @ weights
+    return np.clip(x, -80, 80, out=x)
 
-    if len(target) and len(counts) > 1:
-        size = float(np.einsum("ij,ij->", q, q) / len(q)) + 1e-9
-        seen = np.bincount(target, minlength=len(counts)).astype(float)
-        observed = np.zeros_like(vectors)
-        np.add.at(observed, target, q)
+
+def _fit(q: np.ndarray, symbols: np.ndarray, counts: np.ndarray, every: np.ndarray, chosen: np.ndarray) -> np.ndarray:
+    """A softmax over len(counts) symbols (counts: smoothed), fitted to the training pairs (q, symbols), which come sorted by
+    symbol; the log-probability of each chosen symbol in its context of `every`. q, every: with a last column of ones. Steps
+    are Newton's with the curvature's bound by each symbol's count, and a ridge prior of PRIOR tokens."""
+    m, d = len(counts), q.shape[1] - 1
+    weights = np.zeros((d + 1, m), np.float32)
+    weights[d] = np.log(counts / counts.sum())
+    if len(symbols) and m > 1:
+        size = float(np.einsum("ij,ij->", q[:, :d], q[:, :d], dtype=np.float64) / len(q)) + 1e-9
+        seen = np.bincount(symbols, minlength=m)
+        first = np.flatnonzero(np.append(True, symbols[1:] != symbols[:-1]))
+        observed = np.zeros((m, d))
+        observed[symbols[first]] = np.add.reduceat(q[:, :d], first, axis=0, dtype=np.float64)
         for _ in range(ROUNDS):
-            p = np.exp(logs(q))
-            vectors += (observed - p.T @ q - PRIOR * size * vectors) / ((PRIOR + seen) * size)[:, None]
-    return logs(every)[np.arange(len(chosen)), chosen]
+            expected = np.zeros((m, d))
+            for c in _chunks(len(q), m):
+                p = np.exp(_logits(q[c], weights))
+                expected += p.T @ (q[c, :d] / p.sum(1, keepdims=True))
+            vectors = weights[:d].T.astype(np.float64)
+            vectors += (observed - expected - PRIOR * size * vectors) / ((PRIOR + seen) * size)[:, None]
+            weights[:d] = vectors.T
+    out, exact = np.empty(len(every)), weights.astype(np.float64)
+    for c in _chunks(len(every), m):
+        x = _logits(every[c].astype(np.float64), exact)
+        picked = x[np.arange(len(x)), chosen[c]]
+        out[c] = picked - np.log(np.exp(x, out=x).sum(1))
+    return out
 
 
 def group_logs(words: np.ndarray, training: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -255,49 +277,73 @@ def group_logs(words: np.ndarray, training: np.ndarray, q: np.ndarray) -> tuple[
     symbol = np.where(known[at] == words, at, len(known)) if len(known) else np.zeros(len(words), np.int64)
     c = np.append(counts, 0)  # the last symbol stands for all unseen words
     width = int(np.ceil(np.sqrt(len(c))))
+    order = np.argsort(symbol, kind="stable")
+    symbol, learns = symbol[order], training[order]
+    extended = np.ones((len(q), q.shape[1] + 1), np.float32)
+    extended[:, :-1] = (q - q[training].mean(0) if training.any() else q)[order]
     block = symbol // width
-    if training.any():
-        q = q - q[training].mean(0)
     weights = np.add.reduceat(c + 0.5, np.arange(0, len(c), width))
-    out = _fit(q[training], block[training], weights, q, block)
-    order = np.argsort(block, kind="stable")
-    begin = np.searchsorted(block[order], np.arange(len(weights) + 1))
+    logs = _fit(extended[learns], block[learns], weights, extended, block)
+    begin = np.searchsorted(block, np.arange(len(weights) + 1))
     for b in range(len(weights)):
-        here = order[begin[b] : begin[b + 1]]
-        if len(here):
-            learn = here[training[here]]
-            out[here] += _fit(q[learn], symbol[learn] - b * width, c[b * width : (b + 1) * width] + 0.5, q[here], symbol[here] - b * width)
-    return c[symbol], out
+        here = slice(begin[b], begin[b + 1])
+        if begin[b] < begin[b + 1]:
+            inner, mine = symbol[here] - b * width, learns[here]
+            logs[here] += _fit(extended[here][mine], inner[mine], c[b * width : (b + 1) * width] + 0.5, extended[here], inner)
+    out, times = np.empty(len(q)), np.empty(len(q), np.int64)
+    out[order], times[order] = logs, c[symbol]
+    return times, out
+
+
+#: What a token in a group takes along: its word, the step in rows from the token before, and the classes of its contexts.
+_PACKED = [("word", "<u8"), ("step", "<u4"), ("one", "<u4"), ("two", "<u4")]
+_FOUND = [("step", "<u4"), ("count", "<u4"), ("log", "<f4")]
+
+
+def pack(kinds: list[tuple[str, str]], arrays: list[np.ndarray]) -> bytes:
+    """Column by column, and in each byte by byte, so that leading zeros compress away."""
+    return b"".join(np.ascontiguousarray(np.ascontiguousarray(x, kind).view(np.uint8).reshape(len(x), -1).T).tobytes() for (_, kind), x in zip(kinds, arrays, strict=True))
 
 
-_PACKED = np.dtype([("word", "<u8"), ("row", "<u4"), ("one", "<u2"), ("two", "<u2"), ("training", "u1")])
-_FOUND = np.dtype([("row", "<u4"), ("count", "<u4"), ("log", "<f4")])
+def unpack(kinds: list[tuple[str, str]], data: bytes) -> list[np.ndarray]:
+    n, at, out = len(data) // sum(np.dtype(k).itemsize for _, k in kinds), 0, []
+    for _, kind in kinds:
+        width = np.dtype(kind).itemsize
+        planes = np.frombuffer(data, np.uint8, n * width, at).reshape(width, n)
+        out.append(np.ascontiguousarray(planes.T).view(kind).ravel())
+        at += n * width
+    return out
 
 
 def score_groups(packed: DataFrame, model: LogBilinear) -> DataFrame:
-    """(slice, g, data: _PACKED) -> row, known, log_count, inner: sums over the tokens of each row that are in groups."""
+    """(slice, g, learning, data: _PACKED) -> row, known, log_count, inner: sums over the tokens of each row that are in
+    groups. The first `learning` tokens are of training texts."""
     shared = packed.sparkSession.sparkContext.broadcast(model)
 
     def inside(batch: pa.Table) -> pa.Table:
         model = shared.value
         parts = [unpack(_PACKED, x) for x in batch.column("data").to_pylist()]
-        tokens = np.concatenate(parts)
-        q = model.context[tokens["one"]] * model.near + model.context[tokens["two"]] * model.far
+        sizes = [len(p[0]) for p in parts]
+        word, _, one, two = (np.concatenate([p[i] for p in parts]) for i in range(4))
+        training = np.concatenate([np.arange(n) < m for n, m in zip(sizes, batch.column("learning").to_pylist(), strict=True)])
         # In an order that does not depend on how the slices came in.
-        order = np.lexsort((tokens["two"], tokens["one"], tokens["training"], tokens["word"]))
-        found = np.empty(len(tokens), _FOUND)
-        found["row"] = tokens["row"]
-        found["count"][order], found["log"][order] = group_logs(tokens["word"][order], tokens["training"][order] > 0, q[order].astype(np.float64))
-        at = np.cumsum([len(x) for x in parts])[:-1]
-        return pa.table({"slice": batch.column("slice"), "data": pa.array([pack(_FOUND, [x[n] for n in _FOUND.names]) for x in np.split(found, at)], pa.binary())})
+        order = np.lexsort((one.astype(np.uint64) << np.uint64(32) | two, training, word))
+        q = model.context[one[order]] * model.near + model.context[two[order]] * model.far
+        count, log = np.empty(len(word), np.int64), np.empty(len(word))
+        count[order], log[order] = group_logs(word[order], training[order], q)
+        at = np.append(0, np.cumsum(sizes))
+        return pa.table({"slice": batch.column("slice"), "data": pa.array([pack(_FOUND, [p[1], count[a:b], log[a:b]]) for p, a, b in zip(parts, at[:-1], at[1:], strict=True)], pa.binary())})
 
     def together(batch: pa.Table) -> pa.Table:
-        found = np.concatenate([unpack(_FOUND, x) for x in batch.column("data").to_pylist()])
+        parts = [unpack(_FOUND, x) for x in batch.column("data").to_pylist()]
+        row = np.concatenate([np.cumsum(p[0], dtype=np.uint32) for p in parts])  # steps may go back, modulo 2**32
+        count, log = (np.concatenate([p[i] for p in parts]) for i in (1, 2))
         # The sums do not depend on the order of the groups.
-        found = found[np.lexsort((found["log"], found["count"], found["row"]))]
-        rows, at = np.unique(found["row"], return_inverse=True)
-        logs = np.where(found["count"] > 0, np.log10(found["count"] + 0.5), np.log10(0.5))
-        sums = [np.bincount(at, x, len(rows)) for x in (found["count"] > 0, logs, found["log"].astype(np.float64) / np.log(10))]
+        order = np.lexsort((log, count, row))
+        row, count, log = row[order], count[order], log[order].astype(np.float64)
+        rows, at = np.unique(row, return_inverse=True)
+        logs = np.where(count > 0, np.log10(count + 0.5), np.log10(0.5))
+        sums = [np.bincount(at, x, len(rows)) for x in (count > 0, logs, log / np.log(10))]
         start = batch.column("slice")[0].as_py()
         return pa.table({"row": pa.array(rows.astype(np.int64) + start), "known": pa.array(sums[0].astype(np.int64)), "log_count": pa.array(sums[1]), "inner": pa.array(sums[2])})
 
@@ -305,20 +351,6 @@ def score_groups(packed: DataFrame, model: LogBilinear) -> DataFrame:
     return grouped.groupBy("slice").applyInArrow(together, "row bigint, known bigint, log_count double, inner double")
 
 
-def pack(dtype: np.dtype, arrays: list[np.ndarray]) -> bytes:
-    """Column by column, which compresses better than row by row."""
-    return b"".join(np.ascontiguousarray(x, dtype[n]).tobytes() for n, x in zip(dtype.names, arrays, strict=True))
-
-
-def unpack(dtype: np.dtype, data: bytes) -> np.ndarray:
-    n, at = len(data) // dtype.itemsize, 0
-    out = np.empty(n, dtype)
-    for name in dtype.names:
-        out[name] = np.frombuffer(data, dtype[name], n, at)
-        at += n * dtype[name].itemsize
-    return out
-
-
 # --------------------------------------------------------------------------- training and scoring
 
 
@@ -371,7 +403,7 @@ def score(documents: DataFrame, vocab: Vocabulary, model: LogBilinear) -> DataFr
     shared = spark.sparkContext.broadcast((vocab, model))
     key = id(shared)
     names = ["doc_id", "n_tokens", "n_head", "head_log", "model_log", "packed"]
-    struct = pa.struct([("g", pa.int64()), ("data", pa.binary())])
+    struct = pa.struct([("g", pa.int64()), ("learning", pa.int64()), ("data", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab, model = shared.value
@@ -391,20 +423,25 @@ def score(documents: DataFrame, vocab: Vocabulary, model: LogBilinear) -> DataFr
             sums = [np.add.reduceat(x, begin) for x in ((rank >= 0).astype(np.int64), logs[rank], lp / np.log(10))]
             learns = part.column("training").to_numpy(zero_copy_only=False)
             rest = np.flatnonzero(rank < 0)
-            rest = rest[np.argsort(classes[rest], kind="stable")]
-            group = classes[rest] - vocab.rare
             row = np.searchsorted(offsets, rest, "right") - 1
-            columns = [hashes[rest], row, one[rest], two[rest], learns[row]]
+            order = np.lexsort((~learns[row], classes[rest]))
+            rest, row = rest[order], row[order]
+            group = classes[rest] - vocab.rare
             first = np.flatnonzero(np.append(True, group[1:] != group[:-1])) if len(group) else np.zeros(0, np.int64)
-            blobs = [{"g": int(group[a]), "data": pack(_PACKED, [x[a:b] for x in columns])} for a, b in zip(first, np.append(first[1:], len(group)), strict=True)]
+            learning = np.add.reduceat(learns[row].astype(np.int64), first) if len(group) else first
+            step = row.copy()
+            step[1:] -= row[:-1]
+            step[first] = row[first]
+            columns = [hashes[rest], step.astype(np.uint32), one[rest], two[rest]]
+            blobs = [{"g": g, "learning": m, "data": pack(_PACKED, [x[a:b] for x in columns])} for g, m, a, b in zip(group[first].tolist(), learning.tolist(), first.tolist(), [*first[1:].tolist(), len(group)], strict=True)]
             packed = pa.array([blobs, *[None] * (len(n) - 1)], pa.list_(struct))  # with the slice's first row
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n), *(pa.array(x) for x in sums), packed], names=names)
 
     kind = documents.schema["doc_id"].dataType.simpleString()
-    made = common.map_batches(documents.select("doc_id", "text", "training"), run, f"doc_id {kind}, n_tokens bigint, n_head bigint, head_log double, model_log double, packed array<struct<g: bigint, data: binary>>")
+    made = common.map_batches(documents.select("doc_id", "text", "training"), run, f"doc_id {kind}, n_tokens bigint, n_head bigint, head_log double, model_log double, packed array<struct<g: bigint, learning: bigint, data: binary>>")
     # Row numbers rise by one in a partition, so a slice's rows follow that of its first.
     made = common.stash(made.withColumn("row", F.monotonically_increasing_id()), "lm-scored")
-    packed = made.where("packed is not null").select(F.col("row").alias("slice"), F.explode("packed").alias("p")).select("slice", "p.g", "p.data")
+    packed = made.where("packed is not null").select(F.col("row").alias("slice"), F.explode("packed").alias("p")).select("slice", "p.g", "p.learning", "p.data")
     both = made.drop("packed").join(score_groups(packed, model), "row", "left").na.fill(0, ["known"]).na.fill(0.0, ["log_count", "inner"])
     total = np.log10(vocab.tokens + 0.5 * (vocab.words + 1))
     base = F.col("head_log") + F.col("log_count") - F.col("n_tokens") * F.lit(float(total))

@@ -195,6 +195,72 @@ def test_language_model(spark):
     assert lm.score_documents(rows(spark, texts).limit(0)).count() == 0
 
 
+def plain_fit(q, symbols, counts, every, chosen):
+    bias, vectors = np.log(counts / counts.sum()), np.zeros((len(counts), q.shape[1]))
+    size = np.mean((q * q).sum(1)) + 1e-9 if len(q) else 1.0
+    for _ in range(lm.ROUNDS if len(counts) > 1 else 0):
+        gradient = -lm.PRIOR * size * vectors
+        for x, y in zip(q, symbols, strict=True):
+            p = np.exp(vectors @ x + bias)
+            gradient -= np.outer(p / p.sum(), x)
+            gradient[y] += x
+        vectors = vectors + gradient / ((lm.PRIOR + np.bincount(symbols, minlength=len(counts))) * size)[:, None]
+    x = every @ vectors.T + bias
+    return x[np.arange(len(x)), chosen] - np.log(np.exp(x).sum(1))
+
+
+def test_scores_against_plain_sums(spark):
+    """Every token's probability by the definition: a softmax over all classes, in groups one over blocks and one over words."""
+    draw = random.Random(4)
+    texts = [" ".join(f"w{int(draw.paretovariate(0.7)) % 400}" for _ in range(draw.randint(0, 60))) for _ in range(120)] + [None, "new words", "w1"]
+    df = rows(spark, [*texts, texts[0]], [*range(len(texts) - 1), None, None]).withColumn("training", F.coalesce(F.col("doc_id") % 5 != 1, F.lit(True)))
+    vocab = lm.vocabulary(lm.count_words(df.where("training")), classes=20)
+    model = lm.train(df.where("training"), vocab, 6)
+    got = sorted((str(r["doc_id"]), r["n_tokens"], r["score"]) for r in lm.score(df, vocab, model).collect())
+    assert vocab.groups > 2 and len(got) == len(texts) + 1
+    import pyarrow as pa
+
+    tokens = []  # document, word, class, contexts, training
+    ids = [*range(len(texts) - 1), None, None]
+    for d, text in enumerate([*texts, texts[0]]):
+        words, _ = lm.text_tokens(pa.array([text]))
+        classes, _ = lm.to_classes(vocab, words)
+        before = [lm.end_class(vocab)] * 2 + classes.tolist()
+        tokens += [(d, w, c, before[i + 1], before[i], ids[d] is None or ids[d] % 5 != 1) for i, (w, c) in enumerate(zip(words.tolist(), classes.tolist(), strict=True))]
+    want = np.zeros(len(ids))
+    q = np.array([model.context[a] * model.near + model.context[b] * model.far for *_, a, b, _ in tokens], float)
+    for (d, _, c, *_), x in zip(tokens, q, strict=True):
+        s = model.target.astype(float) @ x + model.bias
+        want[d] += s[c] - np.log(np.exp(s).sum())
+    for g in range(vocab.groups):
+        mine = [i for i, t in enumerate(tokens) if t[2] == vocab.rare + g]
+        if mine:
+            learns = np.array([tokens[i][5] for i in mine])
+            known = sorted({tokens[i][1] for i in mine if tokens[i][5]})
+            symbol = np.array([known.index(tokens[i][1]) if tokens[i][1] in known else len(known) for i in mine])
+            counts = np.append([sum(tokens[i][1] == w and tokens[i][5] for i in mine) for w in known], 0) + 0.5
+            x = q[mine] - (q[mine][learns].mean(0) if learns.any() else 0)
+            width = math.ceil(math.sqrt(len(counts)))
+            block = symbol // width
+            logs = plain_fit(x[learns], block[learns], np.array([counts[a : a + width].sum() for a in range(0, len(counts), width)]), x, block)
+            for b in set(block.tolist()):
+                here = block == b
+                logs[here] += plain_fit(x[here & learns], symbol[here & learns] - b * width, counts[b * width : (b + 1) * width], x[here], symbol[here] - b * width)
+            np.add.at(want, [tokens[i][0] for i in mine], logs)
+    found = sorted((str(i), sum(t[0] == d for t in tokens), want[d] / math.log(10)) for d, i in enumerate(ids))
+    assert [x[:2] for x in got] == [x[:2] for x in found]
+    assert max(abs(a[2] - b[2]) for a, b in zip(got, found, strict=True)) < 1e-3
+
+
+def test_scores_depend_little_on_the_layout(spark):
+    draw = random.Random(6)
+    texts = [" ".join(f"w{int(draw.paretovariate(0.8)) % 300}" for _ in range(40)) for _ in range(300)]
+    one, many = ({r["doc_id"]: r for r in lm.score_documents(rows(spark, texts).repartition(n), classes=30, dimensions=8).collect()} for n in (1, 5))
+    assert all(abs(one[i]["base_score"] - many[i]["base_score"]) < 1e-9 for i in one)
+    tokens = sum(r["n_tokens"] for r in one.values())
+    assert abs(sum(one[i]["score"] - many[i]["score"] for i in one)) < 0.05 * tokens
+
+
 def test_words_of_a_group_are_told_apart():
     words = np.array([1, 2] * 200 + [3, 4] * 200, np.uint64)
     q = np.concatenate([np.tile([1.0, 0.0], (400, 1)), np.tile([0.0, 1.0], (400, 1))])
