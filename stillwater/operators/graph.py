@@ -7,9 +7,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from stillwater.operators.numbering import number, running
 from stillwater.operators.storage import Pile, Rounds, keep
 
 
@@ -172,14 +173,8 @@ def terminals(edges: DataFrame, scc: DataFrame) -> DataFrame:
 
 def component_sizes(scc: DataFrame) -> DataFrame:
     """scc, size, number (from 0, by scc), begin: where its states stand when all are sorted by component."""
-    sizes = scc.groupBy("scc").agg(F.count("*").alias("size"))
-    block = sizes.withColumn("block", F.shiftright("scc", 12))
-    sums = block.groupBy("block").agg(F.sum("size").alias("s"), F.count("*").alias("c"))
-    order = Window.orderBy("block")
-    before = sums.select("block", (F.sum("s").over(order) - F.col("s")).alias("sb"), (F.sum("c").over(order) - F.col("c")).alias("cb"))
-    inside = Window.partitionBy("block").orderBy("scc")
-    placed = block.join(before, "block")
-    return placed.select("scc", "size", (F.col("cb") + F.row_number().over(inside) - 1).cast("long").alias("number"), (F.col("sb") + F.sum("size").over(inside) - F.col("size")).alias("begin"))
+    sizes = scc.groupBy("scc").agg(F.count("*").alias("size")).withColumn("one", F.lit(1).cast("long"))
+    return running(sizes, ["scc"], {"number": "one", "begin": "size"}).drop("one")
 
 
 def size_histogram(scc: DataFrame, most: int = 9) -> DataFrame:
@@ -188,12 +183,6 @@ def size_histogram(scc: DataFrame, most: int = 9) -> DataFrame:
 
 
 def vertex_order(scc: DataFrame, level: DataFrame) -> DataFrame:
-    """state, ord: terminal components first, then from the sources down; inside by component, then state. Numbers are
-    range-partitioned: counts of ranges, a running sum over these, and a number inside each range."""
+    """state, ord: terminal components first, then from the sources down; inside by component, then state."""
     keyed = scc.join(level, "scc").select("state", "scc", F.when(F.col("level") == 1, F.lit(0)).otherwise(1).alias("t"), (-F.col("level")).alias("l"))
-    ranked = keyed.repartitionByRange("t", "l", "scc", "state").sortWithinPartitions("t", "l", "scc", "state").withColumn("part", F.spark_partition_id())
-    ranked = keep(ranked)
-    counts = ranked.groupBy("part").agg(F.count("*").alias("c"))
-    before = counts.select("part", (F.sum("c").over(Window.orderBy("part")) - F.col("c")).alias("base"))
-    inside = Window.partitionBy("part").orderBy("t", "l", "scc", "state")
-    return ranked.join(before, "part").select("state", (F.col("base") + F.row_number().over(inside) - 1).cast("long").alias("ord"))
+    return number(keyed, ["t", "l", "scc", "state"], "ord").select("state", "ord")

@@ -6,11 +6,13 @@ rate 0 do not exist. All edges of a state come from one narrow projection; nothi
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stillwater.functions import bits, boolean
+from stillwater.operators.numbering import number, running
 from stillwater.operators.rates import Rates
+from stillwater.operators.storage import keep
 from stillwater.sources.models import BooleanModel
 
 
@@ -50,15 +52,9 @@ def out_degree(edges: DataFrame) -> DataFrame:
 
 
 def column_offsets(edges: DataFrame, vertices: DataFrame) -> DataFrame:
-    """state, begin, end: where each state's edges stand when all are sorted by src. The running sum is taken over
-    blocks of states first, and then inside each block, so that no task has all states."""
-    block = F.shiftright("state", 12)
-    degree = vertices.join(out_degree(edges), F.col("state") == F.col("src"), "left").select("state", block.alias("block"), F.coalesce("degree", F.lit(0)).cast("long").alias("degree"))
-    sums = degree.groupBy("block").agg(F.sum("degree").alias("s"))
-    before = sums.select("block", (F.sum("s").over(Window.orderBy("block")) - F.col("s")).alias("base"))
-    inside = Window.partitionBy("block").orderBy("state")
-    end = F.col("base") + F.sum("degree").over(inside)
-    return degree.join(before, "block").select("state", (end - F.col("degree")).alias("begin"), end.alias("end"))
+    """state, begin, end: where each state's edges stand when all are sorted by src."""
+    degree = vertices.join(out_degree(edges), F.col("state") == F.col("src"), "left").select("state", F.coalesce("degree", F.lit(0)).cast("long").alias("degree"))
+    return running(degree, ["state"], {"begin": "degree"}).select("state", "begin", (F.col("begin") + F.col("degree")).alias("end"))
 
 
 def kinetic_matrix(edges: DataFrame) -> DataFrame:
@@ -71,7 +67,7 @@ def kinetic_matrix(edges: DataFrame) -> DataFrame:
 def submatrix(matrix: DataFrame, members: DataFrame) -> DataFrame:
     """Entries whose row and column are in members (state, grp), renumbered from 0 in each group by state:
     grp, row, col, value."""
-    number = members.withColumn("i", (F.row_number().over(Window.partitionBy("grp").orderBy("state")) - 1).cast("long"))
-    rows = number.select(F.col("grp"), F.col("state").alias("row"), F.col("i").alias("ri"))
-    cols = number.select(F.col("grp").alias("g2"), F.col("state").alias("col"), F.col("i").alias("ci"))
+    placed = keep(number(members.select("state", "grp"), ["state"], "i", by=["grp"]))
+    rows = placed.select(F.col("grp"), F.col("state").alias("row"), F.col("i").alias("ri"))
+    cols = placed.select(F.col("grp").alias("g2"), F.col("state").alias("col"), F.col("i").alias("ci"))
     return matrix.join(rows, "row").join(cols, "col").where("grp = g2").select("grp", F.col("ri").alias("row"), F.col("ci").alias("col"), "value")
