@@ -2,34 +2,33 @@
 
 Every source has a weight schedule over training time 0..1, a straight line from a start to an end multiplier
 with area 1, times its target number of words. The integral of the schedule is the source's cumulative demand;
-its inverse gives the time at which the source's x-th word is due. A source's documents, in an order drawn from
-a digest of their ids, follow one another as often as the target asks, so each copy of a document has a first
-word number, and the inverse at that number is the copy's training position. Range-sorting by position gives
-the training order.
+its inverse gives the time at which the source's x-th word is due. A source's documents follow one another, in an
+order drawn from a digest of their rows, and begin anew when all have had their turn. A copy's middle word has a
+number in this sequence; the inverse at that number is the copy's training position. Where the demand ends before
+it, the copy has none and is not taken. Range-sorting by position gives the training order.
 
-Word numbers are prefix sums over all documents of a source, built in two levels so that no source meets in one
-task: sums of ranges of the digest, a running sum over those sums, and a running sum inside each range.
+Word numbers, places of sources, the filling of sources and ranks in the training order are running sums over
+range-partitioned tables: no source, and not the list of all sources, meets in one task.
 
 Defined cases: a null text has 0 words; a null source is a source, last in order; repeated rows, repeated and
-null ids each count as a document of their own; documents of 0 words are taken as often as their source's whole
-passes (at least once where the source has no words at all, so that nothing is lost); an empty table gives an
-empty table.
+null ids each count as a document of their own; a document of 0 words is taken like others of its place in the order,
+and once where its source has no words at all; an empty table gives an empty table; other columns are not read by
+plan() and come through mix() whatever their names.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stillwater.llm import common
+from stillwater.operators.numbering import number, running
 
 WEIGHTS = (5.0, 2.0, 1.0)
 #: Start and end multipliers of the schedules, by the source's place in order, repeating; each pair's mean is 1.
 RAMPS = ((1.5, 0.5), (1.0, 1.0), (0.5, 1.5))
 SHARE, MOST_PASSES = 1.5, 2.0
-#: Rows of the source table below which it is broadcast; above, the join is salted instead.
-SMALL_ROWS = 100_000
-ROWS_PER_RANGE = 4_096
+SALTS = 32
 
 
 def word_count(text: str = "text") -> Column:
@@ -41,74 +40,82 @@ def _cycle(values, place: Column) -> Column:
 
 
 def source_targets(per_source: DataFrame, weights=WEIGHTS, share: float = SHARE, most_passes: float = MOST_PASSES) -> DataFrame:
-    """source, source_size -> and place, weight, target: shares by weight of `share` times all words, at most
+    """source, source_size -> and place, weight, target, base: shares by weight of `share` times all words, at most
     most_passes times the source's size. What a full source leaves is shared again by weight, until none is
-    above: sources fill up in the order of size by weight, so the full ones are a prefix of that order."""
-    everything = Window.partitionBy(F.lit(0))  # a row for each source
-    rising = everything.orderBy("full", F.col("source").asc_nulls_last())
-    earlier = rising.rowsBetween(Window.unboundedPreceding, -1)
-    df = per_source.withColumn("place", F.row_number().over(everything.orderBy(F.col("source").asc_nulls_last())) - 1)
-    df = df.withColumn("weight", _cycle(weights, F.col("place"))).withColumn("cap", F.col("source_size") * F.lit(float(most_passes)))
-    df = df.withColumn("full", F.col("cap") / F.col("weight")).withColumn("budget", F.sum("source_size").over(everything) * F.lit(float(share)))
-    df = df.withColumn("cap_before", F.coalesce(F.sum("cap").over(earlier), F.lit(0.0))).withColumn("weight_left", F.sum("weight").over(everything) - F.coalesce(F.sum("weight").over(earlier), F.lit(0.0)))
-    df = df.withColumn("is_full", F.col("full") * F.col("weight_left") <= F.col("budget") - F.col("cap_before"))
-    left = F.col("budget") - F.coalesce(F.sum(F.when(F.col("is_full"), F.col("cap"))).over(everything), F.lit(0.0))
-    free = F.sum(F.when(~F.col("is_full"), F.col("weight"))).over(everything)
-    target = F.when(F.col("is_full"), F.col("cap")).otherwise(F.col("weight") * left / free)
-    return df.withColumn("target", target).select("source", "place", "weight", "source_size", "n", "target")
-
-
-def due(words_before: Column, target: Column, place: Column, ramps=RAMPS) -> Column:
-    """The time at which the cumulative demand target * (s t + (e - s) t^2 / 2) reaches words_before."""
+    above: sources fill up in the order of size by weight, so the full ones are a prefix of that order. base: the words of
+    the sources of earlier places."""
+    name = F.col("source").asc_nulls_last()
+    one = per_source.withColumn("one", F.lit(1).cast("long"))
+    df = running(one, [name], {"place": "one", "base": "source_size"}).drop("one").withColumn("weight", _cycle(weights, F.col("place")))
+    df = df.withColumn("cap", F.col("source_size") * F.lit(float(most_passes))).withColumn("full", F.col("cap") / F.col("weight"))
+    df = common.stash(running(df, ["full", "place"], {"cap_before": "cap", "weight_before": "weight"}), "mix-filling")
+    words, weight = df.agg(F.coalesce(F.sum("source_size"), F.lit(0)), F.coalesce(F.sum("weight"), F.lit(0.0))).first()
+    budget = words * float(share)
+    df = df.withColumn("is_full", F.col("full") * (F.lit(weight) - F.col("weight_before")) <= F.lit(budget) - F.col("cap_before"))
+    taken, free = df.agg(F.coalesce(F.sum(F.when(F.col("is_full"), F.col("cap"))), F.lit(0.0)), F.coalesce(F.sum(F.when(~F.col("is_full"), F.col("weight"))), F.lit(1.0))).first()
+    target = F.when(F.col("is_full"), F.col("cap")).otherwise(F.col("weight") * F.lit(budget - taken) / F.lit(free))
+    return df.select("source", "place", "weight", "source_size", "base", target.alias("target"))
+
+
+def due(word: Column, target: Column, place: Column, ramps=RAMPS) -> Column:
+    """The time at which the cumulative demand target * (s t + (e - s) t^2 / 2) reaches word; null if it never does."""
     start, bend = _cycle([s for s, _ in ramps], place), _cycle([(e - s) / 2 for s, e in ramps], place)
-    y = F.least(F.lit(1.0), words_before / target)
+    y = F.when(target > 0, word / target).otherwise(0.0)
     t = F.when(bend == 0, y / start).otherwise((F.sqrt(F.greatest(F.lit(0.0), start * start + 4 * bend * y)) - start) / (2 * bend))
-    return F.when(target > 0, F.least(F.lit(1.0), t)).otherwise(F.lit(0.0))
+    return F.when(word <= target, F.greatest(F.lit(0.0), F.least(F.lit(1.0), t)))
 
 
-def _with_targets(docs: DataFrame, targets: DataFrame) -> DataFrame:
-    """docs with their source's row: broadcast up to SMALL_ROWS sources, else a join on source and salt."""
-    if targets.count() <= SMALL_ROWS:
-        small = F.broadcast(targets.withColumnRenamed("source", "their"))
-        return docs.join(small, docs["source"].eqNullSafe(small["their"])).drop("their")
-    salted = targets.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(31)))).withColumnRenamed("source", "their")
-    docs = docs.withColumn("salt", F.pmod(F.xxhash64("draw"), F.lit(32)))
-    return docs.join(salted, docs["source"].eqNullSafe(salted["their"]) & (docs["salt"] == salted["salt"])).drop("their", "salt")
+def sized_rows(documents: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
+    """row (a number of its own for each row), doc_id, source, size, draw (a digest of id, source and text) and `carry`, in
+    shared storage."""
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    draw = F.md5(F.concat_ws("|", text("doc_id"), text("source"), F.md5(text("text").cast("binary"))).cast("binary"))
+    sized = documents.select("doc_id", "source", word_count().alias("size"), draw.alias("draw"), *carry)
+    return common.stash(sized.withColumn("row", F.monotonically_increasing_id()), "mix-sizes")
 
 
-def plan(documents: DataFrame, weights=WEIGHTS, share: float = SHARE, most_passes: float = MOST_PASSES, ramps=RAMPS, carry: tuple[str, ...] = ()) -> DataFrame:
-    """A row for each document: doc_id, source, size, source_size, target, n_copies, taken, positions (of its
-    copies, array<double>), and the columns of `carry`. The size and the digest of each text are taken once."""
-    sized = documents.select("doc_id", "source", word_count().alias("size"), F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")).alias("draw"), *carry)
-    sized = common.stash(sized, "mix-sizes")
-    per_source = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n"))
+def _with_targets(rows: DataFrame, targets: DataFrame) -> DataFrame:
+    """rows with their source's row, by source and salt, as a source may have any share of all rows."""
+    salted = targets.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).withColumnRenamed("source", "their")
+    rows = rows.withColumn("salt", F.pmod(F.xxhash64("row"), F.lit(SALTS)).cast("int"))
+    return rows.join(salted, rows["source"].eqNullSafe(salted["their"]) & (rows["salt"] == salted["salt"])).drop("their", "salt")
+
+
+def assigned(sized: DataFrame, weights=WEIGHTS, share: float = SHARE, most_passes: float = MOST_PASSES, ramps=RAMPS) -> DataFrame:
+    """sized_rows() -> a row for each, with source_size, target and positions (array<double>, those of its copies)."""
+    narrow = sized.select("row", "doc_id", "source", "size", "draw")
+    per_source = narrow.groupBy("source").agg(F.sum("size").alias("source_size"))
     targets = common.stash(source_targets(per_source, weights, share, most_passes), "mix-targets")
-    largest = targets.agg(F.max("n")).first()[0] or 1
-    bits = min(40, max(0, int(largest / ROWS_PER_RANGE).bit_length()))
-    lead = F.conv(F.substring("draw", 1, 10), 16, 10).cast("long")
-    df = _with_targets(sized.withColumn("range", F.shiftright(lead, 40 - bits)), targets)
-    keys = ["place", "range"]  # the place stands for the source, and is never null
-    sums = df.groupBy(*keys).agg(F.sum("size").alias("range_size"))
-    running = Window.partitionBy("place").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.select(*keys, F.coalesce(F.sum("range_size").over(running), F.lit(0)).alias("base"))
-    inside = Window.partitionBy(*keys).orderBy("draw", F.col("doc_id").asc_nulls_first(), "size").rowsBetween(Window.unboundedPreceding, -1)
-    df = df.join(sums, keys).withColumn("before", F.col("base") + F.coalesce(F.sum("size").over(inside), F.lit(0)))
-    passes = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(1)).cast("long")
-    df = df.withColumn("passes", passes)
-    rest = F.col("target") - F.col("passes") * F.col("source_size")
-    df = df.withColumn("n_copies", F.col("passes") + F.when(F.col("before") + F.col("size") / 2 <= rest, 1).otherwise(0).cast("long"))
-    df = df.withColumn("n_copies", F.least(F.col("n_copies"), F.lit(int(most_passes)).cast("long")))
-    copies = F.when(F.col("n_copies") > 0, F.sequence(F.lit(0).cast("long"), F.col("n_copies") - 1)).otherwise(F.array().cast("array<bigint>"))
-    positions = F.transform(copies, lambda j: due(F.col("before") + j * F.col("source_size"), F.col("target"), F.col("place"), ramps))
-    return df.withColumn("positions", positions).select("doc_id", "source", "size", "source_size", "target", "n_copies", (F.col("size") * F.col("n_copies")).alias("taken"), "positions", *carry)
+    # Rows equal up to their number are the same document twice, and may change places.
+    placed = running(_with_targets(narrow, targets), ["place", "draw", "row"], {"words": "size"})
+    before = F.col("words") - F.col("base")
+    passes = F.sequence(F.lit(0), F.when(F.col("source_size") > 0, F.lit(int(most_passes) - 1)).otherwise(F.lit(0)))
+    middle = lambda j: before + j * F.col("source_size") + F.col("size") / 2
+    positions = F.array_compact(F.transform(passes, lambda j: due(middle(j), F.col("target"), F.col("place"), ramps)))
+    return placed.select("row", "doc_id", "source", "size", "draw", "source_size", "target", positions.alias("positions"))
+
+
+def training_order(copies: DataFrame) -> DataFrame:
+    """assigned() -> row, rank, position of each copy taken, in the training order; ranks are places in it from 0."""
+    each = copies.select("row", "draw", F.posexplode("positions").alias("copy", "position"))
+    return number(each, ["position", "draw", "copy", "row"], "rank").select("row", "rank", "position")
+
+
+def plan(documents: DataFrame, **schedule) -> DataFrame:
+    """A row for each document: doc_id, source, size, source_size, target, and of its copies in the training order: taken (their
+    words), n_copies, positions (array<double>) and ranks (array<bigint>)."""
+    copies = common.stash(assigned(sized_rows(documents), **schedule), "mix-positions")
+    found = training_order(copies).groupBy("row").agg(F.array_sort(F.collect_list("rank")).alias("ranks"), F.count("*").alias("n_copies"))
+    none = F.array().cast("array<bigint>")
+    out = copies.join(found, "row", "left").withColumns({"n_copies": F.coalesce("n_copies", F.lit(0)).cast("long"), "ranks": F.coalesce("ranks", none)})
+    return out.select("doc_id", "source", "size", "source_size", "target", (F.col("size") * F.col("n_copies")).alias("taken"), "n_copies", "positions", "ranks")
 
 
 def mix(documents: DataFrame, **schedule) -> DataFrame:
     """The training stream: the columns of documents, a row for each copy taken, range-sorted by position."""
     columns = documents.columns
-    rest = [c for c in columns if c not in ("doc_id", "source")]
-    held = documents.select("doc_id", "source", F.struct(*rest).alias("held_"), F.coalesce("text", F.lit("")).alias("text"))
-    numbered = plan(held, carry=("held_",), **schedule)
-    stream = numbered.withColumn("position_", F.explode("positions"))
-    ordered = stream.repartitionByRange("position_", F.col("doc_id")).sortWithinPartitions("position_", "doc_id")
-    return ordered.select(*[F.col(c) if c in ("doc_id", "source") else F.col(f"held_.`{c}`").alias(c) for c in columns])
+    held = sized_rows(documents.select("doc_id", "source", F.struct(*columns).alias("held_"), "text"), carry=("held_",))
+    copies = assigned(held, **schedule).select("row", "draw", F.posexplode("positions").alias("copy_", "position_"))
+    stream = held.select("row", "held_").join(copies, "row")
+    ordered = stream.repartitionByRange("position_", "draw", "copy_", "row").sortWithinPartitions("position_", "draw", "copy_", "row")
+    return ordered.select(*[F.col(f"held_.`{c}`").alias(c) for c in columns])

@@ -60,8 +60,9 @@ def op8_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = common.table(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    return mixing.plan(docs).select("doc_id", "size", "source_size", "target", "taken", "source", "n_copies", "positions")
+    made = mixing.plan(common.table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+    first = F.round(F.get("positions", F.lit(0)), 9).alias("first_position")
+    return made.select("doc_id", "size", "source_size", "target", "taken", "source", "n_copies", first, F.array_join("ranks", ",").alias("ranks"))
 
 
 def op10_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -124,4 +125,34 @@ SELECT kind, chosen_id, rejected_id, CAST(any_value(n_common) AS BIGINT) AS n_co
 FROM placed GROUP BY kind, chosen_id, rejected_id
 """
 
-ORACLES: dict[str, str] = {"op3_chat": _CHAT_SQL}
+_MIXING_SQL = """
+WITH sized AS (
+  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS size,
+    md5(concat(coalesce(CAST(doc_id AS VARCHAR), ''), '|', coalesce(source, ''), '|', md5(coalesce(text, '')))) AS draw, row_number() OVER () AS r
+  FROM documents),
+per_source AS (
+  SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS place FROM sized GROUP BY source),
+weighed AS (
+  SELECT *, CAST([5, 2, 1][place % 3 + 1] AS DOUBLE) AS weight, source_size * 2.0::DOUBLE AS cap, sum(source_size) OVER () * 1.5::DOUBLE AS budget FROM per_source),
+levels AS (  -- at level x each source takes min(cap, weight * x); caps are filled one after another
+  SELECT a.cap / a.weight AS x, sum(least(b.cap, b.weight * (a.cap / a.weight))) AS amount FROM weighed a CROSS JOIN weighed b GROUP BY a.source, a.cap, a.weight),
+level AS (SELECT coalesce(max(x), 0) AS x FROM levels, (SELECT max(budget) AS budget FROM weighed) WHERE amount <= budget),
+targets AS (
+  SELECT w.*, CASE WHEN cap / weight <= x THEN cap ELSE weight * (budget - coalesce(sum(cap) FILTER (cap / weight <= x) OVER (), 0))
+    / sum(weight) FILTER (cap / weight > x) OVER () END AS target FROM weighed w, level),
+numbered AS (
+  SELECT s.*, t.place, t.source_size, t.target, sum(s.size) OVER (PARTITION BY t.place ORDER BY s.draw, s.r) - s.size AS before
+  FROM sized s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source),
+copies AS (
+  SELECT *, before + j * source_size + size / 2.0::DOUBLE AS middle FROM numbered, (VALUES (0), (1)) AS passes(j) WHERE j = 0 OR source_size > 0),
+due AS (
+  SELECT r, draw, j, CASE place % 3 WHEN 0 THEN (1.5::DOUBLE - sqrt(greatest(0, 2.25::DOUBLE - 2 * y))) WHEN 1 THEN y ELSE (sqrt(0.25::DOUBLE + 2 * y) - 0.5::DOUBLE) END AS t
+  FROM (SELECT *, CASE WHEN target > 0 THEN middle / target ELSE 0 END AS y FROM copies) WHERE middle <= target),
+ranked AS (SELECT *, row_number() OVER (ORDER BY t, draw, j, r) - 1 AS k FROM due),
+found AS (
+  SELECT r, count(*) AS n, round(min(t), 9) AS first_position, string_agg(CAST(k AS VARCHAR), ',' ORDER BY k) AS ranks FROM ranked GROUP BY r)
+SELECT doc_id, size, source_size, target, CAST(size * coalesce(n, 0) AS BIGINT) AS taken, source, CAST(coalesce(n, 0) AS BIGINT) AS n_copies, first_position, coalesce(ranks, '') AS ranks
+FROM numbered LEFT JOIN found USING (r)
+"""
+
+ORACLES: dict[str, str] = {"op3_chat": _CHAT_SQL, "op9_mixing": _MIXING_SQL}

@@ -172,7 +172,7 @@ def test_mixing(spark):
     draw = random.Random(4)
     sizes = {"a": 300, "b": 40, "c": 200, None: 60}
     rows = [(len(s) * 100_000 + i if s else i, s, text_of(draw, draw.randint(1, 30))) for s, n in sizes.items() for i in range(n)]
-    rows += [(9, "z", None), (9, "z", None), (None, "a", "x y")]
+    rows += [(9, "z", None), (9, "z", None), *[(None, "a", "x y")] * 50, *[(None, None, f"{i} y") for i in range(50)]]
     df = spark.createDataFrame([(*r, 0.5) for r in rows], "doc_id bigint, source string, text string, target double")
     got = mixing.plan(df).collect()
     assert len(got) == len(rows)
@@ -186,11 +186,39 @@ def test_mixing(spark):
     assert abs(sum(x[2] for x in by.values()) - min(1.5 * total, 2 * total)) < 1e-6
     for size, taken, target in by.values():
         assert target <= 2 * size + 1e-9 and abs(taken - target) <= 30
+    order = sorted((k, p) for r in got for k, p in zip(r["ranks"], sorted(r["positions"]), strict=True))
+    assert [k for k, _ in order] == list(range(len(order))) and [p for _, p in order] == sorted(p for _, p in order)
     again = sorted((str(r["doc_id"]), r["source"] or "", r["taken"]) for r in mixing.plan(df.repartition(3)).collect())
     assert again == sorted((str(r["doc_id"]), r["source"] or "", r["taken"]) for r in got)
     stream = mixing.mix(df)
     assert stream.columns == df.columns and stream.count() == sum(r["n_copies"] for r in got)
     assert mixing.plan(df.limit(0)).count() == 0
+    many = spark.range(700).select(F.col("id").alias("doc_id"), F.concat(F.lit("host"), F.col("id")).alias("source"), F.repeat(F.lit("a "), (F.col("id") % 9).cast("int")).alias("text"))
+    full = mixing.plan(many).collect()
+    assert len(full) == 700 and abs(sum(r["target"] for r in full) - 1.5 * sum(r["size"] for r in full)) < 1e-6
+    assert all(r["target"] <= 2 * r["size"] and r["taken"] in (0, r["size"], 2 * r["size"]) for r in full)
+
+
+def plain_filling(sizes, weights, share, most):
+    """Targets by raising the level of all sources that are not full, step by step."""
+    targets, left, open_ = [0.0] * len(sizes), share * sum(sizes), {i for i, s in enumerate(sizes) if s}
+    while open_ and left > 1e-9:
+        x = min(left / sum(weights[i] for i in open_), min((most * sizes[i] - targets[i]) / weights[i] for i in open_))
+        for i in open_:
+            targets[i] += weights[i] * x
+            left -= weights[i] * x
+        open_ = {i for i in open_ if targets[i] < most * sizes[i] - 1e-9}
+    return targets
+
+
+def test_targets_fill_like_water(spark):
+    draw = random.Random(2)
+    for n in (1, 2, 5, 40):
+        sizes = [int(draw.paretovariate(0.6)) for _ in range(n)]
+        df = spark.createDataFrame([(f"s{i:03d}", s) for i, s in enumerate(sizes)], "source string, source_size bigint")
+        got = {r["source"]: r["target"] for r in mixing.source_targets(df).collect()}
+        want = plain_filling(sizes, [(5, 2, 1)[i % 3] for i in range(n)], 1.5, 2)
+        assert all(abs(got[f"s{i:03d}"] - t) < 1e-6 * max(1, t) for i, t in enumerate(want))
 
 
 # --------------------------------------------------------------------------- nearest neighbours
