@@ -29,6 +29,7 @@ knows only its special classes; an empty table gives an empty table; only doc_id
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -295,17 +296,19 @@ def group_logs(words: np.ndarray, training: np.ndarray, q: np.ndarray) -> tuple[
     return times, out
 
 
-#: What a token in a group takes along: its word, the step in rows from the token before, and the classes of its contexts.
-_PACKED = [("word", "<u8"), ("step", "<u4"), ("one", "<u4"), ("two", "<u4")]
-_FOUND = [("step", "<u4"), ("count", "<u4"), ("log", "<f4")]
+#: What tokens in a group take along: each word with the length of its run; the step in rows from the token before, and the
+#: classes of the contexts. What comes back: the count of each run's word; the steps, and the log-probabilities.
+_RUNS, _TOKENS = [("word", "<u8"), ("length", "<u4")], [("step", "<u4"), ("one", "<u4"), ("two", "<u4")]
+_COUNTS, _FOUND = [("count", "<u4")], [("step", "<u4"), ("log", "<f4")]
 
 
 def pack(kinds: list[tuple[str, str]], arrays: list[np.ndarray]) -> bytes:
     """Column by column, and in each byte by byte, so that leading zeros compress away."""
-    return b"".join(np.ascontiguousarray(np.ascontiguousarray(x, kind).view(np.uint8).reshape(len(x), -1).T).tobytes() for (_, kind), x in zip(kinds, arrays, strict=True))
+    return zlib.compress(b"".join(np.ascontiguousarray(np.ascontiguousarray(x, kind).view(np.uint8).reshape(len(x), -1).T).tobytes() for (_, kind), x in zip(kinds, arrays, strict=True)), 1)
 
 
 def unpack(kinds: list[tuple[str, str]], data: bytes) -> list[np.ndarray]:
+    data = zlib.decompress(data)
     n, at, out = len(data) // sum(np.dtype(k).itemsize for _, k in kinds), 0, []
     for _, kind in kinds:
         width = np.dtype(kind).itemsize
@@ -315,16 +318,38 @@ def unpack(kinds: list[tuple[str, str]], data: bytes) -> list[np.ndarray]:
     return out
 
 
+def packed_groups(words: np.ndarray, group: np.ndarray, row: np.ndarray, learns: np.ndarray, one: np.ndarray, two: np.ndarray) -> list[dict]:
+    """Tokens as a struct for each group: g, learning (the number of tokens of training texts, which come first), runs, tokens."""
+    if not len(words):
+        return []
+    order = np.lexsort((row, words, ~learns, group))
+    words, group, row, learns, one, two = (x[order] for x in (words, group, row, learns, one, two))
+    new = np.append(True, (words[1:] != words[:-1]) | (learns[1:] != learns[:-1]) | (group[1:] != group[:-1]))
+    runs = np.flatnonzero(new)
+    lengths = np.diff(np.append(runs, len(words)))
+    first = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
+    step = np.diff(row, prepend=0)
+    step[first] = row[first]
+    step = step.astype(np.uint32)  # steps may go back, modulo 2**32
+    learning = np.add.reduceat(learns.astype(np.int64), first)
+    at, end = np.searchsorted(runs, first), np.append(first[1:], len(words))
+    out = []
+    for g, m, a, b, x, y in zip(group[first].tolist(), learning.tolist(), first.tolist(), end.tolist(), at.tolist(), [*at[1:].tolist(), len(runs)], strict=True):
+        out.append({"g": g, "learning": m, "runs": pack(_RUNS, [words[runs[x:y]], lengths[x:y]]), "tokens": pack(_TOKENS, [step[a:b], one[a:b], two[a:b]])})
+    return out
+
+
 def score_groups(packed: DataFrame, model: LogBilinear) -> DataFrame:
-    """(slice, g, learning, data: _PACKED) -> row, known, log_count, inner: sums over the tokens of each row that are in
-    groups. The first `learning` tokens are of training texts."""
+    """slice and packed_groups() -> row, known, log_count, inner: sums over the tokens of each row that are in groups."""
     shared = packed.sparkSession.sparkContext.broadcast(model)
 
     def inside(batch: pa.Table) -> pa.Table:
         model = shared.value
-        parts = [unpack(_PACKED, x) for x in batch.column("data").to_pylist()]
+        runs = [unpack(_RUNS, x) for x in batch.column("runs").to_pylist()]
+        parts = [unpack(_TOKENS, x) for x in batch.column("tokens").to_pylist()]
         sizes = [len(p[0]) for p in parts]
-        word, _, one, two = (np.concatenate([p[i] for p in parts]) for i in range(4))
+        word = np.concatenate([np.repeat(*r) for r in runs])
+        one, two = (np.concatenate([p[i] for p in parts]) for i in (1, 2))
         training = np.concatenate([np.arange(n) < m for n, m in zip(sizes, batch.column("learning").to_pylist(), strict=True)])
         # In an order that does not depend on how the slices came in.
         order = np.lexsort((one.astype(np.uint64) << np.uint64(32) | two, training, word))
@@ -332,12 +357,15 @@ def score_groups(packed: DataFrame, model: LogBilinear) -> DataFrame:
         count, log = np.empty(len(word), np.int64), np.empty(len(word))
         count[order], log[order] = group_logs(word[order], training[order], q)
         at = np.append(0, np.cumsum(sizes))
-        return pa.table({"slice": batch.column("slice"), "data": pa.array([pack(_FOUND, [p[1], count[a:b], log[a:b]]) for p, a, b in zip(parts, at[:-1], at[1:], strict=True)], pa.binary())})
+        counts = [pack(_COUNTS, [count[a + np.cumsum(r[1], dtype=np.int64) - r[1].astype(np.int64)]]) for a, r in zip(at[:-1], runs, strict=True)]
+        found = [pack(_FOUND, [p[0], log[a:b]]) for p, a, b in zip(parts, at[:-1], at[1:], strict=True)]
+        return pa.table({"slice": batch.column("slice"), "lengths": pa.array([pack(_RUNS[1:], [r[1]]) for r in runs], pa.binary()), "counts": pa.array(counts, pa.binary()), "found": pa.array(found, pa.binary())})
 
     def together(batch: pa.Table) -> pa.Table:
-        parts = [unpack(_FOUND, x) for x in batch.column("data").to_pylist()]
-        row = np.concatenate([np.cumsum(p[0], dtype=np.uint32) for p in parts])  # steps may go back, modulo 2**32
-        count, log = (np.concatenate([p[i] for p in parts]) for i in (1, 2))
+        parts = [unpack(_FOUND, x) for x in batch.column("found").to_pylist()]
+        row = np.concatenate([np.cumsum(p[0], dtype=np.uint32) for p in parts])
+        log = np.concatenate([p[1] for p in parts])
+        count = np.concatenate([np.repeat(unpack(_COUNTS, c)[0], unpack(_RUNS[1:], n)[0]) for c, n in zip(batch.column("counts").to_pylist(), batch.column("lengths").to_pylist(), strict=True)])
         # The sums do not depend on the order of the groups.
         order = np.lexsort((log, count, row))
         row, count, log = row[order], count[order], log[order].astype(np.float64)
@@ -347,7 +375,7 @@ def score_groups(packed: DataFrame, model: LogBilinear) -> DataFrame:
         start = batch.column("slice")[0].as_py()
         return pa.table({"row": pa.array(rows.astype(np.int64) + start), "known": pa.array(sums[0].astype(np.int64)), "log_count": pa.array(sums[1]), "inner": pa.array(sums[2])})
 
-    grouped = packed.groupBy("g").applyInArrow(inside, "slice bigint, data binary")
+    grouped = packed.groupBy("g").applyInArrow(inside, "slice bigint, lengths binary, counts binary, found binary")
     return grouped.groupBy("slice").applyInArrow(together, "row bigint, known bigint, log_count double, inner double")
 
 
@@ -403,7 +431,7 @@ def score(documents: DataFrame, vocab: Vocabulary, model: LogBilinear) -> DataFr
     shared = spark.sparkContext.broadcast((vocab, model))
     key = id(shared)
     names = ["doc_id", "n_tokens", "n_head", "head_log", "model_log", "packed"]
-    struct = pa.struct([("g", pa.int64()), ("learning", pa.int64()), ("data", pa.binary())])
+    struct = pa.struct([("g", pa.int64()), ("learning", pa.int64()), ("runs", pa.binary()), ("tokens", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab, model = shared.value
@@ -424,24 +452,15 @@ def score(documents: DataFrame, vocab: Vocabulary, model: LogBilinear) -> DataFr
             learns = part.column("training").to_numpy(zero_copy_only=False)
             rest = np.flatnonzero(rank < 0)
             row = np.searchsorted(offsets, rest, "right") - 1
-            order = np.lexsort((~learns[row], classes[rest]))
-            rest, row = rest[order], row[order]
-            group = classes[rest] - vocab.rare
-            first = np.flatnonzero(np.append(True, group[1:] != group[:-1])) if len(group) else np.zeros(0, np.int64)
-            learning = np.add.reduceat(learns[row].astype(np.int64), first) if len(group) else first
-            step = row.copy()
-            step[1:] -= row[:-1]
-            step[first] = row[first]
-            columns = [hashes[rest], step.astype(np.uint32), one[rest], two[rest]]
-            blobs = [{"g": g, "learning": m, "data": pack(_PACKED, [x[a:b] for x in columns])} for g, m, a, b in zip(group[first].tolist(), learning.tolist(), first.tolist(), [*first[1:].tolist(), len(group)], strict=True)]
+            blobs = packed_groups(hashes[rest], classes[rest] - vocab.rare, row, learns[row], one[rest], two[rest])
             packed = pa.array([blobs, *[None] * (len(n) - 1)], pa.list_(struct))  # with the slice's first row
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n), *(pa.array(x) for x in sums), packed], names=names)
 
     kind = documents.schema["doc_id"].dataType.simpleString()
-    made = common.map_batches(documents.select("doc_id", "text", "training"), run, f"doc_id {kind}, n_tokens bigint, n_head bigint, head_log double, model_log double, packed array<struct<g: bigint, learning: bigint, data: binary>>")
+    made = common.map_batches(documents.select("doc_id", "text", "training"), run, f"doc_id {kind}, n_tokens bigint, n_head bigint, head_log double, model_log double, packed array<struct<g: bigint, learning: bigint, runs: binary, tokens: binary>>")
     # Row numbers rise by one in a partition, so a slice's rows follow that of its first.
     made = common.stash(made.withColumn("row", F.monotonically_increasing_id()), "lm-scored")
-    packed = made.where("packed is not null").select(F.col("row").alias("slice"), F.explode("packed").alias("p")).select("slice", "p.g", "p.learning", "p.data")
+    packed = made.where("packed is not null").select(F.col("row").alias("slice"), F.explode("packed").alias("p")).select("slice", "p.g", "p.learning", "p.runs", "p.tokens")
     both = made.drop("packed").join(score_groups(packed, model), "row", "left").na.fill(0, ["known"]).na.fill(0.0, ["log_count", "inner"])
     total = np.log10(vocab.tokens + 0.5 * (vocab.words + 1))
     base = F.col("head_log") + F.col("log_count") - F.col("n_tokens") * F.lit(float(total))
