@@ -2,17 +2,18 @@
 
 A task reads whole texts, takes each document's set of word shingles and its signature: for every coordinate the
 least value of the set under that coordinate's hash. Documents with equal sets form a class, and the class's
-smallest id stands for it. A class posts itself under (coordinate, value) pairs. Two classes that agree in at
-least `matches` of the coordinates are candidates, so of the pairs that a class shares with any other (counted
-over all classes) all but the last `matches - 1`, rarest first, are posted: two such prefixes meet.
+smallest id stands for it. A class posts itself under the (coordinate, value) pairs of the first `posted` coordinates.
+Two classes that agree in at least `posted_matches` of these are candidates, so of the pairs that a class shares with
+any other (counted over all classes) all but the last `posted_matches - 1`, rarest first, are posted: two such prefixes meet.
 
 Posting lists are never expanded into all pairs. Each member is first held against one leader of its lists;
-agreements of the signatures are counted (the skipped tails with them), pairs above the threshold are confirmed
-on the full sets, and confirmed links are joined into components. A list within one component is done. In the
+agreements of the whole signatures are counted (the skipped tails with them), pairs above the threshold `matches` are
+confirmed on the full sets, and confirmed links are joined into components. A list within one component is done. In the
 others, members outside the list's main component are held against leaders of it and of their own. What is still
-outside then is held against all members: pair by pair in lists with few outside, and else, for all lists of a main
-component together, in blocks, of whose full sets a task takes the intersections as a matrix product and names
-one link for each component that a document meets. No list, partner or candidate is left out.
+outside then meets the other members only under the rare shingles of its full set, again by prefixes: of n shingles all
+but the last ceil(0.8 n) - 1, rarest first. Where few are outside under a shingle, it is pair by pair, and else in
+blocks, of whose full sets a task takes the intersections as a matrix product and names one link for each component that a
+document meets. No list, partner or candidate is left out. Lists are dealt by key and salt, about SALT_ROWS members each.
 
 Defined cases: a null or wordless text has the empty set and links with nothing; a text with fewer words than a
 shingle has its whole word sequence as the one shingle; equal sets always link; a null id links with nothing,
@@ -32,7 +33,8 @@ from pyspark.sql import functions as F
 
 from stillwater.llm import common
 
-COORDINATES, MATCHES = 64, 35
+COORDINATES, MATCHES, POSTED, POSTED_MATCHES = 64, 35, 32, 13
+SALT_ROWS = 1024
 #: Lists with at most so many members outside their main component are finished pair by pair, others in blocks.
 FEW = 16
 #: Documents on each side of a block.
@@ -120,9 +122,9 @@ def connected(links: DataFrame, label: str = "components") -> DataFrame:
 class _Join:
     """The rounds of the inverted join over one table of classes (id, doc_id, set_key, n, signature)."""
 
-    def __init__(self, documents: DataFrame, classes: DataFrame, links: DataFrame | None, width: int, percent: int, matches: int, few: int):
+    def __init__(self, documents: DataFrame, classes: DataFrame, links: DataFrame | None, width: int, percent: int, matches: int, posted: int, posted_matches: int, few: int):
         self.documents, self.classes, self.links = documents, classes, links
-        self.width, self.percent, self.matches, self.few = width, percent, matches, few
+        self.width, self.percent, self.matches, self.posted, self.posted_matches, self.few = width, percent, matches, posted, posted_matches, few
         self.labels = connected(links) if links is not None else None
 
     def comparable(self, n: Column, m: Column) -> Column:
@@ -131,15 +133,22 @@ class _Join:
 
     def elements(self) -> DataFrame:
         """(id, n, element, times): what classes share with others, with the number of classes that have it."""
-        spread = self.classes.select("id", "n", F.posexplode("signature").alias("k", "value"))
+        spread = self.classes.select("id", "n", F.posexplode(F.slice("signature", 1, self.posted)).alias("k", "value"))
         spread = spread.select("id", "n", (F.shiftleft(F.col("k").cast("long"), 32) + F.col("value").cast("long") + F.lit(1 << 31)).alias("element"))
         shared = spread.groupBy("element").agg(F.count("*").alias("times")).where("times > 1")
         return spread.join(shared, "element")
 
-    def prefixes(self, elements: DataFrame, keys: list[str], matches: int) -> DataFrame:
-        """The rarest elements of each group, all but the last matches - 1. A group has at most a signature's length."""
+    def prefixes(self, elements: DataFrame, keys: list[str], matches: Column) -> DataFrame:
+        """The rarest elements of each group, all but the last matches - 1, with salts: among how many tasks the element's
+        list is dealt."""
         ordered = elements.groupBy(*keys, "n").agg(F.array_sort(F.collect_list(F.struct("times", "element"))).alias("all")).where(F.size("all") >= matches)
-        return ordered.select(*keys, "n", F.explode(F.slice("all", F.lit(1), F.size("all") - F.lit(matches - 1))).alias("one")).select(*keys, "n", "one.element")
+        one = ordered.select(*keys, "n", F.explode(F.slice("all", F.lit(1), (F.size("all") - matches + 1).cast("int"))).alias("one")).where("one.times > 1")
+        return one.select(*keys, "n", F.col("one.element").alias("key"), F.ceil(F.col("one.times") / SALT_ROWS).cast("int").alias("salts"))
+
+    def with_lists(self, members: DataFrame, lists: DataFrame, keys: list[str]) -> DataFrame:
+        """members joined with rows of lists (keys, salts and others) by key and salt."""
+        dealt = members.withColumn("salt", F.pmod(F.xxhash64("id"), F.col("salts")).cast("int")).drop("salts")
+        return dealt.join(lists.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))), [*keys, "salt"]).drop("salt")
 
     def confirm(self, pairs: DataFrame) -> DataFrame:
         """Distinct candidate pairs (a, b) -> those whose signatures agree often enough and whose full sets are alike."""
@@ -173,14 +182,14 @@ class _Join:
     def open_lists(self, postings: DataFrame) -> DataFrame:
         """postings of lists that span several components, with label, main (the largest one) and outside (members beyond it)."""
         members = common.stash(self.labelled(postings), "minhash-labelled")
-        tally = members.groupBy("key", "label").agg(F.count("*").alias("c"))
-        lists = tally.groupBy("key").agg(F.max_by("label", F.struct("c", "label")).alias("main"), (F.sum("c") - F.max("c")).alias("outside")).where("outside > 0")
-        return common.stash(members.join(lists, "key"), "minhash-open")
+        tally = members.groupBy("key", "salts", "label").agg(F.count("*").alias("c"))
+        lists = tally.groupBy("key", "salts").agg(F.max_by("label", F.struct("c", "label")).alias("main"), (F.sum("c") - F.max("c")).alias("outside")).where("outside > 0")
+        return common.stash(self.with_lists(members, lists, ["key"]), "minhash-open")
 
     def against_first(self, postings: DataFrame) -> DataFrame:
         """Candidate pairs of each member and the least leader of its lists; a list's leader is its least id."""
-        leaders = postings.groupBy("key").agg(F.min(F.struct("id", "n")).alias("l"))
-        met = postings.join(leaders, "key").where((F.col("id") != F.col("l.id")) & self.comparable(F.col("n"), F.col("l.n")))
+        leaders = postings.groupBy("key", "salts").agg(F.min(F.struct("id", "n")).alias("l"))
+        met = self.with_lists(postings, leaders, ["key"]).where((F.col("id") != F.col("l.id")) & self.comparable(F.col("n"), F.col("l.n")))
         return met.groupBy("id").agg(F.min("l.id").alias("a")).select("a", F.col("id").alias("b"))
 
     def against_leaders(self, open_: DataFrame) -> DataFrame:
@@ -188,48 +197,60 @@ class _Join:
         a leader of those outside. Leaders are drawn anew by each list."""
         drawn = F.struct(F.xxhash64("key", "id").alias("o"), "id", "n", "label")
         inside = F.col("label") == F.col("main")
-        leaders = open_.groupBy("key").agg(F.min(F.when(inside, drawn)).alias("l"), F.min(F.when(~inside, drawn)).alias("m"))
-        out = open_.where(~inside).join(leaders, "key")
+        leaders = open_.groupBy("key", "salts").agg(F.min(F.when(inside, drawn)).alias("l"), F.min(F.when(~inside, drawn)).alias("m"))
+        out = self.with_lists(open_.where(~inside), leaders, ["key"])
         one = out.where(self.comparable(F.col("n"), F.col("l.n"))).groupBy("id", "main").agg(F.min("l.id").alias("a"))
         two = out.where((F.col("label") != F.col("m.label")) & self.comparable(F.col("n"), F.col("m.n"))).groupBy("id").agg(F.min("m.id").alias("a"))
         both = one.select("id", "a").union(two.select("id", "a"))
         return both.select(F.least("id", "a").alias("a"), F.greatest("id", "a").alias("b")).distinct()
 
+    def under_rare_shingles(self, open_: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """The members of each main component's lists, posted under the prefixes of their full sets: main, key, salts, id, n,
+        label, out, outside (members of other components); and the full sets themselves."""
+        parties = common.stash(open_.select("main", "id", "n", "label", (F.col("label") != F.col("main")).alias("out")).distinct(), "minhash-parties")
+        sets = common.stash(self.sets(parties.select("id").distinct()), "minhash-rest-sets", codec="lz4")
+        spread = parties.join(sets, "id").select("main", "id", "n", "label", "out", F.explode("members").alias("element"))
+        times = spread.groupBy("main", "element").agg(F.count("*").alias("times"))
+        least = F.ceil(F.col("n") * self.percent / 100)
+        posted = common.stash(self.prefixes(spread.join(times, ["main", "element"]), ["main", "id", "label", "out"], least), "minhash-rare")
+        lists = posted.groupBy("main", "key", "salts").agg(F.count_if("out").alias("outside")).where("outside > 0")
+        return common.stash(self.with_lists(posted, lists, ["main", "key"]), "minhash-rare-open"), sets
+
     def outside_against_all(self, members: DataFrame) -> DataFrame:
         """Candidate pairs of the members outside each list's main component and all its members of other components."""
-        out = members.where("label <> main").select("key", F.col("id").alias("o"), F.col("n").alias("on"), F.col("label").alias("ol"))
-        met = members.join(out, "key").where((F.col("label") != F.col("ol")) & self.comparable(F.col("n"), F.col("on")))
+        out = members.where("out").select("main", "key", "salts", F.col("id").alias("o"), F.col("n").alias("on"), F.col("label").alias("ol"))
+        met = self.with_lists(members, out, ["main", "key"]).where((F.col("label") != F.col("ol")) & self.comparable(F.col("n"), F.col("on")))
         return met.select(F.least("id", "o").alias("a"), F.greatest("id", "o").alias("b")).distinct()
 
-    def in_blocks(self, members: DataFrame) -> DataFrame:
-        """Links (a, b) of the members outside each main component with all members of its lists. A block has about BLOCK
-        documents of either side, however many there are in all."""
-        parties = common.stash(members.select("main", "id", "label", (F.col("label") != F.col("main")).alias("out")).distinct(), "minhash-parties")
-        counts = parties.groupBy("main").agg(F.ceil(F.count_if("out") / BLOCK).alias("x"), F.ceil(F.count("*") / BLOCK).alias("y"))
-        sets = common.stash(self.sets(parties.select("id").distinct()), "minhash-block-sets", codec="lz4")
-        full = parties.join(counts, "main").join(sets, "id")
+    def in_blocks(self, members: DataFrame, sets: DataFrame) -> DataFrame:
+        """Links (a, b) of the outside members of each list with all its members. A block has about BLOCK documents of either
+        side, however many there are in all."""
+        keys = ["main", "key"]
+        counts = members.groupBy(*keys).agg(F.ceil(F.count_if("out") / BLOCK).alias("x"), F.ceil(F.count("*") / BLOCK).alias("y"))
+        full = members.join(counts, keys).join(sets, "id")
         place = lambda n: F.pmod(F.xxhash64("id"), F.col(n))
         every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
-        left = full.where("out").select(F.lit(True).alias("outside"), "main", "id", "label", "members", place("x").alias("bx"), every("y").alias("by"))
-        right = full.select(F.lit(False).alias("outside"), "main", "id", "label", "members", every("x").alias("bx"), place("y").alias("by"))
+        left = full.where("out").select(F.lit(True).alias("outside"), *keys, "id", "label", "members", place("x").alias("bx"), every("y").alias("by"))
+        right = full.select(F.lit(False).alias("outside"), *keys, "id", "label", "members", every("x").alias("bx"), place("y").alias("by"))
         percent = self.percent
-        links = left.unionByName(right).groupBy("main", "bx", "by").applyInArrow(lambda t: _block_links(t, percent), "a bigint, b bigint")
+        links = left.unionByName(right).groupBy(*keys, "bx", "by").applyInArrow(lambda t: _block_links(t, percent), "a bigint, b bigint")
         return common.stash(links.distinct(), "minhash-links")
 
     def run(self) -> DataFrame | None:
         """(id, component) of all classes that have a link."""
-        elements = common.stash(self.elements(), "minhash-elements")
-        postings = common.stash(self.prefixes(elements, ["id"], self.matches).select(F.col("element").alias("key"), "id", "n"), "minhash-postings")
+        postings = common.stash(self.prefixes(self.elements(), ["id"], F.lit(self.posted_matches)), "minhash-postings")
         self.add(self.confirm(self.against_first(postings)))
         open_ = self.open_lists(postings)
         if open_.isEmpty():
             return self.labels
         self.add(self.confirm(self.against_leaders(open_)))
-        open_ = self.open_lists(open_.select("key", "id", "n"))
-        few = open_.where(F.col("outside") <= self.few)
-        links = self.confirm(self.outside_against_all(few))
-        many = open_.where(F.col("outside") > self.few)
-        self.add(links if many.isEmpty() else links.union(self.in_blocks(many)))
+        open_ = self.open_lists(open_.select("id", "n", "key", "salts"))
+        if open_.isEmpty():
+            return self.labels
+        rest, sets = self.under_rare_shingles(open_)
+        links = self.confirm(self.outside_against_all(rest.where(F.col("outside") <= self.few)))
+        many = rest.where(F.col("outside") > self.few)
+        self.add(links if many.isEmpty() else links.union(self.in_blocks(many, sets)))
         return self.labels
 
 
@@ -268,12 +289,13 @@ def _block_links(block: pa.Table, percent: int) -> pa.Table:
     return pa.table({"a": pa.array(np.minimum(a, b)), "b": pa.array(np.maximum(a, b))})
 
 
-def near_duplicates(documents: DataFrame, width: int = 5, percent: int = 80, coordinates: int = COORDINATES, matches: int = MATCHES, few: int = FEW) -> DataFrame:
+def near_duplicates(documents: DataFrame, width: int = 5, percent: int = 80, coordinates: int = COORDINATES, matches: int = MATCHES, posted: int = POSTED, posted_matches: int = POSTED_MATCHES, few: int = FEW) -> DataFrame:
     """documents (doc_id, text, ...) -> doc_id, n_shingles, component_id, kept: a row for each row.
 
-    width: words in a shingle; percent: the least Jaccard similarity of a link, times 100; coordinates, matches:
-    the signature's length and the agreements that make a candidate (at 64 and 35 a pair at 80 % is missed once
-    in 800,000 times, one at 82 % once in 8 million); few: see FEW."""
+    width: words in a shingle; percent: the least Jaccard similarity of a link, times 100; coordinates, matches: the
+    signature's length and the agreements that make a candidate; posted, posted_matches: the same for the coordinates
+    under which documents are posted (at 64 and 35, 32 and 13 a pair at 80 % is missed once in 700,000 times, one at 85 %
+    once in 370 million); few: see FEW."""
     documents = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     signed = common.stash(signatures(documents, width, coordinates), "minhash-signed")
     classes = signed.where("doc_id is not null and set_key is not null").groupBy("set_key").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), F.first("signature").alias("signature"))
@@ -283,7 +305,7 @@ def near_duplicates(documents: DataFrame, width: int = 5, percent: int = 80, coo
     links = None
     if not several.isEmpty():  # ids with rows of different texts
         links = placed.join(several.select("doc_id", "a"), "doc_id").where("id <> a").select("a", F.col("id").alias("b")).distinct()
-    labels = _Join(documents, classes, links, width, percent, matches, few).run()
+    labels = _Join(documents, classes, links, width, percent, matches, posted, posted_matches, few).run()
     if labels is None:
         labels = classes.select("id", F.col("id").alias("component")).limit(0)
     named = classes.select("id", F.col("doc_id").alias("least")).join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
