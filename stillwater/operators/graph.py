@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stillwater.operators.numbering import number, running
-from stillwater.operators.storage import Pile, Rounds, keep
+from stillwater.operators.storage import Pile, Rounds, divided, keep, measured
 
 
 def vertices_of(edges: DataFrame) -> DataFrame:
@@ -23,11 +23,11 @@ def vertices_of(edges: DataFrame) -> DataFrame:
 
 def closure(start: DataFrame, step: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """All states that repeated steps reach from start(state), start included. step: states -> next states. Each
-    round only steps from the states that the last one found."""
+    round is one job, and only steps from the states that the last one found."""
     seen = Pile(start.select("state").distinct())
     frontier = seen.all
     rounds = Rounds("the closure")
-    while not frontier.isEmpty():
+    while seen.added:
         rounds.next()
         frontier = seen.add(step(frontier).select("state").distinct().join(seen.all, "state", "left_anti"))
     return seen.all
@@ -45,51 +45,61 @@ def backward(edges: DataFrame, start: DataFrame) -> DataFrame:
 
 
 def weak_components(edges: DataFrame, vertices: DataFrame) -> DataFrame:
-    """state, wcc. Alternating star contraction: first larger, then smaller neighbours hang under the least one."""
-    links = edges.select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).where("u <> v").distinct()
-    links = keep(links)
+    """state, wcc. Alternating star contraction: first larger, then smaller neighbours hang under the least one. A round is
+    one job; the links are stars as soon as it changes none, which a digest of all links tells."""
+    digest = F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("x")
+    links, seen = measured(edges.select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).where("u <> v").distinct(), *digest)
     rounds = Rounds("the contraction")
-    while True:
+    while seen["n"]:
         rounds.next()
-        one_parent = links.groupBy("u").count().where("count > 1").isEmpty()
-        if one_parent and links.join(links.select(F.col("u").alias("v")), "v", "left_semi").isEmpty():
-            break
         both = links.union(links.select("v", "u"))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        links = keep(small.union(least.select("u", "m")).distinct())
+        before = seen
+        links, seen = measured(small.union(least.select("u", "m")).distinct(), *digest)
+        if seen == before:
+            break
     return vertices.join(links, F.col("state") == F.col("u"), "left").select("state", F.coalesce("v", "state").alias("wcc"))
 
 
-def trim(edges: DataFrame) -> DataFrame:
-    """edges between states that all have a live edge in and one out: all cycles, and what lies between them."""
-    live, n = edges, None
+def _inner(edges: DataFrame) -> DataFrame:
+    """The edges whose ends both have an edge in and one out."""
+    into, out = edges.select(F.col("dst").alias("src")).distinct(), edges.select(F.col("src").alias("dst")).distinct()
+    return edges.join(into, "src", "left_semi").join(out, "dst", "left_semi").select("src", "dst")
+
+
+def trim(edges: DataFrame) -> tuple[DataFrame, int]:
+    """edges between states that all have a live edge in and one out, and their number: all cycles, and what lies between
+    them. Two steps a job."""
+    live, n = edges.select("src", "dst"), None
     rounds = Rounds("trimming")
     while True:
         rounds.next()
-        into, out = live.select(F.col("dst").alias("src")).distinct(), live.select(F.col("src").alias("dst")).distinct()
-        live = keep(live.join(into, "src", "left_semi").join(out, "dst", "left_semi").select("src", "dst"))
-        now = live.count()
-        if now == n or not now:
-            return live
-        n = now
+        live, seen = measured(_inner(_inner(live)))
+        if seen["n"] == n or not seen["n"]:
+            return live, seen["n"]
+        n = seen["n"]
 
 
 def trim_rounds(edges: DataFrame, vertices: DataFrame) -> DataFrame:
-    """state, round: in which round each state outside the core goes."""
-    live, left, out, k = edges.select("src", "dst"), vertices.select("state"), None, 0
+    """state, round: in which round each state outside the core goes. A round is one job."""
+    left, out, k = vertices.select("state"), [], 0
+    none = left.withColumn("round", F.lit(0).cast("long")).limit(0)
+    ends = keep(edges.select("src", "dst"))
     while True:
         k += 1
-        into, onward = live.select(F.col("dst").alias("state")), live.select(F.col("src").alias("state"))
-        stays = keep(left.join(into, "state", "left_semi").join(onward, "state", "left_semi"))
-        gone = keep(left.join(stays, "state", "left_anti").select("state", F.lit(k).cast("long").alias("round")))
-        out = gone if out is None else out.union(gone)
-        if gone.isEmpty():
-            return out
-        left = stays
-        live = keep(live.join(left.select(F.col("state").alias("src")), "src", "left_semi").join(left.select(F.col("state").alias("dst")), "dst", "left_semi"))
+        live = ends.join(left.select(F.col("state").alias("src")), "src", "left_semi").join(left.select(F.col("state").alias("dst")), "dst", "left_semi") if out else ends
+        into, onward = (live.select(F.col(c).alias("state")).distinct().withColumn(c, F.lit(True)) for c in ("dst", "src"))
+        marked = left.join(into, "state", "left").join(onward, "state", "left").withColumn("round", F.lit(k).cast("long"))
+        gone, left, _ = divided(marked.select("state", "round", (F.col("dst").isNull() | F.col("src").isNull()).alias("goes")), F.col("goes"))
+        if gone is None:
+            return Pile.of(out, none).select("state", "round")
+        out.append(gone)
+        if left is None:
+            return Pile.of(out, none).select("state", "round")
+        left = left.select("state")
 
 
 def two_cycles(edges: DataFrame) -> DataFrame:
@@ -101,16 +111,15 @@ def two_cycles(edges: DataFrame) -> DataFrame:
 def strong_components(edges: DataFrame, vertices: DataFrame) -> DataFrame:
     """state, scc. Trim; colour every state with the least state that reaches it; the states of a colour that reach back
     to the state that names it are its component; repeat on what is left of the colours."""
-    live = trim(edges.select("src", "dst").where("src <> dst").distinct())
+    live, n = trim(edges.select("src", "dst").where("src <> dst").distinct())
     found: Pile | None = None
     rounds = Rounds("the decomposition")
-    while not live.isEmpty():
+    while n:
         rounds.next()
         colour = _least_reaching(live)
         same = live.join(colour.withColumnRenamed("state", "src"), "src").join(colour.select(F.col("state").alias("dst"), F.col("colour").alias("c2")), "dst").where("colour = c2")
         same = keep(same.select("src", "dst", "colour"))
-        roots = colour.where("state = colour").select("state")
-        members = backward(same, roots)
+        members = backward(same, colour.where("state = colour").select("state"))
         done = members.join(colour, "state").select("state", F.col("colour").alias("scc"))
         if found is None:
             found = Pile(done)
@@ -118,7 +127,7 @@ def strong_components(edges: DataFrame, vertices: DataFrame) -> DataFrame:
         else:
             done = found.add(done)
         left = same.join(done.select(F.col("state").alias("src")), "src", "left_anti").join(done.select(F.col("state").alias("dst")), "dst", "left_anti")
-        live = trim(left.select("src", "dst"))
+        live, n = trim(left)
     if found is None:
         return vertices.select("state", F.col("state").alias("scc"))
     # The naming state reaches its whole component and is the least that does, so it is the component's least.
@@ -126,18 +135,23 @@ def strong_components(edges: DataFrame, vertices: DataFrame) -> DataFrame:
 
 
 def _least_reaching(edges: DataFrame) -> DataFrame:
-    """state, colour: the least state that reaches each state, itself included."""
+    """state, colour: the least state that reaches each state, itself included. A round is one job of two steps along
+    edges from the states that got another colour in the last one."""
     colour = keep(vertices_of(edges).select("state", F.col("state").alias("colour")))
     moved = colour
     rounds = Rounds("colouring")
     while True:
         rounds.next()
-        offers = edges.join(moved, F.col("src") == F.col("state")).groupBy("dst").agg(F.min("colour").alias("offer"))
-        both = colour.join(offers, F.col("state") == F.col("dst"), "left").select("state", "colour", "offer")
-        new = keep(both.select("state", F.least("colour", F.coalesce("offer", "colour")).alias("colour"), (F.col("offer") < F.col("colour")).alias("moved")))
-        moved = new.where("moved").select("state", "colour")
-        colour = new.select("state", "colour")
-        if moved.isEmpty():
+        one = edges.join(moved, F.col("src") == F.col("state")).groupBy(F.col("dst").alias("state")).agg(F.min("colour").alias("colour"))
+        two = edges.join(one, F.col("src") == F.col("state")).select(F.col("dst").alias("state"), "colour")
+        offers = one.union(two).groupBy(F.col("state").alias("to")).agg(F.min("colour").alias("offer"))
+        both = colour.join(offers, F.col("state") == F.col("to"), "left")
+        new, seen = measured(
+            both.select("state", F.least("colour", F.coalesce("offer", "colour")).alias("colour"), F.coalesce(F.col("offer") < F.col("colour"), F.lit(False)).alias("moved")),
+            F.count_if("moved").alias("moved"),
+        )
+        colour, moved = new.select("state", "colour"), new.where("moved").select("state", "colour")
+        if not seen["moved"]:
             return colour
 
 
@@ -151,19 +165,26 @@ def condense(edges: DataFrame, scc: DataFrame) -> DataFrame:
 
 
 def levels(condensed: DataFrame, components: DataFrame) -> DataFrame:
-    """scc, level: 1 for components without edges out, else one more than the highest level among their successors."""
-    edges, left = keep(condensed.select("src", "dst")), keep(components.select("scc").distinct())
-    out, level = Pile(left.select("scc", F.lit(0).cast("long").alias("level")).limit(0)), 0
+    """scc, level: 1 for components without edges out, else one more than the highest level among their successors. A round
+    is one job: the edges into the last level are taken from what each component waits for, and those that wait for none are
+    the next level."""
+    edges = keep(condensed.select("src", "dst"))
+    waits = edges.groupBy(F.col("src").alias("scc")).agg(F.count("*").alias("waits"))
+    open_, level, out = components.select("scc").distinct().join(waits, "scc", "left").select("scc", F.coalesce("waits", F.lit(0)).alias("waits")), 1, []
     rounds = Rounds("the levels")
-    while not left.isEmpty():
+    while True:
         rounds.next()
-        level += 1
-        sinks = out.add(left.join(edges.select(F.col("src").alias("scc")), "scc", "left_anti").withColumn("level", F.lit(level).cast("long"))).select("scc")
-        if sinks.isEmpty():
+        placed = open_.withColumn("level", F.lit(level).cast("long"))
+        last, open_, seen = divided(placed, F.col("waits") == 0)
+        if last is None and open_ is not None:
             raise ValueError("the components have a cycle")
-        left = keep(left.join(sinks, "scc", "left_anti"))
-        edges = keep(edges.join(sinks.withColumnRenamed("scc", "dst"), "dst", "left_anti"))
-    return out.all
+        out += [last] if last is not None else []
+        if open_ is None:
+            break
+        freed = edges.join(last.select(F.col("scc").alias("dst")), "dst").groupBy(F.col("src").alias("scc")).agg(F.count("*").alias("freed"))
+        open_ = open_.drop("level").join(freed, "scc", "left").select("scc", (F.col("waits") - F.coalesce("freed", F.lit(0))).alias("waits"))
+        level += 1
+    return Pile.of(out, components.select("scc").withColumn("level", F.lit(0).cast("long")).limit(0)).select("scc", "level")
 
 
 def terminals(edges: DataFrame, scc: DataFrame) -> DataFrame:

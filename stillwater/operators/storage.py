@@ -5,41 +5,71 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 
 def folder(spark: SparkSession) -> str:
-    """A new folder under spark.checkpoint.dir; under a temporary one only where none is set."""
+    """A new folder under spark.checkpoint.dir. Only a local session may go without that setting, and uses a temporary one."""
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="stillwater-"))
         where = spark.sparkContext.getCheckpointDir()
     return f"{where.rstrip('/')}/rounds/{uuid.uuid4().hex}"
 
 
-def keep(df: DataFrame) -> DataFrame:
+def keep(df: DataFrame, codec: str = "snappy") -> DataFrame:
     """df computed once and read from a table from now on, so that it outlives any executor and its size is known."""
     path = folder(df.sparkSession)
-    df.write.parquet(path)
+    df.write.option("compression", codec).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def measured(df: DataFrame, *metrics: Column) -> tuple[DataFrame, dict]:
+    """keep(), and metrics (aggregates, by their names) of its rows, by default their number n, taken in the same job."""
+    seen = Observation()
+    kept = keep(df.observe(seen, *(metrics or (F.count(F.lit(1)).alias("n"),))))
+    return kept, seen.get
+
+
+def divided(df: DataFrame, condition: Column) -> tuple[DataFrame | None, DataFrame | None, dict]:
+    """keep() of the rows that meet a condition and of the others, in one job; None for a side without rows. Counts: yes, no."""
+    seen, path = Observation(), folder(df.sparkSession)
+    marked = df.withColumn("side_", condition).observe(seen, F.count_if("side_").alias("yes"), F.count_if(~F.col("side_")).alias("no"))
+    marked.write.partitionBy("side_").parquet(path)
+    counts = seen.get
+    sides = [df.sparkSession.read.schema(df.schema).parquet(f"{path}/side_={v}") if counts[n] else None for n, v in (("yes", "true"), ("no", "false"))]
+    return sides[0], sides[1], counts
+
+
 class Pile:
-    """A table that grows round by round, without writing anew what it has."""
+    """A table that grows round by round, without writing anew what it has. added: the rows of the last part."""
 
     def __init__(self, first: DataFrame):
-        self.spark, self.schema, self.paths = first.sparkSession, first.schema, []
+        self.spark, self.schema, self.paths, self.added = first.sparkSession, first.schema, [], 0
         self.add(first)
 
     def add(self, df: DataFrame) -> DataFrame:
+        seen = Observation()
         self.paths.append(folder(self.spark))
-        df.select(*self.schema.names).write.parquet(self.paths[-1])
+        df.select(*self.schema.names).observe(seen, F.count(F.lit(1)).alias("n")).write.parquet(self.paths[-1])
+        self.added = seen.get["n"]
         return self.spark.read.schema(self.schema).parquet(self.paths[-1])
 
     @property
     def all(self) -> DataFrame:
         return self.spark.read.schema(self.schema).parquet(*self.paths)
 
+    @staticmethod
+    def of(parts: list[DataFrame], none: DataFrame) -> DataFrame:
+        """Kept tables of one schema as one; `none` if there are none."""
+        if not parts:
+            return none
+        files = sorted({f.rsplit("/", 1)[0] for p in parts for f in p.inputFiles()})
+        return parts[0].sparkSession.read.schema(parts[0].schema).parquet(*files)
+
 
 class Rounds:
     """Counts the rounds of a loop that is known to end, and fails if it does not."""
