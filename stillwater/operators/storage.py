@@ -9,20 +9,20 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 
-def folder(spark: SparkSession) -> str:
-    """A new folder under spark.checkpoint.dir. Only a local session may go without that setting, and uses a temporary one."""
+def folder(spark: SparkSession, label: str = "rounds") -> str:
+    """A new folder under spark.checkpoint.dir, the scratch space of a session: nothing in it is needed after its end. Only a local session may go without that setting, and uses a temporary one."""
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not where:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="stillwater-"))
         where = spark.sparkContext.getCheckpointDir()
-    return f"{where.rstrip('/')}/rounds/{uuid.uuid4().hex}"
+    return f"{where.rstrip('/')}/{label}/{uuid.uuid4().hex}"
 
 
-def keep(df: DataFrame, codec: str = "snappy") -> DataFrame:
+def keep(df: DataFrame, codec: str = "snappy", label: str = "rounds") -> DataFrame:
     """df computed once and read from a table from now on, so that it outlives any executor and its size is known."""
-    path = folder(df.sparkSession)
+    path = folder(df.sparkSession, label)
     df.write.option("compression", codec).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
