@@ -32,6 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stillwater.llm import common
+from stillwater.operators import graph
 
 COORDINATES, MATCHES, POSTED, POSTED_MATCHES = 64, 35, 32, 13
 SALT_ROWS = 1024
@@ -99,24 +100,11 @@ def full_sets(documents: DataFrame, width: int) -> DataFrame:
     return common.map_batches(documents, run, "doc_id bigint, set_key binary, members array<bigint>")
 
 
-def _stars(edges: DataFrame) -> bool:
-    """Whether each u hangs under one v, and no v under another."""
-    return edges.groupBy("u").count().where("count > 1").isEmpty() and edges.join(edges.select(F.col("u").alias("v")), "v", "left_semi").isEmpty()
-
-
-def connected(links: DataFrame, label: str = "components") -> DataFrame:
-    """(a, b) links -> (id, component): the least id reachable, for each id that has a link. Alternating star
-    contraction: every round hangs all larger neighbours, then all smaller ones, under the least one."""
-    edges = common.stash(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), label)
-    while not _stars(edges):
-        both = edges.union(edges.select("v", "u"))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        large = common.stash(large, label)
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", "m")).distinct()
-        edges = common.stash(small, label)
-    return edges.select(F.col("u").alias("id"), F.col("v").alias("component")).union(edges.select("v", "v").distinct())
+def connected(links: DataFrame) -> DataFrame:
+    """(a, b) links -> (id, component): the least id reachable, for each id that has a link."""
+    edges = common.stash(links.select(F.col("a").alias("src"), F.col("b").alias("dst")).distinct(), "minhash-edges")
+    found = graph.weak_components(edges, graph.vertices_of(edges))
+    return common.stash(found.select(F.col("state").alias("id"), F.col("wcc").alias("component")), "minhash-components")
 
 
 class _Join:

@@ -298,6 +298,15 @@ def test_blocks_of_late_partitions(spark):
 # --------------------------------------------------------------------------- pipeline
 
 
+def test_near_copies_go_by_row(spark):
+    a, b, c = ("alpha beta gamma delta epsilon zeta", "one two three four five six", "red green blue white black grey")
+    rows = [(1, a), (1, None), (5, a), (5, b), (9, b), (None, c), (None, c), (2, ""), (2, "")]
+    docs = spark.createDataFrame([(*r, 1) for r in rows], "doc_id bigint, text string, row_ int")
+    left = corpus_pipeline.drop_near_copies(spark, docs, "")
+    assert left.columns == docs.columns
+    assert sorted(((r["doc_id"], r["text"]) for r in left.collect()), key=str) == sorted([(1, a), (1, None), (5, b), (None, c), (2, ""), (2, "")], key=str)
+
+
 def test_pipeline(spark, tmp_path):
     draw = random.Random(8)
     texts = [text_of(draw, 60, 5000) + (" zwurk blorgix" if i % 6 == 0 else "") for i in range(240)]
