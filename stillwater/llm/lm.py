@@ -322,7 +322,8 @@ def packed_groups(words: np.ndarray, group: np.ndarray, row: np.ndarray, learns:
     """Tokens as a struct for each group: g, learning (the number of tokens of training texts, which come first), runs, tokens."""
     if not len(words):
         return []
-    order = np.lexsort((row, words, ~learns, group))
+    # By group, then training first, then words by their first 40 bits: equal ones lie together, others almost always apart.
+    order = np.argsort((group.astype(np.uint64) << np.uint64(1) | ~learns) << np.uint64(40) | words >> np.uint64(24))
     words, group, row, learns, one, two = (x[order] for x in (words, group, row, learns, one, two))
     new = np.append(True, (words[1:] != words[:-1]) | (learns[1:] != learns[:-1]) | (group[1:] != group[:-1]))
     runs = np.flatnonzero(new)
@@ -352,7 +353,7 @@ def score_groups(packed: DataFrame, model: LogBilinear) -> DataFrame:
         one, two = (np.concatenate([p[i] for p in parts]) for i in (1, 2))
         training = np.concatenate([np.arange(n) < m for n, m in zip(sizes, batch.column("learning").to_pylist(), strict=True)])
         # In an order that does not depend on how the slices came in.
-        order = np.lexsort((one.astype(np.uint64) << np.uint64(32) | two, training, word))
+        order = np.lexsort((training.astype(np.uint64) << np.uint64(62) | one.astype(np.uint64) << np.uint64(31) | two, word))
         q = model.context[one[order]] * model.near + model.context[two[order]] * model.far
         count, log = np.empty(len(word), np.int64), np.empty(len(word))
         count[order], log[order] = group_logs(word[order], training[order], q)
@@ -366,12 +367,9 @@ def score_groups(packed: DataFrame, model: LogBilinear) -> DataFrame:
         row = np.concatenate([np.cumsum(p[0], dtype=np.uint32) for p in parts])
         log = np.concatenate([p[1] for p in parts])
         count = np.concatenate([np.repeat(unpack(_COUNTS, c)[0], unpack(_RUNS[1:], n)[0]) for c, n in zip(batch.column("counts").to_pylist(), batch.column("lengths").to_pylist(), strict=True)])
-        # The sums do not depend on the order of the groups.
-        order = np.lexsort((log, count, row))
-        row, count, log = row[order], count[order], log[order].astype(np.float64)
         rows, at = np.unique(row, return_inverse=True)
         logs = np.where(count > 0, np.log10(count + 0.5), np.log10(0.5))
-        sums = [np.bincount(at, x, len(rows)) for x in (count > 0, logs, log / np.log(10))]
+        sums = [np.bincount(at, x, len(rows)) for x in (count > 0, logs, log.astype(np.float64) / np.log(10))]
         start = batch.column("slice")[0].as_py()
         return pa.table({"row": pa.array(rows.astype(np.int64) + start), "known": pa.array(sums[0].astype(np.int64)), "log_count": pa.array(sums[1]), "inner": pa.array(sums[2])})
 
@@ -464,7 +462,7 @@ def score(documents: DataFrame, vocab: Vocabulary, model: LogBilinear) -> DataFr
     both = made.drop("packed").join(score_groups(packed, model), "row", "left").na.fill(0, ["known"]).na.fill(0.0, ["log_count", "inner"])
     total = np.log10(vocab.tokens + 0.5 * (vocab.words + 1))
     base = F.col("head_log") + F.col("log_count") - F.col("n_tokens") * F.lit(float(total))
-    return both.select("doc_id", "n_tokens", (F.col("n_head") + F.col("known")).alias("n_known"), base.alias("base_score"), (F.col("model_log") + F.col("inner")).alias("score"))
+    return both.select("doc_id", "n_tokens", (F.col("n_head") + F.col("known")).alias("n_known"), F.round(base, 9).alias("base_score"), F.round(F.col("model_log") + F.col("inner"), 9).alias("score"))  # sums may come in any order
 
 
 def score_documents(documents: DataFrame, of: int = 5, held: int = 1, classes: int = CLASSES, dimensions: int = DIMENSIONS, head: int = HEAD) -> DataFrame:

@@ -10,10 +10,11 @@ Posting lists are never expanded into all pairs. Each member is first held again
 agreements of the whole signatures are counted (the skipped tails with them), pairs above the threshold `matches` are
 confirmed on the full sets, and confirmed links are joined into components. A list within one component is done. In the
 others, members outside the list's main component are held against leaders of it and of their own. What is still
-outside then meets the other members only under the rare shingles of its full set, again by prefixes: of n shingles all
-but the last ceil(0.8 n) - 1, rarest first. Where few are outside under a shingle, it is pair by pair, and else in
-blocks, of whose full sets a task takes the intersections as a matrix product and names one link for each component that a
-document meets. No list, partner or candidate is left out. Lists are dealt by key and salt, about SALT_ROWS members each.
+outside then is held against all members: pair by pair in lists with few outside, and else, for all lists of a main
+component together, in blocks, of whose full sets a task takes the intersections as a matrix product and names one link for
+each component that a document meets; documents that have too few elements in common with all of these together to match
+any are left out of the blocks. No list, partner or candidate is left out. Lists are dealt by key and salt, about
+SALT_ROWS members each.
 
 Defined cases: a null or wordless text has the empty set and links with nothing; a text with fewer words than a
 shingle has its whole word sequence as the one shingle; equal sets always link; a null id links with nothing,
@@ -126,12 +127,12 @@ class _Join:
         shared = spread.groupBy("element").agg(F.count("*").alias("times")).where("times > 1")
         return spread.join(shared, "element")
 
-    def prefixes(self, elements: DataFrame, keys: list[str], matches: Column) -> DataFrame:
-        """The rarest elements of each group, all but the last matches - 1, with salts: among how many tasks the element's
-        list is dealt."""
-        ordered = elements.groupBy(*keys, "n").agg(F.array_sort(F.collect_list(F.struct("times", "element"))).alias("all")).where(F.size("all") >= matches)
-        one = ordered.select(*keys, "n", F.explode(F.slice("all", F.lit(1), (F.size("all") - matches + 1).cast("int"))).alias("one")).where("one.times > 1")
-        return one.select(*keys, "n", F.col("one.element").alias("key"), F.ceil(F.col("one.times") / SALT_ROWS).cast("int").alias("salts"))
+    def prefixes(self, elements: DataFrame) -> DataFrame:
+        """key, id, n, salts: each class's rarest elements, all but the last posted_matches - 1; salts: among how many tasks
+        the element's list is dealt. A class has at most a signature's length."""
+        all_ = elements.groupBy("id", "n").agg(F.array_sort(F.collect_list(F.struct("times", "element"))).alias("all")).where(F.size("all") >= self.posted_matches)
+        one = all_.select("id", "n", F.explode(F.slice("all", F.lit(1), F.size("all") - F.lit(self.posted_matches - 1))).alias("one"))
+        return one.select(F.col("one.element").alias("key"), "id", "n", F.ceil(F.col("one.times") / SALT_ROWS).cast("int").alias("salts"))
 
     def with_lists(self, members: DataFrame, lists: DataFrame, keys: list[str]) -> DataFrame:
         """members joined with rows of lists (keys, salts and others) by key and salt."""
@@ -192,53 +193,52 @@ class _Join:
         both = one.select("id", "a").union(two.select("id", "a"))
         return both.select(F.least("id", "a").alias("a"), F.greatest("id", "a").alias("b")).distinct()
 
-    def under_rare_shingles(self, open_: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """The members of each main component's lists, posted under the prefixes of their full sets: main, key, salts, id, n,
-        label, out, outside (members of other components); and the full sets themselves."""
-        parties = common.stash(open_.select("main", "id", "n", "label", (F.col("label") != F.col("main")).alias("out")).distinct(), "minhash-parties")
-        sets = common.stash(self.sets(parties.select("id").distinct()), "minhash-rest-sets", codec="lz4")
-        spread = parties.join(sets, "id").select("main", "id", "n", "label", "out", F.explode("members").alias("element"))
-        times = spread.groupBy("main", "element").agg(F.count("*").alias("times"))
-        least = F.ceil(F.col("n") * self.percent / 100)
-        posted = common.stash(self.prefixes(spread.join(times, ["main", "element"]), ["main", "id", "label", "out"], least), "minhash-rare")
-        lists = posted.groupBy("main", "key", "salts").agg(F.count_if("out").alias("outside")).where("outside > 0")
-        return common.stash(self.with_lists(posted, lists, ["main", "key"]), "minhash-rare-open"), sets
-
     def outside_against_all(self, members: DataFrame) -> DataFrame:
         """Candidate pairs of the members outside each list's main component and all its members of other components."""
-        out = members.where("out").select("main", "key", "salts", F.col("id").alias("o"), F.col("n").alias("on"), F.col("label").alias("ol"))
-        met = self.with_lists(members, out, ["main", "key"]).where((F.col("label") != F.col("ol")) & self.comparable(F.col("n"), F.col("on")))
+        out = members.where("label <> main").select("key", "salts", F.col("id").alias("o"), F.col("n").alias("on"), F.col("label").alias("ol"))
+        met = self.with_lists(members, out, ["key"]).where((F.col("label") != F.col("ol")) & self.comparable(F.col("n"), F.col("on")))
         return met.select(F.least("id", "o").alias("a"), F.greatest("id", "o").alias("b")).distinct()
 
-    def in_blocks(self, members: DataFrame, sets: DataFrame) -> DataFrame:
-        """Links (a, b) of the outside members of each list with all its members. A block has about BLOCK documents of either
-        side, however many there are in all."""
-        keys = ["main", "key"]
-        counts = members.groupBy(*keys).agg(F.ceil(F.count_if("out") / BLOCK).alias("x"), F.ceil(F.count("*") / BLOCK).alias("y"))
-        full = members.join(counts, keys).join(sets, "id")
+    def near_outside(self, members: DataFrame, elements: DataFrame) -> DataFrame:
+        """id, main: the members outside a main component that have posted_matches elements or more in common with it and the
+        others outside it, counted over all of them together. Those with fewer match none of them."""
+        parties = common.stash(members.select("main", "id", (F.col("label") != F.col("main")).alias("out")).distinct(), "minhash-parties")
+        held = parties.join(elements.select("id", "element"), "id")
+        held = common.stash(held.groupBy("main", "element").agg(F.count("*").alias("c")).where("c > 1").select("main", "element"), "minhash-held")
+        mine = parties.where("out").join(elements.select("id", "element"), "id")
+        return mine.join(held, ["main", "element"]).groupBy("id", "main").agg(F.count("*").alias("c")).where(F.col("c") >= self.posted_matches).select("id", "main")
+
+    def in_blocks(self, members: DataFrame, elements: DataFrame) -> DataFrame:
+        """Links (a, b) of the near members outside each main component with all members of its lists. A block has about BLOCK
+        documents of either side, however many there are in all."""
+        near = common.stash(self.near_outside(members, elements), "minhash-outside")
+        parties = members.select("main", "id", "label", (F.col("label") != F.col("main")).alias("out")).distinct()
+        parties = parties.join(near.select("main").distinct(), "main", "left_semi").join(near.withColumn("near", F.lit(True)), ["main", "id"], "left")
+        parties = common.stash(parties.select("main", "id", "label", (F.col("out") & F.col("near").isNotNull()).alias("out")), "minhash-blocks")
+        counts = parties.groupBy("main").agg(F.ceil(F.count_if("out") / BLOCK).alias("x"), F.ceil(F.count("*") / BLOCK).alias("y"))
+        sets = common.stash(self.sets(parties.select("id").distinct()), "minhash-block-sets", codec="lz4")
+        full = parties.join(counts, "main").join(sets, "id")
         place = lambda n: F.pmod(F.xxhash64("id"), F.col(n))
         every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
-        left = full.where("out").select(F.lit(True).alias("outside"), *keys, "id", "label", "members", place("x").alias("bx"), every("y").alias("by"))
-        right = full.select(F.lit(False).alias("outside"), *keys, "id", "label", "members", every("x").alias("bx"), place("y").alias("by"))
+        left = full.where("out").select(F.lit(True).alias("outside"), "main", "id", "label", "members", place("x").alias("bx"), every("y").alias("by"))
+        right = full.select(F.lit(False).alias("outside"), "main", "id", "label", "members", every("x").alias("bx"), place("y").alias("by"))
         percent = self.percent
-        links = left.unionByName(right).groupBy(*keys, "bx", "by").applyInArrow(lambda t: _block_links(t, percent), "a bigint, b bigint")
+        links = left.unionByName(right).groupBy("main", "bx", "by").applyInArrow(lambda t: _block_links(t, percent), "a bigint, b bigint")
         return common.stash(links.distinct(), "minhash-links")
 
     def run(self) -> DataFrame | None:
         """(id, component) of all classes that have a link."""
-        postings = common.stash(self.prefixes(self.elements(), ["id"], F.lit(self.posted_matches)), "minhash-postings")
+        elements = common.stash(self.elements(), "minhash-elements")
+        postings = common.stash(self.prefixes(elements), "minhash-postings")
         self.add(self.confirm(self.against_first(postings)))
         open_ = self.open_lists(postings)
         if open_.isEmpty():
             return self.labels
         self.add(self.confirm(self.against_leaders(open_)))
         open_ = self.open_lists(open_.select("id", "n", "key", "salts"))
-        if open_.isEmpty():
-            return self.labels
-        rest, sets = self.under_rare_shingles(open_)
-        links = self.confirm(self.outside_against_all(rest.where(F.col("outside") <= self.few)))
-        many = rest.where(F.col("outside") > self.few)
-        self.add(links if many.isEmpty() else links.union(self.in_blocks(many, sets)))
+        links = self.confirm(self.outside_against_all(open_.where(F.col("outside") <= self.few)))
+        many = open_.where(F.col("outside") > self.few)
+        self.add(links if many.isEmpty() else links.union(self.in_blocks(many, elements)))
         return self.labels
 
 
