@@ -38,7 +38,7 @@ def sorted_rows(m: DataFrame) -> DataFrame:
 
 def dense(rows, cols, values, n: int) -> np.ndarray:
     out = np.zeros((n, n))
-    np.add.at(out, (np.asarray(rows), np.asarray(cols)), np.asarray(values))
+    np.add.at(out, (np.asarray(rows, np.int64), np.asarray(cols, np.int64)), np.asarray(values))
     return out
 
 

@@ -1,14 +1,19 @@
 """Long-run behaviour of a chain given by edges (src, dst, rate): stationary distributions of terminal components,
 probabilities of absorption, and where an initial distribution ends.
 
-Components are solved level by level, terminals first for absorption, sources first for distributions. A component of one
-state is a weighted mean in SQL; a larger one is a dense block in one task, up to DENSE states, and beyond that
-an iteration over its edges in Spark.
+Components are solved level by level, terminals first for absorption, sources first for distributions. Edges lie in a
+folder for each level, and what a level gives to others is written by their level, so each edge is read once. A component
+of one state is a weighted mean and one of two a closed form, both in SQL; larger ones are dense blocks, many small ones to
+a task. Beyond DENSE states a component is solved in blocks of that size: stationary distributions and visits by
+aggregation and disaggregation until no value changes by more than PRECISION of itself, absorption between a lower and an
+upper bound that meet to within BOUND. An iteration that does not get there is an error, never a result.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -16,12 +21,16 @@ from pyspark.sql import functions as F
 
 from stillwater.operators import graph
 from stillwater.operators.matrix import dense
-from stillwater.operators.storage import Pile, Rounds, keep
+from stillwater.operators.numbering import number
+from stillwater.operators.storage import Pile, Rounds, Shelves, keep, measured
 
-#: States of a component that one task solves as a dense block: 3,000 take 72 MB.
+#: States of a component that one task solves as a dense block: 3,000 take 72 MB. Blocks of larger ones have half as many.
 DENSE = 3_000
-#: The iterations for larger ones end when no value changes by more.
-PRECISION = 1e-13
+#: Blocks of a component whose chain one task solves; that of more is solved in blocks again.
+BLOCKS = 3_000
+#: States of small components that one task solves.
+PACK = 4_096
+PRECISION, BOUND, MOST_ROUNDS = 1e-12, 1e-11, 3_000
 
 
 @dataclass
@@ -34,20 +43,79 @@ class Structure:
     top: int
 
     @classmethod
-    def of(cls, edges: DataFrame, states: DataFrame | None = None) -> Structure:
-        """states: those to know besides the edges' own; a state without edges is a terminal of its own."""
+    def of(cls, edges: DataFrame, states: DataFrame | None = None, levels: bool = True) -> Structure:
+        """states: those to know besides the edges' own; a state without edges is a terminal of its own. Without levels,
+        level only tells terminals (1) from other components (2), which is all that stationary() needs."""
         edges = keep(edges.where("src <> dst and rate > 0").groupBy("src", "dst").agg(F.sum("rate").alias("rate")))
         known = graph.vertices_of(edges) if states is None else graph.vertices_of(edges).union(states.select("state")).distinct()
         scc = keep(graph.strong_components(edges, keep(known)))
-        level = graph.levels(graph.condense(edges, scc), scc)
+        condensed = graph.condense(edges, scc)
+        if levels:
+            level = graph.levels(condensed, scc)
+        else:
+            level = scc.select("scc").distinct().join(condensed.select(F.col("src").alias("scc")).distinct().withColumn("level", F.lit(2).cast("long")), "scc", "left").na.fill(1, ["level"])
         sizes = scc.groupBy("scc").agg(F.count("*").alias("size"))
-        table = keep(scc.join(sizes, "scc").join(level, "scc").select("state", "scc", "size", "level"))
-        return cls(edges, table, table.agg(F.max("level")).first()[0] or 0)
+        table, seen = measured(scc.join(sizes, "scc").join(level, "scc").select("state", "scc", "size", "level"), F.max("level").alias("top"))
+        return cls(edges, table, seen["top"] or 0)
 
     @property
     def terminals(self) -> DataFrame:
         return self.states.where("level = 1").select("state", "scc", "size")
 
+    @cached_property
+    def _detailed(self) -> DataFrame:
+        """src, dst, rate, total (of src), and component (own, other), size and level (from, to) of both ends."""
+        total = self.edges.groupBy(F.col("src").alias("state")).agg(F.sum("rate").alias("total"))
+        one = self.states.join(total, "state").select(F.col("state").alias("src"), "total", F.col("scc").alias("own"), "size", F.col("level").alias("from"))
+        two = self.states.select(F.col("state").alias("dst"), F.col("scc").alias("other"), F.col("size").alias("to_size"), F.col("level").alias("to"))
+        return self.edges.join(one, "src").join(two, "dst").select("src", "dst", "rate", "total", "own", "size", "from", "other", "to_size", "to")
+
+    @cached_property
+    def leaving(self) -> Shelves:
+        """Edges by the level they leave."""
+        return Shelves(self._detailed, "from")
+
+    @cached_property
+    def arriving(self) -> Shelves:
+        """Edges between components by the level they lead to."""
+        return Shelves(self._detailed.where("own <> other"), "to")
+
+    @cached_property
+    def kinds(self) -> dict[int, set[str]]:
+        """Which ways of solving each level needs."""
+        kind = F.when(F.col("size") == 1, "one").when(F.col("size") == 2, "two").when(F.col("size") <= DENSE, "block").otherwise("large")
+        out: dict[int, set[str]] = {}
+        for level, name in self.states.select("level", kind).distinct().collect():  # four rows a level at most
+            out.setdefault(level, set()).add(name)
+        return out
+
+
+def _bins(sizes: DataFrame) -> DataFrame:
+    """own, size -> with bin: components of up to 64 states share bins of about PACK states, larger ones have their own."""
+    small = F.col("size") <= 64
+    states = sizes.where(small).agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+    shared = F.pmod(F.xxhash64("own"), F.lit(max(1, -(-states // PACK))))
+    return keep(sizes.select("own", F.when(small, -1 - shared).otherwise(F.hash("own").cast("long") * (1 << 20) + F.pmod("own", F.lit(1 << 20))).alias("bin")))
+
+
+def _each(left, right, solve: Callable, key: str):
+    """solve(rows of left, rows of right) for each component in a bin, as one frame."""
+    import pandas as pd
+
+    rights = dict(list(right.groupby("own")))
+    none = right.iloc[:0]
+    return pd.concat([solve(own, part, rights.get(own, none)) for own, part in left.groupby("own")], ignore_index=True)
+
+
+def _system(part) -> tuple[np.ndarray, np.ndarray, dict[int, int]]:
+    """The states of a block, its matrix diag(total) - rates, and each state's place. part: edges that leave its states."""
+    names, first, at = np.unique(part["src"], return_index=True, return_inverse=True)
+    place = {x: i for i, x in enumerate(names.tolist())}
+    to = np.array([place.get(x, -1) for x in part["dst"].tolist()])
+    a = -dense(at[to >= 0], to[to >= 0], part["rate"].to_numpy()[to >= 0], len(names))
+    a[np.arange(len(names)), np.arange(len(names))] += part["total"].to_numpy()[first]
+    return names, a, place
+
 
 # --------------------------------------------------------------------------- terminal components
 
@@ -70,40 +138,93 @@ def eliminate(rates: np.ndarray) -> np.ndarray:
 def stationary(s: Structure) -> DataFrame:
     """scc, state, p for each state of a terminal component."""
     members = s.terminals
-    single = members.where("size = 1").select("scc", "state", F.lit(1.0).alias("p"))
-    inside = s.edges.join(members.where("size > 1").select(F.col("state").alias("src"), "scc", "size"), "src")
+    kinds = s.kinds.get(1, set())
+    out = members.where("size = 1").select("scc", "state", F.lit(1.0).alias("p"))
+    inside = s.edges.join(members.where("size > 1").select(F.col("state").alias("src"), F.col("scc").alias("own"), "size"), "src")
+    if "two" in kinds:  # each state's share is as the other's rate
+        pair = inside.where("size = 2").withColumn("sum", F.sum("rate").over(_of("own")))
+        out = out.unionByName(pair.select(F.col("own").alias("scc"), F.col("dst").alias("state"), (F.col("rate") / F.col("sum")).alias("p")))
+    if "block" in kinds:
+
+        def block(key, pdf):
+            import pandas as pd
+
+            done = []
+            for own, part in pdf.groupby("own"):
+                names, index = np.unique(np.concatenate([part["src"], part["dst"]]), return_inverse=True)
+                m = len(part)
+                done.append(pd.DataFrame({"scc": own, "state": names, "p": eliminate(dense(index[:m], index[m:], part["rate"], len(names)))}))
+            return pd.concat(done, ignore_index=True)
+
+        some = F.col("size").between(3, DENSE)
+        bins = _bins(members.where(some).select(F.col("scc").alias("own"), "size").distinct())
+        out = out.unionByName(inside.where(some).join(bins, "own").groupBy("bin").applyInPandas(block, "scc bigint, state bigint, p double"))
+    if "large" in kinds:
+        large = balanced(inside.where(F.col("size") > DENSE).select("own", "src", "dst", "rate"))
+        out = out.unionByName(large.select(F.col("own").alias("scc"), "state", "p"))
+    return out
+
+
+def _of(column: str):
+    from pyspark.sql import Window
+
+    return Window.partitionBy(column)
+
 
-    def block(key, pdf):
+def balanced(edges: DataFrame) -> DataFrame:
+    """(own, src, dst, rate) of strongly connected chains of any size -> own, state, p: their stationary distributions by
+    aggregation and disaggregation (Koury, McAllister and Stewart 1984). Each round weighs the blocks of a chain by the
+    stationary distribution of the chain of blocks, without any subtraction, and solves every block for what flows into it
+    from others. It ends when no state's value changes by more than PRECISION of itself."""
+    size = max(2, DENSE // 2)
+    total = edges.groupBy("own", F.col("src").alias("state")).agg(F.sum("rate").alias("total"))
+    blocks = keep(number(total, ["state"], "i", by=["own"]).select("own", "state", "total", F.floor(F.col("i") / size).cast("long").alias("block")))
+    source = blocks.select("own", F.col("state").alias("src"), "total", F.col("block").alias("i"))
+    links = keep(edges.join(source, ["own", "src"]).join(blocks.select("own", F.col("state").alias("dst"), F.col("block").alias("j")), ["own", "dst"]))
+    inner = links.where("i = j").select("own", F.col("i").alias("block"), "src", "dst", "rate")
+    p = blocks.select("own", "state", "block", "total", F.lit(1.0).alias("p"))
+    rounds = Rounds("aggregation and disaggregation", MOST_ROUNDS)
+
+    def weigh(key, pdf):
         import pandas as pd
 
-        names, index = np.unique(np.concatenate([pdf["src"], pdf["dst"]]), return_inverse=True)
+        names, index = np.unique(np.concatenate([pdf["i"], pdf["j"]]), return_inverse=True)
         m = len(pdf)
-        return pd.DataFrame({"scc": key[0], "state": names, "p": eliminate(dense(index[:m], index[m:], pdf["rate"], len(names)))})
+        y = eliminate(dense(index[:m], index[m:], pdf["flow"], len(names)))
+        return pd.DataFrame({"own": key[0], "block": names, "y": y / y.max()})
 
-    out = single.unionByName(inside.where(F.col("size") <= DENSE).groupBy("scc").applyInPandas(block, "scc bigint, state bigint, p double"))
-    large = inside.where(F.col("size") > DENSE)
-    if not large.isEmpty():
-        out = out.unionByName(_iterated_stationary(large, members.where(F.col("size") > DENSE)))
-    return out
+    def refine(key, rates, rows):
+        import pandas as pd
 
+        names = rows["state"].to_numpy()
+        place = {x: k for k, x in enumerate(names.tolist())}
+        a = -dense([place[x] for x in rates["src"]], [place[x] for x in rates["dst"]], rates["rate"], len(names))
+        a[np.arange(len(names)), np.arange(len(names))] += rows["total"]
+        old, inflow = rows["p"].to_numpy(), rows["inflow"].to_numpy()
+        new = np.maximum(np.linalg.solve(a.T, inflow), 0.0) if inflow.any() else old
+        return pd.DataFrame({"own": key[0], "state": names, "block": key[1], "total": rows["total"], "p": new, "change": np.abs(new - old) / np.maximum(new, 1e-300)})
 
-def _iterated_stationary(inside: DataFrame, members: DataFrame) -> DataFrame:
-    """By steps of the uniformised chain, for components beyond DENSE."""
-    total = inside.groupBy("scc", "src").agg(F.sum("rate").alias("total"))
-    most = total.groupBy("scc").agg((F.max("total") * 1.1).alias("clock"))
-    leaving = total.join(most, "scc").select(F.col("src").alias("state"), "scc", (F.col("total") / F.col("clock")).alias("leaves"))
-    step = keep(inside.join(most, "scc").select("src", "dst", (F.col("rate") / F.col("clock")).alias("q")))
-    leaving = keep(leaving)
-    p = keep(members.select("scc", "state", (1.0 / F.col("size")).alias("p")))
-    rounds = Rounds("the iteration", 200_000)
     while True:
         rounds.next()
-        gain = step.join(p.select(F.col("state").alias("src"), "p"), "src").groupBy(F.col("dst").alias("state")).agg(F.sum(F.col("p") * F.col("q")).alias("gain"))
-        new = p.join(leaving.select("state", "leaves"), "state").join(gain, "state", "left")
-        new = keep(new.select("scc", "state", (F.col("p") * (1 - F.col("leaves")) + F.coalesce("gain", F.lit(0.0))).alias("p"), F.col("p").alias("old")))
-        if new.agg(F.max(F.abs(F.col("p") - F.col("old")))).first()[0] <= PRECISION:
-            return new.select("scc", "state", "p")
-        p = new.select("scc", "state", "p")
+        flows = links.where("i <> j").join(p.select("own", F.col("state").alias("src"), "p"), ["own", "src"]).groupBy("own", "i", "j").agg(F.sum(F.col("p") * F.col("rate")).alias("flow"))
+        flows, seen = measured(flows, F.count(F.lit(1)).alias("n"), F.max("i").alias("last"))
+        if not seen["n"]:  # one block a chain
+            y = blocks.select("own", "block", F.lit(1.0).alias("y")).distinct()
+        elif seen["last"] < BLOCKS:
+            y = flows.groupBy("own").applyInPandas(weigh, "own bigint, block bigint, y double")
+        else:  # too many blocks for one task: their chain is solved in the same way
+            y = balanced(flows.select("own", F.col("i").alias("src"), F.col("j").alias("dst"), F.col("flow").alias("rate"))).select("own", F.col("state").alias("block"), F.col("p").alias("y"))
+        p = keep(p.join(y, ["own", "block"]).select("own", "state", "block", "total", (F.col("p") * F.col("y")).alias("p")))
+        inflow = links.where("i <> j").join(p.select("own", F.col("state").alias("src"), "p"), ["own", "src"]).groupBy("own", F.col("dst").alias("state")).agg(F.sum(F.col("p") * F.col("rate")).alias("inflow"))
+        rows = p.join(inflow, ["own", "state"], "left").na.fill(0.0, ["inflow"])
+        new, seen = measured(
+            inner.groupBy("own", "block").cogroup(rows.groupBy("own", "block")).applyInPandas(refine, "own bigint, state bigint, block bigint, total double, p double, change double"),
+            F.max("change").alias("change"),
+        )
+        p = new.drop("change")
+        if seen["change"] <= PRECISION:
+            sums = p.groupBy("own").agg(F.sum("p").alias("sum"))
+            return p.join(sums, "own").select("own", "state", (F.col("p") / F.col("sum")).alias("p"))
 
 
 # --------------------------------------------------------------------------- absorption
@@ -111,61 +232,115 @@ def _iterated_stationary(inside: DataFrame, members: DataFrame) -> DataFrame:
 
 def absorption(s: Structure) -> DataFrame:
     """scc (of a terminal component), state, p: the probability that the chain ends in it when started in the state. For
-    each state these sum up to 1."""
+    each state these sum up to 1. A level's probabilities are passed on to the states with edges to it."""
     out = Pile(s.terminals.select("scc", "state", F.lit(1.0).alias("p")))
-    total = keep(s.edges.groupBy("src").agg(F.sum("rate").alias("total")))
+    passed = Shelves(_pass_on(s, 1, out.all), "from") if s.top > 1 else None
     for level in range(2, s.top + 1):
-        here = s.states.where(F.col("level") == level)
-        mine = s.edges.join(here.select(F.col("state").alias("src"), F.col("scc").alias("own"), "size"), "src")
-        # Edges inside the component meet no row yet; those that leave it end on lower levels, which are there.
-        inflow = mine.join(out.all.select(F.col("state").alias("dst"), "scc", "p"), "dst").groupBy("own", "size", "src", "scc").agg(F.sum(F.col("rate") * F.col("p")).alias("b"))
-        single = inflow.where("size = 1").join(total, "src").select("scc", F.col("src").alias("state"), (F.col("b") / F.col("total")).alias("p"))
-        new = single
-        if not here.where("size > 1").isEmpty():
-            new = new.unionByName(_absorb_blocks(mine.where("size > 1"), inflow.where("size > 1"), total))
-        out.add(new)
+        inflow = passed.of(level).groupBy("own", "size", "src", "total", "scc").agg(F.sum("b").alias("b"))
+        parts, kinds = [], s.kinds.get(level, set())
+        if "one" in kinds:
+            parts.append(inflow.where("size = 1").select("scc", F.col("src").alias("state"), (F.col("b") / F.col("total")).alias("p")))
+        if len(kinds) > 1 or "one" not in kinds:
+            inflow = keep(inflow.where("size > 1"))
+            inside = s.leaving.of(level).where("size > 1")
+            parts += [solve(inside, inflow) for name, solve in (("two", _absorb_pairs), ("block", _absorb_blocks), ("large", _absorb_large)) if name in kinds]
+        new = out.add(_union(parts))
+        if level < s.top:
+            passed.add(_pass_on(s, level, new))
     return out.all
 
 
-def _absorb_blocks(mine: DataFrame, inflow: DataFrame, total: DataFrame) -> DataFrame:
+def _union(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def _pass_on(s: Structure, level: int, x: DataFrame) -> DataFrame:
+    """What states with edges to a level get from its probabilities: own, size, src, total, from, scc, b."""
+    met = s.arriving.of(level).join(x.withColumnRenamed("state", "dst"), "dst")
+    return met.groupBy("own", "size", "src", "total", "from", "scc").agg(F.sum(F.col("rate") * F.col("p")).alias("b"))
+
+
+def _pairs(edges: DataFrame) -> DataFrame:
+    """own, a, b (the states of each component of two), ab, ba (the rates between them), ta, tb (all rates out), and det, the
+    determinant of the system, as a sum of positive terms."""
+    two = edges.where("size = 2")
+    first, inside = F.col("src") == F.col("own"), F.col("own") == F.col("other")  # a component has its least state's name
+    one = two.groupBy("own").agg(
+        F.max(F.when(~first, F.col("src"))).alias("b"), F.sum(F.when(first & inside, F.col("rate"))).alias("ab"), F.sum(F.when(~first & inside, F.col("rate"))).alias("ba"),
+        F.coalesce(F.sum(F.when(first & ~inside, F.col("rate"))), F.lit(0.0)).alias("ea"), F.coalesce(F.sum(F.when(~first & ~inside, F.col("rate"))), F.lit(0.0)).alias("eb"),
+    )
+    det = F.col("ab") * F.col("eb") + F.col("ea") * F.col("ba") + F.col("ea") * F.col("eb")
+    return one.select("own", F.col("own").alias("a"), "b", "ab", "ba", (F.col("ab") + F.col("ea")).alias("ta"), (F.col("ba") + F.col("eb")).alias("tb"), det.alias("det"))
+
+
+def _absorb_pairs(edges: DataFrame, inflow: DataFrame) -> DataFrame:
+    b = inflow.where("size = 2").groupBy("own", "scc").agg(F.coalesce(F.sum(F.when(F.col("src") == F.col("own"), F.col("b"))), F.lit(0.0)).alias("va"), F.coalesce(F.sum(F.when(F.col("src") != F.col("own"), F.col("b"))), F.lit(0.0)).alias("vb"))
+    both = _pairs(edges).join(b, "own")
+    one = F.struct(F.col("a").alias("state"), ((F.col("va") * F.col("tb") + F.col("ab") * F.col("vb")) / F.col("det")).alias("p"))
+    two = F.struct(F.col("b").alias("state"), ((F.col("vb") * F.col("ta") + F.col("ba") * F.col("va")) / F.col("det")).alias("p"))
+    return both.select("scc", F.explode(F.array(one, two)).alias("x")).select("scc", "x.state", "x.p")
+
+
+def _absorb_blocks(edges: DataFrame, inflow: DataFrame) -> DataFrame:
     """(total - rates inside) x = b for all right sides of each component at once."""
-    inside = mine.join(mine.select(F.col("src").alias("dst"), F.col("own").alias("o2")).distinct(), "dst").where("own = o2").select("own", "size", "src", "dst", "rate")
-    diagonal = mine.select("own", "size", "src").distinct().join(total, "src").select("own", "size", "src", F.col("src").alias("dst"), (-F.col("total")).alias("rate"))
-    system, inflow = inside.unionByName(diagonal), keep(inflow)
 
-    def block(key, left, right):
+    def one(own, part, right):
         import pandas as pd
 
-        names, at = np.unique(left["src"], return_inverse=True)
-        place = {x: i for i, x in enumerate(names.tolist())}
-        a = -dense(at, [place[x] for x in left["dst"].tolist()], left["rate"], len(names))
+        names, a, place = _system(part)
         targets, column = np.unique(right["scc"], return_inverse=True)
         b = np.zeros((len(names), len(targets)))
         b[[place[x] for x in right["src"].tolist()], column] = right["b"]
-        x = np.linalg.solve(a, b)
-        return pd.DataFrame({"scc": np.tile(targets, len(names)), "state": np.repeat(names, len(targets)), "p": x.ravel()})
-
-    small = F.col("size") <= DENSE
-    out = system.where(small).groupBy("own").cogroup(inflow.where(small).groupBy("own")).applyInPandas(block, "scc bigint, state bigint, p double")
-    if not system.where(~small).isEmpty():
-        out = out.unionByName(_iterated(inside.where(~small).select(F.col("dst").alias("from"), F.col("src").alias("to"), "rate"), inflow.where(~small).select("scc", F.col("src").alias("state"), "b"), total))
-    return out
+        return pd.DataFrame({"scc": np.tile(targets, len(names)), "state": np.repeat(names, len(targets)), "p": np.linalg.solve(a, b).ravel()})
+
+    some = F.col("size").between(3, DENSE)
+    bins = _bins(edges.where(some).select("own", "size").distinct())
+    left = edges.where(some).select("own", "src", "dst", "rate", "total").join(bins, "own")
+    right = inflow.where(some).select("own", "src", "scc", "b").join(bins.withColumnRenamed("bin", "to_bin"), "own")
+    return left.groupBy("bin").cogroup(right.groupBy("to_bin")).applyInPandas(lambda key, l, r: _each(l, r, one, "own"), "scc bigint, state bigint, p double")
+
+
+def _absorb_large(edges: DataFrame, inflow: DataFrame) -> DataFrame:
+    """Components beyond DENSE, in blocks: from all 0 below and all 1 above, rounds that solve every block for what the others
+    give enclose the probabilities ever more closely."""
+    size = max(2, DENSE // 2)
+    large = edges.where(F.col("size") > DENSE)
+    blocks = keep(number(large.select("own", F.col("src").alias("state")).distinct(), ["state"], "i", by=["own"]).select("own", "state", F.floor(F.col("i") / size).cast("long").alias("block")))
+    links = large.where("own = other").join(blocks.select("own", F.col("state").alias("src"), "block"), ["own", "src"]).join(blocks.select("own", F.col("state").alias("dst"), F.col("block").alias("j")), ["own", "dst"])
+    links = keep(links.select("own", "src", "dst", "rate", "total", "block", "j"))
+    across = links.where("block <> j").select("own", "src", "dst", "rate")
+    right = inflow.where(F.col("size") > DENSE).select("own", "src", "scc", "b")
+    targets = right.select("own", "scc").distinct()
+    base = blocks.join(targets, "own").join(right.withColumnRenamed("src", "state"), ["own", "state", "scc"], "left")
+    base = keep(base.select("own", "block", "state", "scc", F.coalesce("b", F.lit(0.0)).alias("b")))
+    # Edges inside blocks; a state that has none still has its total.
+    inner = links.select("own", "block", "src", F.when(F.col("block") == F.col("j"), F.col("dst")).otherwise(-1).alias("dst"), "rate", "total")
+
+    def refine(key, part, rows):
+        import pandas as pd
 
+        names, a, place = _system(part)
+        codes, column = np.unique(rows["scc"], return_inverse=True)
+        at, k = [place[x] for x in rows["state"].tolist()], len(codes)
+        b = np.zeros((len(names), 2 * k))
+        b[at, column] = rows["low"]
+        b[at, column + k] = rows["high"]
+        x = np.linalg.solve(a, b)
+        return pd.DataFrame({"own": key[0], "state": rows["state"], "scc": rows["scc"], "low": x[at, column], "high": x[at, column + k]})
 
-def _iterated(moves: DataFrame, b: DataFrame, total: DataFrame) -> DataFrame:
-    """x = (b + sum of rate * x over moves) / total, from x = b / total on, until it stands still: scc, state, p."""
-    base = keep(b.join(total.withColumnRenamed("src", "state"), "state").select("scc", "state", (F.col("b") / F.col("total")).alias("c")))
-    x = base.select("scc", "state", F.col("c").alias("p"))
-    step = keep(moves.join(total.withColumnRenamed("src", "to"), "to").select("from", "to", (F.col("rate") / F.col("total")).alias("q")))
-    rounds = Rounds("the iteration", 200_000)
+    x = base.select("own", "state", "scc", F.lit(0.0).alias("low"), F.lit(1.0).alias("high"))
+    rounds = Rounds("the enclosure of absorption probabilities", MOST_ROUNDS)
     while True:
         rounds.next()
-        moved = x.join(step, F.col("state") == F.col("from")).groupBy("scc", F.col("to").alias("state")).agg(F.sum(F.col("p") * F.col("q")).alias("p"))
-        new = keep(moved.unionByName(base.select("scc", "state", F.col("c").alias("p"))).groupBy("scc", "state").agg(F.sum("p").alias("p")))
-        gap = new.join(x.select("scc", "state", F.col("p").alias("old")), ["scc", "state"], "left").agg(F.max(F.abs(F.col("p") - F.coalesce("old", F.lit(0.0))))).first()[0]
-        x = new
-        if gap is None or gap <= PRECISION:
-            return x
+        moved = across.join(x.withColumnRenamed("state", "dst"), ["own", "dst"]).groupBy("own", F.col("src").alias("state"), "scc").agg(F.sum(F.col("rate") * F.col("low")).alias("l"), F.sum(F.col("rate") * F.col("high")).alias("h"))
+        rows = base.join(moved, ["own", "state", "scc"], "left").select("own", "block", "state", "scc", (F.col("b") + F.coalesce("l", F.lit(0.0))).alias("low"), (F.col("b") + F.coalesce("h", F.lit(0.0))).alias("high"))
+        solved = inner.groupBy("own", "block").cogroup(rows.groupBy("own", "block")).applyInPandas(refine, "own bigint, state bigint, scc bigint, low double, high double")
+        x, seen = measured(solved, F.max(F.col("high") - F.col("low")).alias("gap"))
+        if seen["gap"] <= BOUND:
+            return x.select("scc", "state", ((F.col("low") + F.col("high")) / 2).alias("p"))
 
 
 # --------------------------------------------------------------------------- distributions
@@ -174,54 +349,64 @@ def _iterated(moves: DataFrame, b: DataFrame, total: DataFrame) -> DataFrame:
 def terminal_mass(s: Structure, initial: DataFrame) -> DataFrame:
     """scc, p: how much of initial(state, p) ends in each terminal component. One right side is pushed forward, level by
     level from the sources, which is less work than absorption() of all states."""
-    mass = keep(initial.where("p > 0").select("state", "p"))
-    total = keep(s.edges.groupBy("src").agg(F.sum("rate").alias("total")))
+    start = initial.where("p > 0").join(s.states, "state").select("state", "scc", "level", "p")
+    mass = Shelves(start, "level")
     for level in range(s.top, 1, -1):
-        here = s.states.where(F.col("level") == level)
-        arrived = mass.join(here, "state").groupBy("state", "scc", "size").agg(F.sum("p").alias("b"))
-        visits = arrived.where("size = 1").join(total, F.col("state") == F.col("src")).select("state", (F.col("b") / F.col("total")).alias("z"))
-        blocks = here.where("size > 1")
-        if not blocks.isEmpty():
-            visits = visits.unionByName(_visit_blocks(s.edges, blocks, arrived.where("size > 1"), total))
-        visits = keep(visits)
-        leaving = s.edges.join(visits, F.col("src") == F.col("state")).select("src", "dst", (F.col("rate") * F.col("z")).alias("p"))
-        if not blocks.isEmpty():  # moves inside a component are in its visits already
-            own = blocks.select("state", "scc")
-            inside = leaving.join(own.select(F.col("state").alias("src"), F.col("scc").alias("a")), "src").join(own.select(F.col("state").alias("dst"), F.col("scc").alias("b")), "dst").where("a = b")
-            leaving = leaving.join(inside.select("src", "dst"), ["src", "dst"], "left_anti")
-        rest = mass.join(here.select("state"), "state", "left_anti")
-        mass = keep(rest.unionByName(leaving.select(F.col("dst").alias("state"), "p")).groupBy("state").agg(F.sum("p").alias("p")))
-    return mass.join(s.terminals, "state").groupBy("scc").agg(F.sum("p").alias("p"))
-
-
-def _visit_blocks(edges: DataFrame, blocks: DataFrame, arrived: DataFrame, total: DataFrame) -> DataFrame:
-    """z with z_i total_i = b_i + sum of z_j rate(j, i) inside each component: state, z."""
-    own = blocks.select("state", "scc", "size")
-    inside = edges.join(own.withColumnRenamed("state", "src"), "src").join(own.select(F.col("state").alias("dst"), F.col("scc").alias("s2")), "dst").where("scc = s2").select("scc", "size", "src", "dst", "rate")
-    diagonal = own.join(total, F.col("state") == F.col("src")).select("scc", "size", "src", F.col("src").alias("dst"), (-F.col("total")).alias("rate"))
-    system, arrived = inside.unionByName(diagonal), keep(arrived)
-
-    def block(key, left, right):
+        here = s.leaving.of(level)
+        arrived = mass.of(level).groupBy(F.col("state").alias("src"), F.col("scc").alias("own")).agg(F.sum("p").alias("b"))
+        parts, kinds = [], s.kinds.get(level, set())
+        if "one" in kinds:
+            parts.append(here.where("size = 1").join(arrived.drop("own"), "src").select("dst", "other", "to", (F.col("rate") / F.col("total") * F.col("b")).alias("p")))
+        if len(kinds) > 1 or "one" not in kinds:
+            arrived, inner = keep(arrived), here.where("size > 1")
+            visits = _union([solve(inner, arrived) for name, solve in (("two", _visit_pairs), ("block", _visit_blocks), ("large", _visit_large)) if name in kinds])
+            parts.append(inner.where("own <> other").join(visits, "src").select("dst", "other", "to", (F.col("rate") * F.col("z")).alias("p")))
+        onward = _union(parts).groupBy("dst", "other", "to").agg(F.sum("p").alias("p"))
+        mass.add(onward.select(F.col("dst").alias("state"), F.col("other").alias("scc"), F.col("to").alias("level"), "p"))
+    return mass.of(1).groupBy("scc").agg(F.sum("p").alias("p"))
+
+
+def _visit_pairs(edges: DataFrame, arrived: DataFrame) -> DataFrame:
+    b = arrived.groupBy("own").agg(F.coalesce(F.sum(F.when(F.col("src") == F.col("own"), F.col("b"))), F.lit(0.0)).alias("va"), F.coalesce(F.sum(F.when(F.col("src") != F.col("own"), F.col("b"))), F.lit(0.0)).alias("vb"))
+    both = _pairs(edges).join(b, "own")
+    one = F.struct(F.col("a").alias("src"), ((F.col("va") * F.col("tb") + F.col("ba") * F.col("vb")) / F.col("det")).alias("z"))
+    two = F.struct(F.col("b").alias("src"), ((F.col("vb") * F.col("ta") + F.col("ab") * F.col("va")) / F.col("det")).alias("z"))
+    return both.select(F.explode(F.array(one, two)).alias("x")).select("x.src", "x.z")
+
+
+def _visit_blocks(edges: DataFrame, arrived: DataFrame) -> DataFrame:
+    """z with z_i total_i = b_i + sum of z_j rate(j, i) inside each component: src, z."""
+
+    def one(own, part, right):
         import pandas as pd
 
-        names, at = np.unique(left["src"], return_inverse=True)
-        place = {x: i for i, x in enumerate(names.tolist())}
         if not len(right):
-            return pd.DataFrame({"state": np.zeros(0, np.int64), "z": np.zeros(0)})
-        a = -dense(at, [place[x] for x in left["dst"].tolist()], left["rate"], len(names))
+            return pd.DataFrame({"src": np.zeros(0, np.int64), "z": np.zeros(0)})
+        names, a, place = _system(part)
         b = np.zeros(len(names))
-        np.add.at(b, [place[x] for x in right["state"].tolist()], right["b"])
-        return pd.DataFrame({"state": names, "z": np.linalg.solve(a.T, b)})
-
-    small = F.col("size") <= DENSE
-    out = system.where(small).groupBy("scc").cogroup(arrived.where(small).groupBy("scc")).applyInPandas(block, "state bigint, z double")
-    if not system.where(~small).isEmpty():
-        # Flow y = z total obeys y_i = b_i + sum of y_j rate(j, i) / total_j.
-        moves = inside.where(~small).join(total, "src").select(F.col("src").alias("from"), F.col("dst").alias("to"), (F.col("rate") / F.col("total")).alias("rate"))
-        ones = own.select(F.col("state").alias("src"), F.lit(1.0).alias("total"))
-        flow = _iterated(moves, arrived.where(~small).select(F.lit(0).cast("long").alias("scc"), "state", "b"), ones)
-        out = out.unionByName(flow.join(total, F.col("state") == F.col("src")).select("state", (F.col("p") / F.col("total")).alias("z")))
-    return out
+        np.add.at(b, [place[x] for x in right["src"].tolist()], right["b"])
+        return pd.DataFrame({"src": names, "z": np.linalg.solve(a.T, b)})
+
+    some = F.col("size").between(3, DENSE)
+    bins = _bins(edges.where(some).select("own", "size").distinct())
+    left = edges.where(some).select("own", "src", "dst", "rate", "total").join(bins, "own")
+    right = arrived.join(bins.withColumnRenamed("bin", "to_bin"), "own")
+    return left.groupBy("bin").cogroup(right.groupBy("to_bin")).applyInPandas(lambda key, l, r: _each(l, r, one, "own"), "src bigint, z double")
+
+
+def _visit_large(edges: DataFrame, arrived: DataFrame) -> DataFrame:
+    """The same beyond DENSE: what leaves the component comes back where mass arrives, through a state -1 of rate 1; the
+    stationary distribution of this chain is in proportion to the visits. States must not be negative."""
+    large = edges.where(F.col("size") > DENSE)
+    inside = large.where("own = other").select("own", "src", "dst", "rate")
+    out = large.where("own <> other").groupBy("own", "src").agg(F.sum("rate").alias("rate")).select("own", "src", F.lit(-1).cast("long").alias("dst"), "rate")
+    met = arrived.join(large.select("own").distinct(), "own", "left_semi")
+    sums = met.groupBy("own").agg(F.sum("b").alias("sum"))
+    back = met.join(sums, "own").select("own", F.lit(-1).cast("long").alias("src"), F.col("src").alias("dst"), (F.col("b") / F.col("sum")).alias("rate"))
+    chain = keep(inside.unionByName(out).unionByName(back).join(sums.select("own"), "own", "left_semi"))
+    p = balanced(chain)
+    base = p.where("state = -1").select("own", F.col("p").alias("base")).join(sums, "own")
+    return p.where("state <> -1").join(base, "own").select(F.col("state").alias("src"), (F.col("p") / F.col("base") * F.col("sum")).alias("z"))
 
 
 def final_distribution(mass: DataFrame, stationary_: DataFrame) -> DataFrame:

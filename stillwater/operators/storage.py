@@ -7,6 +7,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 
 def folder(spark: SparkSession, label: str = "rounds") -> str:
@@ -71,6 +72,27 @@ class Pile:
         return parts[0].sparkSession.read.schema(parts[0].schema).parquet(*files)
 
 
+class Shelves:
+    """A table with a folder for each value of a column of few values, which grows, and of which one value's rows are read alone."""
+
+    def __init__(self, first: DataFrame, by: str):
+        self.spark, self.schema, self.by = first.sparkSession, first.schema, by
+        self.rest = StructType([f for f in first.schema if f.name != by])
+        self.places: dict[int, list[str]] = {}
+        self.add(first)
+
+    def add(self, df: DataFrame) -> None:
+        seen, path = Observation(), folder(self.spark)
+        df.select(*self.schema.names).observe(seen, F.collect_set(self.by).alias("values")).write.partitionBy(self.by).parquet(path)
+        for v in seen.get["values"]:
+            self.places.setdefault(v, []).append(f"{path}/{self.by}={v}")
+
+    def of(self, value: int) -> DataFrame:
+        reader = self.spark.read.schema(self.rest)
+        found = reader.parquet(*self.places[value]) if value in self.places else self.spark.createDataFrame([], self.rest)
+        return found.withColumn(self.by, F.lit(value).cast(self.schema[self.by].dataType)).select(*self.schema.names)
+
+
 class Rounds:
     """Counts the rounds of a loop that is known to end, and fails if it does not."""
 

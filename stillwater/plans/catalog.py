@@ -355,13 +355,13 @@ def determinant_2x2(spark, sf_dir):
 
 @query(f"{o.with_graph(o.EVENTS)}{o.iterated('(SELECT scc AS g, scc AS state, 1.0 AS p FROM term)', STEPS)} SELECT g AS scc, state, {_r('p')} AS p FROM y WHERE i = {STEPS}")
 def stationary(spark, sf_dir):
-    s = solve.Structure.of(w.event_chain(spark, sf_dir))
+    s = solve.Structure.of(w.event_chain(spark, sf_dir), levels=False)
     return solve.stationary(s).select("scc", "state", rounded("p").alias("p"))
 
 
 @query(f"{o.with_graph(o.model_edges(w.RING), o.space(3))}{o.iterated('(SELECT scc AS g, scc AS state, 1.0 AS p FROM term)', STEPS)} SELECT g AS scc, state, {_r('p')} AS p FROM y WHERE i = {STEPS}")
 def stationary_model(spark, sf_dir):
-    s = solve.Structure.of(w.model_edges(spark, w.RING), states.space(spark, 3))
+    s = solve.Structure.of(w.model_edges(spark, w.RING), states.space(spark, 3), levels=False)
     return solve.stationary(s).select("scc", "state", rounded("p").alias("p"))
 
 

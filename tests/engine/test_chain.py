@@ -113,14 +113,49 @@ def test_components_levels_and_absorption(spark, random_graph):
     close(probabilities(final), {i: mean[i] for i in range(24) if mean[i] > 1e-9}, 1e-8)
 
 
-def test_large_components_by_iteration(spark, random_graph, monkeypatch):
-    _, df, vertices = random_graph
-    s = solve.Structure.of(df, vertices)
-    start = spark.range(24).select(F.col("id").alias("state"), F.lit(1 / 24).alias("p"))
-    exact = probabilities(solve.final_distribution(solve.terminal_mass(s, start), solve.stationary(s)))
-    monkeypatch.setattr(solve, "DENSE", 1)
-    monkeypatch.setattr(solve, "PRECISION", 1e-5)
-    close(probabilities(solve.final_distribution(solve.terminal_mass(s, start), solve.stationary(s))), exact, 1e-2)
+def test_large_components_in_blocks(spark, monkeypatch):
+    """A component of five states, solved in blocks of two, that leads to a terminal one of five and to one of one."""
+    draw = np.random.default_rng(5)
+    edges = [(a, b, float(draw.integers(1, 5))) for base in (0, 5) for a in range(base, base + 5) for b in (base + (a + 1) % 5, base + (a + 3) % 5) if a != b]
+    edges += [(a, 5 + a, 9.0) for a in range(5)] + [(1, 10, 20.0)]
+    k = np.zeros((11, 11))
+    for a, b, r in edges:
+        k[a, b] += r
+    long_run = np.linalg.matrix_power(np.eye(11) + (k - np.diag(k.sum(1))) / 60, 1 << 14)
+    monkeypatch.setattr(solve, "DENSE", 4)
+    s = solve.Structure.of(spark.createDataFrame(edges, "src bigint, dst bigint, rate double"))
+    assert s.kinds == {1: {"large", "one"}, 2: {"large"}}
+    close({(r["scc"], r["state"]): r["p"] for r in solve.absorption(s).collect()}, {(c, i): long_run[i, m].sum() for c, m in ((5, range(5, 10)), (10, [10])) for i in range(11) if long_run[i, m].sum() > 1e-12}, 1e-10)
+    start = spark.createDataFrame([(0, 0.25), (3, 0.5), (10, 0.25)], "state bigint, p double")
+    want = 0.25 * long_run[0] + 0.5 * long_run[3] + 0.25 * long_run[10]
+    close(probabilities(solve.final_distribution(solve.terminal_mass(s, start), solve.stationary(s))), {i: x for i, x in enumerate(want) if x > 1e-12}, 1e-10)
+
+
+def test_rare_moves_in_a_large_component(spark, monkeypatch):
+    """Values that hardly change in a round say nothing about the weights of parts with rare moves between them."""
+    chains = [[(0, 1, 1e-9), (1, 0, 1e-9), (1, 2, 1.0), (2, 1, 7.0)], [(a, b, float(1 + (a * b) % 5) * (1e-10 if a // 4 != b // 4 else 1.0)) for a in range(12) for b in range(12) if a != b]]
+    monkeypatch.setattr(solve, "DENSE", 2)
+    for edges in chains:
+        n = 1 + max(a for a, *_ in edges)
+        k = np.zeros((n, n))
+        for a, b, r in edges:
+            k[a, b] = r
+        df = spark.createDataFrame(edges, "src bigint, dst bigint, rate double")
+        close({r["state"]: r["p"] for r in solve.stationary(solve.Structure.of(df, levels=False)).collect()}, dict(enumerate(solve.eliminate(k))), 1e-10)
+
+
+def test_pairs_in_closed_form(spark):
+    edges = [(0, 1, 2.0), (1, 0, 3.0), (0, 4, 1.0), (1, 5, 0.5), (4, 6, 1.0), (6, 4, 4.0), (2, 3, 1.0), (3, 2, 1.0), (3, 5, 2.0), (2, 0, 1.0)]
+    df = spark.createDataFrame(edges, "src bigint, dst bigint, rate double")
+    s = solve.Structure.of(df)
+    k = np.zeros((7, 7))
+    for a, b, r in edges:
+        k[a, b] = r
+    long_run = np.linalg.matrix_power(np.eye(7) + (k - np.diag(k.sum(1))) / 20, 1 << 14)
+    got = {(r["scc"], r["state"]): r["p"] for r in solve.absorption(s).collect()}
+    close(got, {(c, i): long_run[i, m].sum() for c, m in ((4, [4, 6]), (5, [5])) for i in range(7) if long_run[i, m].sum() > 0}, 1e-12)
+    start = spark.createDataFrame([(2, 0.25), (3, 0.75)], "state bigint, p double")
+    close(probabilities(solve.final_distribution(solve.terminal_mass(s, start), solve.stationary(s))), {i: x for i, x in enumerate(0.25 * long_run[2] + 0.75 * long_run[3]) if x > 1e-12}, 1e-12)
 
 
 def test_weak_components_and_order(spark, random_graph):
