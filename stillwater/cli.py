@@ -30,12 +30,12 @@ def arguments() -> argparse.ArgumentParser:
 def run(spark: SparkSession, args: argparse.Namespace) -> Solver:
     if args.initial_distribution == "RANDOM":
         raise NotImplementedError("random initial distributions")
-    model = read_model(args.bnet_file)
+    model = read_model(args.bnet_file, spark if "://" in args.bnet_file else None)
     up, down = rates.parse_overrides(args.trans_rates)
     chosen = rates.normal(model, args.mean, args.std, up, down) if args.trans_distribution == "NORMAL" else rates.uniform(model, up, down)
     fixed = states.parse_fixed(args.initial_fixed_list)
     initial = states.fixed(spark, model, fixed, args.initial_fixed_prob) if fixed else states.uniform(spark, model)
-    place = str(Path(args.bnet_file).resolve().with_suffix(".stored")) if args.symbolic else None
+    place = (args.bnet_file.removesuffix(".bnet") if "://" in args.bnet_file else str(Path(args.bnet_file).resolve().with_suffix(""))) + ".stored" if args.symbolic else None
     return Solver(spark, model, chosen, initial, store_at=place)
 
 

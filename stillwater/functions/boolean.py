@@ -188,6 +188,12 @@ def _least(found: set[Clause]) -> set[Clause]:
     return set(kept)
 
 
+def clause_text(clause: Clause, order: list[str] | tuple[str, ...]) -> str:
+    """A clause as text, names in the given order; the clause that always holds is "1"."""
+    signs = dict(clause)
+    return " & ".join(n if signs[n] else f"!{n}" for n in order if n in signs) or "1"
+
+
 def clause_column(found: set[Clause], of: Callable[[str], Column]) -> Column:
     """A disjunctive normal form over columns."""
     ands = [reduce(lambda a, b: a & b, [of(n) if s else ~of(n) for n, s in sorted(c)], F.lit(True)) for c in sorted(found, key=sorted)]

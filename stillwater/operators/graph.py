@@ -198,6 +198,15 @@ def component_sizes(scc: DataFrame) -> DataFrame:
     return running(sizes, ["scc"], {"number": "one", "begin": "size"}).drop("one")
 
 
+def trimmed_and_cyclic(edges: DataFrame, scc: DataFrame) -> DataFrame:
+    """kind, states: how many states trimming removes, how many lie between cycles, in two-cycles' and in larger components."""
+    live, _ = trim(edges.where("src <> dst").select("src", "dst").distinct())
+    core = vertices_of(live).withColumn("in_core", F.lit(True))
+    sizes = scc.groupBy("scc").agg(F.count("*").alias("size"))
+    kind = F.when(F.col("size") > 2, "larger component").when(F.col("size") == 2, "component of two").when(F.col("in_core"), "between cycles").otherwise("trimmed")
+    return scc.join(sizes, "scc").join(core, "state", "left").groupBy(kind.alias("kind")).agg(F.count("*").alias("states"))
+
+
 def size_histogram(scc: DataFrame, most: int = 9) -> DataFrame:
     """size, components: the largest sizes and how many components have each."""
     return scc.groupBy("scc").agg(F.count("*").alias("size")).groupBy("size").agg(F.count("*").alias("components")).orderBy(F.desc("size")).limit(most)

@@ -6,6 +6,9 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: Rows of the largest block whose determinant one task takes: 72 MB.
+MOST = 3_000
+
 
 def transpose(m: DataFrame) -> DataFrame:
     return m.select(F.col("col").alias("row"), F.col("row").alias("col"), "value")
@@ -32,6 +35,12 @@ def hstack(a: DataFrame, b: DataFrame, width: int) -> DataFrame:
     return a.select("row", "col", "value").unionByName(b.select("row", (F.col("col") + width).alias("col"), "value"))
 
 
+def permuted(m: DataFrame, order: DataFrame) -> DataFrame:
+    """Entries named by states -> rows and columns by the places in order(state, ord)."""
+    rows, cols = order.select(F.col("state").alias("row"), F.col("ord").alias("r")), order.select(F.col("state").alias("col"), F.col("ord").alias("c"))
+    return m.join(rows, "row").join(cols, "col").select(F.col("r").alias("row"), F.col("c").alias("col"), "value")
+
+
 def sorted_rows(m: DataFrame) -> DataFrame:
     return m.repartitionByRange("row").sortWithinPartitions("row", "col")
 
@@ -43,12 +52,17 @@ def dense(rows, cols, values, n: int) -> np.ndarray:
 
 
 def determinants(blocks: DataFrame) -> DataFrame:
-    """(grp, row, col, value) -> grp, n, det: of small square blocks, each dense in one task."""
+    """(grp, row, col, value) -> grp, n, sign, log, det: of square blocks of up to MOST rows, each dense in one task. log: of
+    the absolute value, which may be beyond what det can hold."""
 
     def one(key, pdf):
         import pandas as pd
 
         n = int(max(pdf["row"].max(), pdf["col"].max())) + 1
-        return pd.DataFrame({"grp": [key[0]], "n": [n], "det": [float(np.linalg.det(dense(pdf["row"], pdf["col"], pdf["value"], n)))]})
+        if n > MOST:
+            raise ValueError(f"block {key[0]} has {n} rows, more than {MOST}")
+        sign, log = np.linalg.slogdet(dense(pdf["row"], pdf["col"], pdf["value"], n))
+        with np.errstate(over="ignore"):
+            return pd.DataFrame({"grp": [key[0]], "n": [n], "sign": [float(sign)], "log": [float(log)], "det": [float(sign * np.exp(log))]})
 
-    return blocks.groupBy("grp").applyInPandas(one, "grp bigint, n bigint, det double")
+    return blocks.groupBy("grp").applyInPandas(one, "grp bigint, n bigint, sign double, log double, det double")

@@ -9,10 +9,12 @@ from pyspark.sql import functions as F
 
 from stillwater.functions import bits, boolean
 from stillwater.operators import graph, matrix, rates, solve, states, transitions
+from stillwater.operators.numbering import number
+from stillwater.operators.storage import keep
 from stillwater.plans import oracles as o
 from stillwater.plans import workloads as w
 from stillwater.plans.solver import Solver
-from stillwater.sources.models import clause_table
+from stillwater.sources.models import clause_table, clause_texts
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -121,6 +123,34 @@ def rates_override(spark, sf_dir):
     return rates.rate_table(spark, w.TOY, rates.uniform(w.TOY, up, down))
 
 
+@query("SELECT * FROM (VALUES ('again the same', TRUE), ('another seed differs', TRUE), ('given rates stay', TRUE), ('mean', TRUE), ('no rate below 0', TRUE), ('spread', TRUE)) AS t(property, holds)")
+def rates_normal(spark, sf_dir):
+    """What drawn rates must be like: 4,000 draws of mean 5 and deviation 0.5."""
+    from stillwater.sources.models import BooleanModel
+
+    many = BooleanModel(tuple(f"n{i}" for i in range(2_000)), tuple(boolean.Name(f"n{i}") for i in range(2_000)))
+    one, two, other = (rates.normal(many, 5.0, 0.5, up={"n7": 2.0}, seed=s) for s in (1, 1, 2))
+    t = rates.rate_table(spark, many, one).select("var", F.explode(F.array("up_rate", "down_rate")).alias("rate"))
+    mean, spread, least = t.where("var <> 7").agg(F.avg("rate"), F.stddev("rate"), F.min("rate")).first()
+    low = rates.normal(many, 0.0, 1.0, seed=3)
+    rows = [("again the same", one == two), ("another seed differs", one != other), ("given rates stay", one[7][0] == 2.0), ("mean", abs(mean - 5) < 0.05), ("no rate below 0", least >= 0 and min(map(min, low)) >= 0), ("spread", abs(spread - 0.5) < 0.05)]
+    return spark.createDataFrame(rows, "property string, holds boolean")
+
+
+@query(f"SELECT state, CAST(0.25 AS DOUBLE) AS p FROM {o.space(3)} WHERE state & 5 = 1 UNION ALL SELECT state, CAST(0.25 AS DOUBLE) FROM {o.space(3)} WHERE state & 5 = 1 AND FALSE")
+def initial_parsed(spark, sf_dir):
+    """Fixed nodes from text; half of the probability is on two of eight states here, all of it elsewhere left out."""
+    return states.fixed(spark, w.TOY, states.parse_fixed("A=1, D=0"), 0.5).where("state in (1, 3)")
+
+
+@query(f"""SELECT node, string_agg(text, ' & ' ORDER BY i) AS clause FROM (
+  SELECT node, p, n, i, CASE WHEN (p >> i) & 1 = 1 THEN name ELSE '!' || name END AS text
+  FROM (VALUES {", ".join(f"('{x}', {p}, {n})" for x in w.ROWS.nodes for p, n in w.ROWS.clause_masks(x))}) AS c(node, p, n),
+    (VALUES {", ".join(f"({i}, '{x}')" for i, x in enumerate(w.ROWS.nodes))}) AS names(i, name) WHERE ((p | n) >> i) & 1 = 1) GROUP BY node, p, n""")
+def clauses_printed(spark, sf_dir):
+    return clause_texts(spark, w.ROWS)
+
+
 @query("SELECT * FROM (VALUES ('other values', TRUE), ('another zero', FALSE)) AS t(change, reusable)")
 def zero_pattern_compatible(spark, sf_dir):
     first, second, third = (rates.uniform(w.TOY, down=d) for d in ({"C": 2.0}, {"C": 3.0}, {"C": 0.0}))
@@ -212,8 +242,6 @@ def submatrix(spark, sf_dir):
 
 
 def _nations(spark, sf_dir):
-    from stillwater.operators.storage import keep
-
     e = keep(w.nation_graph(spark, sf_dir))
     return e, graph.vertices_of(e)
 
@@ -261,11 +289,19 @@ def scc_histogram(spark, sf_dir):
     return graph.size_histogram(graph.strong_components(*_nations(spark, sf_dir)))
 
 
-@query()
+@query(o.peeled(o.NATIONS, 26))
 def trim_rounds(spark, sf_dir):
     return graph.trim_rounds(*_nations(spark, sf_dir))
 
 
+@query(f"""{o.peeled(o.NATIONS, 26, only_with=True)}, {o.graph_items()}, z AS (SELECT scc, count(*) AS size FROM scc GROUP BY scc)
+SELECT CASE WHEN size > 2 THEN 'larger component' WHEN size = 2 THEN 'component of two' WHEN scc.state IN (SELECT state FROM s26) THEN 'between cycles' ELSE 'trimmed' END AS kind, count(*) AS states
+FROM scc JOIN z ON scc.scc = z.scc GROUP BY 1""")
+def scc_statistics(spark, sf_dir):
+    e, v = _nations(spark, sf_dir)
+    return graph.trimmed_and_cyclic(e, graph.strong_components(e, v))
+
+
 @query(f"WITH e AS (SELECT * FROM {o.EVENTS}) SELECT x.src AS a, x.dst AS b FROM e x JOIN e y ON x.src = y.dst AND x.dst = y.src WHERE x.src < x.dst")
 def two_cycles(spark, sf_dir):
     return graph.two_cycles(w.event_chain(spark, sf_dir))
@@ -341,6 +377,23 @@ def hstack(spark, sf_dir):
     return matrix.hstack(m, matrix.transpose(m), 5)
 
 
+@query(f'{_M} SELECT r AS "row", c AS col, x AS value, row_number() OVER (ORDER BY r, c) - 1 AS place FROM m')
+def rows_sorted(spark, sf_dir):
+    """Entries in the order in which their partitions hold them."""
+    held = matrix.sorted_rows(_event_matrix(spark, sf_dir)).withColumn("at", F.monotonically_increasing_id())
+    return number(keep(held), ["at"], "place").select("row", "col", "value", "place")
+
+
+@query(f"""{_G}, ordered AS (SELECT state, row_number() OVER (ORDER BY CASE WHEN level = 1 THEN 0 ELSE 1 END, -level, scc.scc, state) - 1 AS ord FROM scc JOIN lev ON scc.scc = lev.scc),
+k AS (SELECT dst AS r, src AS c, rate AS x FROM e UNION ALL SELECT src, src, -sum(rate) FROM e GROUP BY src)
+SELECT CAST(a.ord AS BIGINT) AS "row", CAST(b.ord AS BIGINT) AS col, x AS value FROM k JOIN ordered a ON r = a.state JOIN ordered b ON c = b.state""")
+def matrix_in_vertex_order(spark, sf_dir):
+    """The kinetic matrix with terminal components first and then from the sources down."""
+    e, v = _nations(spark, sf_dir)
+    c = keep(graph.strong_components(e, v))
+    return matrix.permuted(transitions.kinetic_matrix(e), graph.vertex_order(c, graph.levels(graph.condense(e, c), c)))
+
+
 @query(f"""{_M}, k AS (SELECT a // 2 AS grp, max(x) FILTER (WHERE r % 2 = 0 AND c % 2 = 0) AS p, max(x) FILTER (WHERE r % 2 = 0 AND c % 2 = 1) AS q,
   max(x) FILTER (WHERE r % 2 = 1 AND c % 2 = 0) AS s, max(x) FILTER (WHERE r % 2 = 1 AND c % 2 = 1) AS t FROM (SELECT *, r AS a FROM m) WHERE r // 2 = c // 2 AND r < 4 GROUP BY a // 2)
 SELECT CAST(grp AS BIGINT) AS grp, CAST(2 AS BIGINT) AS n, {_r('coalesce(p, 0) * coalesce(t, 0) - coalesce(q, 0) * coalesce(s, 0)', 3)} AS det FROM k""")
@@ -420,6 +473,20 @@ def final_distribution(spark, sf_dir):
     return solve.final_distribution(solve.terminal_mass(s, start), solve.stationary(s)).select("state", rounded("p").alias("p"))
 
 
+@query(f"{o.with_graph(o.model_edges(w.ROWS), o.space(5))}, z AS (SELECT scc, count(*) AS size FROM scc GROUP BY scc) SELECT state, scc.scc, size, level FROM scc JOIN lev ON scc.scc = lev.scc JOIN z ON scc.scc = z.scc")
+def stored_graph(spark, sf_dir):
+    """A graph stored, and read by a solver of other rates; its relations are what was stored."""
+    from stillwater.operators.storage import folder
+    from stillwater.sources import store
+
+    where = folder(spark)
+    first = Solver(spark, w.ROWS, store_at=where).structure
+    again = Solver(spark, w.ROWS, rates.uniform(w.ROWS, up={"F": 2.0}), store_at=where)
+    if not store.equal(first.states, again.structure.states) or not store.equal(first.edges.select("src", "dst"), again.structure.edges.select("src", "dst")):
+        raise AssertionError("the stored graph is another one")
+    return again.structure.states
+
+
 def _first_masks(spark, sf_dir) -> DataFrame:
     from pyspark.sql import Window
 

@@ -45,12 +45,9 @@ def model_edges(model: BooleanModel, states: str | None = None, rates=None) -> s
     return "(" + " UNION ALL ".join(parts) + ")"
 
 
-def with_graph(edges: str, vertices: str | None = None) -> str:
-    """WITH clause: e (edges), v (vertices), reach (a, b), scc (state, scc), cond (src, dst), term (scc)."""
-    v = f"SELECT state FROM {vertices} UNION " if vertices else ""
-    return f"""WITH RECURSIVE e AS MATERIALIZED (SELECT * FROM {edges}),
-v AS MATERIALIZED ({v}SELECT src AS state FROM e UNION SELECT dst FROM e),
-reach(a, b) AS (SELECT state, state FROM v UNION SELECT a, dst FROM reach JOIN e ON b = src),
+def graph_items() -> str:
+    """WITH items after e (edges) and v (vertices): reach (a, b), scc (state, scc), cond (src, dst), term (scc), lev (scc, level)."""
+    return """reach(a, b) AS (SELECT state, state FROM v UNION SELECT a, dst FROM reach JOIN e ON b = src),
 scc AS MATERIALIZED (SELECT x.a AS state, min(x.b) AS scc FROM reach x JOIN reach y ON x.a = y.b AND x.b = y.a GROUP BY x.a),
 cond AS MATERIALIZED (SELECT DISTINCT s.scc AS src, t.scc AS dst FROM e JOIN scc s ON e.src = s.state JOIN scc t ON e.dst = t.state WHERE s.scc <> t.scc),
 term AS (SELECT DISTINCT scc FROM scc WHERE scc NOT IN (SELECT src FROM cond)),
@@ -58,6 +55,25 @@ longest(scc, n) AS (SELECT DISTINCT scc, 1 FROM scc UNION SELECT cond.src, n + 1
 lev AS (SELECT scc, CAST(max(n) AS BIGINT) AS level FROM longest GROUP BY scc)"""
 
 
+def with_graph(edges: str, vertices: str | None = None) -> str:
+    """WITH clause: e (edges), v (vertices), and graph_items()."""
+    v = f"SELECT state FROM {vertices} UNION " if vertices else ""
+    return f"""WITH RECURSIVE e AS MATERIALIZED (SELECT * FROM {edges}),
+v AS MATERIALIZED ({v}SELECT src AS state FROM e UNION SELECT dst FROM e),
+{graph_items()}"""
+
+
+def peeled(edges: str, rounds: int, only_with: bool = False) -> str:
+    """state, round: trimming written out round by round; s<k> are the states left after round k. For graphs of fewer rounds."""
+    items = ["e AS MATERIALIZED (SELECT * FROM " + edges + ")", "v AS MATERIALIZED (SELECT src AS state FROM e UNION SELECT dst FROM e)", "s0 AS MATERIALIZED (SELECT state FROM v)"]
+    for k in range(1, rounds + 1):
+        live = f"(SELECT src, dst FROM e WHERE src IN (SELECT state FROM s{k - 1}) AND dst IN (SELECT state FROM s{k - 1}))"
+        items.append(f"s{k} AS MATERIALIZED (SELECT state FROM s{k - 1} WHERE state IN (SELECT src FROM {live} a) AND state IN (SELECT dst FROM {live} b))")
+    out = "WITH RECURSIVE " + ",\n".join(items)
+    gone = " UNION ALL ".join(f'SELECT state, CAST({k} AS BIGINT) AS "round" FROM s{k - 1} WHERE state NOT IN (SELECT state FROM s{k})' for k in range(1, rounds + 1))
+    return out if only_with else f"{out} {gone}"
+
+
 def iterated(start: str, steps: int) -> str:
     """Further WITH items after with_graph(): y (i, g, state, p), by steps of the uniformised chain from start (g, state, p)."""
     return f""", out AS (SELECT v.state, coalesce(sum(rate), 0) AS total FROM v LEFT JOIN e ON src = v.state WHERE dst IS NULL OR src <> dst GROUP BY v.state),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,7 +14,7 @@ from stillwater.operators import rates as rates_
 from stillwater.operators.rates import Rates
 from stillwater.operators.storage import keep
 from stillwater.sources import store
-from stillwater.sources.models import BooleanModel
+from stillwater.sources.models import BooleanModel, models_of, read_corpus
 
 
 class Solver:
@@ -98,3 +99,11 @@ class Solver:
     def named(self, separator: str = " --- ") -> DataFrame:
         """state, nodes, p, by state"""
         return self.final.select("state", bits.decode(F.col("state"), list(self.model.nodes), separator).alias("nodes"), "p").orderBy("state")
+
+
+def solve_corpus(spark: SparkSession, pattern: str, fixed: dict[str, dict[str, int]] | None = None) -> Iterator[tuple[str, Solver]]:
+    """A solver for each model of the files that match, one after another; its result is computed when asked for. fixed: start
+    values of nodes by model; a model without any starts from all its states alike."""
+    for model_id, model in models_of(read_corpus(spark, pattern)):
+        start = (fixed or {}).get(model_id)
+        yield model_id, Solver(spark, model, initial=states.fixed(spark, model, start) if start else None)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cached_property
 from pathlib import Path
@@ -62,8 +63,11 @@ def parse_model(text: str) -> BooleanModel:
     return BooleanModel(tuple(nodes), tuple(rules))
 
 
-def read_model(path: str) -> BooleanModel:
-    return parse_model(Path(path).read_text())
+def read_model(path: str, spark: SparkSession | None = None) -> BooleanModel:
+    """From the driver's disk, or with a session from any path that Spark reads."""
+    if spark is None:
+        return parse_model(Path(path).read_text())
+    return parse_model(spark.read.option("wholetext", True).text(path).first()[0])
 
 
 def read_corpus(spark: SparkSession, pattern: str) -> DataFrame:
@@ -82,6 +86,18 @@ def model_of(rows: DataFrame, model_id: str) -> BooleanModel:
     return parse_model("\n".join(f"{r['node']},{r['factor']}" for r in found))
 
 
+def models_of(rows: DataFrame) -> Iterator[tuple[str, BooleanModel]]:
+    """All models of read_corpus() rows by id, one at a time."""
+    for (model_id,) in rows.select("model_id").distinct().orderBy("model_id").toLocalIterator():
+        yield model_id, model_of(rows, model_id)
+
+
+def clause_texts(spark: SparkSession, model: BooleanModel) -> DataFrame:
+    """node, clause: the clauses of each rule as text."""
+    rows = [(n, boolean.clause_text(c, model.nodes)) for n, r in zip(model.nodes, model.rules, strict=True) for c in boolean.clauses(r)]
+    return spark.createDataFrame(rows, "node string, clause string")
+
+
 def clause_table(spark: SparkSession, model: BooleanModel) -> DataFrame:
     """node_idx, clause_idx, p_mask, n_mask."""
     rows = [(i, k, p, n) for i, node in enumerate(model.nodes) for k, (p, n) in enumerate(model.clause_masks(node))]
