@@ -12,8 +12,7 @@ confirmed on the full sets, and confirmed links are joined into components. A li
 others, members outside the list's main component are held against leaders of it and of their own. What is still
 outside then is held against all members: pair by pair in lists with few outside, and else, for all lists of a main
 component together, in blocks, of whose full sets a task takes the intersections as a matrix product and names one link for
-each component that a document meets; documents that have too few elements in common with all of these together to match
-any are left out of the blocks. No list, partner or candidate is left out. Lists are dealt by key and salt, about
+each component that a document meets. No list, partner or candidate is left out. Lists are dealt by key and salt, about
 SALT_ROWS members each.
 
 Defined cases: a null or wordless text has the empty set and links with nothing; a text with fewer words than a
@@ -199,22 +198,10 @@ class _Join:
         met = self.with_lists(members, out, ["key"]).where((F.col("label") != F.col("ol")) & self.comparable(F.col("n"), F.col("on")))
         return met.select(F.least("id", "o").alias("a"), F.greatest("id", "o").alias("b")).distinct()
 
-    def near_outside(self, members: DataFrame, elements: DataFrame) -> DataFrame:
-        """id, main: the members outside a main component that have posted_matches elements or more in common with it and the
-        others outside it, counted over all of them together. Those with fewer match none of them."""
-        parties = common.stash(members.select("main", "id", (F.col("label") != F.col("main")).alias("out")).distinct(), "minhash-parties")
-        held = parties.join(elements.select("id", "element"), "id")
-        held = common.stash(held.groupBy("main", "element").agg(F.count("*").alias("c")).where("c > 1").select("main", "element"), "minhash-held")
-        mine = parties.where("out").join(elements.select("id", "element"), "id")
-        return mine.join(held, ["main", "element"]).groupBy("id", "main").agg(F.count("*").alias("c")).where(F.col("c") >= self.posted_matches).select("id", "main")
-
-    def in_blocks(self, members: DataFrame, elements: DataFrame) -> DataFrame:
-        """Links (a, b) of the near members outside each main component with all members of its lists. A block has about BLOCK
+    def in_blocks(self, members: DataFrame) -> DataFrame:
+        """Links (a, b) of the members outside each main component with all members of its lists. A block has about BLOCK
         documents of either side, however many there are in all."""
-        near = common.stash(self.near_outside(members, elements), "minhash-outside")
-        parties = members.select("main", "id", "label", (F.col("label") != F.col("main")).alias("out")).distinct()
-        parties = parties.join(near.select("main").distinct(), "main", "left_semi").join(near.withColumn("near", F.lit(True)), ["main", "id"], "left")
-        parties = common.stash(parties.select("main", "id", "label", (F.col("out") & F.col("near").isNotNull()).alias("out")), "minhash-blocks")
+        parties = common.stash(members.select("main", "id", "label", (F.col("label") != F.col("main")).alias("out")).distinct(), "minhash-parties")
         counts = parties.groupBy("main").agg(F.ceil(F.count_if("out") / BLOCK).alias("x"), F.ceil(F.count("*") / BLOCK).alias("y"))
         sets = common.stash(self.sets(parties.select("id").distinct()), "minhash-block-sets", codec="lz4")
         full = parties.join(counts, "main").join(sets, "id")
@@ -228,8 +215,7 @@ class _Join:
 
     def run(self) -> DataFrame | None:
         """(id, component) of all classes that have a link."""
-        elements = common.stash(self.elements(), "minhash-elements")
-        postings = common.stash(self.prefixes(elements), "minhash-postings")
+        postings = common.stash(self.prefixes(self.elements()), "minhash-postings")
         self.add(self.confirm(self.against_first(postings)))
         open_ = self.open_lists(postings)
         if open_.isEmpty():
@@ -238,7 +224,7 @@ class _Join:
         open_ = self.open_lists(open_.select("id", "n", "key", "salts"))
         links = self.confirm(self.outside_against_all(open_.where(F.col("outside") <= self.few)))
         many = open_.where(F.col("outside") > self.few)
-        self.add(links if many.isEmpty() else links.union(self.in_blocks(many, elements)))
+        self.add(links if many.isEmpty() else links.union(self.in_blocks(many)))
         return self.labels
 
 
