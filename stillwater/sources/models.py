@@ -67,12 +67,12 @@ def read_model(path: str, spark: SparkSession | None = None) -> BooleanModel:
     """From the driver's disk, or with a session from any path that Spark reads."""
     if spark is None:
         return parse_model(Path(path).read_text())
-    return parse_model(spark.read.option("wholetext", True).text(path).first()[0])
+    return parse_model(spark.read.text(path, wholetext=True).first()[0])
 
 
 def read_corpus(spark: SparkSession, pattern: str) -> DataFrame:
     """model_id (file name without ending), idx, node, factor of all files that match; a file is one row while read."""
-    files = spark.read.option("wholetext", True).text(pattern).select(F.regexp_extract(F.input_file_name(), r"([^/]+?)(?:\.[^./]*)?$", 1).alias("model_id"), "value")
+    files = spark.read.text(pattern, wholetext=True).select(F.regexp_extract(F.input_file_name(), r"([^/]+?)(?:\.[^./]*)?$", 1).alias("model_id"), "value")
     lines = files.select("model_id", F.posexplode(F.split("value", r"\r?\n")).alias("line", "text"))
     lines = lines.where((F.trim("text") != "") & ~((F.col("line") == 0) & F.col("text").startswith("targets")))
     parts = F.split("text", ",", 2)
