@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stillwater.llm import ann, bpe, chat, common, lm, media, minhash, mixing, pii, toxicity, warc
+from stillwater.llm import ann, bpe, chat, common, lm, media, minhash, mixing, negatives, pii, toxicity, warc
 
 
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -69,6 +69,11 @@ def op10_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(common.table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
 
+def op13_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.mine(common.table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, label)
+
+
 QUERIES = {
     "op1_bpe": op1_bpe,
     "op2_pii": op2_pii,
@@ -80,6 +85,7 @@ QUERIES = {
     "op8_lm": op8_lm,
     "op9_mixing": op9_mixing,
     "op10_ann": op10_ann,
+    "op13_negatives": op13_negatives,
 }
 
 _CHAT_SQL = """
@@ -155,4 +161,21 @@ SELECT doc_id, size, source_size, target, CAST(size * coalesce(n, 0) AS BIGINT)
 FROM numbered LEFT JOIN found USING (r)
 """
 
-ORACLES: dict[str, str] = {"op3_chat": _CHAT_SQL, "op9_mixing": _MIXING_SQL}
+_NEGATIVES_SQL = """
+WITH rows_ AS (
+  SELECT DISTINCT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (
+  SELECT a.vec_id AS anchor, a.label, b.vec_id AS other, b.label AS other_label, CAST(list_sum(list_transform(range(1, len(a.v) + 1), lambda i: a.v[i] * b.v[i])) AS BIGINT) AS score
+  FROM rows_ a JOIN rows_ b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id AND len(a.v) = len(b.v)),
+positives AS (
+  SELECT anchor, other, score FROM scored WHERE label = other_label QUALIFY row_number() OVER (PARTITION BY anchor ORDER BY score DESC, other) <= 5),
+negatives AS (
+  SELECT p.anchor AS anchor_id, p.other AS positive_id, n.other AS negative_id, p.score AS positive_score, n.score AS negative_score,
+    row_number() OVER (PARTITION BY p.anchor, p.other ORDER BY n.score DESC, n.other) AS rank
+  FROM positives p JOIN scored n ON p.anchor = n.anchor AND n.label <> n.other_label AND 80 * p.score <= 100 * n.score AND 100 * n.score <= 100 * p.score)
+SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score FROM negatives WHERE rank <= 5
+"""
+
+ORACLES: dict[str, str] = {"op3_chat": _CHAT_SQL, "op9_mixing": _MIXING_SQL, "op13_negatives": _NEGATIVES_SQL}
