@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stillwater.llm import ann, bpe, chat, common, lm, media, minhash, mixing, negatives, pii, toxicity, warc
+from stillwater.llm import ann, bpe, chat, common, lm, media, minhash, mixing, negatives, pii, suffixes, toxicity, warc
 
 
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -69,6 +69,10 @@ def op10_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(common.table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
 
+def op11_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.remove_repeats(common.table(spark, sf_dir, "documents"))
+
+
 def op13_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
     return negatives.mine(common.table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, label)
@@ -85,6 +89,7 @@ QUERIES = {
     "op8_lm": op8_lm,
     "op9_mixing": op9_mixing,
     "op10_ann": op10_ann,
+    "op11_suffixes": op11_suffixes,
     "op13_negatives": op13_negatives,
 }
 
