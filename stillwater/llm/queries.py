@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stillwater.llm import ann, bpe, chat, common, lm, media, minhash, mixing, negatives, pii, suffixes, toxicity, warc
+from stillwater.llm import alignment, ann, bpe, chat, common, lm, media, minhash, mixing, negatives, pii, suffixes, toxicity, warc
 
 
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -73,6 +73,13 @@ def op11_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.remove_repeats(common.table(spark, sf_dir, "documents"))
 
 
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    docs = common.table(spark, sf_dir, "documents")
+    return alignment.align(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"), public_tokenizers.PATTERN)
+
+
 def op13_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
     return negatives.mine(common.table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, label)
@@ -90,6 +97,7 @@ QUERIES = {
     "op9_mixing": op9_mixing,
     "op10_ann": op10_ann,
     "op11_suffixes": op11_suffixes,
+    "op12_alignment": op12_alignment,
     "op13_negatives": op13_negatives,
 }
 

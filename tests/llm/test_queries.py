@@ -7,7 +7,7 @@ import pytest
 from stillwater.llm import queries
 
 DOCUMENTS = [(1, "a b c a b c d e f", "s1"), (1, "a b c a b c d e f", "s1"), (2, None, "s2"), (3, "", None), (None, "null id text mail me@x.org", "s1"), (None, None, None), (4, "A B C a b c d e f", "s2"), (5, "é 127.0.0.1 " * 40, "s1")]
-DOCUMENT_QUERIES = ["op1_bpe", "op2_pii", "op4_media", "op5_toxicity", "op7_minhash", "op8_lm", "op9_mixing"]
+DOCUMENT_QUERIES = ["op1_bpe", "op2_pii", "op4_media", "op5_toxicity", "op7_minhash", "op8_lm", "op9_mixing", "op11_suffixes", "op12_alignment"]
 
 
 @pytest.fixture(scope="module")
@@ -50,3 +50,4 @@ def test_other_queries(spark, tables):
     assert {r["query_id"] for r in near} == {0, 20}
     assert [r["vec_id"] for r in sorted((r for r in near if r["query_id"] == 0), key=lambda r: r["rank"])] == list(range(1, 21))  # ties by id
     assert sorted(r["vec_id"] for r in near if r["query_id"] == 20) == sorted([x for x in range(29, 8, -1) if x != 20] * 2)
+    assert [r for r in queries.QUERIES["op13_negatives"](spark, tables).collect()] == []  # its one anchor, 0, has fewer labels than it needs
