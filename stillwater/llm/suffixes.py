@@ -338,8 +338,8 @@ def fetched(texts: DataFrame, wanted: DataFrame, least: int) -> DataFrame:
 
 
 def _compared(table: pa.Table, least: int) -> pa.Table:
-    """Rows of fetched(), sorted by key and part -> for each window that has an earlier equal one in its array: its span; for
-    each first window of a key in parts: two digests and its span."""
+    """Rows of fetched(), sorted by key and part -> the spans of windows that have an earlier equal one in their array; for each
+    first window of a key in parts: two digests and its span."""
     table = table.combine_chunks()
     get = lambda c: table.column(c).to_numpy()
     key, part, parts, doc, tie, start = (get(c) for c in ("key", "part", "parts", "doc", "tie", "start"))
@@ -360,7 +360,7 @@ def _compared(table: pa.Table, least: int) -> pa.Table:
     order = order[left[order] >= least]
     text = np.repeat(np.arange(len(texts)), np.diff(np.append(texts, n)))[segment[order]]
     same = np.zeros(len(order), bool)
-    # Eight bytes at a time: the windows' words at their offsets, as far as pairs still agree.
+    # Byte after byte, as far as pairs still agree.
     pair = np.flatnonzero(text[1:] == text[:-1]) + 1
     for step in range(least):
         pair = pair[data[order[pair] + step] == data[order[pair - 1] + step]]
@@ -372,20 +372,26 @@ def _compared(table: pa.Table, least: int) -> pa.Table:
     place = start[s] + order - begin[s]
     by = np.lexsort((place, tie[s], doc[s], group))
     first = np.append(True, group[by][1:] != group[by][:-1]) if len(by) else np.zeros(0, bool)
-    again = by[~first]
     open_ = by[first & (parts[s[by]] > 1)]
+    # Windows that go, as runs of one segment: a row for each run.
+    again = by[~first]
+    again = again[np.argsort(order[again])]
+    run = np.flatnonzero(np.append(True, (np.diff(order[again]) != 1) | (np.diff(s[again]) != 0))) if len(again) else again
+    longer = np.diff(np.append(run, len(again))) - 1
+    again = again[run]
     digests = [hashlib.blake2b(data[o : o + least].astype(np.uint8).tobytes(), digest_size=16).digest() for o in order[open_].tolist()]
     halves = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
     rows = np.concatenate([again, open_])
+    longer = np.append(longer, np.zeros(len(open_), np.int64))
     blank = np.zeros(len(again), np.int64)
     return pa.table({
         "again": pa.array(np.arange(len(rows)) < len(again)), "one": pa.array(np.concatenate([blank, halves[:, 0]])), "two": pa.array(np.concatenate([blank, halves[:, 1]])),
-        "doc": pa.array(doc[s[rows]]), "tie": pa.array(tie[s[rows]]), "begin": pa.array(place[rows].astype(np.int32)), "stop": pa.array((place[rows] + least).astype(np.int32)),
+        "doc": pa.array(doc[s[rows]]), "tie": pa.array(tie[s[rows]]), "begin": pa.array(place[rows].astype(np.int32)), "stop": pa.array((place[rows] + longer + least).astype(np.int32)),
     })
 
 
 def compared(segments_: DataFrame, least: int) -> DataFrame:
-    """fetched() -> again (whether the window goes), one, two (digests of windows that meet other parts), doc, tie, begin, stop."""
+    """fetched() -> again (whether the span goes), one, two (digests of windows that meet other parts), doc, tie, begin, stop."""
     dealt = segments_.repartition("key", "part").sortWithinPartitions("key", "part", "doc", "tie", "start")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -419,11 +425,11 @@ def identified(documents: DataFrame) -> DataFrame:
     return documents.select("doc_id", F.coalesce("doc_id", F.lit(2**63 - 1)).alias("doc"), tie.alias("tie"), F.coalesce("text", F.lit("")).alias("text"))
 
 
-def bucketed(df: DataFrame, by: str, buckets: int) -> DataFrame:
-    """df in shared storage, dealt by a column, so that joins by it need not move it again."""
+def bucketed(df: DataFrame, by: list[str], buckets: int) -> DataFrame:
+    """df in shared storage, dealt by columns, so that joins by them need not move it again."""
     path = folder(df.sparkSession, "suffixes-texts")
     name = "texts_" + path.rsplit("/", 1)[1]
-    df.write.bucketBy(buckets, by).option("compression", "zstd").option("path", path).saveAsTable(name)
+    df.write.bucketBy(buckets, *by).option("compression", "zstd").option("path", path).saveAsTable(name)
     return df.sparkSession.table(name)
 
 
@@ -450,7 +456,7 @@ def remove_repeats(documents: DataFrame, least: int = 100, keep_text: bool = Fal
         raise ValueError(f"strings of fewer than {2 * GRAM} bytes are not supported")
     plain = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     buckets = max(1, int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    texts = bucketed(identified(plain), "doc", buckets)
+    texts = bucketed(identified(plain), ["doc", "tie"], buckets)
     spans = repeated_spans(texts, least).groupBy("doc", "tie").agg(F.collect_list(F.struct("begin", "stop")).alias("spans"))  # a document's own
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
