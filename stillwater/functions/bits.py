@@ -47,3 +47,9 @@ def decode(state: Column, nodes: list[str], separator: str = " --- ", empty: str
     """The names of the set bits."""
     on = F.array_compact(F.array(*[F.when(bit(state, i), F.lit(n)) for i, n in enumerate(nodes)]))
     return F.when(state == F.lit(0), F.lit(empty)).otherwise(F.array_join(on, separator))
+
+
+def clause_text(positive: Column, negative: Column, nodes: list[str]) -> Column:
+    """A clause of two masks as text: "A & !B"; the clause that always holds is "1"."""
+    parts = F.array_compact(F.array(*[F.when(bit(positive, i), F.lit(n)).when(bit(negative, i), F.lit(f"!{n}")) for i, n in enumerate(nodes)]))
+    return F.when(F.size(parts) == 0, F.lit("1")).otherwise(F.array_join(parts, " & "))

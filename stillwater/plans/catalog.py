@@ -14,7 +14,7 @@ from stillwater.operators.storage import keep
 from stillwater.plans import oracles as o
 from stillwater.plans import workloads as w
 from stillwater.plans.solver import Solver
-from stillwater.sources.models import clause_table, clause_texts
+from stillwater.sources.models import clause_table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -53,14 +53,29 @@ def _per_state(df: DataFrame, prefix: str, value: Callable[[int, Column], Column
     return df.groupBy("state").agg(*aggs)
 
 
-@query(f"SELECT state FROM {o.space(8)}")
+_COUNTED = f"(SELECT state, count(*) AS n FROM {o.ROW_STATES} GROUP BY state)"
+
+
+def _counted(spark, sf_dir, bits_: int = 5) -> DataFrame:
+    """state, n: how many line items are in each state, of the first bits_ nodes."""
+    rows = w.row_states(spark, sf_dir)
+    return rows.select(F.col("state").bitwiseAND(F.lit((1 << bits_) - 1)).alias("state")).groupBy("state").agg(F.count("*").alias("n"))
+
+
+def _taken(spark, sf_dir, states_: DataFrame) -> DataFrame:
+    """states, and n: how many line items are in each."""
+    return states_.join(_counted(spark, sf_dir), "state", "left").na.fill(0, ["n"])
+
+
+@query(f"SELECT s.state, coalesce(n, 0) AS n FROM {o.space(5)} s LEFT JOIN {_COUNTED} c ON s.state = c.state")
 def state_space(spark, sf_dir):
-    return states.space(spark, 8)
+    """All states, and how many line items are in each."""
+    return _taken(spark, sf_dir, states.space(spark, 5))
 
 
-@query(f"SELECT state FROM {o.space(8)} WHERE state & {(1 << 1) | (1 << 4)} = {1 << 4}")
+@query(f"SELECT s.state, coalesce(n, 0) AS n FROM {o.space(5)} s LEFT JOIN {_COUNTED} c ON s.state = c.state WHERE s.state & {(1 << 1) | (1 << 4)} = {1 << 4}")
 def subcube(spark, sf_dir):
-    return states.subcube(spark, 8, {1: 0, 4: 1})
+    return _taken(spark, sf_dir, states.subcube(spark, 5, {1: 0, 4: 1}))
 
 
 @query(f"SELECT state, count(*) AS n FROM {o.ROW_STATES} GROUP BY state")
@@ -88,28 +103,44 @@ def rule_negation(spark, sf_dir):
     return _per_state(w.row_states(spark, sf_dir), "off", lambda i, s: transitions.clause_value(masks[i], s))
 
 
-@query(" UNION ALL ".join(f"SELECT '{n}' AS node, state FROM {o.space(5)} WHERE {o.rule_sql(w.ROWS, i)}" for i, n in enumerate(w.ROWS.nodes)))
+@query(" UNION ALL ".join(f"SELECT '{n}' AS node, state, n FROM {_COUNTED} WHERE {o.rule_sql(w.ROWS, i)}" for i, n in enumerate(w.ROWS.nodes)))
 def clause_table_eval(spark, sf_dir):
-    """Clauses as a relation: the states in which any clause of a node holds."""
+    """Clauses as a relation: the states of line items in which any clause of a node holds."""
     clauses = clause_table(spark, w.ROWS)
     nodes = spark.createDataFrame(list(enumerate(w.ROWS.nodes)), "node_idx int, node string")
-    held = states.space(spark, 5).join(F.broadcast(clauses), bits.matches(F.col("state"), F.col("p_mask"), F.col("n_mask")))
-    return held.select("node_idx", "state").distinct().join(F.broadcast(nodes), "node_idx").select("node", "state")
+    held = _counted(spark, sf_dir).join(F.broadcast(clauses), bits.matches(F.col("state"), F.col("p_mask"), F.col("n_mask")))
+    return held.select("node_idx", "state", "n").distinct().join(F.broadcast(nodes), "node_idx").select("node", "state", "n")
 
 
-@query(f"SELECT state, CAST(0.125 AS DOUBLE) AS p FROM {o.space(3)}")
+@query(f"SELECT s.state, CAST(0.03125 AS DOUBLE) AS p, coalesce(n, 0) AS n FROM {o.space(5)} s LEFT JOIN {_COUNTED} c ON s.state = c.state")
 def initial_uniform(spark, sf_dir):
-    return states.uniform(spark, w.TOY)
+    """Every state alike, beside the line items in it."""
+    return _taken(spark, sf_dir, states.uniform(spark, w.ROWS))
+
 
+def _usual(spark, sf_dir) -> tuple[dict[str, int], list[int], int]:
+    """For each node the value that more than half of the line items have (else 0), how many have it on, and how many there are."""
+    on = [F.count_if(bits.bit(F.col("state"), i)).alias(n) for i, n in enumerate(w.ROWS.nodes)]
+    row = w.row_states(spark, sf_dir).agg(F.count("*").alias("all_"), *on).first()
+    return {n: int(2 * row[n] > row["all_"]) for n in w.ROWS.nodes}, [row[n] for n in w.ROWS.nodes], row["all_"]
 
-@query(f"SELECT state, CAST(0.25 AS DOUBLE) AS p FROM {o.space(3)} WHERE state & 1 = 0")
+
+_ON = ", ".join(f"count(*) FILTER ((state >> {i}) & 1 = 1) AS on_{i}" for i in range(5))
+_USUAL = "(SELECT *, " + " + ".join(f"CASE WHEN 2 * on_{i} > total THEN {1 << i} ELSE 0 END" for i in range(5)) + f" AS usual FROM (SELECT count(*) AS total, {_ON} FROM {o.ROW_STATES}))"
+
+
+@query(f"SELECT state, CAST(0.125 AS DOUBLE) AS p FROM {o.space(5)}, {_USUAL} WHERE state & 5 = usual & 5")
 def initial_fixed(spark, sf_dir):
-    return states.fixed(spark, w.TOY, {"A": 0})
+    """Two nodes fixed at what most line items have."""
+    usual, _, _ = _usual(spark, sf_dir)
+    return states.fixed(spark, w.ROWS, {n: usual[n] for n in ("R", "D")})
 
 
-@query(f"SELECT state, {_r('CASE WHEN state & 5 = 4 THEN 0.7 / 8 ELSE 0.3 / 24 END', 9)} AS p FROM {o.space(5)}")
+@query(f"SELECT state, {_r('CASE WHEN state & 8 = 8 THEN on_3 / total / 16 ELSE (total - on_3) / total / 16 END', 9)} AS p FROM {o.space(5)}, {_USUAL}")
 def initial_fixed_prob(spark, sf_dir):
-    return states.fixed(spark, w.ROWS, {"R": 0, "D": 1}, 0.7).select("state", rounded("p", 9).alias("p"))
+    """One node on with the probability that it is in a line item."""
+    _, on, total = _usual(spark, sf_dir)
+    return states.fixed(spark, w.ROWS, {"T": 1}, on[3] / total).select("state", rounded("p", 9).alias("p"))
 
 
 @query(f"SELECT state, {_r('count(*) / sum(count(*)) OVER ()', 9)} AS p FROM {o.ROW_STATES} GROUP BY state")
@@ -117,70 +148,109 @@ def initial_empirical(spark, sf_dir):
     return states.empirical(w.row_states(spark, sf_dir)).select("state", rounded("p", 9).alias("p"))
 
 
-@query("SELECT * FROM (VALUES (0, 'A', 1.0::DOUBLE, 1.0::DOUBLE), (1, 'C', 1.0::DOUBLE, 2.0::DOUBLE), (2, 'D', 0.5::DOUBLE, 1.0::DOUBLE)) AS t(var, node, up_rate, down_rate)")
+@query(f"SELECT CAST(i AS INTEGER) AS var, node, CAST(CASE i WHEN 1 THEN on_1 WHEN 3 THEN on_3 ELSE 1 END AS DOUBLE) AS up_rate, CAST(CASE i WHEN 0 THEN total - on_0 ELSE 1 END AS DOUBLE) AS down_rate FROM {_USUAL}, (VALUES {', '.join(f"({i}, '{n}')" for i, n in enumerate(w.ROWS.nodes))}) AS v(i, node)")
 def rates_override(spark, sf_dir):
-    up, down = rates.parse_overrides("d_C=2,u_D=0.5")
-    return rates.rate_table(spark, w.TOY, rates.uniform(w.TOY, up, down))
+    """Rates read from text, which is made of counts of line items."""
+    _, on, total = _usual(spark, sf_dir)
+    up, down = rates.parse_overrides(f"u_F={on[1]},d_R={total - on[0]},u_T={on[3]}")
+    return rates.rate_table(spark, w.ROWS, rates.uniform(w.ROWS, up, down))
 
 
-@query("SELECT * FROM (VALUES ('again the same', TRUE), ('another seed differs', TRUE), ('given rates stay', TRUE), ('mean', TRUE), ('no rate below 0', TRUE), ('spread', TRUE)) AS t(property, holds)")
+@query("""SELECT c_name AS node, CASE WHEN n % 2 = 0 THEN CAST(n AS DOUBLE) END AS given, TRUE AS again_the_same, TRUE AS not_negative, TRUE AS near_the_mean, CAST(n AS BIGINT) AS n
+FROM (SELECT n_name AS c_name, count(s_suppkey) AS n FROM nation LEFT JOIN supplier ON n_nationkey = s_nationkey GROUP BY n_name)""")
 def rates_normal(spark, sf_dir):
-    """What drawn rates must be like: 4,000 draws of mean 5 and deviation 0.5."""
+    """A node for each nation, with drawn rates; where a nation's suppliers are even in number, they are its rate up."""
     from stillwater.sources.models import BooleanModel
 
-    many = BooleanModel(tuple(f"n{i}" for i in range(2_000)), tuple(boolean.Name(f"n{i}") for i in range(2_000)))
-    one, two, other = (rates.normal(many, 5.0, 0.5, up={"n7": 2.0}, seed=s) for s in (1, 1, 2))
-    t = rates.rate_table(spark, many, one).select("var", F.explode(F.array("up_rate", "down_rate")).alias("rate"))
-    mean, spread, least = t.where("var <> 7").agg(F.avg("rate"), F.stddev("rate"), F.min("rate")).first()
-    low = rates.normal(many, 0.0, 1.0, seed=3)
-    rows = [("again the same", one == two), ("another seed differs", one != other), ("given rates stay", one[7][0] == 2.0), ("mean", abs(mean - 5) < 0.05), ("no rate below 0", least >= 0 and min(map(min, low)) >= 0), ("spread", abs(spread - 0.5) < 0.05)]
-    return spark.createDataFrame(rows, "property string, holds boolean")
-
-
-@query(f"SELECT state, CAST(0.25 AS DOUBLE) AS p FROM {o.space(3)} WHERE state & 5 = 1 UNION ALL SELECT state, CAST(0.25 AS DOUBLE) FROM {o.space(3)} WHERE state & 5 = 1 AND FALSE")
+    nations, suppliers = w.table(spark, sf_dir, "nation"), w.table(spark, sf_dir, "supplier")
+    counts = nations.join(suppliers, F.col("n_nationkey") == F.col("s_nationkey"), "left").groupBy(F.col("n_name").alias("node")).agg(F.count("s_suppkey").alias("n"))
+    found = {r["node"]: r["n"] for r in counts.collect()}  # a row for each nation
+    model = BooleanModel(tuple(sorted(found)), tuple(boolean.Name(n) for n in sorted(found)))
+    given = {n: float(c) for n, c in found.items() if c % 2 == 0}
+    one, two = (rates.rate_table(spark, model, rates.normal(model, 5.0, 0.5, up=given, seed=1)) for _ in range(2))
+    same = two.select("node", F.col("up_rate").alias("up_2"), F.col("down_rate").alias("down_2"))
+    near = (F.abs(F.col("down_rate") - 5) < 3) & (F.col("n") % 2 == 0) | (F.abs(F.col("down_rate") - 5) < 3) & (F.abs(F.col("up_rate") - 5) < 3)
+    return one.join(same, "node").join(counts, "node").select(
+        "node", F.when(F.col("n") % 2 == 0, F.col("up_rate")).alias("given"), ((F.col("up_rate") == F.col("up_2")) & (F.col("down_rate") == F.col("down_2"))).alias("again_the_same"),
+        ((F.col("up_rate") >= 0) & (F.col("down_rate") >= 0)).alias("not_negative"), near.alias("near_the_mean"), "n",
+    )
+
+
+@query(f"SELECT state, {_r('CASE WHEN state & 9 = usual & 9 THEN 0.5 / 8 ELSE 0.5 / 24 END', 9)} AS p FROM {o.space(5)}, {_USUAL}")
 def initial_parsed(spark, sf_dir):
-    """Fixed nodes from text; half of the probability is on two of eight states here, all of it elsewhere left out."""
-    return states.fixed(spark, w.TOY, states.parse_fixed("A=1, D=0"), 0.5).where("state in (1, 3)")
+    """Nodes fixed by text, with half of the probability: the text is what most line items have."""
+    usual, _, _ = _usual(spark, sf_dir)
+    text = ", ".join(f"{n}={usual[n]}" for n in ("R", "T"))
+    return states.fixed(spark, w.ROWS, states.parse_fixed(text), 0.5).select("state", rounded("p", 9).alias("p"))
 
 
-@query(f"""SELECT node, string_agg(text, ' & ' ORDER BY i) AS clause FROM (
-  SELECT node, p, n, i, CASE WHEN (p >> i) & 1 = 1 THEN name ELSE '!' || name END AS text
+@query(f"""SELECT node, string_agg(text, ' & ' ORDER BY i) AS clause, any_value(rows_) AS n FROM (
+  SELECT node, p, n, i, CASE WHEN (p >> i) & 1 = 1 THEN name ELSE '!' || name END AS text, (SELECT count(*) FROM {o.ROW_STATES} WHERE state & p = p AND state & n = 0) AS rows_
   FROM (VALUES {", ".join(f"('{x}', {p}, {n})" for x in w.ROWS.nodes for p, n in w.ROWS.clause_masks(x))}) AS c(node, p, n),
     (VALUES {", ".join(f"({i}, '{x}')" for i, x in enumerate(w.ROWS.nodes))}) AS names(i, name) WHERE ((p | n) >> i) & 1 = 1) GROUP BY node, p, n""")
 def clauses_printed(spark, sf_dir):
-    return clause_texts(spark, w.ROWS)
+    """Clauses as text, and for how many line items each holds."""
+    clauses = clause_table(spark, w.ROWS)
+    held = _counted(spark, sf_dir).join(F.broadcast(clauses), bits.matches(F.col("state"), F.col("p_mask"), F.col("n_mask")))
+    counts = clauses.join(held.groupBy("node_idx", "clause_idx").agg(F.sum("n").alias("n")), ["node_idx", "clause_idx"], "left").na.fill(0, ["n"])
+    name = F.get(F.array(*map(F.lit, w.ROWS.nodes)), "node_idx")
+    return counts.select(name.alias("node"), bits.clause_text(F.col("p_mask"), F.col("n_mask"), list(w.ROWS.nodes)).alias("clause"), F.col("n").cast("long").alias("n"))
+
 
+_ORDERED = """(SELECT extract('month' FROM o_orderdate) AS month, """ + ", ".join(f"count(*) FILTER (o_orderpriority LIKE '{i + 1}%' AND o_orderstatus = 'P') AS n_{i}" for i in range(5)) + " FROM orders GROUP BY 1)"
 
-@query("SELECT * FROM (VALUES ('other values', TRUE), ('another zero', FALSE)) AS t(change, reusable)")
+
+@query(f"""SELECT CAST(a.month AS INTEGER) AS month, CAST(b.month AS INTEGER) AS other, {" AND ".join(f"(a.n_{i} = 0) = (b.n_{i} = 0)" for i in range(5))} AS reusable
+FROM {_ORDERED} a, {_ORDERED} b WHERE a.month < b.month""")
 def zero_pattern_compatible(spark, sf_dir):
-    first, second, third = (rates.uniform(w.TOY, down=d) for d in ({"C": 2.0}, {"C": 3.0}, {"C": 0.0}))
-    return spark.createDataFrame([("other values", rates.compatible(first, second)), ("another zero", rates.compatible(first, third))], "change string, reusable boolean")
+    """Rates up from the open orders of each priority in a month: between which months a stored graph could be used again."""
+    orders = w.table(spark, sf_dir, "orders")
+    counted = [F.count_if(F.col("o_orderpriority").startswith(str(i + 1)) & (F.col("o_orderstatus") == "P")).alias(n) for i, n in enumerate(w.ROWS.nodes)]
+    months = orders.groupBy(F.month("o_orderdate").alias("month")).agg(*counted).collect()  # twelve rows at most
+    made = {r["month"]: rates.uniform(w.ROWS, up={n: float(r[n]) for n in w.ROWS.nodes}) for r in months}
+    rows = [(a, b, rates.compatible(made[a], made[b])) for a in sorted(made) for b in sorted(made) if a < b]
+    return spark.createDataFrame(rows, "month int, other int, reusable boolean")
 
 
 # --------------------------------------------------------------------------- transitions
 
-_ALL = " UNION ALL ".join(f"SELECT '{n}' AS model, src, dst, var, up FROM {o.model_edges(m)}" for n, m in (("toy", w.TOY), ("ring", w.RING), ("pair", w.PAIR), ("latch", w.LATCH), ("rows", w.ROWS)))
+_MODELS = (("toy", w.TOY), ("ring", w.RING), ("pair", w.PAIR), ("latch", w.LATCH), ("rows", w.ROWS))
+
+
+def _some(model) -> str:
+    """SQL: the states that line items have of a model's nodes, and how many."""
+    return f"(SELECT state & {(1 << len(model.nodes)) - 1} AS state, count(*) AS n FROM {o.ROW_STATES} GROUP BY 1)"
+
+
+_ALL = " UNION ALL ".join(f"SELECT '{n}' AS model, src, dst, var, up, n FROM {o.model_edges(m, _some(m))} JOIN {_some(m)} c ON src = c.state" for n, m in _MODELS)
+
+
+def _moves(spark, sf_dir, model, rates_=None) -> DataFrame:
+    """src, dst, var, up, rate, n: the model's transitions from the states that line items have of its nodes; n: how many are there."""
+    counted = keep(_counted(spark, sf_dir, len(model.nodes)))
+    return transitions.successors(counted.select("state"), model, rates_).join(counted.withColumnRenamed("state", "src"), "src")
 
 
 @query(_ALL)
 def transitions_all(spark, sf_dir):
-    parts = [w.model_edges(spark, m).select(F.lit(n).alias("model"), "src", "dst", "var", "up") for n, m in (("toy", w.TOY), ("ring", w.RING), ("pair", w.PAIR), ("latch", w.LATCH), ("rows", w.ROWS))]
+    """Several models' transitions from the states of line items."""
+    parts = [_moves(spark, sf_dir, m).select(F.lit(n).alias("model"), "src", "dst", "var", "up", "n") for n, m in _MODELS]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
     return out
 
 
-@query(f"SELECT src, dst, var, up, rate FROM {o.model_edges(w.TOY, rates=((1.0, 1.0), (1.0, 0.0), (2.0, 1.0)))}")
+@query(f"SELECT src, dst, var, up, rate, n FROM {o.model_edges(w.TOY, _some(w.TOY), rates=((1.0, 1.0), (1.0, 0.0), (2.0, 1.0)))} JOIN {_some(w.TOY)} c ON src = c.state")
 def transitions_zero_rate(spark, sf_dir):
-    return transitions.successors(states.space(spark, 3), w.TOY, rates.uniform(w.TOY, up={"D": 2.0}, down={"C": 0.0}))
+    return _moves(spark, sf_dir, w.TOY, rates.uniform(w.TOY, up={"D": 2.0}, down={"C": 0.0})).select("src", "dst", "var", "up", "rate", "n")
 
 
-@query(f"SELECT src, dst, CAST(round(log2(xor(src, dst))) AS INTEGER) AS var, dst > src AS up FROM {o.model_edges(w.ROWS)}")
+@query(f"SELECT src, dst, CAST(round(log2(xor(src, dst))) AS INTEGER) AS var, dst > src AS up, n FROM {o.model_edges(w.ROWS, _some(w.ROWS))} JOIN {_some(w.ROWS)} c ON src = c.state")
 def edge_var_direction(spark, sf_dir):
     """Which node an edge flips, and where to, from its ends alone."""
-    e = w.model_edges(spark, w.ROWS).select("src", "dst")
-    return e.select("src", "dst", bits.changed(F.col("src"), F.col("dst")).alias("var"), bits.goes_up(F.col("src"), F.col("dst")).alias("up"))
+    e = _moves(spark, sf_dir, w.ROWS).select("src", "dst", "n")
+    return e.select("src", "dst", bits.changed(F.col("src"), F.col("dst")).alias("var"), bits.goes_up(F.col("src"), F.col("dst")).alias("up"), "n")
 
 
 @query(f"SELECT DISTINCT src, dst, var, up FROM {o.model_edges(w.ROWS, '(SELECT DISTINCT state FROM ' + o.ROW_STATES + ')')}")
@@ -273,9 +343,15 @@ def scc(spark, sf_dir):
     return graph.strong_components(*_nations(spark, sf_dir))
 
 
-@query(f"{o.with_graph(o.model_edges(w.ROWS), o.space(5))} SELECT state, scc FROM scc")
+_SEEN = f"(SELECT src, dst, rate FROM {o.model_edges(w.ROWS, _some(w.ROWS))} WHERE dst IN (SELECT state FROM {o.ROW_STATES}))"
+
+
+@query(f"{o.with_graph(_SEEN, '(SELECT DISTINCT state FROM ' + o.ROW_STATES + ')')} SELECT state, scc FROM scc")
 def scc_model(spark, sf_dir):
-    return graph.strong_components(w.model_edges(spark, w.ROWS), states.space(spark, 5))
+    """Components of a model's transitions among the states of line items."""
+    seen = keep(w.row_states(spark, sf_dir).distinct())
+    inside = _moves(spark, sf_dir, w.ROWS).join(seen.withColumnRenamed("state", "dst"), "dst", "left_semi")
+    return graph.strong_components(inside, seen)
 
 
 @query(f"""{_G}, s AS (SELECT scc, count(*) AS size FROM scc GROUP BY scc)
@@ -412,9 +488,21 @@ def stationary(spark, sf_dir):
     return solve.stationary(s).select("scc", "state", rounded("p").alias("p"))
 
 
-@query(f"{o.with_graph(o.model_edges(w.RING), o.space(3))}{o.iterated('(SELECT scc AS g, scc AS state, 1.0 AS p FROM term)', STEPS)} SELECT g AS scc, state, {_r('p')} AS p FROM y WHERE i = {STEPS}")
+def _weighed(model) -> str:
+    """SQL: a model's transitions, each faster by the share of line items in the state that it leaves."""
+    return f"(SELECT src, dst, 1 + coalesce(n, 0) / (SELECT count(*) FROM lineitem) AS rate FROM {o.model_edges(model)} LEFT JOIN {_some(model)} c ON src = c.state)"
+
+
+def _weighed_edges(spark, sf_dir, model) -> DataFrame:
+    counted = _counted(spark, sf_dir, len(model.nodes))
+    total = counted.agg(F.sum("n").alias("total"))  # one row
+    shares = counted.join(F.broadcast(total)).select(F.col("state").alias("src"), (F.col("n") / F.col("total")).alias("share"))
+    return w.model_edges(spark, model).join(shares, "src", "left").select("src", "dst", (1 + F.coalesce("share", F.lit(0.0))).alias("rate"))
+
+
+@query(f"{o.with_graph(_weighed(w.RING), o.space(3))}{o.iterated('(SELECT scc AS g, scc AS state, 1.0 AS p FROM term)', STEPS)} SELECT g AS scc, state, {_r('p')} AS p FROM y WHERE i = {STEPS}")
 def stationary_model(spark, sf_dir):
-    s = solve.Structure.of(w.model_edges(spark, w.RING), states.space(spark, 3), levels=False)
+    s = solve.Structure.of(_weighed_edges(spark, sf_dir, w.RING), states.space(spark, 3), levels=False)
     return solve.stationary(s).select("scc", "state", rounded("p").alias("p"))
 
 
@@ -428,9 +516,9 @@ def absorption_dag(spark, sf_dir):
     return solve.absorption(solve.Structure.of(w.mask_chain(spark, sf_dir))).select("scc", "state", rounded("p").alias("p"))
 
 
-@query(_absorption_sql(o.model_edges(w.TOY), o.space(3)))
+@query(_absorption_sql(_weighed(w.TOY), o.space(3)))
 def absorption_model(spark, sf_dir):
-    return solve.absorption(solve.Structure.of(w.model_edges(spark, w.TOY), states.space(spark, 3))).select("scc", "state", rounded("p").alias("p"))
+    return solve.absorption(solve.Structure.of(_weighed_edges(spark, sf_dir, w.TOY), states.space(spark, 3))).select("scc", "state", rounded("p").alias("p"))
 
 
 @query(_absorption_sql(o.NATIONS))
@@ -473,18 +561,17 @@ def final_distribution(spark, sf_dir):
     return solve.final_distribution(solve.terminal_mass(s, start), solve.stationary(s)).select("state", rounded("p").alias("p"))
 
 
-@query(f"{o.with_graph(o.model_edges(w.ROWS), o.space(5))}, z AS (SELECT scc, count(*) AS size FROM scc GROUP BY scc) SELECT state, scc.scc, size, level FROM scc JOIN lev ON scc.scc = lev.scc JOIN z ON scc.scc = z.scc")
+@query(f"{_G}, z AS (SELECT scc, count(*) AS size FROM scc GROUP BY scc) SELECT state, scc.scc, size, level, TRUE AS same FROM scc JOIN lev ON scc.scc = lev.scc JOIN z ON scc.scc = z.scc")
 def stored_graph(spark, sf_dir):
-    """A graph stored, and read by a solver of other rates; its relations are what was stored."""
+    """A graph stored and read again, and whether its relations are what was stored."""
     from stillwater.operators.storage import folder
     from stillwater.sources import store
 
-    where = folder(spark)
-    first = Solver(spark, w.ROWS, store_at=where).structure
-    again = Solver(spark, w.ROWS, rates.uniform(w.ROWS, up={"F": 2.0}), store_at=where)
-    if not store.equal(first.states, again.structure.states) or not store.equal(first.edges.select("src", "dst"), again.structure.edges.select("src", "dst")):
-        raise AssertionError("the stored graph is another one")
-    return again.structure.states
+    where, made = folder(spark), solve.Structure.of(w.nation_graph(spark, sf_dir))
+    store.save(where, {"edges": made.edges, "states": made.states})
+    found = store.load(spark, where)
+    same = store.equal(found["edges"], made.edges) and store.equal(found["states"], made.states)
+    return found["states"].select("state", "scc", "size", "level", F.lit(same).alias("same"))
 
 
 def _first_masks(spark, sf_dir) -> DataFrame:
