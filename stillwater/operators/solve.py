@@ -4,33 +4,29 @@ probabilities of absorption, and where an initial distribution ends.
 Components are solved level by level, terminals first for absorption, sources first for distributions. Edges lie in a
 folder for each level, and what a level gives to others is written by their level, so each edge is read once. A component
 of one state is a weighted mean and one of two a closed form, both in SQL; larger ones are dense blocks, many small ones to
-a task. Beyond DENSE states a component is solved in blocks of that size: stationary distributions and visits by
-aggregation and disaggregation until no value changes by more than PRECISION of itself, absorption between a lower and an
-upper bound that meet to within BOUND. An iteration that does not get there is an error, never a result.
+a task. Beyond DENSE states a component is eliminated state by state and block by block (elimination.py). All of this adds,
+multiplies and divides numbers that are not negative, and never subtracts, so values keep their digits however rare moves are.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from functools import cached_property
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stillwater.operators import graph
+from stillwater.operators import elimination, graph
+from stillwater.operators.elimination import Elimination
 from stillwater.operators.matrix import dense
-from stillwater.operators.numbering import number
-from stillwater.operators.storage import Pile, Rounds, Shelves, keep, measured
+from stillwater.operators.storage import Pile, Shelves, keep, measured
 
 #: States of a component that one task solves as a dense block: 3,000 take 72 MB. Blocks of larger ones have half as many.
 DENSE = 3_000
-#: Blocks of a component whose chain one task solves; that of more is solved in blocks again.
-BLOCKS = 3_000
 #: States of small components that one task solves.
 PACK = 4_096
-PRECISION, BOUND, MOST_ROUNDS = 1e-12, 1e-11, 3_000
 
 
 @dataclass
@@ -41,6 +37,7 @@ class Structure:
     edges: DataFrame  # src, dst, rate
     states: DataFrame  # state, scc, size, level
     top: int
+    _eliminations: dict[int, Elimination] = field(default_factory=dict)
 
     @classmethod
     def of(cls, edges: DataFrame, states: DataFrame | None = None, levels: bool = True) -> Structure:
@@ -80,6 +77,14 @@ class Structure:
         """Edges between components by the level they lead to."""
         return Shelves(self._detailed.where("own <> other"), "to")
 
+    def eliminated(self, level: int) -> Elimination:
+        """The components of a level with more than DENSE states, eliminated once for all that is asked of them."""
+        if level not in self._eliminations:
+            here = self.leaving.of(level).where(F.col("size") > DENSE)
+            leaks = here.where("own <> other").groupBy("own", F.col("src").alias("state")).agg(F.sum("rate").alias("rate"))
+            self._eliminations[level] = Elimination.of(here.where("own = other").select("own", "src", "dst", "rate"), leaks, DENSE)
+        return self._eliminations[level]
+
     @cached_property
     def kinds(self) -> dict[int, set[str]]:
         """Which ways of solving each level needs."""
@@ -108,33 +113,19 @@ def _each(left, right, solve: Callable, key: str):
 
 
 def _system(part) -> tuple[np.ndarray, np.ndarray, dict[int, int]]:
-    """The states of a block, its matrix diag(total) - rates, and each state's place. part: edges that leave its states."""
-    names, first, at = np.unique(part["src"], return_index=True, return_inverse=True)
+    """The states of a block, the inverse of D - rates, D being all that leaves each, and each state's place. part: edges that
+    leave its states."""
+    names, index = np.unique(part["src"], return_inverse=True)
     place = {x: i for i, x in enumerate(names.tolist())}
     to = np.array([place.get(x, -1) for x in part["dst"].tolist()])
-    a = -dense(at[to >= 0], to[to >= 0], part["rate"].to_numpy()[to >= 0], len(names))
-    a[np.arange(len(names)), np.arange(len(names))] += part["total"].to_numpy()[first]
-    return names, a, place
+    rate = part["rate"].to_numpy()
+    out = np.bincount(index[to < 0], rate[to < 0], minlength=len(names))
+    return names, elimination.inverse(dense(index[to >= 0], to[to >= 0], rate[to >= 0], len(names)), out), place
 
 
 # --------------------------------------------------------------------------- terminal components
 
 
-def eliminate(rates: np.ndarray) -> np.ndarray:
-    """The stationary distribution of a strongly connected chain with rates[source, target], without any subtraction
-    (Grassmann, Taksar and Heyman 1985): states are censored out from the last, then put back."""
-    a = rates.astype(float).copy()
-    np.fill_diagonal(a, 0.0)
-    n = len(a)
-    for k in range(n - 1, 0, -1):
-        a[:k, k] /= a[k, :k].sum()
-        a[:k, :k] += np.outer(a[:k, k], a[k, :k])
-    x = np.ones(n)
-    for k in range(1, n):
-        x[k] = x[:k] @ a[:k, k]
-    return x / x.sum()
-
-
 def stationary(s: Structure) -> DataFrame:
     """scc, state, p for each state of a terminal component."""
     members = s.terminals
@@ -153,15 +144,14 @@ def stationary(s: Structure) -> DataFrame:
             for own, part in pdf.groupby("own"):
                 names, index = np.unique(np.concatenate([part["src"], part["dst"]]), return_inverse=True)
                 m = len(part)
-                done.append(pd.DataFrame({"scc": own, "state": names, "p": eliminate(dense(index[:m], index[m:], part["rate"], len(names)))}))
+                done.append(pd.DataFrame({"scc": own, "state": names, "p": _shares(dense(index[:m], index[m:], part["rate"], len(names)))}))
             return pd.concat(done, ignore_index=True)
 
         some = F.col("size").between(3, DENSE)
         bins = _bins(members.where(some).select(F.col("scc").alias("own"), "size").distinct())
         out = out.unionByName(inside.where(some).join(bins, "own").groupBy("bin").applyInPandas(block, "scc bigint, state bigint, p double"))
     if "large" in kinds:
-        large = balanced(inside.where(F.col("size") > DENSE).select("own", "src", "dst", "rate"))
-        out = out.unionByName(large.select(F.col("own").alias("scc"), "state", "p"))
+        out = out.unionByName(s.eliminated(1).stationary().select(F.col("own").alias("scc"), "state", "p"))
     return out
 
 
@@ -171,60 +161,9 @@ def _of(column: str):
     return Window.partitionBy(column)
 
 
-def balanced(edges: DataFrame) -> DataFrame:
-    """(own, src, dst, rate) of strongly connected chains of any size -> own, state, p: their stationary distributions by
-    aggregation and disaggregation (Koury, McAllister and Stewart 1984). Each round weighs the blocks of a chain by the
-    stationary distribution of the chain of blocks, without any subtraction, and solves every block for what flows into it
-    from others. It ends when no state's value changes by more than PRECISION of itself."""
-    size = max(2, DENSE // 2)
-    total = edges.groupBy("own", F.col("src").alias("state")).agg(F.sum("rate").alias("total"))
-    blocks = keep(number(total, ["state"], "i", by=["own"]).select("own", "state", "total", F.floor(F.col("i") / size).cast("long").alias("block")))
-    source = blocks.select("own", F.col("state").alias("src"), "total", F.col("block").alias("i"))
-    links = keep(edges.join(source, ["own", "src"]).join(blocks.select("own", F.col("state").alias("dst"), F.col("block").alias("j")), ["own", "dst"]))
-    inner = links.where("i = j").select("own", F.col("i").alias("block"), "src", "dst", "rate")
-    p = blocks.select("own", "state", "block", "total", F.lit(1.0).alias("p"))
-    rounds = Rounds("aggregation and disaggregation", MOST_ROUNDS)
-
-    def weigh(key, pdf):
-        import pandas as pd
-
-        names, index = np.unique(np.concatenate([pdf["i"], pdf["j"]]), return_inverse=True)
-        m = len(pdf)
-        y = eliminate(dense(index[:m], index[m:], pdf["flow"], len(names)))
-        return pd.DataFrame({"own": key[0], "block": names, "y": y / y.max()})
-
-    def refine(key, rates, rows):
-        import pandas as pd
-
-        names = rows["state"].to_numpy()
-        place = {x: k for k, x in enumerate(names.tolist())}
-        a = -dense([place[x] for x in rates["src"]], [place[x] for x in rates["dst"]], rates["rate"], len(names))
-        a[np.arange(len(names)), np.arange(len(names))] += rows["total"]
-        old, inflow = rows["p"].to_numpy(), rows["inflow"].to_numpy()
-        new = np.maximum(np.linalg.solve(a.T, inflow), 0.0) if inflow.any() else old
-        return pd.DataFrame({"own": key[0], "state": names, "block": key[1], "total": rows["total"], "p": new, "change": np.abs(new - old) / np.maximum(new, 1e-300)})
-
-    while True:
-        rounds.next()
-        flows = links.where("i <> j").join(p.select("own", F.col("state").alias("src"), "p"), ["own", "src"]).groupBy("own", "i", "j").agg(F.sum(F.col("p") * F.col("rate")).alias("flow"))
-        flows, seen = measured(flows, F.count(F.lit(1)).alias("n"), F.max("i").alias("last"))
-        if not seen["n"]:  # one block a chain
-            y = blocks.select("own", "block", F.lit(1.0).alias("y")).distinct()
-        elif seen["last"] < BLOCKS:
-            y = flows.groupBy("own").applyInPandas(weigh, "own bigint, block bigint, y double")
-        else:  # too many blocks for one task: their chain is solved in the same way
-            y = balanced(flows.select("own", F.col("i").alias("src"), F.col("j").alias("dst"), F.col("flow").alias("rate"))).select("own", F.col("state").alias("block"), F.col("p").alias("y"))
-        p = keep(p.join(y, ["own", "block"]).select("own", "state", "block", "total", (F.col("p") * F.col("y")).alias("p")))
-        inflow = links.where("i <> j").join(p.select("own", F.col("state").alias("src"), "p"), ["own", "src"]).groupBy("own", F.col("dst").alias("state")).agg(F.sum(F.col("p") * F.col("rate")).alias("inflow"))
-        rows = p.join(inflow, ["own", "state"], "left").na.fill(0.0, ["inflow"])
-        new, seen = measured(
-            inner.groupBy("own", "block").cogroup(rows.groupBy("own", "block")).applyInPandas(refine, "own bigint, state bigint, block bigint, total double, p double, change double"),
-            F.max("change").alias("change"),
-        )
-        p = new.drop("change")
-        if seen["change"] <= PRECISION:
-            sums = p.groupBy("own").agg(F.sum("p").alias("sum"))
-            return p.join(sums, "own").select("own", "state", (F.col("p") / F.col("sum")).alias("p"))
+def _shares(rates: np.ndarray) -> np.ndarray:
+    p = elimination.stationary(rates)
+    return p / p.sum()
 
 
 # --------------------------------------------------------------------------- absorption
@@ -243,7 +182,10 @@ def absorption(s: Structure) -> DataFrame:
         if len(kinds) > 1 or "one" not in kinds:
             inflow = keep(inflow.where("size > 1"))
             inside = s.leaving.of(level).where("size > 1")
-            parts += [solve(inside, inflow) for name, solve in (("two", _absorb_pairs), ("block", _absorb_blocks), ("large", _absorb_large)) if name in kinds]
+            parts += [solve(inside, inflow) for name, solve in (("two", _absorb_pairs), ("block", _absorb_blocks)) if name in kinds]
+            if "large" in kinds:
+                right = inflow.where(F.col("size") > DENSE).select("own", F.col("src").alias("state"), F.col("scc").alias("col"), F.col("b").alias("value"))
+                parts.append(s.eliminated(level).solve(right, transposed=False).select(F.col("col").alias("scc"), "state", F.col("value").alias("p")))
         new = out.add(_union(parts))
         if level < s.top:
             passed.add(_pass_on(s, level, new))
@@ -290,11 +232,11 @@ def _absorb_blocks(edges: DataFrame, inflow: DataFrame) -> DataFrame:
     def one(own, part, right):
         import pandas as pd
 
-        names, a, place = _system(part)
+        names, w, place = _system(part)
         targets, column = np.unique(right["scc"], return_inverse=True)
         b = np.zeros((len(names), len(targets)))
         b[[place[x] for x in right["src"].tolist()], column] = right["b"]
-        return pd.DataFrame({"scc": np.tile(targets, len(names)), "state": np.repeat(names, len(targets)), "p": np.linalg.solve(a, b).ravel()})
+        return pd.DataFrame({"scc": np.tile(targets, len(names)), "state": np.repeat(names, len(targets)), "p": (w @ b).ravel()})
 
     some = F.col("size").between(3, DENSE)
     bins = _bins(edges.where(some).select("own", "size").distinct())
@@ -303,46 +245,6 @@ def _absorb_blocks(edges: DataFrame, inflow: DataFrame) -> DataFrame:
     return left.groupBy("bin").cogroup(right.groupBy("to_bin")).applyInPandas(lambda key, l, r: _each(l, r, one, "own"), "scc bigint, state bigint, p double")
 
 
-def _absorb_large(edges: DataFrame, inflow: DataFrame) -> DataFrame:
-    """Components beyond DENSE, in blocks: from all 0 below and all 1 above, rounds that solve every block for what the others
-    give enclose the probabilities ever more closely."""
-    size = max(2, DENSE // 2)
-    large = edges.where(F.col("size") > DENSE)
-    blocks = keep(number(large.select("own", F.col("src").alias("state")).distinct(), ["state"], "i", by=["own"]).select("own", "state", F.floor(F.col("i") / size).cast("long").alias("block")))
-    links = large.where("own = other").join(blocks.select("own", F.col("state").alias("src"), "block"), ["own", "src"]).join(blocks.select("own", F.col("state").alias("dst"), F.col("block").alias("j")), ["own", "dst"])
-    links = keep(links.select("own", "src", "dst", "rate", "total", "block", "j"))
-    across = links.where("block <> j").select("own", "src", "dst", "rate")
-    right = inflow.where(F.col("size") > DENSE).select("own", "src", "scc", "b")
-    targets = right.select("own", "scc").distinct()
-    base = blocks.join(targets, "own").join(right.withColumnRenamed("src", "state"), ["own", "state", "scc"], "left")
-    base = keep(base.select("own", "block", "state", "scc", F.coalesce("b", F.lit(0.0)).alias("b")))
-    # Edges inside blocks; a state that has none still has its total.
-    inner = links.select("own", "block", "src", F.when(F.col("block") == F.col("j"), F.col("dst")).otherwise(-1).alias("dst"), "rate", "total")
-
-    def refine(key, part, rows):
-        import pandas as pd
-
-        names, a, place = _system(part)
-        codes, column = np.unique(rows["scc"], return_inverse=True)
-        at, k = [place[x] for x in rows["state"].tolist()], len(codes)
-        b = np.zeros((len(names), 2 * k))
-        b[at, column] = rows["low"]
-        b[at, column + k] = rows["high"]
-        x = np.linalg.solve(a, b)
-        return pd.DataFrame({"own": key[0], "state": rows["state"], "scc": rows["scc"], "low": x[at, column], "high": x[at, column + k]})
-
-    x = base.select("own", "state", "scc", F.lit(0.0).alias("low"), F.lit(1.0).alias("high"))
-    rounds = Rounds("the enclosure of absorption probabilities", MOST_ROUNDS)
-    while True:
-        rounds.next()
-        moved = across.join(x.withColumnRenamed("state", "dst"), ["own", "dst"]).groupBy("own", F.col("src").alias("state"), "scc").agg(F.sum(F.col("rate") * F.col("low")).alias("l"), F.sum(F.col("rate") * F.col("high")).alias("h"))
-        rows = base.join(moved, ["own", "state", "scc"], "left").select("own", "block", "state", "scc", (F.col("b") + F.coalesce("l", F.lit(0.0))).alias("low"), (F.col("b") + F.coalesce("h", F.lit(0.0))).alias("high"))
-        solved = inner.groupBy("own", "block").cogroup(rows.groupBy("own", "block")).applyInPandas(refine, "own bigint, state bigint, scc bigint, low double, high double")
-        x, seen = measured(solved, F.max(F.col("high") - F.col("low")).alias("gap"))
-        if seen["gap"] <= BOUND:
-            return x.select("scc", "state", ((F.col("low") + F.col("high")) / 2).alias("p"))
-
-
 # --------------------------------------------------------------------------- distributions
 
 
@@ -359,7 +261,11 @@ def terminal_mass(s: Structure, initial: DataFrame) -> DataFrame:
             parts.append(here.where("size = 1").join(arrived.drop("own"), "src").select("dst", "other", "to", (F.col("rate") / F.col("total") * F.col("b")).alias("p")))
         if len(kinds) > 1 or "one" not in kinds:
             arrived, inner = keep(arrived), here.where("size > 1")
-            visits = _union([solve(inner, arrived) for name, solve in (("two", _visit_pairs), ("block", _visit_blocks), ("large", _visit_large)) if name in kinds])
+            visits = [solve(inner, arrived) for name, solve in (("two", _visit_pairs), ("block", _visit_blocks)) if name in kinds]
+            if "large" in kinds:
+                right = arrived.join(inner.where(F.col("size") > DENSE).select("own").distinct(), "own", "left_semi").select("own", F.col("src").alias("state"), F.lit(0).cast("long").alias("col"), F.col("b").alias("value"))
+                visits.append(s.eliminated(level).solve(right, transposed=True).select(F.col("state").alias("src"), F.col("value").alias("z")))
+            visits = _union(visits)
             parts.append(inner.where("own <> other").join(visits, "src").select("dst", "other", "to", (F.col("rate") * F.col("z")).alias("p")))
         onward = _union(parts).groupBy("dst", "other", "to").agg(F.sum("p").alias("p"))
         mass.add(onward.select(F.col("dst").alias("state"), F.col("other").alias("scc"), F.col("to").alias("level"), "p"))
@@ -382,10 +288,10 @@ def _visit_blocks(edges: DataFrame, arrived: DataFrame) -> DataFrame:
 
         if not len(right):
             return pd.DataFrame({"src": np.zeros(0, np.int64), "z": np.zeros(0)})
-        names, a, place = _system(part)
+        names, w, place = _system(part)
         b = np.zeros(len(names))
         np.add.at(b, [place[x] for x in right["src"].tolist()], right["b"])
-        return pd.DataFrame({"src": names, "z": np.linalg.solve(a.T, b)})
+        return pd.DataFrame({"src": names, "z": b @ w})
 
     some = F.col("size").between(3, DENSE)
     bins = _bins(edges.where(some).select("own", "size").distinct())
@@ -394,21 +300,6 @@ def _visit_blocks(edges: DataFrame, arrived: DataFrame) -> DataFrame:
     return left.groupBy("bin").cogroup(right.groupBy("to_bin")).applyInPandas(lambda key, l, r: _each(l, r, one, "own"), "src bigint, z double")
 
 
-def _visit_large(edges: DataFrame, arrived: DataFrame) -> DataFrame:
-    """The same beyond DENSE: what leaves the component comes back where mass arrives, through a state -1 of rate 1; the
-    stationary distribution of this chain is in proportion to the visits. States must not be negative."""
-    large = edges.where(F.col("size") > DENSE)
-    inside = large.where("own = other").select("own", "src", "dst", "rate")
-    out = large.where("own <> other").groupBy("own", "src").agg(F.sum("rate").alias("rate")).select("own", "src", F.lit(-1).cast("long").alias("dst"), "rate")
-    met = arrived.join(large.select("own").distinct(), "own", "left_semi")
-    sums = met.groupBy("own").agg(F.sum("b").alias("sum"))
-    back = met.join(sums, "own").select("own", F.lit(-1).cast("long").alias("src"), F.col("src").alias("dst"), (F.col("b") / F.col("sum")).alias("rate"))
-    chain = keep(inside.unionByName(out).unionByName(back).join(sums.select("own"), "own", "left_semi"))
-    p = balanced(chain)
-    base = p.where("state = -1").select("own", F.col("p").alias("base")).join(sums, "own")
-    return p.where("state <> -1").join(base, "own").select(F.col("state").alias("src"), (F.col("p") / F.col("base") * F.col("sum")).alias("z"))
-
-
 def final_distribution(mass: DataFrame, stationary_: DataFrame) -> DataFrame:
     """terminal_mass() and stationary() -> state, p of the states that keep any probability."""
     return stationary_.withColumnRenamed("p", "share").join(mass, "scc").where("p > 0").select("state", (F.col("share") * F.col("p")).alias("p"))

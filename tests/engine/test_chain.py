@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from stillwater.operators import graph, rates, solve, states, transitions
+from stillwater.operators import elimination, graph, rates, solve, states, transitions
 from stillwater.plans import workloads as w
 from stillwater.plans.solver import Solver
 from stillwater.sources import store
@@ -132,8 +132,9 @@ def test_large_components_in_blocks(spark, monkeypatch):
 
 
 def test_rare_moves_in_a_large_component(spark, monkeypatch):
-    """Values that hardly change in a round say nothing about the weights of parts with rare moves between them."""
-    chains = [[(0, 1, 1e-9), (1, 0, 1e-9), (1, 2, 1.0), (2, 1, 7.0)], [(a, b, float(1 + (a * b) % 5) * (1e-10 if a // 4 != b // 4 else 1.0)) for a in range(12) for b in range(12) if a != b]]
+    """Rare moves between blocks, and inside blocks: two fast triples of interleaved states."""
+    triples = [(a, b, 1 + 0.1 * a) for part in ((0, 2, 4), (1, 3, 5)) for a in part for b in part if a != b] + [(0, 1, 1e-12), (3, 2, 5e-12)]
+    chains = [triples, [(0, 1, 1e-9), (1, 0, 1e-9), (1, 2, 1.0), (2, 1, 7.0)], [(a, b, float(1 + (a * b) % 5) * (1e-10 if a // 4 != b // 4 else 1.0)) for a in range(12) for b in range(12) if a != b]]
     monkeypatch.setattr(solve, "DENSE", 2)
     for edges in chains:
         n = 1 + max(a for a, *_ in edges)
@@ -141,7 +142,45 @@ def test_rare_moves_in_a_large_component(spark, monkeypatch):
         for a, b, r in edges:
             k[a, b] = r
         df = spark.createDataFrame(edges, "src bigint, dst bigint, rate double")
-        close({r["state"]: r["p"] for r in solve.stationary(solve.Structure.of(df, levels=False)).collect()}, dict(enumerate(solve.eliminate(k))), 1e-10)
+        close({r["state"]: r["p"] for r in solve.stationary(solve.Structure.of(df, levels=False)).collect()}, dict(enumerate(gth(k))), 1e-10)
+
+
+def relative(got, want):
+    return max(abs(got[i] / x - 1) for i, x in want.items())
+
+
+@pytest.mark.parametrize("rare", [1e-3, 1e-12])
+def test_interleaved_parts(spark, monkeypatch, rare):
+    """Two parts of 30 states with rare moves between them, in blocks of 20."""
+    draw = np.random.default_rng(7)
+    k = np.where(np.add.outer(np.arange(60), np.arange(60)) % 2 == 0, draw.random((60, 60)) + 0.1, 0.0)
+    k[0, 1], k[31, 2] = rare, 2 * rare
+    np.fill_diagonal(k, 0.0)
+    df = spark.createDataFrame([(int(a), int(b), float(k[a, b])) for a, b in zip(*np.nonzero(k), strict=True)], "src bigint, dst bigint, rate double")
+    monkeypatch.setattr(solve, "DENSE", 40)
+    assert relative({r["state"]: r["p"] for r in solve.stationary(solve.Structure.of(df, levels=False)).collect()}, dict(enumerate(gth(k)))) < 1e-12
+
+
+def test_long_walk(spark):
+    """A walk over 300 states in random order, closed form; and the probability to leave it at either end, hardly ever."""
+    draw, n = np.random.default_rng(8), 300
+    name = draw.permutation(n).tolist()
+    up, down = draw.random(n - 1) + 0.5, draw.random(n - 1) + 0.5
+    edges = [(0, name[i], name[i + 1], float(up[i])) for i in range(n - 1)] + [(0, name[i + 1], name[i], float(down[i])) for i in range(n - 1)]
+    weight = np.cumprod(np.append(1.0, up / down))
+    links = spark.createDataFrame(edges, "own bigint, src bigint, dst bigint, rate double")
+    leaks = "own bigint, state bigint, rate double"
+    e = elimination.Elimination.of(links, spark.createDataFrame([], leaks), 40)
+    assert e.rounds and not e.block_rounds
+    assert relative({r["state"]: r["p"] for r in e.stationary().collect()}, {name[i]: x for i, x in enumerate(weight / weight.sum())}) < 1e-12
+    e = elimination.Elimination.of(links, spark.createDataFrame([(0, name[0], 1e-9), (0, name[-1], 3e-9)], leaks), 40)
+    got = {r["state"]: r["value"] for r in e.solve(spark.createDataFrame([(0, name[0], 7, 1e-9)], "own bigint, state bigint, col bigint, value double"), transposed=False).collect()}
+    # Harmonic: steps weigh as resistances 1 / (weight * rate), and so do the exits at both ends.
+    resistance = np.concatenate([[1 / (weight[0] * 1e-9)], 1 / (weight[:-1] * up), [1 / (weight[-1] * 3e-9)]])
+    after = np.cumsum(resistance[::-1])[::-1]
+    assert relative(got, {name[i]: after[i + 1] / after[0] for i in range(n)}) < 1e-12
+    visits = {r["state"]: r["value"] for r in e.solve(spark.createDataFrame([(0, name[3], 7, 1.0)], "own bigint, state bigint, col bigint, value double"), transposed=True).collect()}
+    assert abs(visits[name[0]] * 1e-9 / got[name[3]] - 1) < 1e-12 and abs(visits[name[0]] * 1e-9 + visits[name[-1]] * 3e-9 - 1) < 1e-12
 
 
 def test_pairs_in_closed_form(spark):
@@ -172,10 +211,27 @@ def test_weak_components_and_order(spark, random_graph):
 
 
 def test_elimination_is_stationary():
-    k = np.random.default_rng(3).random((9, 9))
-    x = solve.eliminate(k)
-    np.fill_diagonal(k, 0)
-    assert np.abs(x @ (k - np.diag(k.sum(1)))).max() < 1e-12
+    for n in (1, 9, 150):
+        k = np.random.default_rng(3).random((n, n))
+        x = elimination.stationary(k)
+        np.fill_diagonal(k, 0)
+        assert np.abs(x @ (k - np.diag(k.sum(1)))).max() < 1e-12 * n
+        out = np.random.default_rng(4).random(n) * 1e-6
+        assert np.abs(elimination.inverse(k, out) @ (np.diag(k.sum(1) + out) - k) - np.eye(n)).max() < 1e-6
+        assert np.allclose(elimination.inverse(k, out) @ out, 1, rtol=1e-13)  # every state leaves in the end, however rarely
+
+
+def gth(rates):
+    """State by state, as a check on the products of halves."""
+    a = rates.astype(float).copy()
+    np.fill_diagonal(a, 0.0)
+    for k in range(len(a) - 1, 0, -1):
+        a[:k, k] /= a[k, :k].sum()
+        a[:k, :k] += np.outer(a[:k, k], a[k, :k])
+    x = np.ones(len(a))
+    for k in range(1, len(a)):
+        x[k] = x[:k] @ a[:k, k]
+    return x / x.sum()
 
 
 def test_corpus(spark, tmp_path):
