@@ -110,7 +110,8 @@ def connected(links: DataFrame) -> DataFrame:
 class _Join:
     """The rounds of the inverted join over one table of classes (id, doc_id, set_key, n, signature)."""
 
-    def __init__(self, documents: DataFrame, classes: DataFrame, links: DataFrame | None, width: int, percent: int, matches: int, posted: int, posted_matches: int, few: int):
+    def __init__(self, documents: DataFrame, classes: DataFrame, links: DataFrame | None, width: int, percent: int, matches: int, posted: int, posted_matches: int, few: int, repeats: bool):
+        self.repeats = repeats  # whether rows share both id and set
         self.documents, self.classes, self.links = documents, classes, links
         self.width, self.percent, self.matches, self.posted, self.posted_matches, self.few = width, percent, matches, posted, posted_matches, few
         self.labels = connected(links) if links is not None else None
@@ -152,10 +153,13 @@ class _Join:
         return common.stash(both.where(F.col("shared") * 100 >= (F.col("na") + F.col("nb") - F.col("shared")) * self.percent).select("a", "b"), "minhash-links")
 
     def sets(self, ids: DataFrame) -> DataFrame:
-        """id, members: the full sets of classes, made from their documents' texts once more. Repeated rows give equal sets."""
+        """id, members: the full sets of classes, one row each, made from their documents' texts once more."""
         wanted = self.classes.select("id", "doc_id", "set_key").join(ids, "id", "left_semi")
         texts = self.documents.join(wanted.select("doc_id"), "doc_id", "left_semi")
-        return full_sets(texts, self.width).join(wanted, ["doc_id", "set_key"]).select("id", "members")
+        made = full_sets(texts, self.width)
+        if self.repeats:  # else an id has one set of a key
+            made = made.dropDuplicates(["doc_id", "set_key"])
+        return made.join(wanted, ["doc_id", "set_key"]).select("id", "members")
 
     def add(self, new: DataFrame) -> None:
         self.labels = connected(new if self.links is None else self.links.union(new))
@@ -279,7 +283,8 @@ def near_duplicates(documents: DataFrame, width: int = 5, percent: int = 80, coo
     links = None
     if not several.isEmpty():  # ids with rows of different texts
         links = placed.join(several.select("doc_id", "a"), "doc_id").where("id <> a").select("a", F.col("id").alias("b")).distinct()
-    labels = _Join(documents, classes, links, width, percent, matches, posted, posted_matches, few).run()
+    repeats = not placed.where("doc_id is not null and id is not null").groupBy("doc_id", "id").count().where("count > 1").isEmpty()
+    labels = _Join(documents, classes, links, width, percent, matches, posted, posted_matches, few, repeats).run()
     if labels is None:
         labels = classes.select("id", F.col("id").alias("component")).limit(0)
     named = classes.select("id", F.col("doc_id").alias("least")).join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
