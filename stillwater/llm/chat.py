@@ -22,6 +22,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 OPEN, CLOSE, END = "<|", "|>\n", "<|end|>\n"
+#: Conversations of one opening that a salt takes.
+SALT_ROWS = 4_096
 TRAINED = "assistant"
 
 
@@ -83,12 +85,18 @@ def format_preferences(pairs: DataFrame) -> DataFrame:
 
 def pairs_by_opening(chats: DataFrame) -> DataFrame:
     """kind, chosen_id, rejected_id, chosen, rejected: of the conversations that open with the same turn, that of the
-    least id is chosen over each other one. An opening may be shared by any number of conversations: the
-    least id is a partial aggregate, and the join that follows has one row on one side and can be split on the other."""
-    opened = chats.withColumn("opening", F.sha2(F.concat_ws("\n", F.col("turns")[0]["role"], F.col("turns")[0]["text"]), 256))
-    least = opened.groupBy("opening").agg(F.min("conv_id").alias("chosen_id"), F.count("*").alias("n")).where("n > 1").drop("n")
-    best = opened.select("opening", F.col("conv_id").alias("chosen_id"), F.col("turns").alias("chosen")).join(least, ["opening", "chosen_id"])
-    others = opened.join(best, "opening").where("conv_id <> chosen_id")
+    least id is chosen over each other one. An opening may be shared by any number of conversations: the least id is a
+    partial aggregate; of an opening that more than SALT_ROWS share, the chosen conversation is dealt with each of its salts,
+    and the others by theirs. These openings are few, rows / SALT_ROWS at most, and join by a row of a digest and a number."""
+    first = F.col("turns")[0]
+    opened = chats.withColumn("opening", F.concat(F.sha2(first["role"], 256), F.sha2(first["text"], 256)))  # digests of one length cannot run together
+    least = opened.groupBy("opening").agg(F.min("conv_id").alias("chosen_id"), F.count("*").alias("n")).where("n > 1")
+    salts = least.select("opening", "chosen_id", F.ceil(F.col("n") / SALT_ROWS).cast("int").alias("salts"))
+    best = opened.select("opening", F.col("conv_id").alias("chosen_id"), F.col("turns").alias("chosen")).join(salts, ["opening", "chosen_id"])
+    best = best.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts")
+    hot = opened.join(salts.where("salts > 1").select("opening", "salts"), "opening", "left")
+    dealt = hot.withColumn("salt", F.pmod(F.xxhash64("conv_id"), F.coalesce("salts", F.lit(1))).cast("int")).drop("salts")
+    others = dealt.join(best, ["opening", "salt"]).where("conv_id <> chosen_id")
     return others.select(F.lit("opening").alias("kind"), "chosen_id", F.col("conv_id").alias("rejected_id"), "chosen", F.col("turns").alias("rejected"))
 
 
