@@ -29,6 +29,7 @@ knows only its special classes; an empty table gives an empty table; only doc_id
 
 from __future__ import annotations
 
+import uuid
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -40,7 +41,7 @@ from pyspark.sql import functions as F
 
 from stillwater.llm import common
 
-CLASSES, DIMENSIONS, HEAD = 1024, 16, 65_536
+CLASSES, DIMENSIONS = 1024, 16
 NOISE, BATCH, RATE = 64, 4096, 0.1
 #: A word's stand-in for the end of a text; no word is empty, so no word has it.
 END = np.uint64(0)
@@ -127,10 +128,10 @@ def count_words(texts: DataFrame, most_held: int = 300_000) -> DataFrame:
     return common.map_batches(texts.select("text"), run, "word bigint, c bigint").groupBy("word").agg(F.sum("c").alias("c"))
 
 
-def vocabulary(counts: DataFrame, classes: int = CLASSES, head: int = HEAD) -> Vocabulary:
-    """The min(classes, head) most frequent words, and groups for the others."""
+def vocabulary(counts: DataFrame, classes: int = CLASSES) -> Vocabulary:
+    """The `classes` most frequent words, and groups for the others."""
     tokens, words = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    top = common.strongest(counts, "c", min(classes, head)).toPandas().sort_values(["c", "word"], ascending=[False, True])
+    top = common.strongest(counts, "c", classes).toPandas().sort_values(["c", "word"], ascending=[False, True])
     groups = max(1, int(np.sqrt(words) / 2))
     in_groups = np.zeros(groups, np.int64)
     for g, c in counts.groupBy(F.pmod("word", F.lit(groups)).alias("g")).agg(F.sum("c")).collect():
@@ -299,7 +300,7 @@ def group_logs(words: np.ndarray, training: np.ndarray, q: np.ndarray) -> tuple[
 #: What tokens in a group take along: each word with the length of its run; the step in rows from the token before, and the
 #: classes of the contexts. What comes back: the count of each run's word; the steps, and the log-probabilities.
 _RUNS, _TOKENS = [("word", "<u8"), ("length", "<u4")], [("step", "<u4"), ("one", "<u4"), ("two", "<u4")]
-_COUNTS, _FOUND = [("count", "<u4")], [("step", "<u4"), ("log", "<f4")]
+_COUNTS, _FOUND = [("count", "<u8")], [("step", "<u4"), ("log", "<f4")]
 
 
 def pack(kinds: list[tuple[str, str]], arrays: list[np.ndarray]) -> bytes:
@@ -427,7 +428,7 @@ def score(documents: DataFrame, vocab: Vocabulary, model: LogBilinear) -> DataFr
     """(doc_id, text, training) -> doc_id, n_tokens, n_known, base_score, score."""
     spark = documents.sparkSession
     shared = spark.sparkContext.broadcast((vocab, model))
-    key = id(shared)
+    key = uuid.uuid4().hex  # of this model, in whatever worker
     names = ["doc_id", "n_tokens", "n_head", "head_log", "model_log", "packed"]
     struct = pa.struct([("g", pa.int64()), ("learning", pa.int64()), ("runs", pa.binary()), ("tokens", pa.binary())])
 
@@ -465,11 +466,11 @@ def score(documents: DataFrame, vocab: Vocabulary, model: LogBilinear) -> DataFr
     return both.select("doc_id", "n_tokens", (F.col("n_head") + F.col("known")).alias("n_known"), F.round(base, 9).alias("base_score"), F.round(F.col("model_log") + F.col("inner"), 9).alias("score"))  # sums may come in any order
 
 
-def score_documents(documents: DataFrame, of: int = 5, held: int = 1, classes: int = CLASSES, dimensions: int = DIMENSIONS, head: int = HEAD) -> DataFrame:
+def score_documents(documents: DataFrame, of: int = 5, held: int = 1, classes: int = CLASSES, dimensions: int = DIMENSIONS) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score; learns from the rows outside the fold `held`."""
     training = documents.where(common.crc_bucket("doc_id", of) != held)
     counts = common.stash(count_words(training), "lm-counts")
-    vocab = vocabulary(counts, classes, head)
+    vocab = vocabulary(counts, classes)
     model = train(training, vocab, dimensions)
     held_out = common.crc_bucket("doc_id", of) == held
     scored = score(documents.select("doc_id", "text", (~held_out).alias("training")), vocab, model)
