@@ -506,6 +506,14 @@ def stationary_model(spark, sf_dir):
     return solve.stationary(s).select("scc", "state", rounded("p").alias("p"))
 
 
+@query("""WITH v AS (SELECT 0 AS state UNION SELECT l_orderkey * 2 FROM lineitem UNION SELECT l_partkey * 2 + 1 FROM lineitem)
+SELECT CAST(0 AS BIGINT) AS scc, CAST(state AS BIGINT) AS state, round(1 / (1 + state % 7) / (SELECT sum(1 / (1 + state % 7)) FROM v), 11) + 0.0 AS p FROM v""")
+def stationary_large(spark, sf_dir):
+    """A component beyond one block: orders and parts, whose links balance, so that its long-run shares are known."""
+    s = solve.Structure.of(w.order_part_chain(spark, sf_dir), levels=False)
+    return solve.stationary(s).select("scc", "state", rounded("p", 11).alias("p"))
+
+
 def _absorption_sql(edges: str, vertices: str | None = None, steps: int = STEPS) -> str:
     start = "(SELECT state AS g, state, 1.0 AS p FROM v)"
     return f"{o.with_graph(edges, vertices)}{o.iterated(start, steps)} SELECT scc.scc, y.g AS state, {_r('sum(p)')} AS p FROM y JOIN scc ON y.state = scc.state JOIN term ON scc.scc = term.scc WHERE i = {steps} GROUP BY scc.scc, y.g"

@@ -70,3 +70,14 @@ def model_edges(spark: SparkSession, model: BooleanModel) -> DataFrame:
     from stillwater.operators import states, transitions
 
     return transitions.successors(states.space(spark, len(model.nodes)), model)
+
+
+def order_part_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """src, dst, rate: orders (2 * key) and parts (2 * key + 1) that line items link, and every part with state 0. A link's rate
+    is its number of line items times 1 + src % 7, so a state's long-run share is as 1 / (1 + state % 7)."""
+    items = table(spark, sf_dir, "lineitem").select((F.col("l_orderkey") * 2).cast("long").alias("src"), (F.col("l_partkey") * 2 + 1).cast("long").alias("dst"))
+    counted = items.groupBy("src", "dst").agg(F.count("*").alias("n"))
+    hub = items.select(F.lit(0).cast("long").alias("src"), "dst").distinct().withColumn("n", F.lit(1).cast("long"))
+    one = counted.unionByName(hub)
+    both = one.unionByName(one.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "n"))
+    return both.select("src", "dst", (F.col("n") * (1 + F.col("src") % 7)).cast("double").alias("rate"))
