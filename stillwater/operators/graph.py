@@ -1,6 +1,8 @@
 """Graph analytics over edges (src, dst, ...), as loops of joins and aggregates over distributed tables.
 
-Components are named by their least state. All loops keep their state in the checkpoint folder round by round.
+Components are named by their least state. All loops keep their state in the checkpoint folder round by round. A loop that has
+not ended after HASTE rounds takes chains together (chains.py) and goes on with what is left, so long paths do not make as many
+rounds as they have states.
 """
 
 from __future__ import annotations
@@ -10,10 +12,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from stillwater.operators.chains import chains
 from stillwater.operators.numbering import number, running
 from stillwater.operators.storage import Pile, Rounds, divided, keep, measured
 
 
+#: Rounds after which a loop looks for chains.
+HASTE = 6
+
+
 def vertices_of(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("src").alias("state")).union(edges.select("dst")).distinct()
 
@@ -24,17 +31,41 @@ def vertices_of(edges: DataFrame) -> DataFrame:
 def closure(start: DataFrame, step: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """All states that repeated steps reach from start(state), start included. step: states -> next states. Each
     round is one job, and only steps from the states that the last one found."""
+    return _closure(start, step, None)[0]
+
+
+def _closure(start: DataFrame, step: Callable[[DataFrame], DataFrame], most: int | None) -> tuple[DataFrame, bool]:
+    """The same in at most so many rounds, and whether it has ended."""
     seen = Pile(start.select("state").distinct())
     frontier = seen.all
-    rounds = Rounds("the closure")
+    rounds, n = Rounds("the closure"), 0
     while seen.added:
+        if n == most:
+            return seen.all, False
         rounds.next()
+        n += 1
         frontier = seen.add(step(frontier).select("state").distinct().join(seen.all, "state", "left_anti"))
-    return seen.all
+    return seen.all, True
 
 
 def forward(edges: DataFrame, start: DataFrame) -> DataFrame:
-    return closure(start, lambda at: edges.join(at, F.col("src") == F.col("state"), "left_semi").select(F.col("dst").alias("state")))
+    """All states that edges lead to from start(state), start included."""
+    along = lambda e: lambda at: e.join(at, F.col("src") == F.col("state"), "left_semi").select(F.col("dst").alias("state"))
+    seen, ended = _closure(start, along(edges), HASTE)
+    if ended:
+        return seen
+    edges = keep(edges.where("src <> dst").select("src", "dst").distinct())
+    c = chains(edges)
+    if not c.links:
+        return closure(seen, along(edges))
+    # A chain is left through its tail, and a state on it reaches those behind it.
+    inside = keep(c.members.join(seen, "state", "left_semi"))
+    outside = forward(c.edges.select("src", "dst"), seen.union(inside.select(F.col("tail").alias("state"))).distinct())
+    first = inside.groupBy("chain").agg(F.min("before").alias("first"))
+    heads = c.members.join(outside.select(F.col("state").alias("head")), "head", "left_semi").select("state")
+    behind = c.members.join(first, "chain").where("before >= first").select("state")
+    round_ = c.cycles.join(c.cycles.join(seen, "state", "left_semi").select("least").distinct(), "least", "left_semi").select("state")
+    return keep(outside.union(heads).union(behind).union(round_).distinct())
 
 
 def backward(edges: DataFrame, start: DataFrame) -> DataFrame:
@@ -73,14 +104,20 @@ def _inner(edges: DataFrame) -> DataFrame:
 def trim(edges: DataFrame) -> tuple[DataFrame, int]:
     """edges between states that all have a live edge in and one out, and their number: all cycles, and what lies between
     them. Two steps a job."""
+    return _trim(edges, None)[:2]
+
+
+def _trim(edges: DataFrame, most: int | None) -> tuple[DataFrame, int, bool]:
     live, n = edges.select("src", "dst"), None
-    rounds = Rounds("trimming")
+    rounds, k = Rounds("trimming"), 0
     while True:
         rounds.next()
         live, seen = measured(_inner(_inner(live)))
         if seen["n"] == n or not seen["n"]:
-            return live, seen["n"]
-        n = seen["n"]
+            return live, seen["n"], True
+        n, k = seen["n"], k + 1
+        if k == most:
+            return live, n, False
 
 
 def trim_rounds(edges: DataFrame, vertices: DataFrame) -> DataFrame:
@@ -111,15 +148,29 @@ def two_cycles(edges: DataFrame) -> DataFrame:
 def strong_components(edges: DataFrame, vertices: DataFrame) -> DataFrame:
     """state, scc. Trim; colour every state with the least state that reaches it; the states of a colour that reach back
     to the state that names it are its component; repeat on what is left of the colours."""
-    live, n = trim(edges.select("src", "dst").where("src <> dst").distinct())
+    found = _cyclic(edges.select("src", "dst").where("src <> dst").distinct(), HASTE)
+    if found is None:
+        return vertices.select("state", F.col("state").alias("scc"))
+    return vertices.join(found, "state", "left").select("state", F.coalesce("scc", "state").alias("scc"))
+
+
+def _cyclic(edges: DataFrame, haste: int | None) -> DataFrame | None:
+    """state, scc of the states on cycles; None if there are none."""
+    live, n, ended = _trim(edges, haste)
+    if not ended:
+        return _through_chains(live)
     found: Pile | None = None
     rounds = Rounds("the decomposition")
     while n:
         rounds.next()
-        colour = _least_reaching(live)
+        colour = _least_reaching(live, haste)
+        if colour is None:
+            more = _through_chains(live)
+            return found.all.unionByName(more) if found else more
         same = live.join(colour.withColumnRenamed("state", "src"), "src").join(colour.select(F.col("state").alias("dst"), F.col("colour").alias("c2")), "dst").where("colour = c2")
         same = keep(same.select("src", "dst", "colour"))
         members = backward(same, colour.where("state = colour").select("state"))
+        # The naming state reaches its whole component and is the least that does, so it is the component's least.
         done = members.join(colour, "state").select("state", F.col("colour").alias("scc"))
         if found is None:
             found = Pile(done)
@@ -127,21 +178,39 @@ def strong_components(edges: DataFrame, vertices: DataFrame) -> DataFrame:
         else:
             done = found.add(done)
         left = same.join(done.select(F.col("state").alias("src")), "src", "left_anti").join(done.select(F.col("state").alias("dst")), "dst", "left_anti")
-        live, n = trim(left)
-    if found is None:
-        return vertices.select("state", F.col("state").alias("scc"))
-    # The naming state reaches its whole component and is the least that does, so it is the component's least.
-    return vertices.join(found.all, "state", "left").select("state", F.coalesce("scc", "state").alias("scc"))
-
-
-def _least_reaching(edges: DataFrame) -> DataFrame:
-    """state, colour: the least state that reaches each state, itself included. A round is one job of two steps along
-    edges from the states that got another colour in the last one."""
+        live, n, ended = _trim(left.select("src", "dst"), haste)
+        if not ended:
+            more = _through_chains(live)
+            return found.all.unionByName(more) if more is not None else found.all
+    return found.all if found else None
+
+
+def _through_chains(live: DataFrame) -> DataFrame | None:
+    """_cyclic() of what is left when chains are taken together. A chain lies in a component if both of its ends do, in the same."""
+    c = chains(live)
+    if not c.links:
+        return _cyclic(live, None)
+    inner = _cyclic(c.edges.where("src <> dst").select("src", "dst"), HASTE)
+    none = live.select(F.col("src").alias("state"), F.col("src").alias("scc")).limit(0)
+    loops = c.edges.where("src = dst").select(F.col("src").alias("state"), F.col("src").alias("scc"))
+    inner = keep((inner if inner is not None else none).unionByName(loops).groupBy("state").agg(F.min("scc").alias("scc")))
+    ends = c.members.join(inner.select(F.col("state").alias("head"), "scc"), "head").join(inner.select(F.col("state").alias("tail"), F.col("scc").alias("other")), "tail")
+    whole = keep(inner.unionByName(ends.where("scc = other").select("state", "scc")).unionByName(c.cycles.select("state", F.col("least").alias("scc"))))
+    least = whole.groupBy("scc").agg(F.min("state").alias("name"))  # links may have lesser names than their ends
+    return keep(whole.join(least, "scc").select("state", F.col("name").alias("scc")))
+
+
+def _least_reaching(edges: DataFrame, most: int | None = None) -> DataFrame | None:
+    """state, colour: the least state that reaches each state, itself included; None if that takes more than `most` rounds. A
+    round is one job of two steps along edges from the states that got another colour in the last one."""
     colour = keep(vertices_of(edges).select("state", F.col("state").alias("colour")))
     moved = colour
-    rounds = Rounds("colouring")
+    rounds, k = Rounds("colouring"), 0
     while True:
         rounds.next()
+        if k == most:
+            return None
+        k += 1
         one = edges.join(moved, F.col("src") == F.col("state")).groupBy(F.col("dst").alias("state")).agg(F.min("colour").alias("colour"))
         two = edges.join(one, F.col("src") == F.col("state")).select(F.col("dst").alias("state"), "colour")
         offers = one.union(two).groupBy(F.col("state").alias("to")).agg(F.min("colour").alias("offer"))
@@ -165,26 +234,50 @@ def condense(edges: DataFrame, scc: DataFrame) -> DataFrame:
 
 
 def levels(condensed: DataFrame, components: DataFrame) -> DataFrame:
-    """scc, level: 1 for components without edges out, else one more than the highest level among their successors. A round
-    is one job: the edges into the last level are taken from what each component waits for, and those that wait for none are
-    the next level."""
-    edges = keep(condensed.select("src", "dst"))
-    waits = edges.groupBy(F.col("src").alias("scc")).agg(F.count("*").alias("waits"))
-    open_, level, out = components.select("scc").distinct().join(waits, "scc", "left").select("scc", F.coalesce("waits", F.lit(0)).alias("waits")), 1, []
+    """scc, level: 1 for components without edges out, else one more than the highest level among their successors."""
+    edges = condensed.select("src", "dst", F.lit(1).cast("long").alias("length"))
+    return _longest(edges, components.select(F.col("scc").alias("state")).distinct().withColumn("base", F.lit(1).cast("long")), HASTE).select(F.col("state").alias("scc"), "level")
+
+
+def _longest(edges: DataFrame, nodes: DataFrame, haste: int | None) -> DataFrame:
+    """(src, dst, length) without cycles and (state, base) -> state, level: the greatest of base and of length + level over the
+    state's edges. A round is one job: what the last round placed frees those that waited for nothing else, and raises their
+    base. After `haste` rounds chains of those that still wait are taken together."""
+    edges = keep(edges)
+    waits = edges.groupBy(F.col("src").alias("state")).agg(F.count("*").alias("waits"))
+    open_ = nodes.join(waits, "state", "left").select("state", "base", F.coalesce("waits", F.lit(0)).alias("waits"))
+    none, out, k = open_.limit(0), [], 0
+    placed = lambda: Pile.of(out, none).select("state", F.col("base").alias("level"))
     rounds = Rounds("the levels")
     while True:
         rounds.next()
-        placed = open_.withColumn("level", F.lit(level).cast("long"))
-        last, open_, seen = divided(placed, F.col("waits") == 0)
+        last, open_, _ = divided(open_, F.col("waits") == 0)
         if last is None and open_ is not None:
             raise ValueError("the components have a cycle")
         out += [last] if last is not None else []
         if open_ is None:
-            break
-        freed = edges.join(last.select(F.col("scc").alias("dst")), "dst").groupBy(F.col("src").alias("scc")).agg(F.count("*").alias("freed"))
-        open_ = open_.drop("level").join(freed, "scc", "left").select("scc", (F.col("waits") - F.coalesce("freed", F.lit(0))).alias("waits"))
-        level += 1
-    return Pile.of(out, components.select("scc").withColumn("level", F.lit(0).cast("long")).limit(0)).select("scc", "level")
+            return placed()
+        freed = edges.join(last.select(F.col("state").alias("dst"), F.col("base").alias("level")), "dst").groupBy(F.col("src").alias("state")).agg(F.count("*").alias("freed"), F.max(F.col("level") + F.col("length")).alias("rise"))
+        open_ = open_.join(freed, "state", "left").select("state", F.greatest("base", F.coalesce("rise", F.col("base"))).alias("base"), (F.col("waits") - F.coalesce("freed", F.lit(0))).alias("waits"))
+        k += 1
+        if k == haste:
+            open_ = keep(open_)
+            names = open_.select("state")
+            inside = edges.join(names.withColumnRenamed("state", "src"), "src", "left_semi").join(names.withColumnRenamed("state", "dst"), "dst", "left_semi")
+            return keep(placed().unionByName(_longest_through_chains(keep(inside), open_.select("state", "base"))))
+
+
+def _longest_through_chains(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    c = chains(edges, nodes.select("state", F.col("base").alias("value")))
+    if not c.links:
+        return _longest(edges, nodes, None)
+    # A chain's head gets what its links have of their own, its edge what lies behind the chain.
+    first = edges.join(c.members.select(F.col("state").alias("dst"), "head", "most"), "dst").where("src = head")  # its first link
+    rise = first.groupBy(F.col("src").alias("state")).agg(F.max(F.col("most") + F.col("length")).alias("rise"))
+    others = nodes.join(c.members.select("state"), "state", "left_anti").join(rise, "state", "left").select("state", F.greatest("base", F.coalesce("rise", F.col("base"))).alias("base"))
+    level = keep(_longest(c.edges, others, HASTE))
+    behind = c.members.join(level.select(F.col("state").alias("tail"), "level"), "tail")
+    return level.unionByName(behind.select("state", F.greatest("most", F.col("after") + F.col("level")).alias("level")))
 
 
 def terminals(edges: DataFrame, scc: DataFrame) -> DataFrame:
