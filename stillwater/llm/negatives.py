@@ -20,7 +20,7 @@ gives an empty table; other columns are not read.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +31,9 @@ from stillwater.llm import common
 
 CELLS = 16
 #: Rows of a block of vectors and of a block of anchors.
-ROWS, ANCHORS = 8_192, 512
+ROWS, ANCHORS = 8_192, 256
+#: Blocks of anchors that a task takes for a block of vectors.
+AT_ONCE = 4
 #: Components beyond this size after scaling: 2^24 squared leaves room for 2^15 dimensions.
 LARGEST = 1 << 24
 
@@ -178,18 +180,27 @@ def anchor_blocks(anchors: DataFrame, rows: int) -> DataFrame:
     return common.stash(common.map_batches(anchors.select(*names), run, "d int, data binary"), "negatives-anchors", codec="lz4")
 
 
-def _cells(files: DataFrame, asked: DataFrame, answer, schema: str) -> DataFrame:
-    """answer(block, anchors) for each block of vectors and block of anchors of its length."""
+def _cells(files: DataFrame, asked: DataFrame, answer: Callable, schema: str) -> DataFrame:
+    """answer(block, anchors) for each block of vectors and block of anchors of its length. A task takes a block of vectors and
+    about AT_ONCE blocks of anchors: anchors are sent to every block, blocks of vectors to as many tasks as that needs."""
+    lengths = files.groupBy("d").agg((F.max("block") + 1).alias("blocks"))  # a row for each length
+    numbered = asked.withColumn("a", F.monotonically_increasing_id())
+    parts = max(1, -(-asked.count() // AT_ONCE))
+    tasks = max(1, files.count() * parts)
+    sent = numbered.join(lengths, "d").withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    sent = sent.select("d", "block", F.pmod(F.xxhash64("a"), F.lit(parts)).cast("int").alias("part"), "data").repartition(tasks, "d", "block", "part")
+    held = files.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))).repartition(tasks, "d", "block", "part")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                get = lambda c, t: np.frombuffer(row[c], t)  # noqa: B023, E731
-                n, d = row["n"], row["d"]
-                block = Block(get("ids", np.int64), get("labels", np.int32), get("vectors", np.int64).reshape(n, d), get("codes", np.uint8).reshape(-1, n), get("low", np.int64).reshape(d, CELLS), get("high", np.int64).reshape(d, CELLS))
-                yield from answer(block, pa.ipc.open_stream(row["data"]).read_all()).to_batches()
+    def run(file: pa.Table, anchors: pa.Table) -> pa.Table:
+        if not file.num_rows or not anchors.num_rows:
+            return answer(None, None)
+        row = file.to_pylist()[0]
+        get = lambda c, t: np.frombuffer(row[c], t)
+        n, d = row["n"], row["d"]
+        block = Block(get("ids", np.int64), get("labels", np.int32), get("vectors", np.int64).reshape(n, d), get("codes", np.uint8).reshape(-1, n), get("low", np.int64).reshape(d, CELLS), get("high", np.int64).reshape(d, CELLS))
+        return answer(block, pa.concat_tables([pa.ipc.open_stream(x).read_all() for x in anchors.column("data").to_pylist()]))
 
-    return common.map_batches(files.join(asked, "d"), run, schema)
+    return held.groupBy("d", "block", "part").cogroup(sent.groupBy("d", "block", "part")).applyInArrow(run, schema)
 
 
 def _columns(rows: list[tuple], names: tuple[str, ...]) -> pa.Table:
@@ -206,8 +217,8 @@ def mine(vectors: DataFrame, is_anchor: Column, label: Column, positives: int =
     # An anchor is a row, told by its digest and id: its id may have others.
     anchors = taking.where(is_anchor).select(F.xxhash64("vec_id", "label", "vector").alias("key"), "*", F.array().cast("array<bigint>").alias("scores"))
 
-    def near(block: Block, asked: pa.Table) -> pa.Table:
-        found = [(row["key"], row["vec_id"], *block.positives(row["vec_id"], row["label"], np.array(row["vector"], np.int64), positives)) for row in asked.to_pylist()]
+    def near(block: Block | None, asked: pa.Table | None) -> pa.Table:
+        found = [] if asked is None else [(row["key"], row["vec_id"], *block.positives(row["vec_id"], row["label"], np.array(row["vector"], np.int64), positives)) for row in asked.to_pylist()]
         return _columns(found, ("key", "anchor_id", "positive_id", "positive_score"))
 
     one = _cells(files, anchor_blocks(anchors, anchor_rows), near, "key bigint, anchor_id bigint, positive_id bigint, positive_score bigint")
@@ -215,9 +226,9 @@ def mine(vectors: DataFrame, is_anchor: Column, label: Column, positives: int =
     order = Window.partitionBy("key", "anchor_id").orderBy(F.desc("positive_score"), "positive_id")
     chosen = common.stash(one.withColumn("r", F.row_number().over(order)).where(F.col("r") <= positives).drop("r"), "negatives-positives")
 
-    def hard(block: Block, asked: pa.Table) -> pa.Table:
+    def hard(block: Block | None, asked: pa.Table | None) -> pa.Table:
         found = []
-        for row in asked.to_pylist():
+        for row in [] if asked is None else asked.to_pylist():
             scores = np.array(row["scores"], np.int64)
             made = block.negatives(row["vec_id"], row["label"], np.array(row["vector"], np.int64), scores, percent, negatives)
             found += [(row["key"], row["vec_id"], s, ids, values) for s, (ids, values) in zip(scores.tolist(), made, strict=True)]
