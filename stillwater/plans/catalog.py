@@ -11,6 +11,7 @@ from stillwater.functions import bits, boolean
 from stillwater.operators import graph, matrix, rates, solve, states, transitions
 from stillwater.operators.numbering import number
 from stillwater.operators.storage import keep
+from stillwater.plans import corpus
 from stillwater.plans import oracles as o
 from stillwater.plans import workloads as w
 from stillwater.plans.solver import Solver
@@ -611,3 +612,19 @@ def requery_new_rates(spark, sf_dir):
     Solver(spark, w.ROWS, initial=start, store_at=where).structure  # noqa: B018
     again = Solver(spark, w.ROWS, rates.uniform(w.ROWS, up={"F": 2.0}, down={"Q": 0.5}), start, store_at=where)
     return again.final.select("state", rounded("p").alias("p"))
+
+
+def _some_shares(model) -> str:
+    return f"(SELECT state, n / (SELECT count(*) FROM lineitem) AS p FROM {_some(model)})"
+
+
+@query(" UNION ALL ".join(f"SELECT '{n}' AS model_id, * FROM ({_final_sql(o.model_edges(m), _some_shares(m), o.space(len(m.nodes)))}) WHERE p > 0" for n, m in _MODELS))
+def corpus_final(spark, sf_dir):
+    """All models in one plan, each from the states that line items have of its nodes."""
+    rows = spark.createDataFrame(list(corpus.rows_of(dict(_MODELS))), "model_id string, idx int, node string, factor string")
+    sizes = spark.createDataFrame([(n, (1 << len(m.nodes)) - 1) for n, m in _MODELS], "model_id string, mask bigint")
+    counted = w.row_states(spark, sf_dir).groupBy("state").agg(F.count("*").alias("n"))
+    total = counted.agg(F.sum("n").alias("total"))  # one row
+    start = counted.join(F.broadcast(sizes)).groupBy("model_id", F.col("state").bitwiseAND(F.col("mask")).alias("state")).agg(F.sum("n").alias("n"))
+    start = start.join(F.broadcast(total)).select("model_id", "state", (F.col("n") / F.col("total")).alias("p"))
+    return corpus.CorpusSolver(rows, start).final.select("model_id", "state", rounded("p").alias("p")).where("p > 0")
