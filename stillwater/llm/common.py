@@ -104,6 +104,8 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _BYTE = np.random.default_rng(20240501).integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
 _RADIX = np.uint64(0x9E3779B97F4A7C15)
+#: What a byte adds to a word's hash: nothing if it lies between words.
+_VALUE = np.where(_SEPARATOR, np.uint64(0), _BYTE[_LOWER])
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -137,10 +139,13 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, separator: np.ndarray | No
     most: take so many first bytes of each word."""
     if not len(starts):
         return np.zeros(0, np.uint64)
-    value = np.where((_SEPARATOR if separator is None else separator)[data], np.uint64(0), _BYTE[_LOWER[data]])
-    place = np.zeros(len(data), np.int64)
-    place[starts] = starts
-    place = np.arange(len(data)) - np.maximum.accumulate(place)
+    if separator is None:
+        value = _VALUE[data]
+    else:
+        value = np.where(separator[data], np.uint64(0), _BYTE[_LOWER[data]])
+    # Places in words; separators, before the first word too, have the value 0 whatever their place.
+    place = np.arange(len(data))
+    place -= np.repeat(starts, np.diff(np.append(np.append(0, starts[1:]), len(data))))
     place[: starts[0]] = 0
     if most is not None:
         value[place >= most] = 0

@@ -182,9 +182,13 @@ class LogBilinear:
         r, rn = self.target[target], self.target[noise]
         k = len(noise)
         real = np.einsum("ij,ij->i", q, r) + self.bias[target] - log_noise[target] - np.float32(np.log(k))
-        fake = q @ rn.T + (self.bias[noise] - log_noise[noise] - np.float32(np.log(k)))
+        gf = (-q) @ rn.T  # minus the logit of each noise class, and then in place
+        gf -= self.bias[noise] - log_noise[noise] - np.float32(np.log(k))
         gr = 1 / (1 + np.exp(np.clip(real, -30, 30)))  # 1 - sigmoid
-        gf = -1 / (1 + np.exp(np.clip(-fake, -30, 30)))
+        np.clip(gf, -30, 30, out=gf)
+        np.exp(gf, out=gf)
+        gf += 1
+        np.divide(-1, gf, out=gf)
         gq = gr[:, None] * r + gf @ rn
         n = len(self.bias)
         d_target = _scatter(target, gr[:, None] * q, n)
@@ -234,13 +238,26 @@ PRIOR, ROUNDS, ROWS_AT_ONCE = 8.0, 4, 2048
 def _chunks(n: int, m: int) -> Iterator[slice]:
     """Slices of n rows against m columns that stay within a core's cache."""
     step = max(64, ROWS_AT_ONCE * 64 // max(64, m))
-    return (slice(at, at + step) for at in range(0, n, step))
+    return (slice(at, min(n, at + step)) for at in range(0, n, step))
 
 
-def _logits(q: np.ndarray, weights: np.ndarray) -> np.ndarray:
-    """q (with a last column of ones) against vectors and biases; far beyond any fitted value they are cut."""
-    x = q @ weights
-    return np.clip(x, -80, 80, out=x)
+class _Exponentials:
+    """exp of contexts (with a last column of ones) against vectors and biases, chunk by chunk in one buffer. Logits far beyond
+    any fitted value are cut; norms tell whether there can be any."""
+
+    def __init__(self, q: np.ndarray, m: int):
+        self.q, self.norm = q, float(np.sqrt(np.einsum("ij,ij->i", q, q).max(initial=0.0)))
+        self.buffer = np.empty((max((c.stop - c.start for c in _chunks(len(q), m)), default=0), m), q.dtype)
+        self.ones = np.ones(m, q.dtype)
+
+    def __call__(self, c: slice, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The chunk's contexts, their exponentials and the sums of these; the buffer is used again."""
+        q = self.q[c]
+        x = np.matmul(q, weights, out=self.buffer[: len(q)])
+        if self.norm * float(np.sqrt(np.einsum("ij,ij->j", weights, weights).max())) > 80:
+            np.clip(x, -80, 80, out=x)
+        np.exp(x, out=x)
+        return q, x, x @ self.ones
 
 
 def _fit(q: np.ndarray, symbols: np.ndarray, counts: np.ndarray, every: np.ndarray, chosen: np.ndarray) -> np.ndarray:
@@ -254,21 +271,21 @@ def _fit(q: np.ndarray, symbols: np.ndarray, counts: np.ndarray, every: np.ndarr
         size = float(np.einsum("ij,ij->", q[:, :d], q[:, :d], dtype=np.float64) / len(q)) + 1e-9
         seen = np.bincount(symbols, minlength=m)
         first = np.flatnonzero(np.append(True, symbols[1:] != symbols[:-1]))
+        fitted = _Exponentials(q, m)
         observed = np.zeros((m, d))
         observed[symbols[first]] = np.add.reduceat(q[:, :d], first, axis=0, dtype=np.float64)
         for _ in range(ROUNDS):
             expected = np.zeros((m, d))
             for c in _chunks(len(q), m):
-                p = np.exp(_logits(q[c], weights))
-                expected += p.T @ (q[c, :d] / p.sum(1, keepdims=True))
+                here, p, sums = fitted(c, weights)
+                expected += p.T @ (here[:, :d] / sums[:, None])
             vectors = weights[:d].T.astype(np.float64)
             vectors += (observed - expected - PRIOR * size * vectors) / ((PRIOR + seen) * size)[:, None]
             weights[:d] = vectors.T
-    out, exact = np.empty(len(every)), weights.astype(np.float64)
+    out, scored = np.empty(len(every)), _Exponentials(every, m)
     for c in _chunks(len(every), m):
-        x = _logits(every[c].astype(np.float64), exact)
-        picked = x[np.arange(len(x)), chosen[c]]
-        out[c] = picked - np.log(np.exp(x, out=x).sum(1))
+        _, x, sums = scored(c, weights)
+        out[c] = np.log(x[np.arange(len(x)), chosen[c]].astype(np.float64) / sums)
     return out
 
 
