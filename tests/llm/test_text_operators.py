@@ -182,7 +182,7 @@ def test_language_model(spark):
     draw = random.Random(9)
     a, b = ["ka", "ke", "ki", "ko"], ["su", "sa", "se", "so"]
     texts = [" ".join(draw.choice(x) for _ in range(draw.randint(3, 40))) for x in (a, b) for _ in range(300)] + ["Ka unseen", None, "", "rare word"]
-    got = {r["doc_id"]: r for r in lm.score_documents(rows(spark, texts), head=5, classes=5, dimensions=8).collect()}
+    got = {r["doc_id"]: r for r in lm.score_documents(rows(spark, texts), classes=5, dimensions=8).collect()}
     tokens = {i: [*WORD.findall((t or "").translate(LOWER)), None] for i, t in enumerate(texts)}
     count = Counter(w for i, ws in tokens.items() if zlib.crc32(str(i).encode()) % 5 != 1 for w in ws)
     n, v = sum(count.values()), len(count)
