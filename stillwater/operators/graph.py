@@ -233,10 +233,16 @@ def condense(edges: DataFrame, scc: DataFrame) -> DataFrame:
     return one.where("a <> b").select(F.col("a").alias("src"), F.col("b").alias("dst")).distinct()
 
 
-def levels(condensed: DataFrame, components: DataFrame) -> DataFrame:
-    """scc, level: 1 for components without edges out, else one more than the highest level among their successors."""
+def levels(condensed: DataFrame, components: DataFrame, base: DataFrame | None = None) -> DataFrame:
+    """scc, level: 1 for components without edges out, else one more than the highest level among their successors. base: (scc,
+    base), levels that components have at least because of successors that are not among these."""
     edges = condensed.select("src", "dst", F.lit(1).cast("long").alias("length"))
-    return _longest(edges, components.select(F.col("scc").alias("state")).distinct().withColumn("base", F.lit(1).cast("long")), HASTE).select(F.col("state").alias("scc"), "level")
+    nodes = components.select("scc").distinct()
+    if base is None:
+        nodes = nodes.withColumn("base", F.lit(1).cast("long"))
+    else:
+        nodes = nodes.join(base, "scc", "left").select("scc", F.coalesce("base", F.lit(1)).cast("long").alias("base"))
+    return _longest(edges, nodes.withColumnRenamed("scc", "state"), HASTE).select(F.col("state").alias("scc"), "level")
 
 
 def _longest(edges: DataFrame, nodes: DataFrame, haste: int | None) -> DataFrame:

@@ -55,6 +55,20 @@ class Structure:
         table, seen = measured(scc.join(sizes, "scc").join(level, "scc").select("state", "scc", "size", "level"), F.max("level").alias("top"))
         return cls(edges, table, seen["top"] or 0)
 
+    def extended(self, edges: DataFrame, states: DataFrame) -> Structure:
+        """With further states and the edges that leave them. No known state may lead to these, so its component and level stay:
+        only the further ones are decomposed."""
+        edges = keep(edges.where("src <> dst and rate > 0").groupBy("src", "dst").agg(F.sum("rate").alias("rate")))
+        new = keep(states.select("state").distinct())
+        scc = keep(graph.strong_components(edges.join(new.withColumnRenamed("state", "dst"), "dst", "left_semi").select("src", "dst"), new))
+        condensed = keep(graph.condense(edges, self.states.select("state", "scc").unionByName(scc.select("state", "scc"))))
+        known = self.states.select(F.col("scc").alias("dst"), "level").distinct()
+        base = condensed.join(known, "dst").groupBy(F.col("src").alias("scc")).agg((F.max("level") + 1).alias("base"))
+        level = graph.levels(condensed.join(known, "dst", "left_anti"), scc, base)
+        sizes = scc.groupBy("scc").agg(F.count("*").alias("size"))
+        table, seen = measured(scc.join(sizes, "scc").join(level, "scc").select("state", "scc", "size", "level"), F.max("level").alias("top"))
+        return Structure(self.edges.select("src", "dst", "rate").unionByName(edges), self.states.unionByName(table), max(self.top, seen["top"] or 0))
+
     @property
     def terminals(self) -> DataFrame:
         return self.states.where("level = 1").select("state", "scc", "size")

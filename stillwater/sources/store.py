@@ -1,7 +1,8 @@
 """Stored results: a folder for each model, zero pattern and set of rates, with a Parquet table for each relation.
 
-    <root>/<model key>/<zero pattern>/graph/{edges,states}      what only the pattern of zero rates decides
-    <root>/<model key>/<zero pattern>/<rates>/{stationary,absorption}
+    <root>/<model key>/<zero pattern>/graph/<part>/{edges,states}     what only the pattern of zero rates decides: a part for
+                                                                      each time that starts led to states not stored before
+    <root>/<model key>/<zero pattern>/<rates>/<parts>/{stationary,absorption}
 
 A manifest, written last, lists the rows of each table; a folder without one, or with other counts, is incomplete.
 """
@@ -26,9 +27,18 @@ def graph_folder(root: str, model: BooleanModel, rates: Rates) -> str:
     return f"{root.rstrip('/')}/{model.key}/{pattern}/graph"
 
 
-def numbers_folder(root: str, model: BooleanModel, rates: Rates) -> str:
+def numbers_folder(root: str, model: BooleanModel, rates: Rates, parts: int) -> str:
+    """parts: those of the graph that the numbers are for."""
     digest = hashlib.sha256(json.dumps(rates).encode()).hexdigest()[:16]
-    return f"{graph_folder(root, model, rates).removesuffix('/graph')}/{digest}"
+    return f"{graph_folder(root, model, rates).removesuffix('/graph')}/{digest}/{parts}"
+
+
+def load_parts(spark: SparkSession, folder: str) -> list[dict[str, DataFrame]]:
+    """The tables of a folder's parts 0, 1, ..."""
+    out: list[dict[str, DataFrame]] = []
+    while (found := load(spark, f"{folder}/{len(out)}")) is not None:
+        out.append(found)
+    return out
 
 
 def save(folder: str, tables: dict[str, DataFrame]) -> None:

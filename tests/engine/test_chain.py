@@ -80,10 +80,28 @@ def test_store_and_reuse(spark, tmp_path):
     assert second.reused == ["graph"]
     third = Solver(spark, w.TOY, rates.uniform(w.TOY, down={"C": 2.0}), states.fixed(spark, w.TOY, {"A": 0, "C": 0, "D": 0}), store_at=str(tmp_path))
     close(probabilities(third.final), {2: 0.5, 4: 0.5})
-    assert third.reused == ["solution"]
+    assert third.reused == ["graph", "solution"]
     assert store.equal(third.absorption, second.absorption)
 
 
+def test_store_grows_with_starts(spark, tmp_path):
+    """40 nodes in a row, each following the one before: few states are reached, and another start adds what it reaches."""
+    model = parse_model("\n".join(["N0, N0"] + [f"N{i}, N{i - 1}" for i in range(1, 40)]))
+    at = lambda *on: states.fixed(spark, model, {n: int(int(n[1:]) in on) for n in model.nodes})
+    one = Solver(spark, model, initial=at(0, *range(36)), store_at=str(tmp_path))
+    close(probabilities(one.final), {(1 << 40) - 1: 1.0})
+    assert one.structure.states.count() == 5 and one.reused == []
+    more = at(0, *range(33))
+    two = Solver(spark, model, initial=more, store_at=str(tmp_path))
+    close(probabilities(two.final), {(1 << 40) - 1: 1.0})
+    assert two.reused == ["graph"] and two.structure.states.count() == 8 and two.structure.top == 8
+    levels = {r["state"]: r["level"] for r in two.structure.states.collect()}
+    assert levels == {(1 << k) - 1: 41 - k for k in range(33, 41)}
+    three = Solver(spark, model, initial=at(0, *range(38)).union(more).withColumn("p", F.lit(0.5)), store_at=str(tmp_path))
+    close(probabilities(three.final), {(1 << 40) - 1: 1.0})
+    assert three.reused == ["graph", "solution"]
+
+
 def test_fixed_probability_is_a_mixture(spark):
     p = probabilities(states.fixed(spark, w.TOY, {"A": 1, "D": 0}, 0.6))
     assert len(p) == 8 and abs(sum(p.values()) - 1) < 1e-12 and abs(p[1] - 0.3) < 1e-12 and abs(p[0] - 0.4 / 6) < 1e-12
