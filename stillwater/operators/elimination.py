@@ -131,7 +131,7 @@ class Elimination:
         made = cls()
         links = keep(links.where("src <> dst").select("own", "src", "dst", "rate"))
         leaks = keep(leaks.groupBy("own", "state").agg(F.sum("rate").alias("leak")))
-        known = keep(links.select("own", F.col("src").alias("state")).distinct())
+        known = keep(links.select("own", F.col("src").alias("state")).union(links.select("own", "dst")).union(leaks.select("own", "state")).distinct())
         links, leaks, known = made._eliminate_states(links, leaks, known, dense)
         made._eliminate_blocks(links, leaks, known, dense)
         return made
@@ -273,6 +273,32 @@ class Elimination:
         p = keep(self._backward(x, None, None, transposed=True).drop("col"))
         return p.join(p.groupBy("own").agg(F.sum("value").alias("sum")), "own").select("own", "state", (F.col("value") / F.col("sum")).alias("p"))
 
+    def log_determinants(self) -> DataFrame:
+        """own, log: the logarithm of the determinant of D - rates, D being all that leaves each state: the sum over all that was
+        left out, each by its pivot or block. -infinity where nothing leaves a chain."""
+
+        def logs(invert: bool):
+            def run(frames):
+                import pandas as pd
+
+                for pdf in frames:
+                    out = []
+                    for i, n in enumerate(pdf["n"]):
+                        with np.errstate(divide="ignore", invalid="ignore"):
+                            w = inverse(_square(pdf["data"].iloc[i], n), np.frombuffer(pdf["out"].iloc[i])) if invert else _square(pdf["data"].iloc[i], n)
+                        out.append(-np.linalg.slogdet(w)[1] if np.isfinite(w).all() else -np.inf)
+                    yield pd.DataFrame({"own": pdf["own"], "log": np.array(out, float)})
+
+            return run
+
+        parts = [self.last.mapInPandas(logs(True), "own bigint, log double")]
+        parts += [r.pivots.select("own", F.log("out").alias("log")) for r in self.rounds]
+        parts += [r.pivots.mapInPandas(logs(False), "own bigint, log double") for r in self.block_rounds]
+        out = parts[0]
+        for p in parts[1:]:
+            out = out.unionByName(p)
+        return out.groupBy("own").agg(F.sum("log").alias("log"))
+
     def solve(self, right: DataFrame, transposed: bool) -> DataFrame:
         """right: (own, state, col, value), never negative -> own, state, col, value: x with x D = right + x rates if transposed,
         else D x = right + rates x, D being all that leaves each state. Only columns that occur in a chain, and only its states
