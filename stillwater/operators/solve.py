@@ -322,3 +322,19 @@ def final_distribution(mass: DataFrame, stationary_: DataFrame) -> DataFrame:
 def mass_by_absorption(absorption_: DataFrame, initial: DataFrame) -> DataFrame:
     """The same as terminal_mass(), from stored absorption probabilities: two joins for any new initial distribution."""
     return absorption_.withColumnRenamed("p", "a").join(initial, "state").groupBy("scc").agg(F.sum(F.col("a") * F.col("p")).alias("p"))
+
+
+def with_mass(edges: DataFrame, initial: DataFrame, states: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """The edges and the states (state) of the weak components that hold any of initial(state, p): no other state ever gets
+    probability, so no other is decomposed or solved."""
+    known = graph.vertices_of(edges).union(initial.select("state")) if states is None else graph.vertices_of(edges).union(states.select("state")).union(initial.select("state"))
+    wcc = keep(graph.weak_components(edges.select("src", "dst"), known.distinct()))
+    holding = wcc.join(initial.where("p > 0").select("state"), "state", "left_semi").select("wcc").distinct()
+    kept = keep(wcc.join(holding, "wcc", "left_semi").select("state"))
+    return edges.join(kept.withColumnRenamed("state", "src"), "src", "left_semi"), kept
+
+
+def long_run(edges: DataFrame, initial: DataFrame) -> DataFrame:
+    """state, p: where initial(state, p) ends along edges (src, dst, rate)."""
+    s = Structure.of(*with_mass(edges, initial))
+    return final_distribution(terminal_mass(s, initial), stationary(s))

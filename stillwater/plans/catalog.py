@@ -628,3 +628,12 @@ def corpus_final(spark, sf_dir):
     start = counted.join(F.broadcast(sizes)).groupBy("model_id", F.col("state").bitwiseAND(F.col("mask")).alias("state")).agg(F.sum("n").alias("n"))
     start = start.join(F.broadcast(total)).select("model_id", "state", (F.col("n") / F.col("total")).alias("p"))
     return corpus.CorpusSolver(rows, start).final.select("model_id", "state", rounded("p").alias("p")).where("p > 0")
+
+
+@query(f"""WITH y AS (SELECT *, o_orderpriority = '1-URGENT' AS urgent FROM orders WHERE extract('year' FROM o_orderdate) = 1995),
+n AS (SELECT count(*) FILTER (urgent) AS total FROM y),
+c AS (SELECT o_custkey, arg_max(o_orderkey, (o_orderdate, o_orderkey)) AS last, count(*) FILTER (urgent) AS k FROM y GROUP BY o_custkey)
+SELECT CAST(last AS BIGINT) AS state, {_r('k / total', 9)} AS p FROM c, n WHERE k > 0""")
+def final_by_weak_component(spark, sf_dir):
+    """A chain of many weak components, of which only those that hold probability are solved."""
+    return solve.long_run(*w.next_orders(spark, sf_dir)).select("state", rounded("p", 9).alias("p"))

@@ -81,3 +81,14 @@ def order_part_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     one = counted.unionByName(hub)
     both = one.unionByName(one.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "n"))
     return both.select("src", "dst", (F.col("n") * (1 + F.col("src") % 7)).cast("double").alias("rate"))
+
+
+def next_orders(spark: SparkSession, sf_dir: str, year: int = 1995) -> tuple[DataFrame, DataFrame]:
+    """Edges (src, dst, rate) from each order of a year to its customer's next one, and those of urgent priority alike, as
+    (state, p): as many weak components as customers, many without any urgent order."""
+    orders = table(spark, sf_dir, "orders").where(F.year("o_orderdate") == year)
+    in_turn = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
+    edges = orders.select(F.col("o_orderkey").cast("long").alias("src"), F.lead("o_orderkey").over(in_turn).cast("long").alias("dst"), F.lit(1.0).alias("rate")).where("dst is not null")
+    urgent = orders.where("o_orderpriority = '1-URGENT'").select(F.col("o_orderkey").cast("long").alias("state"))
+    total = urgent.agg(F.count("*").alias("total"))  # one row
+    return edges, urgent.join(F.broadcast(total)).select("state", (1 / F.col("total")).alias("p"))

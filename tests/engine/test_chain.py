@@ -102,6 +102,14 @@ def test_store_grows_with_starts(spark, tmp_path):
     assert three.reused == ["graph", "solution"]
 
 
+def test_weak_components_without_mass_are_left_out(spark):
+    edges = spark.createDataFrame([(0, 1, 1.0), (2, 3, 1.0), (4, 5, 2.0), (4, 6, 1.0)], "src bigint, dst bigint, rate double")
+    start = spark.createDataFrame([(0, 0.25), (4, 0.75), (2, 0.0)], "state bigint, p double")
+    kept, states_ = solve.with_mass(edges, start)
+    assert {r["state"] for r in states_.collect()} == {0, 1, 4, 5, 6} and kept.count() == 3
+    close(probabilities(solve.long_run(edges, start)), {1: 0.25, 5: 0.5, 6: 0.25}, 1e-12)
+
+
 def test_fixed_probability_is_a_mixture(spark):
     p = probabilities(states.fixed(spark, w.TOY, {"A": 1, "D": 0}, 0.6))
     assert len(p) == 8 and abs(sum(p.values()) - 1) < 1e-12 and abs(p[1] - 0.3) < 1e-12 and abs(p[0] - 0.4 / 6) < 1e-12
