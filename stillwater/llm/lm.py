@@ -274,11 +274,14 @@ def _fit(q: np.ndarray, symbols: np.ndarray, counts: np.ndarray, every: np.ndarr
         fitted = _Exponentials(q, m)
         observed = np.zeros((m, d))
         observed[symbols[first]] = np.add.reduceat(q[:, :d], first, axis=0, dtype=np.float64)
-        for _ in range(ROUNDS):
+        for k in range(ROUNDS):
             expected = np.zeros((m, d))
-            for c in _chunks(len(q), m):
-                here, p, sums = fitted(c, weights)
-                expected += p.T @ (here[:, :d] / sums[:, None])
+            if k == 0:  # without vectors every context has the same probabilities
+                expected += np.outer(counts / counts.sum(), q[:, :d].sum(0, dtype=np.float64))
+            else:
+                for c in _chunks(len(q), m):
+                    here, p, sums = fitted(c, weights)
+                    expected += p.T @ (here[:, :d] / sums[:, None])
             vectors = weights[:d].T.astype(np.float64)
             vectors += (observed - expected - PRIOR * size * vectors) / ((PRIOR + seen) * size)[:, None]
             weights[:d] = vectors.T
