@@ -10,7 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stillwater.operators.storage import keep
+from stillwater.operators.storage import folder, keep
 
 #: A word: a maximal run of characters other than ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -26,6 +26,14 @@ def stash(df: DataFrame, label: str, codec: str = "zstd") -> DataFrame:
     return keep(df, codec, f"stillwater/{label}")
 
 
+def bucketed(df: DataFrame, by: list[str], buckets: int, label: str) -> DataFrame:
+    """df in shared storage, dealt by columns, so that joins by them need not move it again."""
+    path = folder(df.sparkSession, f"stillwater/{label}")
+    name = f"{label}_{path.rsplit('/', 1)[1]}".replace("-", "_")
+    df.write.bucketBy(buckets, *by).option("compression", "zstd").option("path", path).saveAsTable(name)
+    return df.sparkSession.table(name)
+
+
 def map_batches(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     """mapInArrow. Spark cuts batches at spark.sql.execution.arrow.maxBytesPerBatch (64 MB) at the latest."""
     return df.mapInArrow(f, schema)

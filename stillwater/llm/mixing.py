@@ -65,13 +65,18 @@ def due(word: Column, target: Column, place: Column, ramps=RAMPS) -> Column:
     return F.when(word <= target, F.greatest(F.lit(0.0), F.least(F.lit(1.0), t)))
 
 
-def sized_rows(documents: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
-    """row (a number of its own for each row), doc_id, source, size, draw (a digest of id, source and text) and `carry`, in
-    shared storage."""
+def sized(documents: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
+    """row (a number of its own for each row, once it is stored), doc_id, source, size, draw (a digest of id, source and text) and
+    `carry`."""
     text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
     draw = F.md5(F.concat_ws("|", text("doc_id"), text("source"), F.md5(text("text").cast("binary"))).cast("binary"))
-    sized = documents.select("doc_id", "source", word_count().alias("size"), draw.alias("draw"), *carry)
-    return common.stash(sized.withColumn("row", F.monotonically_increasing_id()), "mix-sizes")
+    columns = documents.select("doc_id", "source", word_count().alias("size"), draw.alias("draw"), *carry)
+    return columns.withColumn("row", F.monotonically_increasing_id())
+
+
+def sized_rows(documents: DataFrame) -> DataFrame:
+    """sized() in shared storage."""
+    return common.stash(sized(documents), "mix-sizes")
 
 
 def _with_targets(rows: DataFrame, targets: DataFrame) -> DataFrame:
@@ -81,9 +86,9 @@ def _with_targets(rows: DataFrame, targets: DataFrame) -> DataFrame:
     return rows.join(salted, rows["source"].eqNullSafe(salted["their"]) & (rows["salt"] == salted["salt"])).drop("their", "salt")
 
 
-def assigned(sized: DataFrame, weights=WEIGHTS, share: float = SHARE, most_passes: float = MOST_PASSES, ramps=RAMPS) -> DataFrame:
-    """sized_rows() -> a row for each, with source_size, target and positions (array<double>, those of its copies)."""
-    narrow = sized.select("row", "doc_id", "source", "size", "draw")
+def assigned(rows: DataFrame, weights=WEIGHTS, share: float = SHARE, most_passes: float = MOST_PASSES, ramps=RAMPS) -> DataFrame:
+    """Stored sized() -> a row for each, with source_size, target and positions (array<double>, those of its copies)."""
+    narrow = rows.select("row", "doc_id", "source", "size", "draw")
     per_source = narrow.groupBy("source").agg(F.sum("size").alias("source_size"))
     targets = common.stash(source_targets(per_source, weights, share, most_passes), "mix-targets")
     # Rows equal up to their number are the same document twice, and may change places.
@@ -112,10 +117,14 @@ def plan(documents: DataFrame, **schedule) -> DataFrame:
 
 
 def mix(documents: DataFrame, **schedule) -> DataFrame:
-    """The training stream: the columns of documents, a row for each copy taken, range-sorted by position."""
-    columns = documents.columns
-    held = sized_rows(documents.select("doc_id", "source", F.struct(*columns).alias("held_"), "text"), carry=("held_",))
-    copies = assigned(held, **schedule).select("row", "draw", F.posexplode("positions").alias("copy_", "position_"))
+    """The training stream: the columns of documents, a row for each copy taken, range-sorted by position. Documents are stored once,
+    bucketed by row, so the join with their positions does not move them; only the copies move, to their places."""
+    columns = {c: f"c{i}" for i, c in enumerate(documents.columns)}
+    buckets = max(1, int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    named = documents.select("doc_id", "source", "text", F.struct(*[F.col(f"`{c}`").alias(name) for c, name in columns.items()]).alias("held_"))
+    # Every task has a file in each bucket, so there are half as many tasks as buckets at most.
+    held = common.bucketed(sized(named, carry=("held_",)).coalesce(max(1, buckets // 2)), ["row"], buckets, "mix-documents")
+    copies = assigned(common.stash(held.drop("held_"), "mix-sizes"), **schedule).select("row", "draw", F.posexplode("positions").alias("copy_", "position_"))
     stream = held.select("row", "held_").join(copies, "row")
     ordered = stream.repartitionByRange("position_", "draw", "copy_", "row").sortWithinPartitions("position_", "draw", "copy_", "row")
-    return ordered.select(*[F.col(f"held_.`{c}`").alias(c) for c in columns])
+    return ordered.select(*[F.col(f"held_.{name}").alias(c) for c, name in columns.items()])

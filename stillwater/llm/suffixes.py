@@ -30,7 +30,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from stillwater.llm import common
-from stillwater.operators.storage import folder
 
 #: Bytes of the substrings whose hashes name windows, a power of 2.
 GRAM = 32
@@ -425,14 +424,6 @@ def identified(documents: DataFrame) -> DataFrame:
     return documents.select("doc_id", F.coalesce("doc_id", F.lit(2**63 - 1)).alias("doc"), tie.alias("tie"), F.coalesce("text", F.lit("")).alias("text"))
 
 
-def bucketed(df: DataFrame, by: list[str], buckets: int) -> DataFrame:
-    """df in shared storage, dealt by columns, so that joins by them need not move it again."""
-    path = folder(df.sparkSession, "suffixes-texts")
-    name = "texts_" + path.rsplit("/", 1)[1]
-    df.write.bucketBy(buckets, *by).option("compression", "zstd").option("path", path).saveAsTable(name)
-    return df.sparkSession.table(name)
-
-
 def repeated_spans(texts: DataFrame, least: int = 100) -> DataFrame:
     """identified() -> doc, tie, begin, stop: spans (of bytes) of repeated strings of at least `least` bytes, which may overlap."""
     source = texts.where(F.octet_length("text") >= least).select("doc", "tie", "text")
@@ -456,7 +447,7 @@ def remove_repeats(documents: DataFrame, least: int = 100, keep_text: bool = Fal
         raise ValueError(f"strings of fewer than {2 * GRAM} bytes are not supported")
     plain = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     buckets = max(1, int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    texts = bucketed(identified(plain), ["doc", "tie"], buckets)
+    texts = common.bucketed(identified(plain), ["doc", "tie"], buckets, "suffixes-texts")
     spans = repeated_spans(texts, least).groupBy("doc", "tie").agg(F.collect_list(F.struct("begin", "stop")).alias("spans"))  # a document's own
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

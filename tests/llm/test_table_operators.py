@@ -199,6 +199,31 @@ def test_mixing(spark):
     assert all(r["target"] <= 2 * r["size"] and r["taken"] in (0, r["size"], 2 * r["size"]) for r in full)
 
 
+def test_mixed_documents_move_once(spark, capsys):
+    """Positions move to the documents, not both to each other; every copy has all columns of its row, whatever their names."""
+    rows = [(i % 90 or None, f"s{i % 3}", f"word{i} " * (i % 7), i, [i]) for i in range(200)]
+    df = spark.createDataFrame(rows, "doc_id bigint, source string, text string, `a.b, c` int, held_ array<int>")
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        stream = mixing.mix(df)
+        stream.explain()
+        assert capsys.readouterr().out.count("Exchange hashpartitioning(row") == 1
+        assert stream.schema == df.schema
+        got = Counter(tuple(map(str, r)) for r in stream.collect())
+        want = Counter()
+        for r in mixing.plan(df).collect():
+            want[str(r["doc_id"]), r["source"], r["size"]] += r["n_copies"]
+        assert set(got) <= {tuple(map(str, r)) for r in rows} and max(got.values()) <= 2
+        by_key = Counter()
+        for (doc, source, text, *_), n in got.items():
+            by_key[doc, source, len(text.split())] += n
+        assert by_key == +want
+        assert mixing.mix(df.limit(0)).count() == 0
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+
+
 def plain_filling(sizes, weights, share, most):
     """Targets by raising the level of all sources that are not full, step by step."""
     targets, left, open_ = [0.0] * len(sizes), share * sum(sizes), {i for i, s in enumerate(sizes) if s}
