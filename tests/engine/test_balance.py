@@ -55,3 +55,21 @@ def test_others_are_eliminated(spark, monkeypatch):
             k[a, b] = r
         want = elimination.stationary(k)
         assert max(abs(got[100 * c + i] - w) / w if w > 1e-280 else abs(got[100 * c + i] - w) for i, w in enumerate(want / want.sum())) < 1e-12
+
+
+def test_few_blocks_in_a_file(spark, monkeypatch):
+    """A file of a stored table of blocks has no more of them than a task should hold at once."""
+    draw, n = np.random.default_rng(5), 12
+    k = draw.random((n, n)) + 0.1
+    np.fill_diagonal(k, 0.0)
+    links = spark.createDataFrame([(0, a, b, float(k[a, b])) for a in range(n) for b in range(n) if a != b], "own bigint, src bigint, dst bigint, rate double").coalesce(1)
+    monkeypatch.setattr(elimination, "FILL", 0)
+    monkeypatch.setattr(elimination, "FILE", 2 * 8 * 3 * 3)
+    e = elimination.Elimination.of(links, spark.createDataFrame([], "own bigint, state bigint, rate double"), 6)
+    assert e.most == 2 and len(e.block_rounds) == 3
+    for stored in [e.last, *(t for r in e.block_rounds for t in (r.pivots, r.into, r.away))]:
+        per_file = stored.groupBy(stored["_metadata"]["file_path"]).count().toPandas()["count"]
+        assert len(per_file) and per_file.max() <= 2
+    want = elimination.stationary(k)
+    got = {r["state"]: r["p"] for r in e.stationary().collect()}
+    assert max(abs(got[i] / w - 1) for i, w in enumerate(want / want.sum())) < 1e-12
