@@ -101,10 +101,8 @@ def full_sets(documents: DataFrame, width: int) -> DataFrame:
 
 
 def connected(links: DataFrame) -> DataFrame:
-    """(a, b) links -> (id, component): the least id reachable, for each id that has a link."""
-    edges = common.stash(links.select(F.col("a").alias("src"), F.col("b").alias("dst")).distinct(), "minhash-edges")
-    found = graph.weak_components(edges, graph.vertices_of(edges))
-    return common.stash(found.select(F.col("state").alias("id"), F.col("wcc").alias("component")), "minhash-components")
+    """(a, b) links -> (id, component): the least id reachable, for each id that reaches a lesser one."""
+    return graph.stars(links.select(F.col("a").alias("u"), F.col("b").alias("v"))).select(F.col("u").alias("id"), F.col("v").alias("component"))
 
 
 class _Join:
@@ -114,7 +112,8 @@ class _Join:
         self.repeats = repeats  # whether rows share both id and set
         self.documents, self.classes, self.links = documents, classes, links
         self.width, self.percent, self.matches, self.posted, self.posted_matches, self.few = width, percent, matches, posted, posted_matches, few
-        self.labels = connected(links) if links is not None else None
+        self.several = links is not None  # whether rows of different sets share an id
+        self.labels = connected(links) if self.several else None
 
     def comparable(self, n: Column, m: Column) -> Column:
         """Whether sets of these sizes can be alike enough at all."""
@@ -146,17 +145,19 @@ class _Join:
         two = c.select(F.col("id").alias("b"), F.col("signature").alias("sb"), F.col("n").alias("nb"))
         agree = F.size(F.filter(F.zip_with("sa", "sb", lambda x, y: x == y), lambda x: x))
         near = common.stash(pairs.join(two, "b").join(one, "a").where(agree >= self.matches).select("a", "b", "na", "nb"), "minhash-near")
-        ids = near.select(F.col("a").alias("id")).union(near.select("b")).distinct()
+        ids = near.select(F.col("a").alias("id")).union(near.select("b"))
         sets = common.stash(self.sets(ids), "minhash-sets", codec="lz4")
         both = near.join(sets.select(F.col("id").alias("b"), F.col("members").alias("mb")), "b").join(sets.select(F.col("id").alias("a"), F.col("members").alias("ma")), "a")
         both = both.withColumn("shared", F.size(F.array_intersect("ma", "mb")).cast("long"))
         return common.stash(both.where(F.col("shared") * 100 >= (F.col("na") + F.col("nb") - F.col("shared")) * self.percent).select("a", "b"), "minhash-links")
 
     def sets(self, ids: DataFrame) -> DataFrame:
-        """id, members: the full sets of classes, one row each, made from their documents' texts once more."""
+        """id, members: the full sets of classes, one row each, made from their documents' texts once more. ids may repeat."""
         wanted = self.classes.select("id", "doc_id", "set_key").join(ids, "id", "left_semi")
-        texts = self.documents.join(wanted.select("doc_id"), "doc_id", "left_semi")
-        made = full_sets(texts, self.width)
+        if not self.several and not self.repeats:  # an id has one row
+            texts = self.documents.join(wanted.select("id", "doc_id"), "doc_id").select(F.col("id").alias("doc_id"), "text")
+            return full_sets(texts, self.width).select(F.col("doc_id").alias("id"), "members")
+        made = full_sets(self.documents.join(wanted.select("doc_id"), "doc_id", "left_semi"), self.width)
         if self.repeats:  # else an id has one set of a key
             made = made.dropDuplicates(["doc_id", "set_key"])
         return made.join(wanted, ["doc_id", "set_key"]).select("id", "members")
@@ -164,7 +165,7 @@ class _Join:
     def add(self, new: DataFrame) -> None:
         self.labels = connected(new if self.links is None else self.links.union(new))
         # Links within a component are told by its tree as well, and there are far fewer of those.
-        self.links = self.labels.where("id <> component").select(F.col("id").alias("a"), F.col("component").alias("b"))
+        self.links = self.labels.select(F.col("id").alias("a"), F.col("component").alias("b"))
 
     def labelled(self, postings: DataFrame) -> DataFrame:
         if self.labels is None:
@@ -191,9 +192,10 @@ class _Join:
         inside = F.col("label") == F.col("main")
         leaders = open_.groupBy("key", "salts").agg(F.min(F.when(inside, drawn)).alias("l"), F.min(F.when(~inside, drawn)).alias("m"))
         out = self.with_lists(open_.where(~inside), leaders, ["key"])
-        one = out.where(self.comparable(F.col("n"), F.col("l.n"))).groupBy("id", "main").agg(F.min("l.id").alias("a"))
-        two = out.where((F.col("label") != F.col("m.label")) & self.comparable(F.col("n"), F.col("m.n"))).groupBy("id").agg(F.min("m.id").alias("a"))
-        both = one.select("id", "a").union(two.select("id", "a"))
+        one = F.when(self.comparable(F.col("n"), F.col("l.n")), F.struct("main", F.col("l.id").alias("a")))
+        two = F.when((F.col("label") != F.col("m.label")) & self.comparable(F.col("n"), F.col("m.n")), F.struct(F.lit(None).cast("long").alias("main"), F.col("m.id").alias("a")))
+        met = out.select("id", F.explode(F.array(one, two)).alias("met")).where("met is not null")
+        both = met.groupBy("id", "met.main").agg(F.min("met.a").alias("a"))
         return both.select(F.least("id", "a").alias("a"), F.greatest("id", "a").alias("b")).distinct()
 
     def outside_against_all(self, members: DataFrame) -> DataFrame:
@@ -207,15 +209,16 @@ class _Join:
         documents of either side, however many there are in all."""
         parties = common.stash(members.select("main", "id", "label", (F.col("label") != F.col("main")).alias("out")).distinct(), "minhash-parties")
         counts = parties.groupBy("main").agg(F.ceil(F.count_if("out") / BLOCK).alias("x"), F.ceil(F.count("*") / BLOCK).alias("y"))
-        sets = common.stash(self.sets(parties.select("id").distinct()), "minhash-block-sets", codec="lz4")
+        sets = common.stash(self.sets(parties.select("id")), "minhash-block-sets", codec="lz4")
         full = parties.join(counts, "main").join(sets, "id")
         place = lambda n: F.pmod(F.xxhash64("id"), F.col(n))
-        every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
-        left = full.where("out").select(F.lit(True).alias("outside"), "main", "id", "label", "members", place("x").alias("bx"), every("y").alias("by"))
-        right = full.select(F.lit(False).alias("outside"), "main", "id", "label", "members", every("x").alias("bx"), place("y").alias("by"))
+        every = lambda n: F.sequence(F.lit(0).cast("long"), F.col(n) - 1)
+        left = F.transform(every("y"), lambda y: F.struct(F.lit(True).alias("outside"), place("x").alias("bx"), y.alias("by")))
+        right = F.transform(every("x"), lambda x: F.struct(F.lit(False).alias("outside"), x.alias("bx"), place("y").alias("by")))
+        cells = full.select("main", "id", "label", "members", F.explode(F.when(F.col("out"), F.concat(left, right)).otherwise(right)).alias("cell"))
+        cells = cells.select("cell.outside", "main", "id", "label", "members", "cell.bx", "cell.by")
         percent = self.percent
-        links = left.unionByName(right).groupBy("main", "bx", "by").applyInArrow(lambda t: _block_links(t, percent), "a bigint, b bigint")
-        return common.stash(links.distinct(), "minhash-links")
+        return common.stash(cells.groupBy("main", "bx", "by").applyInArrow(lambda t: _block_links(t, percent), "a bigint, b bigint"), "minhash-links")
 
     def run(self) -> DataFrame | None:
         """(id, component) of all classes that have a link."""
@@ -279,11 +282,13 @@ def near_duplicates(documents: DataFrame, width: int = 5, percent: int = 80, coo
     classes = signed.where("doc_id is not null and set_key is not null").groupBy("set_key").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), F.first("signature").alias("signature"))
     classes = common.stash(classes.withColumn("id", F.monotonically_increasing_id()), "minhash-classes")
     placed = common.stash(signed.drop("signature").join(classes.select("set_key", "id"), "set_key", "left").drop("set_key"), "minhash-placed")
-    several = placed.where("doc_id is not null and id is not null").groupBy("doc_id").agg(F.min("id").alias("a"), F.max("id").alias("b")).where("a < b")
-    links = None
-    if not several.isEmpty():  # ids with rows of different texts
-        links = placed.join(several.select("doc_id", "a"), "doc_id").where("id <> a").select("a", F.col("id").alias("b")).distinct()
-    repeats = not placed.where("doc_id is not null and id is not null").groupBy("doc_id", "id").count().where("count > 1").isEmpty()
+    links, repeats = None, False
+    rows = placed.where("doc_id is not null and id is not null").groupBy("doc_id").agg(F.min("id").alias("a"), F.max("id").alias("b"), F.count("*").alias("c")).where("c > 1")
+    if not rows.isEmpty():
+        several = rows.where("a < b")
+        if not several.isEmpty():  # ids with rows of different texts
+            links = placed.join(several.select("doc_id", "a"), "doc_id").where("id <> a").select("a", F.col("id").alias("b")).distinct()
+        repeats = not placed.where("doc_id is not null and id is not null").groupBy("doc_id", "id").count().where("count > 1").isEmpty()
     labels = _Join(documents, classes, links, width, percent, matches, posted, posted_matches, few, repeats).run()
     if labels is None:
         labels = classes.select("id", F.col("id").alias("component")).limit(0)

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from stillwater.operators.chains import chains
@@ -75,23 +75,29 @@ def backward(edges: DataFrame, start: DataFrame) -> DataFrame:
 # --------------------------------------------------------------------------- components
 
 
-def weak_components(edges: DataFrame, vertices: DataFrame) -> DataFrame:
-    """state, wcc. Alternating star contraction: first larger, then smaller neighbours hang under the least one. A round is
-    one job; the links are stars as soon as it changes none, which a digest of all links tells."""
+def stars(links: DataFrame) -> DataFrame:
+    """Links (u, v) -> the links (u, v) of each state that is not its component's least one to that one. Alternating star
+    contraction: first larger, then smaller neighbours hang under the least one. A round is one job of three shuffles; the links
+    are stars as soon as it changes none, which a digest of all links tells."""
     digest = F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("x")
-    links, seen = measured(edges.select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).where("u <> v").distinct(), *digest)
+    links, seen = measured(links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct(), *digest)
+    least = F.min("v").over(Window.partitionBy("u"))
     rounds = Rounds("the contraction")
     while seen["n"]:
         rounds.next()
-        both = links.union(links.select("v", "u"))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        both = links.union(links.select("v", "u")).select("u", "v", F.least(least, "u").alias("m"))
+        large = both.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).select("u", "v", least.alias("m"))
+        hung = large.select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v")
         before = seen
-        links, seen = measured(small.union(least.select("u", "m")).distinct(), *digest)
+        links, seen = measured(hung.where("u <> v").distinct(), *digest)
         if seen == before:
             break
+    return links
+
+
+def weak_components(edges: DataFrame, vertices: DataFrame) -> DataFrame:
+    """state, wcc."""
+    links = stars(edges.select(F.col("src").alias("u"), F.col("dst").alias("v")))
     return vertices.join(links, F.col("state") == F.col("u"), "left").select("state", F.coalesce("v", "state").alias("wcc"))
 
 

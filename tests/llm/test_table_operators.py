@@ -146,6 +146,35 @@ def test_near_duplicates(spark, width, few):
     assert minhash.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_near_duplicates_in_few_tasks(spark):
+    """Each shuffle is a task for each partition, however few rows there are, so the rounds must not shuffle again and again."""
+    draw = random.Random(3)
+    base = text_of(draw, 90).split()
+    texts = []
+    for _ in range(60):
+        w = list(base)
+        for _ in range(draw.choice([1, 3, 6, 9])):
+            w[draw.randrange(len(w))] = f"n{draw.randrange(10**6)}"
+        texts.append(" ".join(w))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    conf = {"spark.sql.shuffle.partitions": "12", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in conf}
+    tracker = spark.sparkContext.statusTracker()
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        spark.sparkContext.setJobGroup("few-tasks", "")
+        got = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(df, 2, few=0).collect()}
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert got == {i: c for i, (_, c) in brute_components(list(enumerate(texts)), 2).items()}
+    stages = {s for j in tracker.getJobIdsForGroup("few-tasks") for s in tracker.getJobInfo(j).stageIds}
+    shuffles = sum(1 for s in stages if (i := tracker.getStageInfo(s)) and i.numTasks >= 12 and i.numCompletedTasks)
+    assert shuffles <= 100, shuffles
+
+
 def test_rows_of_one_id_are_one_node(spark):
     a, b = "a b c d e f g h", "i j k l m n o p"
     df = spark.createDataFrame([(1, a), (5, a), (5, b), (9, b)], "doc_id bigint, text string")
