@@ -336,6 +336,33 @@ def fetched(texts: DataFrame, wanted: DataFrame, least: int) -> DataFrame:
     return common.map_batches(met, run, "key bigint, part int, parts int, doc bigint, tie bigint, start int, bytes binary")
 
 
+def _meeting(text: np.ndarray, key: np.ndarray, raw: np.ndarray, at: np.ndarray, least: int) -> np.ndarray:
+    """Whether each segment (raw[at[i]:at[i + 1]], of a text's key) may have a window that is equal to another of its text. Equal
+    windows have the gram of the key at one place; by that place, in four classes, they agree at least in some bytes on either
+    side of it. A segment whose grams have no such bytes twice in its text has no equal windows."""
+    owner = np.repeat(np.arange(len(key)), np.diff(at))
+    h = _gram_hashes(raw)
+    p = np.flatnonzero(h == key[owner[: len(h)]])
+    p = p[p + GRAM <= at[1:][owner[p]]]
+    owner = owner[p]
+    powers = np.full(len(raw) + 1, _RADIX, np.uint64)
+    powers[0] = 1
+    sums = np.zeros(len(raw) + 1, np.uint64)
+    np.cumsum(common._BYTE[raw] * np.multiply.accumulate(powers)[:-1], out=sums[1:])
+    powers[1:] = _INVERSE
+    powers = np.multiply.accumulate(powers)
+    found = np.zeros(len(key), bool)
+    edges = np.arange(5) * (least - GRAM + 1) // 4
+    for low, high in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+        a, b = p - low, p + least - high + 1
+        inside = (a >= at[:-1][owner]) & (b <= at[1:][owner])
+        a, b, mine = a[inside], b[inside], owner[inside]
+        value = common.mix((sums[b] - sums[a]) * powers[a]) + common.mix(text[mine].astype(np.uint64))
+        _, one, times = np.unique(value, return_inverse=True, return_counts=True)
+        found[mine[times[one] > 1]] = True
+    return found
+
+
 def _compared(table: pa.Table, least: int) -> pa.Table:
     """Rows of fetched(), sorted by key and part -> the spans of windows that have an earlier equal one in their array; for each
     first window of a key in parts: two digests and its span."""
@@ -346,12 +373,19 @@ def _compared(table: pa.Table, least: int) -> pa.Table:
     at = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
     raw = np.frombuffer(column.buffers()[2], np.uint8)[at[0] : at[-1]]
     at = at - at[0]
+    # Segments without equal windows need no array; those of a key in parts are told to the other parts.
+    text = np.cumsum(np.append(True, (key[1:] != key[:-1]) | (part[1:] != part[:-1]))[: len(key)])
+    kept = (parts > 1) | _meeting(text, key.view(np.uint64), raw, at, least)
+    if not kept.all():
+        raw = raw[np.repeat(kept, np.diff(at))]
+        at = np.append(0, np.cumsum(np.diff(at)[kept]))
+        key, part, parts, doc, tie, start = (c[kept] for c in (key, part, parts, doc, tie, start))
     # Each segment ends with a 0: bytes are raised by 1.
     n, length = len(key), np.diff(at)
     data = np.zeros(len(raw) + n, np.int64)
     begin = at[:-1] + np.arange(n)
     data[_ranges(begin, length)] = raw.astype(np.int64) + 1
-    texts = np.flatnonzero(np.append(True, (key[1:] != key[:-1]) | (part[1:] != part[:-1])))
+    texts = np.flatnonzero(np.append(True, (key[1:] != key[:-1]) | (part[1:] != part[:-1]))[:n])
     order = suffix_arrays(data, np.append(begin[texts], len(data)))
     # Suffixes with equal first `least` bytes stand together: windows that are equal to the one before.
     segment = np.repeat(np.arange(n), length + 1)

@@ -7,6 +7,7 @@ import random
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -257,3 +258,20 @@ def test_bounds_hold_and_prune():
     for anchor in vectors[:20]:
         block.positives(-1, 2, anchor, 5)
     assert block.scored < 20 * 800 / 5  # of some 800 rows of the label
+
+
+def test_segments_without_equal_windows_need_no_array(monkeypatch):
+    """Segments of one key whose surroundings differ go to no suffix array; those that share a window do, and it is found."""
+    draw = np.random.default_rng(5)
+    gram = bytes(draw.integers(1, 256, suffixes.GRAM, dtype=np.uint8))
+    some = lambda n: bytes(draw.integers(1, 256, n, dtype=np.uint8))
+    shared = some(30) + gram + some(38)
+    rows = [some(40) + gram + some(60) for _ in range(50)] + [some(20) + shared, shared + some(9)]
+    key = int(suffixes._gram_hashes(np.frombuffer(gram, np.uint8)).view(np.int64)[0])
+    n, same = len(rows), lambda v, kind: pa.array([v] * len(rows), kind)
+    table = pa.table({"key": same(key, pa.int64()), "part": same(0, pa.int32()), "parts": same(1, pa.int32()), "doc": pa.array(range(n)), "tie": same(0, pa.int64()), "start": same(0, pa.int32()), "bytes": pa.array(rows, pa.binary())})
+    seen, kept = [], suffixes.suffix_arrays
+    monkeypatch.setattr(suffixes, "suffix_arrays", lambda data, begin: seen.append(len(data)) or kept(data, begin))
+    got = suffixes._compared(table, 100).to_pylist()
+    assert [(r["again"], r["doc"], r["begin"], r["stop"]) for r in got] == [(True, 51, 0, 100)]
+    assert seen == [120 + 109 + 2]
