@@ -34,6 +34,16 @@ def bucketed(df: DataFrame, by: list[str], buckets: int, label: str) -> DataFram
     return df.sparkSession.table(name)
 
 
+def among(df: DataFrame, column: str, ids: DataFrame, bits: int = 1 << 23) -> DataFrame:
+    """The rows of df whose column is in ids (one column of that name and type), and a few others, whose hashes meet: told by a
+    broadcast table of so many bits, whatever the number of ids, so that a join with ids need not move all rows of df. A null is in ids
+    if they have one. df has no columns word_ and bits_."""
+    place = F.pmod(F.xxhash64(column), F.lit(bits))
+    word, bit = F.shiftright(place, 6), F.call_function("shiftleft", F.lit(1).cast("long"), place.bitwiseAND(F.lit(63)).cast("int"))
+    table = ids.select(word.alias("word_"), bit.alias("bit_")).groupBy("word_").agg(F.bit_or("bit_").alias("bits_"))
+    return df.join(F.broadcast(table), word == F.col("word_")).where(bit.bitwiseAND(F.col("bits_")) != 0).select(*df.columns)
+
+
 def map_batches(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     """mapInArrow. Spark cuts batches at spark.sql.execution.arrow.maxBytesPerBatch (64 MB) at the latest."""
     return df.mapInArrow(f, schema)

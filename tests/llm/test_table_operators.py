@@ -175,6 +175,58 @@ def test_near_duplicates_in_few_tasks(spark):
     assert shuffles <= 100, shuffles
 
 
+def near_pairs_among_others(draw, others):
+    """Texts of which the first 12 are near copies by twos, and the links that are so found."""
+    texts = []
+    for k in range(0, 12, 2):
+        w = others(draw).split()
+        texts += [" ".join(w), " ".join([*w[:-1], f"last{k}"])]
+    return texts, {i: i - i % 2 for i in range(12)}
+
+
+def test_only_wanted_texts_are_moved(spark):
+    """Full sets are made of few documents, so the texts of the others must not go through shuffles, however many rounds there are."""
+    draw = random.Random(5)
+    texts, links = near_pairs_among_others(draw, lambda d: text_of(d, 3000, 10**6))
+    texts += [text_of(draw, 3000, 10**6) for _ in range(150)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    store = spark.sparkContext._jsc.sc().statusStore()
+    written = lambda: sum(s.shuffleWriteBytes() for s in (lambda all_: (all_.apply(i) for i in range(all_.size())))(store.stageList(None, False, False, spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0), None)))
+    held = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        before = written()
+        got = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(df, 2).collect()}
+        moved = written() - before
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", held)
+    assert got == {i: links.get(i, i) for i in range(len(texts))}
+    assert moved < 0.5 * sum(map(len, texts)), moved
+
+
+@pytest.mark.parametrize("short", [64, 1])
+def test_chance_agreements_go_no_further(spark, monkeypatch, short):
+    """Of a small vocabulary all elements are shared, but few documents are alike: lists (of few classes) and blocks keep these."""
+    draw = random.Random(6)
+    some = lambda d: text_of(d, 60, 25)
+    texts, _ = near_pairs_among_others(draw, some)
+    texts += [some(draw) for _ in range(300)]
+    rows = {}
+    kept = minhash.common.stash
+
+    def counted(df, label, codec="zstd"):
+        made = kept(df, label, codec)
+        rows.setdefault(label, []).append(made.count())
+        return made
+
+    monkeypatch.setattr(minhash.common, "stash", counted)
+    monkeypatch.setattr(minhash, "SHORT", short, raising=False)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(df, 2, few=0).collect()}
+    assert got == {i: c for i, (_, c) in brute_components(list(enumerate(texts)), 2).items()}
+    assert rows["minhash-postings"][0] < 1000 if short == 64 else rows["minhash-block-sets"][0] < 50, rows
+
+
 def test_rows_of_one_id_are_one_node(spark):
     a, b = "a b c d e f g h", "i j k l m n o p"
     df = spark.createDataFrame([(1, a), (5, a), (5, b), (9, b)], "doc_id bigint, text string")
