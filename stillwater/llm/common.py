@@ -44,6 +44,13 @@ def among(df: DataFrame, column: str, ids: DataFrame, bits: int = 1 << 23) -> Da
     return df.join(F.broadcast(table), word == F.col("word_")).where(bit.bitwiseAND(F.col("bits_")) != 0).select(*df.columns)
 
 
+def moved(df: DataFrame) -> DataFrame:
+    """df as a side of a join that grows with the input: both sides are dealt by the key and merged, and neither is broadcast. Spark sizes a
+    side by its compressed files, an array in it as one element and an explode as no more rows, so it would send tables through the driver
+    that are many times its bound of 10 MB."""
+    return df.hint("merge")
+
+
 def map_batches(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     """mapInArrow. Spark cuts batches at spark.sql.execution.arrow.maxBytesPerBatch (64 MB) at the latest."""
     return df.mapInArrow(f, schema)

@@ -148,14 +148,14 @@ class _Join:
         spread = self.classes.select("id", F.posexplode("signature").alias("k", "value"))
         spread = spread.select("id", (F.shiftleft(F.col("k").cast("long"), 32) + F.col("value").cast("long") + F.lit(1 << 31)).alias("element"))
         shared = spread.groupBy("element").agg(F.count("*").alias("times")).where("times > 1")
-        return spread.join(shared, "element")
+        return spread.join(common.moved(shared), "element")
 
     def prefixes(self, elements: DataFrame) -> DataFrame:
         """key, times, id, n, sketch: each class's rarest elements, all but the last posted_matches - 1. A class has at most a
         signature's length."""
         all_ = elements.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("times", "element"))).alias("all")).where(F.size("all") >= self.posted_matches)
         all_ = all_.select("id", F.slice("all", F.lit(1), F.size("all") - F.lit(self.posted_matches - 1)).alias("rarest"))
-        one = all_.join(self.classes.select("id", "n", "sketch"), "id").select("id", "n", "sketch", F.explode("rarest").alias("one"))
+        one = all_.join(common.moved(self.classes.select("id", "n", "sketch")), "id").select("id", "n", "sketch", F.explode("rarest").alias("one"))
         return one.select(F.col("one.element").alias("key"), "one.times", "id", "n", "sketch")
 
     def alike_in_lists(self, postings: DataFrame) -> DataFrame:
@@ -170,29 +170,30 @@ class _Join:
     def with_lists(self, members: DataFrame, lists: DataFrame, keys: list[str]) -> DataFrame:
         """members joined with rows of lists (keys, salts and others) by key and salt."""
         dealt = members.withColumn("salt", F.pmod(F.xxhash64("id"), F.col("salts")).cast("int")).drop("salts")
-        return dealt.join(lists.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))), [*keys, "salt"]).drop("salt")
+        return dealt.join(common.moved(lists.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))), [*keys, "salt"]).drop("salt")
 
     def confirm(self, pairs: DataFrame) -> DataFrame:
         """Distinct candidate pairs (a, b, total: the sum of their sets' sizes) -> the links (a, b) among them: those whose full sets are alike."""
         near = common.stash(pairs, "minhash-near")
         ids = near.select(F.col("a").alias("id")).union(near.select("b"))
         sets = common.stash(self.sets(ids), "minhash-sets", codec="lz4")
-        both = near.join(sets.select(F.col("id").alias("b"), F.col("members").alias("mb")), "b").join(sets.select(F.col("id").alias("a"), F.col("members").alias("ma")), "a")
+        one, two = (common.moved(sets.select(F.col("id").alias(c), F.col("members").alias(f"m{c}"))) for c in ("a", "b"))
+        both = near.join(two, "b").join(one, "a")
         both = both.withColumn("shared", F.size(F.array_intersect("ma", "mb")).cast("long"))
         return common.stash(both.where(F.col("shared") * 100 >= (F.col("total") - F.col("shared")) * self.percent).select("a", "b"), "minhash-links")
 
     def sets(self, ids: DataFrame) -> DataFrame:
         """id, members: the full sets of classes, one row each, made from their documents' texts once more. ids may repeat. Of all
         texts only those of these documents, and a few others, are moved."""
-        wanted = self.classes.select("id", "doc_id", "set_key").join(ids, "id", "left_semi")
+        wanted = self.classes.select("id", "doc_id", "set_key").join(common.moved(ids), "id", "left_semi")
         documents = common.among(self.documents, "doc_id", wanted.select("doc_id"))
         if not self.several and not self.repeats:  # an id has one row
-            texts = documents.join(wanted.select("id", "doc_id"), "doc_id").select(F.col("id").alias("doc_id"), "text")
+            texts = documents.join(common.moved(wanted.select("id", "doc_id")), "doc_id").select(F.col("id").alias("doc_id"), "text")
             return full_sets(texts, self.width).select(F.col("doc_id").alias("id"), "members")
-        made = full_sets(documents.join(wanted.select("doc_id"), "doc_id", "left_semi"), self.width)
+        made = full_sets(documents.join(common.moved(wanted.select("doc_id")), "doc_id", "left_semi"), self.width)
         if self.repeats:  # else an id has one set of a key
             made = made.dropDuplicates(["doc_id", "set_key"])
-        return made.join(wanted, ["doc_id", "set_key"]).select("id", "members")
+        return made.join(common.moved(wanted), ["doc_id", "set_key"]).select("id", "members")
 
     def add(self, new: DataFrame) -> None:
         self.labels = connected(new if self.links is None else self.links.union(new))
@@ -202,7 +203,7 @@ class _Join:
     def labelled(self, postings: DataFrame) -> DataFrame:
         if self.labels is None:
             return postings.withColumn("label", F.col("id"))
-        return postings.join(self.labels, "id", "left").select(*postings.columns, F.coalesce("component", "id").alias("label"))
+        return postings.join(common.moved(self.labels), "id", "left").select(*postings.columns, F.coalesce("component", "id").alias("label"))
 
     def open_lists(self, postings: DataFrame) -> DataFrame:
         """postings of lists that span several components, with label, main (the largest one) and outside (members beyond it)."""
@@ -255,9 +256,9 @@ class _Join:
         parties = common.stash(members.select("main", "id", "n", "sketch", "label", (F.col("label") != F.col("main")).alias("out")).dropDuplicates(["main", "id"]), "minhash-parties")
         blocks = self.cells(parties, SKETCH_BLOCK, "n", "sketch").groupBy("main", "bx", "by")
         met = blocks.applyInArrow(lambda t: _block_alike(t, percent, coordinates, matches), "main bigint, id bigint")
-        parties = common.stash(parties.drop("n", "sketch").join(met, ["main", "id"], "left_semi"), "minhash-parties")
+        parties = common.stash(parties.drop("n", "sketch").join(common.moved(met), ["main", "id"], "left_semi"), "minhash-parties")
         sets = common.stash(self.sets(parties.select("id")), "minhash-block-sets", codec="lz4")
-        blocks = self.cells(parties.join(sets, "id"), BLOCK, "members").groupBy("main", "bx", "by")
+        blocks = self.cells(parties.join(common.moved(sets), "id"), BLOCK, "members").groupBy("main", "bx", "by")
         return common.stash(blocks.applyInArrow(lambda t: _block_links(t, percent), "a bigint, b bigint"), "minhash-links")
 
     def run(self) -> DataFrame | None:
@@ -339,20 +340,20 @@ def near_duplicates(documents: DataFrame, width: int = 5, percent: int = 80, coo
     signed = common.stash(signatures(documents, width, coordinates, posted), "minhash-signed")
     classes = signed.where("doc_id is not null and set_key is not null").groupBy("set_key").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), F.first("signature").alias("signature"), F.first("sketch").alias("sketch"))
     classes = common.stash(classes.withColumn("id", F.monotonically_increasing_id()), "minhash-classes")
-    placed = common.stash(signed.drop("signature", "sketch").join(classes.select("set_key", "id"), "set_key", "left").drop("set_key"), "minhash-placed")
+    placed = common.stash(signed.drop("signature", "sketch").join(common.moved(classes.select("set_key", "id")), "set_key", "left").drop("set_key"), "minhash-placed")
     links, repeats = None, False
     rows = placed.where("doc_id is not null and id is not null").groupBy("doc_id").agg(F.min("id").alias("a"), F.max("id").alias("b"), F.count("*").alias("c")).where("c > 1")
     if not rows.isEmpty():
         several = rows.where("a < b")
         if not several.isEmpty():  # ids with rows of different texts
-            links = placed.join(several.select("doc_id", "a"), "doc_id").where("id <> a").select("a", F.col("id").alias("b")).distinct()
+            links = placed.join(common.moved(several.select("doc_id", "a")), "doc_id").where("id <> a").select("a", F.col("id").alias("b")).distinct()
         repeats = not placed.where("doc_id is not null and id is not null").groupBy("doc_id", "id").count().where("count > 1").isEmpty()
     labels = _Join(documents, classes, links, width, percent, coordinates, matches, posted_matches, few, repeats).run()
     if labels is None:
         labels = classes.select("id", F.col("id").alias("component")).limit(0)
-    named = classes.select("id", F.col("doc_id").alias("least")).join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    named = classes.select("id", F.col("doc_id").alias("least")).join(common.moved(labels), "id", "left").withColumn("component", F.coalesce("component", "id"))
     least = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    of_class = named.join(least, "component").select("id", "component_id")
+    of_class = named.join(common.moved(least), "component").select("id", "component_id")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
-    out = placed.join(of_class, "id", "left").select("doc_id", "n_shingles", component.alias("component_id"))
+    out = placed.join(common.moved(of_class), "id", "left").select("doc_id", "n_shingles", component.alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
