@@ -82,6 +82,7 @@ def sized_rows(documents: DataFrame) -> DataFrame:
 def _with_targets(rows: DataFrame, targets: DataFrame) -> DataFrame:
     """rows with their source's row, by source and salt, as a source may have any share of all rows."""
     salted = targets.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).withColumnRenamed("source", "their")
+    salted = salted.repartition("their", "salt")  # so that Spark knows its size, SALTS times that of targets, before it broadcasts it
     rows = rows.withColumn("salt", F.pmod(F.xxhash64("row"), F.lit(SALTS)).cast("int"))
     return rows.join(salted, rows["source"].eqNullSafe(salted["their"]) & (rows["salt"] == salted["salt"])).drop("their", "salt")
 
@@ -112,7 +113,7 @@ def plan(documents: DataFrame, **schedule) -> DataFrame:
     copies = common.stash(assigned(sized_rows(documents), **schedule), "mix-positions")
     found = training_order(copies).groupBy("row").agg(F.array_sort(F.collect_list("rank")).alias("ranks"), F.count("*").alias("n_copies"))
     none = F.array().cast("array<bigint>")
-    out = copies.join(found, "row", "left").withColumns({"n_copies": F.coalesce("n_copies", F.lit(0)).cast("long"), "ranks": F.coalesce("ranks", none)})
+    out = copies.join(common.moved(found), "row", "left").withColumns({"n_copies": F.coalesce("n_copies", F.lit(0)).cast("long"), "ranks": F.coalesce("ranks", none)})
     return out.select("doc_id", "source", "size", "source_size", "target", (F.col("size") * F.col("n_copies")).alias("taken"), "n_copies", "positions", "ranks")
 
 
@@ -125,6 +126,6 @@ def mix(documents: DataFrame, **schedule) -> DataFrame:
     # Every task has a file in each bucket, so there are half as many tasks as buckets at most.
     held = common.bucketed(sized(named, carry=("held_",)).coalesce(max(1, buckets // 2)), ["row"], buckets, "mix-documents")
     copies = assigned(common.stash(held.drop("held_"), "mix-sizes"), **schedule).select("row", "draw", F.posexplode("positions").alias("copy_", "position_"))
-    stream = held.select("row", "held_").join(copies, "row")
+    stream = held.select("row", "held_").join(common.moved(copies), "row")
     ordered = stream.repartitionByRange("position_", "draw", "copy_", "row").sortWithinPartitions("position_", "draw", "copy_", "row")
     return ordered.select(*[F.col(f"held_.{name}").alias(c) for c, name in columns.items()])

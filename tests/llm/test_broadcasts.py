@@ -4,7 +4,8 @@ import re
 
 import pytest
 
-from stillwater.llm import common, minhash
+import corpus_pipeline
+from stillwater.llm import common, minhash, mixing
 from stillwater.operators import storage
 
 DOCUMENTS = [(i, " ".join(f"w{(i // 3 * 7 + j * j) % 97}" for j in range(30)) + " end" * (i % 3), f"s{i % 2}") for i in range(60)]
@@ -40,3 +41,21 @@ def test_near_duplicates_broadcast_only_bits_and_counts(spark, sides, few):
     assert made.count() == len(DOCUMENTS)
     for side in sides():
         assert "bits_" in side or "1024.0" in side or "256.0" in side, side
+
+
+def test_pipeline_stage_broadcasts_only_bits_and_counts(spark, sides):
+    documents = common.stash(spark.createDataFrame(DOCUMENTS, "doc_id bigint, text string, source string"), "test-documents")
+    kept = common.stash(corpus_pipeline.drop_near_copies(spark, documents, ""), "test-kept")
+    assert 0 < kept.count() < len(DOCUMENTS)
+    for side in sides():
+        assert "bits_" in side or "1024.0" in side or "256.0" in side, side
+
+
+def test_mixing_sizes_its_targets_after_the_explode(spark, sides):
+    documents = common.stash(spark.createDataFrame(DOCUMENTS, "doc_id bigint, text string, source string"), "test-documents")
+    out = mixing.mix(documents)
+    assert out.count()
+    for side in sides(out):
+        assert "held_" not in side and "position_" not in side, side
+        if "their" in side:
+            assert side.startswith("Exchange hashpartitioning(their"), side
